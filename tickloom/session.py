@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, memory: str = "12g", **conf: str) -> Spa
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tickloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
