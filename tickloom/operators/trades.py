@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import pnl_pct, safe_div
-from tickloom.operators.dc import confirmations, dc_events, same_threshold
+from tickloom.operators.dc import dc_events, same_threshold
 from tickloom.operators.joins import asof_backward
 from tickloom.operators.timeline import (
     CHUNK,
@@ -285,8 +285,8 @@ def _ledger(
         tested = inner.withColumns({k: F.lit(float(v)) for k, v in params.items()})
         cases = entries
     else:
-        tested = _only_extremes(inner, keys, ts, order).join(F.broadcast(params), _shared(inner, params))
-        cases = entries.join(F.broadcast(params), _shared(entries, params))
+        tested = _only_extremes(inner, keys, ts).crossJoin(F.broadcast(params))
+        cases = entries.crossJoin(F.broadcast(params))
     exits = first_exits(
         tested, [*keys, *config], ts, price, [f"__o{i}" for i in range(len(order))], True, "trailing_"
     )
@@ -317,19 +317,13 @@ def _ledger(
     )
 
 
-def _shared(a: DataFrame, b: DataFrame) -> list[str]:
-    return [c for c in b.columns if c in a.columns]
-
-
 def trade_paths_with_end(
     entries: DataFrame, ticks: DataFrame, by, ts, price, order, span
 ) -> DataFrame:
     """Paths that also contain the tick of the next confirmation, where exits are tested first."""
     joined = asof_backward(
-        ticks.select(*[c for c in by if c in ticks.columns], ts, price, *order),
-        entries, [c for c in by if c in ticks.columns], ts, "entry_time",
-        ["side", "entry_price", *[c for c in by if c not in ticks.columns]], order,
-        keep_right_ts=True, span=span,
+        ticks.select(*by, ts, price, *order), entries, by, ts, "entry_time",
+        ["side", "entry_price"], order, keep_right_ts=True, span=span,
     )
     ties = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
     cols = [*by, "entry_time", "side", "entry_price", ts, price]
@@ -344,7 +338,7 @@ def trade_paths_with_end(
     return with_marks(both, by, ts, price, ["__last", *[f"__o{i}" for i in range(len(order))]], span)
 
 
-def _only_extremes(paths: DataFrame, keys, ts: str, order) -> DataFrame:
+def _only_extremes(paths: DataFrame, keys, ts: str) -> DataFrame:
     """Rows that can be a first touch for some parameters: a new best, or a new low since one.
 
     Between two new bests the stop does not move, so only the first row that reaches a new low can
@@ -919,7 +913,3 @@ def basis_pnl(
             F.col("spot_pnl") + F.col("perp_pnl") + F.col("funding_pnl") - F.col("total_fees"),
         )
     )
-
-
-def one_threshold(events: DataFrame, threshold) -> DataFrame:
-    return confirmations(events, threshold)
