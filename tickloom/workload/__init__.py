@@ -1 +1,9 @@
+"""Queries over the given tables, one per operator."""
 
+
+def load():
+    """The registry with every query module imported."""
+    from tickloom.workload import comparisons, events, ledgers, market, rankings, registry
+
+    _ = (comparisons, events, ledgers, market, rankings)
+    return registry
