@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.functions.tests import normal_sf2, student_sf2, wilcoxon_exact_sf2
 from tickloom.operators.timeline import Timeline, micros, previous, running
@@ -123,14 +124,14 @@ def percentiles(
     return both.where(wanted).groupBy(*by).agg(*aggs, *tail)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _student_p(t: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(
         [None if pd.isna(a) else student_sf2(a, b - 1) for a, b in zip(t, n)], dtype="float64"
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _wilcoxon_p(w: pd.Series, z: pd.Series, n: pd.Series, exact: pd.Series) -> pd.Series:
     out = []
     for stat, score, size, small in zip(w, z, n, exact):

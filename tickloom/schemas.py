@@ -38,10 +38,6 @@ RAW_TRADE = _schema(
     "LAST_PROCESSED_TRADE_QUOTE_QUANTITY double, LAST_PROCESSED_TRADE_SIDE string, "
     "LOAD_TIME timestamp_ntz"
 )
-CANDLE = _schema(
-    "t bigint, T bigint, s string, i string, o string, c string, h string, l string, "
-    "v string, n bigint"
-)
 FILL = _schema(
     "coin string, side string, dir string, px string, sz string, time bigint, oid bigint, "
     "closedPnl string, startPosition string, crossed boolean, hash string"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,17 @@ def local_session(cores: int | str = 8, memory: str = "12g", **conf: str) -> Spa
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once, for the functions that run inside tasks."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tickloom_sent", False):
+        return
+    root = pathlib.Path(__file__).resolve().parents[1]
+    target = pathlib.Path(tempfile.mkdtemp(prefix="spark-")) / "tickloom"
+    sc.addPyFile(shutil.make_archive(str(target), "zip", root, "tickloom"))
+    sc._tickloom_sent = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names; survives executor loss.
 

@@ -188,26 +188,37 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
 
 
 def dedup_candles(raw: DataFrame) -> DataFrame:
-    """One candle per (symbol, interval, open time), the first delivered, in time order."""
-    rest = [c for c in raw.columns if c not in ("s", "i", "t")]
-    first = raw.groupBy("s", "i", "t").agg(F.min(F.struct("seq", *[c for c in rest if c != "seq"])).alias("r"))
-    num = [F.col(f"r.{c}").try_cast("double").alias(n) for c, n in zip("oclhv", ("open", "close", "low", "high", "volume"))]
+    """One candle per (symbol, interval, open time), the first delivered, in time order.
+
+    ``raw`` has the candle as ``map<string, string>`` in ``candle`` (its keys differ only by case)
+    and the order of delivery in ``seq``.
+    """
+    field = lambda k: F.col("candle")[k]
+    # Short names in the files.
+    names = {"o": "open", "c": "close", "l": "low", "h": "high", "v": "volume"}
+    flat = raw.select(
+        field("s").alias("symbol"), field("i").alias("interval"),
+        field("t").try_cast("long").alias("t"), field("T").try_cast("long").alias("close_ms"),
+        *[field(k).try_cast("double").alias(n) for k, n in names.items()],
+        field("n").try_cast("long").alias("trades"), "seq",
+    )
+    rest = ["close_ms", *names.values(), "trades"]
+    first = flat.groupBy("symbol", "interval", "t").agg(F.min(F.struct("seq", *rest)).alias("r"))
+    at = lambda c: F.timestamp_millis(F.col(c)).cast("timestamp_ntz")
     return first.select(
-        F.col("s").alias("symbol"), F.col("i").alias("interval"),
-        F.timestamp_millis("t").cast("timestamp_ntz").alias("ts"),
-        F.timestamp_millis("r.T").cast("timestamp_ntz").alias("close_ts"),
-        *num, F.col("r.n").alias("trades"),
+        "symbol", "interval", at("t").alias("ts"), at("r.close_ms").alias("close_ts"),
+        *[f"r.{c}" for c in rest[1:]],
     ).orderBy("symbol", "interval", "ts")
 
 
 def read_candles(spark: SparkSession, path: str) -> DataFrame:
-    """Candle chunks (a JSON array per file)."""
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    raw = spark.read.schema(schemas.CANDLE).json(path, multiLine=True)
-    seq = F.struct(
-        F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")
+    """Candle chunks, a JSON array of candles per file."""
+    files = spark.read.option("wholetext", "true").text(path)
+    candles = F.from_json("value", "array<map<string, string>>")
+    raw = files.select(
+        F.col("_metadata.file_path").alias("f"), F.posexplode(candles).alias("pos", "candle")
     )
-    return dedup_candles(raw.withColumn("seq", seq))
+    return dedup_candles(raw.select("candle", F.struct("f", "pos").alias("seq")))
 
 
 def fills_between(

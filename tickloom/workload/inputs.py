@@ -109,7 +109,7 @@ def trades(t: Tables) -> DataFrame:
 
 
 FILLS = """fills AS (
-  SELECT user_id AS wallet, event_type AS coin, event_id AS oid, epoch_ms(ts) AS time,
+  SELECT user_id AS wallet, event_type AS coin, event_id AS oid, epoch_us(ts) // 1000 AS time,
     (['Open Long', 'Open Long', 'Close Long', 'Open Short', 'Close Short', 'Long > Short',
       'Short > Long'])[1 + (event_id % 7)::INT] AS dir,
     value + 50 AS px, (1 + event_id % 3)::DOUBLE AS sz,

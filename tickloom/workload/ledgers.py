@@ -1 +1,538 @@
-"""Queries."""
+"""Trades, labels, sweeps and reviews."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tickloom.operators import trades as T
+from tickloom.operators.dc import confirmations
+from tickloom.operators.fills import pair_fills
+from tickloom.operators.joins import attach_rolling_state
+from tickloom.operators.timeline import Timeline
+from tickloom.session import cut_lineage
+from tickloom.workload import market
+from tickloom.workload.events import events_of
+from tickloom.workload.inputs import (
+    FILLS,
+    FUNDING,
+    SPAN,
+    TICKS,
+    TRADES,
+    dc_sql,
+    fills,
+    funding,
+    trades,
+)
+from tickloom.workload.registry import Tables, query
+
+MONEY = "entry_price exit_price size pnl_pct pnl_usd entry_fee exit_fee total_fees net_pnl_usd"
+
+
+@query(
+    "P18_P19_leg_pnl",
+    f"""WITH {TRADES} SELECT symbol, id, side, pnl_pct, pnl_usd, total_fees, net_pnl_usd,
+  CASE WHEN id % 5 = 0 THEN 'reversal_close' WHEN pnl_pct > 0 THEN 'take_profit' ELSE 'stop_loss' END AS reason FROM trades""",
+    "pnl_pct pnl_usd total_fees net_pnl_usd",
+)
+def _(t: Tables):
+    rows = T.exit_reason(trades(t).withColumn("is_reversal", F.col("id") % 5 == 0))
+    return rows.select(
+        "symbol", "id", "side", "pnl_pct", "pnl_usd", "total_fees", "net_pnl_usd", "reason"
+    )
+
+
+# A fill at a time: the position before it decides what it does.
+PAIRING = f"""{FILLS},
+o AS (SELECT *, row_number() OVER w AS rn,
+    CASE WHEN dir LIKE 'Open%' THEN 'O' WHEN dir LIKE 'Close%' THEN 'C' ELSE 'F' END AS k,
+    CASE WHEN dir IN ('Open Long', 'Short > Long') THEN 'LONG' WHEN dir IN ('Open Short', 'Long > Short') THEN 'SHORT' END AS to_side,
+    coalesce(lead(dir) OVER w LIKE 'Open%' AND contains(dir, 'Long') <> contains(lead(dir) OVER w, 'Long')
+      AND lead(time) OVER w - time <= 2000, false) AS rev
+  FROM fills WINDOW w AS (PARTITION BY wallet, coin ORDER BY time, oid)),
+walk AS (
+  SELECT DISTINCT wallet, coin, 0::BIGINT AS rn, NULL::VARCHAR AS side, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS size, 0.0::DOUBLE AS notional, NULL::BIGINT AS since,
+    NULL::VARCHAR AS t_side, NULL::DOUBLE AS t_entry, NULL::DOUBLE AS t_px, NULL::DOUBLE AS t_size, NULL::BIGINT AS t_since, NULL::BIGINT AS t_time, false AS t_rev FROM fills
+  UNION ALL
+  SELECT wallet, coin, rn2, CASE WHEN opens THEN new_side ELSE left_side END,
+    CASE WHEN opens AND left_side IS NULL THEN px WHEN opens AND left_side = new_side THEN (left_notional + px * open_sz) / (left_size + open_sz) ELSE entry END,
+    CASE WHEN opens AND left_side IS NULL THEN open_sz WHEN opens AND left_side = new_side THEN left_size + open_sz ELSE left_size END,
+    CASE WHEN opens AND left_side IS NULL THEN px * open_sz WHEN opens AND left_side = new_side THEN left_notional + px * open_sz ELSE left_notional END,
+    CASE WHEN opens AND left_side IS NULL THEN time ELSE since END,
+    CASE WHEN part IS NOT NULL THEN side END, CASE WHEN part IS NOT NULL THEN entry END, CASE WHEN part IS NOT NULL THEN px END, part,
+    CASE WHEN part IS NOT NULL THEN since END, CASE WHEN part IS NOT NULL THEN time END, rev2
+  FROM (SELECT *, CASE WHEN k = 'C' THEN false ELSE open_sz > 1e-12 END AS opens_raw,
+      CASE WHEN left_side IS NOT NULL AND left_side <> to_side THEN false WHEN k = 'C' THEN false ELSE open_sz > 1e-12 END AS opens, to_side AS new_side
+    FROM (SELECT *, CASE WHEN part IS NULL THEN side WHEN size - part <= 1e-12 THEN NULL ELSE side END AS left_side,
+        CASE WHEN part IS NULL THEN size ELSE size - part END AS left_size,
+        CASE WHEN part IS NULL THEN notional ELSE entry * (size - part) END AS left_notional,
+        CASE WHEN k = 'O' THEN sz WHEN k = 'F' THEN sz - coalesce(part, CASE WHEN start_pos > 0 THEN start_pos ELSE sz END) ELSE 0 END AS open_sz
+      FROM (SELECT w.wallet, w.coin, w.side, w.entry, w.size, w.notional, w.since, o.rn AS rn2, o.k, o.px, o.sz, o.start_pos, o.time, o.to_side,
+          CASE WHEN w.side IS NULL OR o.k = 'O' THEN NULL WHEN o.k = 'C' THEN least(o.sz, w.size)
+            ELSE least(CASE WHEN o.start_pos > 0 THEN o.start_pos ELSE o.sz END, w.size) END AS part, o.rev OR o.k = 'F' AS rev2
+        FROM walk w JOIN o ON o.wallet = w.wallet AND o.coin = w.coin AND o.rn = w.rn + 1) a) b) c)"""
+
+
+@query(
+    "T1_pair_fills",
+    f"""WITH RECURSIVE {PAIRING} SELECT wallet, coin, t_side AS side, t_entry AS entry_price, t_px AS exit_price, t_size AS size,
+  make_timestamp(t_since * 1000) AS entry_time, make_timestamp(t_time * 1000) AS exit_time,
+  (CASE t_side WHEN 'LONG' THEN t_px - t_entry ELSE t_entry - t_px END) / t_entry * (t_entry * t_size) - (t_entry + t_px) * t_size * 0.00035::DOUBLE AS net_pnl_usd,
+  CASE WHEN t_rev THEN 'reversal_close' WHEN (CASE t_side WHEN 'LONG' THEN t_px - t_entry ELSE t_entry - t_px END) > 0 THEN 'take_profit' ELSE 'stop_loss' END AS reason
+FROM walk WHERE t_side IS NOT NULL""",
+    "entry_price exit_price size net_pnl_usd",
+)
+def _(t: Tables):
+    done, _open = pair_fills(fills(t))
+    return done.select(
+        "wallet", "coin", "side", "entry_price", "exit_price", "size", "entry_time", "exit_time",
+        "net_pnl_usd", "reason",
+    )
+
+
+@query(
+    "T1_open_positions",
+    f"""WITH RECURSIVE {PAIRING} SELECT wallet, coin, side, entry AS entry_price, size, make_timestamp(since * 1000) AS entry_time
+FROM walk WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY wallet, coin ORDER BY rn DESC) = 1
+  AND rn = (SELECT max(rn) FROM o WHERE o.wallet = walk.wallet AND o.coin = walk.coin)""",
+    "entry_price size",
+)
+def _(t: Tables):
+    _done, left = pair_fills(fills(t))
+    return left
+
+
+ENTRIES = """entries AS (SELECT event_type AS symbol, ts AS entry_time, CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side,
+  value + 50 AS entry_price, lead(ts) OVER (PARTITION BY event_type ORDER BY ts) AS until FROM events WHERE event_id % 40 < 2)"""
+
+
+def _entries(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+    return t.events.where(k % 40 < 2).select(
+        F.col("event_type").alias("symbol"), F.col("ts").alias("entry_time"),
+        F.when(k % 2 == 0, "LONG").otherwise("SHORT").alias("side"),
+        (F.col("value") + 50).alias("entry_price"),
+    )
+
+
+def _life(trail: str) -> str:
+    """Every tick of every entry, with the stop left by the ticks before it."""
+    return f"""{TICKS}, {ENTRIES},
+live AS (SELECT e.*, t.ts, t.price, CASE e.side WHEN 'LONG' THEN 1 ELSE -1 END AS s FROM entries e JOIN ticks t
+  ON t.symbol = e.symbol AND t.ts > e.entry_time AND (e.until IS NULL OR t.ts < e.until)),
+best AS (SELECT *, greatest(s * entry_price, max(s * price) OVER w) AS fav, least(s * entry_price, min(s * price) OVER w) AS adv,
+    greatest(s * entry_price, coalesce(max(s * price) OVER b, s * entry_price)) AS prev FROM live
+  WINDOW w AS (PARTITION BY symbol, entry_time ORDER BY ts ROWS UNBOUNDED PRECEDING),
+    b AS (PARTITION BY symbol, entry_time ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stops AS (SELECT *, {trail} AS stop, s * entry_price * (1 + s * 0.5) AS target FROM best),
+hits AS (SELECT * FROM stops WHERE s * price <= stop OR s * price >= target
+  QUALIFY row_number() OVER (PARTITION BY symbol, entry_time ORDER BY ts) = 1)"""
+
+
+LABEL = """SELECT e.symbol, e.entry_time, e.side, e.entry_price, h.ts AS exit_time, h.price AS exit_price,
+  CASE WHEN h.s * h.price <= h.stop THEN 'stop_loss' WHEN h.ts IS NOT NULL THEN 'take_profit' END AS reason,
+  greatest((h.fav - h.s * h.entry_price) / h.entry_price, 0) AS mfe_pct, greatest((h.s * h.entry_price - h.adv) / h.entry_price, 0) AS mae_pct
+FROM entries e LEFT JOIN hits h USING (symbol, entry_time)"""
+FIXED = "s * entry_price * (1 - s * 0.3)"
+TRAIL = f"""greatest({FIXED}, CASE WHEN (prev - s * entry_price) / entry_price >= 0.1 THEN s * entry_price + (prev - s * entry_price) * 0.5 END)"""
+
+
+@query(
+    "T2_barrier_labels",
+    f"WITH {_life(FIXED)} {LABEL}",
+    "entry_price exit_price mfe_pct mae_pct",
+)
+def _(t: Tables):
+    return T.barrier_labels(_entries(t), t.ticks, 0.3, 0.5, order=["event_id"], span=SPAN)
+
+
+@query(
+    "T3_trailing_labels", f"WITH {_life(TRAIL)} {LABEL}", "entry_price exit_price mfe_pct mae_pct"
+)
+def _(t: Tables):
+    return T.trailing_labels(
+        _entries(t), t.ticks, 0.3, 0.5, 0.5, 0.1, order=["event_id"], span=SPAN
+    )
+
+
+def _ledger_sql(sl="c.sl", tp="c.tp", trail="c.trail", profit="c.min_profit", configs="", pick="") -> str:
+    """Every tick of every trade, then entries one event after another for the cooldown."""
+    return f"""pdcc AS (SELECT symbol, threshold_down AS theta, end_time AS born, end_price AS entry_price,
+    CASE event_type WHEN 'PDCC2_UP' THEN 'LONG' ELSE 'SHORT' END AS side, CASE event_type WHEN 'PDCC2_UP' THEN 1 ELSE -1 END AS s
+  FROM dc WHERE event_type LIKE 'PDCC%'),
+e AS (SELECT *, lead(born) OVER w AS nxt, lead(entry_price) OVER w AS nxt_px, row_number() OVER w AS rn FROM pdcc
+  WINDOW w AS (PARTITION BY symbol, theta ORDER BY born)),
+live AS (SELECT e.*, t.ts, t.price FROM e JOIN ticks t ON t.symbol = e.symbol AND t.ts > e.born AND (e.nxt IS NULL OR t.ts <= e.nxt)),
+best AS (SELECT *, greatest(s * entry_price, max(s * price) OVER w) AS fav, least(s * entry_price, min(s * price) OVER w) AS adv,
+    greatest(s * entry_price, coalesce(max(s * price) OVER b, s * entry_price)) AS prev FROM live
+  WINDOW w AS (PARTITION BY symbol, theta, born ORDER BY ts ROWS UNBOUNDED PRECEDING),
+    b AS (PARTITION BY symbol, theta, born ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{configs}
+stops AS (SELECT best.*, {pick} greatest(s * entry_price * (1 - s * {sl}), CASE WHEN (prev - s * entry_price) / entry_price >= {profit}
+    THEN s * entry_price + (prev - s * entry_price) * {trail} END) AS stop, s * entry_price * (1 + s * {tp}) AS target FROM best {'JOIN cfg c ON c.threshold = best.theta' if pick else ''}),
+hits AS (SELECT * FROM stops WHERE s * price <= stop OR s * price >= target
+  QUALIFY row_number() OVER (PARTITION BY symbol, theta, {'config_id,' if pick else ''} born ORDER BY ts) = 1),
+cases AS (SELECT e.*, {'c.config_id,' if pick else ''} h.ts AS x_ts, h.price AS x_px, CASE WHEN h.s * h.price <= h.stop THEN 'trailing_stop_loss' WHEN h.ts IS NOT NULL THEN 'trailing_take_profit' END AS why,
+    h.fav, h.adv FROM e {'JOIN cfg c ON c.threshold = e.theta' if pick else ''} LEFT JOIN hits h ON h.symbol = e.symbol AND h.theta = e.theta AND h.born = e.born {'AND h.config_id = c.config_id' if pick else ''})"""
+
+
+def _closed_sql(source: str, extra: str = "") -> str:
+    return f"""closed AS (SELECT symbol, {extra} side, entry_price, coalesce(x_px, nxt_px) AS exit_price, 100 / entry_price AS size, born AS entry_time,
+    coalesce(x_ts, nxt) AS exit_time, coalesce(why, 'reversal_close') AS reason,
+    CASE WHEN why IS NULL THEN 0 ELSE greatest((fav - s * entry_price) / entry_price, 0) END AS mfe_pct,
+    CASE WHEN why IS NULL THEN 0 ELSE greatest((s * entry_price - adv) / entry_price, 0) END AS mae_pct FROM {source} WHERE why IS NOT NULL OR nxt IS NOT NULL),
+priced AS (SELECT *, (CASE side WHEN 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END) / entry_price AS pnl_pct,
+    entry_price * size * 0.00035::DOUBLE AS entry_fee, exit_price * size * 0.00035::DOUBLE AS exit_fee FROM closed),
+ledger AS (SELECT *, pnl_pct * (entry_price * size) AS pnl_usd, entry_fee + exit_fee AS total_fees,
+    pnl_pct * (entry_price * size) - (entry_fee + exit_fee) AS net_pnl_usd FROM priced)"""
+
+
+COOL = 7200
+
+
+@query(
+    "T4_dc_trades",
+    f"""WITH RECURSIVE {dc_sql([(0.3, 0.3)])}, {_ledger_sql("0.3::DOUBLE", "0.5::DOUBLE", "0.5::DOUBLE", "0.1::DOUBLE")},
+fold AS (
+  SELECT symbol, rn, born AS last, why IS NULL AS open, true AS entered FROM cases WHERE rn = 1
+  UNION ALL
+  SELECT c.symbol, c.rn, CASE WHEN f.open OR c.born - f.last >= INTERVAL {COOL} SECOND THEN c.born ELSE f.last END,
+    (f.open OR c.born - f.last >= INTERVAL {COOL} SECOND) AND c.why IS NULL, f.open OR c.born - f.last >= INTERVAL {COOL} SECOND
+  FROM fold f JOIN cases c ON c.symbol = f.symbol AND c.rn = f.rn + 1),
+taken AS (SELECT cases.* FROM cases JOIN fold USING (symbol, rn) WHERE entered), {_closed_sql("taken")}
+SELECT * FROM ledger""",
+    MONEY + " mfe_pct mae_pct",
+)
+def _(t: Tables):
+    events = cut_lineage(confirmations(events_of(t, [0.3])))
+    return T.dc_trades(
+        t.ticks, events, 0.3, 0.5, 0.5, 0.1, COOL, order=["event_id"], span=SPAN
+    )
+
+
+GRID = {"threshold": [0.1, 0.3], "sl": [0.2, 0.3], "tp": [0.3, 0.6], "trail": [0.3, 0.7], "min_profit": [0.05, 0.1]}
+CFG = """cfg AS (SELECT (((a.i * 2 + b.i) * 2 + c.i) * 2 + d.i) * 2 + e.i AS config_id, a.v AS threshold, b.v AS sl, c.v AS tp, d.v AS trail, e.v AS min_profit
+  FROM (VALUES (0, 0.1::DOUBLE), (1, 0.3::DOUBLE)) a(i, v), (VALUES (0, 0.2::DOUBLE), (1, 0.3::DOUBLE)) b(i, v), (VALUES (0, 0.3::DOUBLE), (1, 0.6::DOUBLE)) c(i, v),
+    (VALUES (0, 0.3::DOUBLE), (1, 0.7::DOUBLE)) d(i, v), (VALUES (0, 0.05::DOUBLE), (1, 0.1::DOUBLE)) e(i, v)),"""
+SWEEP = f"""{dc_sql([(0.1, 0.1), (0.3, 0.3)])}, {_ledger_sql(configs=CFG, pick="c.config_id,")},
+fold AS (
+  SELECT symbol, config_id, rn, born AS last, why IS NULL AS open, true AS entered FROM cases WHERE rn = 1
+  UNION ALL
+  SELECT c.symbol, c.config_id, c.rn, CASE WHEN f.open OR c.born - f.last >= INTERVAL {COOL} SECOND THEN c.born ELSE f.last END,
+    (f.open OR c.born - f.last >= INTERVAL {COOL} SECOND) AND c.why IS NULL, f.open OR c.born - f.last >= INTERVAL {COOL} SECOND
+  FROM fold f JOIN cases c ON c.symbol = f.symbol AND c.config_id = f.config_id AND c.rn = f.rn + 1),
+taken AS (SELECT cases.* FROM cases JOIN fold USING (symbol, config_id, rn) WHERE entered), {_closed_sql("taken", "config_id,")}"""
+
+
+def _sweep(t: Tables) -> DataFrame:
+    events = cut_lineage(confirmations(events_of(t, GRID["threshold"])))
+    return T.dc_trades_sweep(
+        t.ticks, GRID, events, COOL, order=["event_id"], span=SPAN
+    )
+
+
+@query(
+    "T5_dc_trades_sweep",
+    f"""WITH RECURSIVE {SWEEP} SELECT symbol, config_id::BIGINT AS config_id, side, entry_time, exit_time, exit_price, reason, net_pnl_usd, mfe_pct, mae_pct FROM ledger""",
+    "exit_price net_pnl_usd mfe_pct mae_pct",
+)
+def _(t: Tables):
+    return _sweep(t).select(
+        "symbol", "config_id", "side", "entry_time", "exit_time", "exit_price", "reason",
+        "net_pnl_usd", "mfe_pct", "mae_pct",
+    )
+
+
+SUMMARY = f"""{SWEEP},
+curve AS (SELECT *, sum(net_pnl_usd) OVER w AS cum FROM ledger WINDOW w AS (PARTITION BY config_id ORDER BY exit_time, entry_time, symbol ROWS UNBOUNDED PRECEDING)),
+peaks AS (SELECT *, greatest(0, max(cum) OVER w) AS peak FROM curve WINDOW w AS (PARTITION BY config_id ORDER BY exit_time, entry_time, symbol ROWS UNBOUNDED PRECEDING)),
+summary AS (SELECT config_id::BIGINT AS config_id, count(*) AS total_trades, count(*) FILTER (net_pnl_usd > 0) AS wins, sum(net_pnl_usd) AS net_pnl_usd,
+  max(peak - cum) AS max_drawdown_usd, sum(net_pnl_usd) / 30 AS net_pnl_per_day FROM peaks GROUP BY 1 HAVING count(*) >= 1200)"""
+
+
+@query(
+    "A7_sweep_summary",
+    f"WITH RECURSIVE {SUMMARY} SELECT summary.*, threshold, sl, tp, trail, min_profit FROM summary JOIN cfg USING (config_id)",
+    "net_pnl_usd max_drawdown_usd net_pnl_per_day threshold sl tp trail min_profit",
+    4,
+)
+def _(t: Tables):
+    out = T.sweep_summary(_sweep(t), T.grid_table(t.spark, GRID), 1200, 30, span=SPAN)
+    return out.select(
+        "config_id", "total_trades", "wins", "net_pnl_usd", "max_drawdown_usd",
+        "net_pnl_per_day", *GRID,
+    )
+
+
+@query(
+    "A8_sweep_patterns",
+    f"""WITH RECURSIVE {SUMMARY} SELECT net_pnl_usd > 0 AS profitable, count(*) AS configs, avg(threshold) AS avg_threshold, avg(sl) AS avg_sl, avg(tp) AS avg_tp,
+  avg(trail) AS avg_trail, avg(min_profit) AS avg_min_profit FROM summary JOIN cfg USING (config_id) GROUP BY 1""",
+    "avg_threshold avg_sl avg_tp avg_trail avg_min_profit",
+)
+def _(t: Tables):
+    return T.sweep_patterns(
+        T.sweep_summary(_sweep(t), T.grid_table(t.spark, GRID), 1200, 30, span=SPAN)
+    )
+
+
+@query(
+    "A5_trade_metrics",
+    f"""WITH {market.PATH} SELECT symbol, count(*) AS total_trades, 7::INT AS total_signals, count(*) FILTER (net_pnl_usd > 0) AS wins, count(*) FILTER (net_pnl_usd <= 0) AS losses,
+  count(*) FILTER (net_pnl_usd > 0) / count(*) * 100 AS win_rate_net, count(*) FILTER (pnl_usd > 0) / count(*) * 100 AS win_rate_gross,
+  sum(pnl_usd) AS gross_pnl_usd, sum(total_fees) AS total_fees_usd, sum(net_pnl_usd) AS net_pnl_usd, sum(total_fees) / abs(sum(pnl_usd)) * 100 AS fee_pct_of_gross,
+  avg(net_pnl_usd) FILTER (net_pnl_usd > 0) AS avg_win_net_usd, avg(net_pnl_usd) FILTER (net_pnl_usd <= 0) AS avg_loss_net_usd,
+  avg(epoch(exit_time) - epoch(entry_time)) AS avg_hold_seconds, max(peak - cum) AS max_drawdown_usd, {market.EQUITY_DD} AS max_equity_drawdown_usd,
+  sum(net_pnl_usd) FILTER (net_pnl_usd > 0) / abs(sum(net_pnl_usd) FILTER (net_pnl_usd <= 0)) AS profit_factor,
+  count(*) FILTER (pnl_usd > 0 AND net_pnl_usd <= 0) AS trades_eaten_by_fees, sum(total_fees) / count(*) AS per_trade_avg_fee, sum(net_pnl_usd) / 7 AS net_pnl_per_day,
+  count(*) FILTER (contains(reason, 'stop_loss')) AS sl_exits, count(*) FILTER (contains(reason, 'take_profit')) AS tp_exits, count(*) FILTER (contains(reason, 'reversal')) AS reversal_exits
+FROM path GROUP BY symbol""",
+    "win_rate_net win_rate_gross gross_pnl_usd total_fees_usd net_pnl_usd fee_pct_of_gross avg_win_net_usd avg_loss_net_usd "
+    "avg_hold_seconds max_drawdown_usd max_equity_drawdown_usd profit_factor per_trade_avg_fee net_pnl_per_day",
+    4,
+)
+def _(t: Tables):
+    return T.trade_metrics(trades(t), total_signals=7, order=["id"], span="180 days")
+
+
+@query(
+    "A6_side_breakdown",
+    f"""WITH {TRADES}, x AS (SELECT * FROM trades WHERE NOT (symbol = '5-LOW' AND side = 'SHORT')),
+k AS (SELECT DISTINCT symbol, side FROM (SELECT DISTINCT symbol FROM x), (VALUES ('LONG'), ('SHORT')) v(side))
+SELECT symbol, side, count(id) AS trades, count(*) FILTER (net_pnl_usd > 0) AS wins, count(*) FILTER (net_pnl_usd <= 0) AS losses, coalesce(sum(net_pnl_usd), 0) AS net_pnl_usd
+FROM k LEFT JOIN x USING (symbol, side) GROUP BY ALL""",
+    "net_pnl_usd",
+    4,
+)
+def _(t: Tables):
+    rows = trades(t).where(~((F.col("symbol") == "5-LOW") & (F.col("side") == "SHORT")))
+    return T.side_breakdown(rows)
+
+
+@query(
+    "T6_gate_trades",
+    f"""WITH RECURSIVE {market.MOMENTUM}, {market.REGIME.replace(market.SENSORS + ',', '')},
+{market.TREND.replace(market.SENSORS + ',', '')}, {market.QUOTES},
+c AS (SELECT q.symbol, q.quote_ts AS ts, q.quote_id, CASE WHEN q.quote > 20 THEN 'PDCC2_UP' ELSE 'PDCC_Down' END AS event_type,
+  s.momentum, s.regime, s.trend, s.long_size_factor, s.short_size_factor FROM quotes q ASOF LEFT JOIN
+  (SELECT m.symbol, m.ts, m.momentum, r.regime, t.trend, t.long_size_factor, t.short_size_factor FROM moments m JOIN regimes r USING (event_id) JOIN trends t USING (event_id) WHERE event_id % 4 = 1) s
+  ON q.symbol = s.symbol AND q.quote_ts >= s.ts),
+d AS (SELECT *, CASE WHEN NOT (CASE event_type WHEN 'PDCC2_UP' THEN coalesce(momentum, 0) > 0.1 ELSE coalesce(momentum, 0) < -0.1 END) THEN 'momentum'
+  WHEN coalesce(regime = 'choppy', false) THEN 'choppy' ELSE 'enter' END AS decision FROM c)
+SELECT symbol, ts, quote_id, event_type, decision, CASE WHEN decision = 'enter' THEN coalesce(CASE event_type WHEN 'PDCC2_UP' THEN long_size_factor ELSE short_size_factor END, 1) ELSE 0 END AS size_factor,
+  coalesce((trend = 'up' AND event_type = 'PDCC_Down') OR (trend = 'down' AND event_type = 'PDCC2_UP'), false) AS against_trend FROM d""",
+    "size_factor",
+)
+def _(t: Tables):
+    quotes = market._quotes(t).select(
+        "symbol", F.col("quote_ts").alias("ts"), "quote_id",
+        F.when(F.col("quote") > 20, "PDCC2_UP").otherwise("PDCC_Down").alias("event_type"),
+    )
+    some = F.col("event_id") % 4 == 1
+    candidates = attach_rolling_state(
+        quotes,
+        (market._momentum(t).where(some), ["momentum"]),
+        (market._regime(t).where(some), ["regime"]),
+        (market._trend(t).where(some), ["trend", "long_size_factor", "short_size_factor"]),
+        by="symbol", ts="ts", order="quote_id", span=SPAN,
+    )
+    out = T.gate_trades(candidates, min_momentum=0.1, use_trend=True)
+    return out.select(
+        "symbol", "ts", "quote_id", "event_type", "decision", "size_factor", "against_trend"
+    )
+
+
+@query(
+    "T7_score_events",
+    f"""WITH {market.CONTEXT}, x AS (SELECT tc.*, event_type, dc_up_count AS u, dc_down_count AS d, avg_overshoot_pct AS o, event_type = 'PDCC2_UP' AS up,
+  (price_high - price_low) / price_low * 100 AS rng, CASE WHEN price_high > price_low THEN (current_price - price_low) / (price_high - price_low) END AS pos,
+  CASE WHEN event_id % 11 = 0 THEN 'choppy' ELSE 'neutral' END AS regime, (event_id % 5)::BIGINT AS losses, (event_id % 9)::BIGINT AS wins FROM tc JOIN ec USING (event_id)),
+s AS (SELECT *, 0.58 + CASE WHEN price_high > price_low AND tick_count >= 10 AND rng < 0.3 THEN -0.1 ELSE 0 END
+  + CASE WHEN up AND price_trend_pct > 0.5 THEN 0.1 WHEN up AND price_trend_pct < -1 THEN -0.1 WHEN NOT up AND price_trend_pct < -0.5 THEN 0.1 WHEN NOT up AND price_trend_pct > 1 THEN -0.1 ELSE 0 END
+  + CASE WHEN up AND pos < 0.4 THEN 0.05 WHEN up AND pos > 0.8 THEN -0.05 ELSE 0 END
+  + CASE WHEN up AND u / (u + d) > 0.6 THEN 0.05 WHEN NOT up AND d / (u + d) > 0.6 THEN 0.05 ELSE 0 END
+  + CASE WHEN wins / 10 > 0.6 THEN 0.05 WHEN wins / 10 < 0.3 THEN -0.05 ELSE 0 END AS score FROM x),
+a AS (SELECT *, CASE WHEN regime = 'choppy' THEN 'skip_choppy' WHEN losses >= CASE WHEN losses < 3 THEN 3 ELSE 4 END THEN 'skip_losses' WHEN up THEN 'enter_long' ELSE 'enter_short' END AS action FROM s)
+SELECT symbol, ts, event_id, action, CASE action WHEN 'skip_choppy' THEN 0.3 WHEN 'skip_losses' THEN 0.2 ELSE score END AS confidence,
+  CASE WHEN action LIKE 'enter%' THEN CASE WHEN o > 0 THEN greatest(0.003, o / 100 * 0.4) ELSE 0.008 END END AS tp_pct,
+  CASE WHEN action LIKE 'enter%' THEN CASE WHEN round(score, 9) >= 0.7 THEN 0.012 WHEN round(score, 9) < 0.55 THEN 0.018 ELSE 0.015 END END AS sl_pct FROM a""",
+    "confidence tp_pct sl_pct",
+)
+def _(t: Tables):
+    return _decisions(t).select(
+        "symbol", "ts", "event_id", "action", "confidence", "tp_pct", "sl_pct"
+    )
+
+
+def _decisions(t: Tables) -> DataFrame:
+    k = F.col("event_id")
+    context = (
+        market.market_context(t)
+        .withColumn("regime", F.when(k % 11 == 0, "choppy").otherwise("neutral"))
+        .withColumn("consecutive_losses", k % 5)
+        .withColumn("win_count", k % 9)
+        .withColumn("total_trades", F.lit(10))
+    )
+    return T.score_events(context)
+
+
+@query(
+    "A19_decision_summary",
+    """SELECT event_type AS symbol, count(*) AS total, count(*) FILTER (event_id % 11 <> 0 AND event_id % 5 <> 4) AS enters, 0::BIGINT AS closes,
+  count(*) FILTER (event_id % 11 = 0 OR event_id % 5 = 4) AS skips FROM events GROUP BY 1""",
+)
+def _(t: Tables):
+    return T.decision_summary(_decisions(t), ["symbol"])
+
+
+BASIS = f"""{FUNDING}, f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM funding),
+walk AS (
+  SELECT DISTINCT symbol, 0::BIGINT AS rn, 0 AS above, 0 AS below, NULL::TIMESTAMP AS since, 0.0::DOUBLE AS spot, 0.0::DOUBLE AS perp, 0.0::DOUBLE AS fund, 0 AS pays,
+    NULL::VARCHAR AS why, NULL::TIMESTAMP AS ts, NULL::TIMESTAMP AS e_ts, NULL::DOUBLE AS e_spot, NULL::DOUBLE AS e_perp, NULL::DOUBLE AS x_spot, NULL::DOUBLE AS x_perp, NULL::DOUBLE AS x_fund, NULL::INT AS x_pays FROM funding
+  UNION ALL
+  SELECT symbol, rn2, CASE WHEN w IS NULL THEN a ELSE 0 END, CASE WHEN w IS NULL THEN b ELSE 0 END,
+    CASE WHEN w IS NOT NULL THEN NULL WHEN since IS NULL AND a >= 2 THEN ts2 ELSE since END,
+    CASE WHEN since IS NULL THEN oracle_price ELSE spot END, CASE WHEN since IS NULL THEN mark_price ELSE perp END,
+    CASE WHEN since IS NULL THEN 0 ELSE fund2 END, CASE WHEN since IS NULL THEN 0 ELSE pays + 1 END, w, ts2, since, spot, perp, oracle_price, mark_price, fund2, pays + 1
+  FROM (SELECT *, CASE WHEN since IS NULL THEN NULL WHEN b >= 2 THEN 'funding_negative' WHEN ts2 - since >= INTERVAL 480 HOUR THEN 'max_hold_time' WHEN fund2 >= 0.4 THEN 'target_profit'
+      WHEN fund2 <= -0.1 THEN 'max_loss' END AS w
+    FROM (SELECT w0.symbol, w0.since, w0.spot, w0.perp, w0.pays, w0.fund + f.rate * 1000 AS fund2, f.rn AS rn2, f.ts AS ts2, f.oracle_price, f.mark_price,
+        CASE WHEN f.rate >= 0.00001 THEN w0.above + 1 ELSE 0 END AS a, CASE WHEN f.rate <= -0.00001 THEN w0.below + 1 ELSE 0 END AS b
+      FROM walk w0 JOIN f ON f.symbol = w0.symbol AND f.rn = w0.rn + 1) q) z)"""
+
+
+@query(
+    "T8_basis_pnl",
+    f"""WITH RECURSIVE {BASIS} SELECT symbol, e_ts AS entry_time, ts AS exit_time, why AS reason, x_pays::BIGINT AS funding_payments, x_fund AS funding_pnl,
+  (x_spot - e_spot) / e_spot * 1000 AS spot_pnl, (e_perp - x_perp) / e_perp * 1000 AS perp_pnl,
+  (x_spot - e_spot) / e_spot * 1000 + (e_perp - x_perp) / e_perp * 1000 + x_fund - 1.1 AS net_pnl FROM walk WHERE why IS NOT NULL""",
+    "funding_pnl spot_pnl perp_pnl net_pnl",
+)
+def _(t: Tables):
+    out = T.basis_pnl(
+        funding(t), enter_rate=0.00001, enter_hours=2, exit_rate=-0.00001, exit_hours=2,
+        max_hold_hours=480, target_usd=0.4, max_loss_usd=0.1, notional_usd=1000.0,
+    )
+    return out.select(
+        "symbol", "entry_time", "exit_time", "reason", "funding_payments", "funding_pnl",
+        "spot_pnl", "perp_pnl", "net_pnl",
+    )
+
+
+@query(
+    "A16_risk_breaches",
+    """WITH p AS (SELECT o_custkey AS account_id, o_orderkey::VARCHAR AS asset, 1 + o_orderkey % 4 AS size, 100.0 + o_custkey % 50 AS e, o_totalprice AS v, (o_orderkey % 101 - 50.0) AS u FROM orders),
+a AS (SELECT c_custkey AS account_id, c_acctbal * 100 AS total_value, (c_custkey % 97)::DOUBLE AS dd FROM customer),
+j AS (SELECT p.*, total_value FROM p JOIN a USING (account_id))
+SELECT account_id, asset, 'stop_loss' AS rule, 'close_position' AS action, 'HIGH' AS severity, -u / (e * size) * 100 AS value, 5.0 AS bound FROM j WHERE -u / (e * size) * 100 >= 5
+UNION ALL SELECT account_id, asset, 'take_profit', 'close_position', 'MEDIUM', u / (e * size) * 100, 20.0 FROM j WHERE u > 0 AND u / (e * size) * 100 >= 20
+UNION ALL SELECT account_id, asset, 'max_position_size', 'reduce_position', 'MEDIUM', v / total_value * 100, 30.0 FROM j WHERE total_value > 0 AND v / total_value * 100 >= 30
+UNION ALL SELECT account_id, 'ACCOUNT', 'max_drawdown', 'emergency_exit', 'CRITICAL', dd, 90.0 FROM a WHERE dd >= 90""",
+    "value bound",
+)
+def _(t: Tables):
+    k = F.col("o_orderkey")
+    positions = t.orders.select(
+        F.col("o_custkey").alias("account_id"), k.cast("string").alias("asset"),
+        (F.lit(1) + k % 4).alias("size"), (F.lit(100.0) + F.col("o_custkey") % 50).alias("entry_price"),
+        F.col("o_totalprice").alias("current_value"), (k % 101 - F.lit(50.0)).alias("unrealized_pnl"),
+    )
+    account = t.customer.select(
+        F.col("c_custkey").alias("account_id"), (F.col("c_acctbal") * 100).alias("total_value"),
+        (F.col("c_custkey") % 97).cast("double").alias("drawdown_pct"),
+    )
+    limits = t.region.limit(1).select(
+        F.lit(5.0).alias("loss_pct"), F.lit(20.0).alias("profit_pct"),
+        F.lit(90.0).alias("max_drawdown_pct"), F.lit(30.0).alias("max_position_size_pct"),
+    )
+    return T.risk_breaches(positions, account, limits)
+
+
+@query(
+    "A16_exposure_breaches",
+    """WITH x AS (SELECT o_custkey AS account_id, o_orderpriority AS coin, sum(abs(o_totalprice)) AS value FROM orders GROUP BY ALL),
+q AS (SELECT o_custkey AS account_id, max(o_totalprice) AS peak, arg_max(o_totalprice, o_orderkey) AS now FROM orders GROUP BY 1)
+SELECT account_id, 'single_exposure' AS rule, coin, value FROM x WHERE value > 1000000
+UNION ALL SELECT account_id, 'total_exposure', NULL, sum(value) FROM x GROUP BY 1 HAVING sum(value) > 3000000
+UNION ALL SELECT account_id, 'drawdown', NULL, (peak - now) / peak * 100 FROM q WHERE (peak - now) / peak * 100 > 80""",
+    "value",
+    4,
+)
+def _(t: Tables):
+    positions = t.orders.select(
+        F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("coin"),
+        F.col("o_totalprice").alias("exposure"),
+    )
+    equity = t.orders.select(
+        F.col("o_custkey").alias("account_id"), F.col("o_orderkey").alias("ts"),
+        F.col("o_totalprice").alias("equity"),
+    )
+    return T.exposure_breaches(positions, equity, 1_000_000 * 3, 1_000_000, 80)
+
+
+def _reports(t: Tables) -> DataFrame:
+    """One session report per user: its events as signals in time order."""
+    k = F.col("event_id")
+    kind = F.get(
+        F.array(*[F.lit(x) for x in ("BUY", "SELL", "CLOSE", "NOTE")]), (k % 4).cast("int")
+    )
+    signal = F.struct(
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("timestamp"),
+        kind.alias("type"), (F.col("value") + 50).alias("price"), F.lit(None).cast("double").alias("size"),
+        F.lit("").alias("reason"),
+    )
+    # A report is one small document in the source; here a user's few hundred events stand in.
+    return t.events.groupBy(F.col("user_id").cast("string").alias("session_id")).agg(
+        F.lit("S").alias("symbol"), (F.max("user_id") / 1000.0).alias("threshold"),
+        F.lit(100.0).alias("position_size_usd"), F.lit(3600.0).alias("duration_seconds"),
+        F.count(F.lit(1)).alias("tick_count"), F.count(F.lit(1)).alias("signal_count"),
+        F.count(F.lit(1)).alias("dc_event_count"),
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("ts", "event_id", signal.alias("s")))),
+            lambda x: x["s"],
+        ).alias("signals"),
+    )
+
+
+@query(
+    "A17_session_summary",
+    """SELECT user_id::VARCHAR AS session_id, 'S' AS symbol, user_id / 1000 AS threshold, count(*) AS tick_count, count(*) AS dc_event_count, count(*) / 60 AS signals_per_min,
+  (count(*) FILTER (event_id % 4 = 0))::INT AS buy_signals, (count(*) FILTER (event_id % 4 = 1))::INT AS sell_signals, (count(*) FILTER (event_id % 4 = 2))::INT AS close_signals FROM events GROUP BY user_id""",
+    "threshold signals_per_min",
+)
+def _(t: Tables):
+    return T.session_summary(_reports(t))
+
+
+SESSION = """sig AS (SELECT user_id, event_id % 4 AS k, value + 50 AS px, lead(value + 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events WHERE event_id % 4 < 3),
+st AS (SELECT user_id, px, nxt, 100 / px AS size, CASE k WHEN 0 THEN nxt - px ELSE px - nxt END / px * (px * (100 / px)) AS g, (px + nxt) * (100 / px) * 0.00035::DOUBLE AS fee
+  FROM sig WHERE k < 2 AND nxt IS NOT NULL),
+sp AS (SELECT user_id::VARCHAR AS session_id, count(st.px) AS total_trades, coalesce(sum(g), 0) AS gross_pnl_usd, coalesce(sum(fee), 0) AS total_fees_usd,
+  coalesce(sum(g - fee), 0) AS net_pnl_usd, count(*) FILTER (g - fee > 0) AS wins, count(*) FILTER (g - fee <= 0) AS losses,
+  coalesce(count(*) FILTER (g - fee > 0) / nullif(count(st.px), 0), 0) AS win_rate FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN st USING (user_id) GROUP BY user_id)"""
+
+
+def _session_pnl(t: Tables) -> DataFrame:
+    signals = T.session_signals(_reports(t))
+    return T.signal_pnl(signals, Timeline.of("session_id", "pos", (), 10_000))
+
+
+@query(
+    "A18_signal_pnl",
+    f"WITH {SESSION} SELECT * FROM sp",
+    "gross_pnl_usd total_fees_usd net_pnl_usd win_rate",
+    5,
+)
+def _(t: Tables):
+    return _session_pnl(t)
+
+
+@query(
+    "T9_rank_thresholds",
+    f"""WITH {SESSION}, s AS (SELECT *, net_pnl_usd + CASE WHEN total_trades > 0 THEN win_rate * 0.1 ELSE -1 END AS score FROM sp),
+r AS (SELECT *, score - lead(score) OVER (ORDER BY score DESC, session_id) AS gap, row_number() OVER (ORDER BY score DESC, session_id) AS rn FROM s)
+SELECT session_id, score, greatest(0, least(1, least(0.95, 0.5 + gap * 0.2))) AS confidence FROM r WHERE rn = 1""",
+    "score confidence",
+)
+def _(t: Tables):
+    return T.rank_thresholds(_session_pnl(t)).select("session_id", "score", "confidence")

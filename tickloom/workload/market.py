@@ -1 +1,1139 @@
-"""Queries."""
+"""S1, W1-W18, P1-P17 and J1-J12 over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tickloom.functions import scalars
+from tickloom.functions.thresholds import threshold_table
+from tickloom.operators import cleaning, joins
+from tickloom.operators import windows as W
+from tickloom.operators.timeline import Timeline
+from tickloom.plans.features import tick_extract
+from tickloom.sources import tables as src
+from tickloom.workload.inputs import (
+    FUNDING,
+    RAW,
+    SENSORS,
+    SPAN,
+    TICKS,
+    TRADES,
+    FILLS,
+    fills,
+    funding,
+    raw_trades,
+    sensors,
+    trades,
+)
+from tickloom.workload.registry import Tables, query
+
+TL = Timeline.of("symbol", "ts", "event_id", SPAN)
+TRADE_TL = Timeline.of("symbol", "exit_time", ("entry_time", "id"), "180 days")
+FUND_TL = Timeline.of("symbol", "ts", (), "180 days")
+LO, HI = "2024-01-03", "2024-01-25"
+
+
+# --- extraction ------------------------------------------------------------------------------
+
+UNIQUE = f"""{RAW}, uniq AS (SELECT * FROM raw QUALIFY row_number() OVER (
+  PARTITION BY market, instrument, trade_id ORDER BY ts, load_time) = 1)"""
+FLOW = """PARTITION BY market, instrument ORDER BY ts, trade_id, load_time"""
+SGN = "(CASE upper(side) WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END)"
+
+
+@query(
+    "S1_scan_trades",
+    f"""WITH {RAW} SELECT * FROM raw WHERE instrument = 'I3' AND ts BETWEEN TIMESTAMP '{LO}' AND TIMESTAMP '{HI}'
+  AND load_time BETWEEN TIMESTAMP '{LO}' AND TIMESTAMP '{HI}'""",
+    "price vol_base vol_quote",
+)
+def _(t: Tables):
+    return src.scan_trades(raw_trades(t), instrument="I3", start=LO, end=HI)
+
+
+@query("W1_dedup_trades", f"WITH {UNIQUE} SELECT * FROM uniq", "price vol_base vol_quote")
+def _(t: Tables):
+    return W.dedup_trades(src.scan_trades(raw_trades(t)))
+
+
+@query(
+    "S1_W1_W2_W3_tick_extract",
+    f"""WITH {UNIQUE} SELECT market, instrument, trade_id, ts,
+  timezone('America/Toronto', timezone('UTC', ts)) AS local_ts, price, vol_base, vol_quote,
+  sum({SGN} * vol_base) OVER w AS cvd_base, sum({SGN} * vol_quote) OVER w AS cvd_quote,
+  ln(price / lag(price) OVER w) AS log_return,
+  (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS inter_trade_duration_seconds
+FROM uniq WINDOW w AS ({FLOW})""",
+    "price vol_base vol_quote cvd_base cvd_quote log_return inter_trade_duration_seconds",
+    5,
+)
+def _(t: Tables):
+    return tick_extract(src.scan_trades(raw_trades(t)), span=SPAN)
+
+
+@query(
+    "W2_tick_deltas",
+    f"""WITH {TICKS} SELECT *, ln(price / lag(price) OVER w) AS log_return,
+  (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS inter_trade_duration_seconds
+FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)""",
+    "price log_return inter_trade_duration_seconds",
+)
+def _(t: Tables):
+    return W.tick_deltas(t.ticks, TL)
+
+
+@query(
+    "W3_cvd",
+    f"""WITH {UNIQUE} SELECT *, sum({SGN} * vol_base) OVER w AS cvd_base, sum({SGN} * vol_quote) OVER w AS cvd_quote
+FROM uniq WINDOW w AS ({FLOW})""",
+    "price vol_base vol_quote cvd_base cvd_quote",
+    5,
+)
+def _(t: Tables):
+    tl = Timeline.of(("market", "instrument"), "ts", ("trade_id", "load_time"), SPAN)
+    return W.cvd(W.dedup_trades(src.scan_trades(raw_trades(t))), tl)
+
+
+@query(
+    "S17_split_by_cutoffs",
+    f"""WITH {TICKS} SELECT *, CASE WHEN ts <= TIMESTAMP '2024-01-15' THEN 'train' WHEN ts <= TIMESTAMP '2024-01-22' THEN 'val'
+  WHEN ts >= TIMESTAMP '2024-01-23' THEN 'test' END AS split FROM ticks
+WHERE ts <= TIMESTAMP '2024-01-22' OR ts >= TIMESTAMP '2024-01-23'""",
+    "price",
+)
+def _(t: Tables):
+    return src.split_by_cutoffs(t.ticks, "ts", "2024-01-15", "2024-01-22", "2024-01-23")
+
+
+@query(
+    "S13_read_fills",
+    f"""WITH {FILLS} SELECT wallet, coin, oid, time, dir, px, sz FROM fills
+WHERE coin = 'click' AND time >= 1704300000000 AND time <= 1705500000000""",
+    "px sz",
+)
+def _(t: Tables):
+    out = src.fills_between(fills(t), "click", 1704300000000, 1705500000000)
+    return out.drop("startPosition")
+
+
+@query(
+    "S12_dedup_candles",
+    """WITH c AS (SELECT event_type AS symbol, '1h' AS interval, date_trunc('hour', ts) AS ts, value, event_id FROM events)
+SELECT symbol, interval, ts, ts + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND AS close_ts, arg_min(value, event_id) AS open,
+  arg_min(value + 1, event_id) AS close, arg_min(value - 1, event_id) AS low, arg_min(value + 2, event_id) AS high,
+  arg_min(value * 3, event_id) AS volume, min(event_id) AS trades FROM c GROUP BY symbol, interval, ts""",
+    "open close low high volume",
+)
+def _(t: Tables):
+    ms = F.unix_millis(F.date_trunc("hour", F.col("ts").cast("timestamp")))
+    v, text = F.col("value"), lambda c: c.cast("string")
+    pairs = {
+        "t": text(ms), "T": text(ms + 3_599_999), "s": F.col("event_type"), "i": F.lit("1h"),
+        "o": text(v), "c": text(v + 1), "h": text(v + 2), "l": text(v - 1), "v": text(v * 3),
+        "n": text(F.col("event_id")),
+    }
+    candle = F.create_map(*[x for k, c in pairs.items() for x in (F.lit(k), c)])
+    raw = t.events.select(candle.alias("candle"), F.col("event_id").alias("seq"))
+    return src.dedup_candles(raw)
+
+
+@query(
+    "S15_read_leaderboard",
+    """SELECT c_name AS address, 'n' || c_custkey AS display_name, c_acctbal AS account_value,
+  0.5 AS roi_day, NULL::DOUBLE AS roi_week, c_acctbal / 1000 AS roi_month, c_acctbal / 100 AS roi_allTime,
+  c_acctbal AS pnl_day, c_acctbal * 2 AS pnl_week, c_acctbal * 3 AS pnl_month, c_acctbal * 4 AS pnl_allTime,
+  1.0 AS vlm_day, 2.0 AS vlm_week, 3.0 AS vlm_month, 4.0 AS vlm_allTime
+FROM customer WHERE c_custkey % 9 <> 0""",
+    "account_value roi_day roi_week roi_month roi_allTime pnl_day pnl_week pnl_month pnl_allTime "
+    "vlm_day vlm_week vlm_month vlm_allTime",
+)
+def _(t: Tables):
+    bal = F.col("c_acctbal")
+
+    def window(name, pnl, roi, vlm):
+        body = F.to_json(
+            F.struct(
+                pnl.cast("string").alias("pnl"), roi.cast("string").alias("roi"),
+                F.lit(vlm).cast("string").alias("vlm"),
+            )
+        )
+        return F.array(F.lit(name), body)
+
+    # Every ninth trader's monthly ROI is not a number, so the row has to go.
+    month = F.when(F.col("c_custkey") % 9 == 0, F.lit("n/a")).otherwise((bal / 1000).cast("string"))
+    rows = t.customer.select(
+        F.col("c_name").alias("ethAddress"),
+        F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("displayName"),
+        bal.cast("string").alias("accountValue"),
+        F.array(
+            window("day", bal, F.lit(0.5), 1.0), window("week", bal * 2, F.lit("x"), 2.0),
+            window("month", bal * 3, month, 3.0), window("allTime", bal * 4, bal / 100, 4.0),
+        ).alias("windowPerformances"),
+    )
+    return src.flatten_leaderboard(rows)
+
+
+# --- windows -----------------------------------------------------------------------------------
+
+PATH = f"""{TRADES},
+cum AS (SELECT *, sum(net_pnl_usd) OVER w AS cum FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY exit_time, entry_time, id ROWS UNBOUNDED PRECEDING)),
+path AS (SELECT *, greatest(0, max(cum) OVER w) AS peak, coalesce(lag(cum) OVER o, 0) AS cum_before,
+    greatest(0, coalesce(max(cum) OVER b, 0)) AS peak_before FROM cum
+  WINDOW o AS (PARTITION BY symbol ORDER BY exit_time, entry_time, id),
+    w AS (PARTITION BY symbol ORDER BY exit_time, entry_time, id ROWS UNBOUNDED PRECEDING),
+    b AS (PARTITION BY symbol ORDER BY exit_time, entry_time, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+EQUITY_DD = """greatest(0, max(greatest(peak_before - (cum_before - (mae_pct * size * entry_price) - entry_fee), peak_before - cum)))"""
+
+
+@query(
+    "W4_max_drawdown",
+    f"WITH {PATH} SELECT symbol, max(peak - cum) AS max_drawdown_usd FROM path GROUP BY symbol",
+    "max_drawdown_usd",
+    5,
+)
+def _(t: Tables):
+    return W.max_drawdown(trades(t), TRADE_TL)
+
+
+@query(
+    "W5_equity_drawdown",
+    f"WITH {PATH} SELECT symbol, {EQUITY_DD} AS max_equity_drawdown_usd FROM path GROUP BY symbol",
+    "max_equity_drawdown_usd",
+    5,
+)
+def _(t: Tables):
+    return W.equity_drawdown(trades(t), TRADE_TL)
+
+
+REGIME = f"""{SENSORS},
+w6 AS (SELECT *, count(*) OVER w AS regime_events, (epoch_us(ts) - epoch_us(min(ts) OVER w)) / 1e6 AS span,
+  abs(sum(direction) OVER w) / count(*) OVER w AS consistency FROM sensors
+  WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)),
+regimes AS (SELECT symbol, ts, event_id, direction, tmv, regime_events, CASE WHEN span > 0 THEN regime_events / (span / 60.0) END AS event_rate,
+  consistency, CASE WHEN regime_events < 3 OR span < 60 THEN 'quiet' WHEN consistency >= 0.6 THEN 'trending'
+    WHEN regime_events / (span / 60.0) > 0.05 THEN 'choppy' ELSE 'neutral' END AS regime FROM w6)"""
+
+
+def _regime(t: Tables) -> DataFrame:
+    return W.rolling_regime(sensors(t), TL, lookback_s=6 * 3600, choppy_rate=0.05)
+
+
+@query("W6_rolling_regime", f"WITH {REGIME} SELECT * FROM regimes", "tmv event_rate consistency")
+def _(t: Tables):
+    return _regime(t)
+
+
+@query(
+    "W6b_context_regime",
+    f"""WITH {SENSORS},
+w6 AS (SELECT *, count(*) OVER w AS regime_events, (epoch_us(ts) - epoch_us(min(ts) OVER w)) / 1e6 AS span,
+  abs(sum(direction) OVER w) / count(*) OVER w AS consistency FROM sensors
+  WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL '21599.999999 seconds' PRECEDING AND CURRENT ROW))
+SELECT symbol, ts, event_id, direction, tmv, regime_events, regime_events / greatest(span / 60.0, 0.01) AS event_rate, consistency,
+  CASE WHEN regime_events < 3 THEN 'quiet' WHEN regime_events / greatest(span / 60.0, 0.01) > 0.05
+    THEN CASE WHEN consistency < 0.4 THEN 'choppy' ELSE 'trending' END ELSE 'neutral' END AS regime FROM w6""",
+    "tmv event_rate consistency",
+)
+def _(t: Tables):
+    return W.rolling_regime(
+        sensors(t), TL, lookback_s=6 * 3600, choppy_rate=0.05, consistency=0.4, inclusive=False
+    )
+
+
+TREND = f"""{SENSORS},
+w7 AS (SELECT *, count(*) OVER w AS trend_events,
+  CASE WHEN sum(tmv) OVER w = 0 THEN 0 ELSE sum(direction * tmv) OVER w / sum(tmv) OVER w END AS bias,
+  coalesce(avg(CASE WHEN direction > 0 THEN tmv END) OVER w, 0) AS avg_tmv_up,
+  coalesce(avg(CASE WHEN direction < 0 THEN tmv END) OVER w, 0) AS avg_tmv_down FROM sensors
+  WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 9 HOUR PRECEDING AND CURRENT ROW)),
+trended AS (SELECT *, CASE WHEN trend_events < 5 THEN NULL WHEN bias >= 0.6 THEN 'up' WHEN bias <= -0.6 THEN 'down' END AS trend FROM w7),
+trends AS (SELECT *, CASE WHEN trend = 'down' THEN CASE WHEN abs(bias) >= 0.8 THEN 0.5 ELSE 1 END ELSE 1 END AS long_size_factor,
+  CASE WHEN trend = 'up' THEN CASE WHEN abs(bias) >= 0.8 THEN 0.5 ELSE 1 END ELSE 1 END AS short_size_factor FROM trended)"""
+
+
+def _trend(t: Tables) -> DataFrame:
+    return W.trend_bias(sensors(t), TL, lookback_s=9 * 3600, action="reduce")
+
+
+@query(
+    "W7_trend_bias",
+    f"WITH {TREND} SELECT * FROM trends",
+    "tmv bias avg_tmv_up avg_tmv_down long_size_factor short_size_factor",
+)
+def _(t: Tables):
+    return _trend(t)
+
+
+MOMENTUM = f"""{SENSORS},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS rn FROM sensors),
+ema AS (
+  SELECT symbol, event_id, rn, ts, 0.3::DOUBLE * direction AS momentum FROM ordered WHERE rn = 1
+  UNION ALL
+  SELECT o.symbol, o.event_id, o.rn, o.ts, 0.3::DOUBLE * o.direction + 0.7::DOUBLE * e.momentum
+  FROM ema e JOIN ordered o ON o.symbol = e.symbol AND o.rn = e.rn + 1),
+moments AS (SELECT s.*, e.momentum,
+  least(50, count(*) OVER (PARTITION BY s.symbol ORDER BY s.ts RANGE BETWEEN INTERVAL '17999.999999 seconds' PRECEDING AND CURRENT ROW)) / 300.0::DOUBLE AS momentum_rate,
+  CASE WHEN e.momentum > 0.5 THEN 'trending_up' WHEN e.momentum < -0.5 THEN 'trending_down' ELSE 'choppy' END AS momentum_regime
+  FROM sensors s JOIN ema e USING (event_id))"""
+
+
+def _momentum(t: Tables) -> DataFrame:
+    return W.momentum(sensors(t), TL, rate_lookback_s=5 * 3600)
+
+
+@query(
+    "W8_momentum", f"WITH RECURSIVE {MOMENTUM} SELECT * FROM moments", "tmv momentum momentum_rate"
+)
+def _(t: Tables):
+    return _momentum(t)
+
+
+def _overshoots(t: Tables) -> DataFrame:
+    return t.events.select(
+        F.col("event_type").alias("symbol"), "ts", "event_id",
+        ((F.col("value") - 10) / 1000).alias("overshoot"),
+    )
+
+
+@query(
+    "W9_adaptive_tp",
+    """WITH o AS (SELECT event_type AS symbol, ts, event_id, (value - 10) / 1000 AS overshoot FROM events WHERE (value - 10) / 1000 > 0)
+SELECT *, CASE WHEN count(*) OVER w < 5 THEN 0.005 ELSE greatest(0.003, quantile_cont(overshoot, 0.5) OVER w * 0.4) END AS adaptive_tp
+FROM o WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id ROWS 19 PRECEDING)""",
+    "overshoot adaptive_tp",
+)
+def _(t: Tables):
+    return W.adaptive_tp(_overshoots(t), TL)
+
+
+STREAK = f"""{TRADES},
+isl AS (SELECT *, sum((net_pnl_usd > 0)::INT) OVER w AS isl FROM trades
+  WINDOW w AS (PARTITION BY symbol ORDER BY exit_time, entry_time, id ROWS UNBOUNDED PRECEDING)),
+streaks AS (SELECT symbol, id, exit_time, net_pnl_usd,
+  sum((net_pnl_usd <= 0)::INT) OVER (PARTITION BY symbol, isl ORDER BY exit_time, entry_time, id ROWS UNBOUNDED PRECEDING)::BIGINT AS consecutive_losses FROM isl)"""
+
+
+@query(
+    "W10_loss_streak",
+    f"""WITH {STREAK} SELECT *, CASE WHEN consecutive_losses >= 3 THEN exit_time + consecutive_losses * INTERVAL 300 SECOND END AS cooldown_until FROM streaks""",
+    "net_pnl_usd",
+)
+def _(t: Tables):
+    out = W.loss_streak(trades(t), TRADE_TL)
+    return out.select(
+        "symbol", "id", "exit_time", "net_pnl_usd", "consecutive_losses", "cooldown_until"
+    )
+
+
+@query(
+    "W11_funding_streaks",
+    f"""WITH {FUNDING},
+n AS (SELECT *, row_number() OVER w AS rn FROM funding WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+f AS (SELECT *, rn - coalesce(max(CASE WHEN rate < 0.00001 THEN rn END) OVER w, 0) AS consecutive_above,
+  rn - coalesce(max(CASE WHEN rate > -0.00001 THEN rn END) OVER w, 0) AS consecutive_below,
+  sum(rate * 1000) OVER w AS cumulative_payment,
+  avg(rate) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS mean_rate
+  FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING))
+SELECT symbol, ts, rate, mark_price, oracle_price, consecutive_above, consecutive_below, cumulative_payment, mean_rate,
+  rate * 24 * 365 * 100 AS apr_pct FROM f""",
+    "rate mark_price oracle_price cumulative_payment mean_rate apr_pct",
+    8,
+)
+def _(t: Tables):
+    return W.funding_streaks(funding(t), FUND_TL, 0.00001, -0.00001, notional=1000)
+
+
+def _alternating(t: Tables) -> DataFrame:
+    return t.events.select(
+        F.col("event_type").alias("symbol"), "ts", "event_id",
+        F.when(F.col("value") > 20, "PDCC2_UP").otherwise("PDCC_Down").alias("event_type"),
+        (F.col("value") + 50).alias("end_price"),
+    )
+
+
+ALT = """alt AS (SELECT event_type AS symbol, ts, event_id, CASE WHEN value > 20 THEN 'PDCC2_UP' ELSE 'PDCC_Down' END AS event_type, value + 50 AS end_price FROM events),
+os AS (SELECT *, CASE WHEN event_type <> lag(event_type) OVER w THEN abs(end_price - lag(end_price) OVER w) / lag(end_price) OVER w END AS overshoot
+  FROM alt WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id))"""
+
+
+@query("W12_alternation_overshoot", f"WITH {ALT} SELECT * FROM os", "end_price overshoot")
+def _(t: Tables):
+    return W.alternation_overshoot(_alternating(t), TL)
+
+
+CONTEXT = f"""{TICKS}, {ALT}, {STREAK},
+tc AS (SELECT symbol, event_id, ts, price AS current_price, max(price) OVER w AS price_high, min(price) OVER w AS price_low,
+    avg(price) OVER w AS price_mean, (price - first_value(price) OVER w) / first_value(price) OVER w * 100 AS price_trend_pct,
+    count(*) OVER w AS tick_count FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id ROWS 59 PRECEDING)),
+ec AS (SELECT event_id, event_type, count(*) FILTER (event_type = 'PDCC2_UP') OVER w AS dc_up_count, count(*) FILTER (event_type = 'PDCC_Down') OVER w AS dc_down_count,
+    coalesce(avg(overshoot) OVER v * 100, 0) AS avg_overshoot_pct FROM os
+  WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id ROWS 19 PRECEDING), v AS (PARTITION BY symbol ORDER BY ts, event_id ROWS 18 PRECEDING))"""
+
+
+@query(
+    "W13_market_context",
+    f"""WITH {CONTEXT} SELECT tc.*, event_type, dc_up_count, dc_down_count, avg_overshoot_pct,
+  (price_high - price_low) / price_low * 100 AS range_pct,
+  CASE WHEN price_high > price_low THEN (current_price - price_low) / (price_high - price_low) ELSE 0.5 END AS range_position
+FROM tc JOIN ec USING (event_id)""",
+    "current_price price_high price_low price_mean price_trend_pct avg_overshoot_pct range_pct range_position",
+)
+def _(t: Tables):
+    return market_context(t)
+
+
+def market_context(t: Tables) -> DataFrame:
+    tick = W.tick_context(t.ticks, TL).drop("recent_prices", "price", "event_id")
+    event = W.event_context(_alternating(t), TL).drop("end_price", "overshoot")
+    cols = [c for c in tick.columns if c not in ("symbol", "ts")]
+    return joins.attach_rolling_state(
+        event, (tick, cols), by="symbol", ts="ts", order="event_id", span=SPAN
+    )
+
+
+@query(
+    "W13_trade_context",
+    f"""WITH {STREAK.replace('net_pnl_usd > 0', 'pnl_pct > 0').replace('net_pnl_usd <= 0', 'pnl_pct <= 0')}
+SELECT symbol, id, s.consecutive_losses, count(*) OVER w AS total_trades, (sum((pnl_pct > 0)::INT) OVER w)::BIGINT AS win_count,
+  sum(pnl_pct) OVER (PARTITION BY symbol ORDER BY exit_time, entry_time, id ROWS 19 PRECEDING) * 100 AS net_pnl_pct
+FROM trades JOIN (SELECT id, consecutive_losses FROM streaks) s USING (id)
+WINDOW w AS (PARTITION BY symbol ORDER BY exit_time, entry_time, id ROWS UNBOUNDED PRECEDING)""",
+    "net_pnl_pct",
+)
+def _(t: Tables):
+    out = W.trade_context(trades(t), TRADE_TL)
+    return out.select(
+        "symbol", "id", "consecutive_losses", "total_trades", "win_count", "net_pnl_pct"
+    )
+
+
+@query(
+    "W14_windows",
+    f"""WITH {TICKS}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS window_id,
+  list(price) OVER x AS xs, list(price) OVER y AS ys FROM ticks
+  WINDOW x AS (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING),
+    y AS (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN 100 FOLLOWING AND 101 FOLLOWING))
+SELECT symbol, window_id, list_sum(xs) AS x_sum, xs[1] AS x_first, xs[50] AS x_last, ys[1] AS y_first, ys[2] AS y_last
+FROM s WHERE len(ys) = 2""",
+    "x_sum x_first x_last y_first y_last",
+    5,
+)
+def _(t: Tables):
+    out = W.windows(t.ticks, TL, ["price"], "price", 50, 50, 2)
+    return out.select(
+        "symbol", "window_id",
+        F.aggregate("x", F.lit(0.0), lambda a, r: a + r[0]).alias("x_sum"),
+        F.col("x")[0][0].alias("x_first"), F.col("x")[49][0].alias("x_last"),
+        F.col("y")[0].alias("y_first"), F.col("y")[1].alias("y_last"),
+    )
+
+
+@query(
+    "W14b_tf_windows_sparse",
+    f"""WITH {TICKS}, s AS (SELECT symbol, row_number() OVER w - 1 AS window_id, lead(price, 40) OVER w AS y0, lead(price, 42) OVER w AS y2
+  FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id))
+SELECT * FROM s WHERE y2 IS NOT NULL AND window_id % 3 = 0""",
+    "y0 y2",
+)
+def _(t: Tables):
+    out = W.tf_windows(t.ticks, TL, ["price"], "price", L=30, shift=13, H=3, stride=3, sparse=True)
+    return out.select("symbol", "window_id", F.col("y")[0].alias("y0"), F.col("y")[2].alias("y2"))
+
+
+@query(
+    "W15_chrono_split",
+    f"""WITH {TICKS}, s AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM ticks)
+SELECT symbol, ts, event_id, price, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM s""",
+    "price",
+)
+def _(t: Tables):
+    return W.chrono_split(t.ticks, "ts", "symbol", ["event_id"], span=SPAN)
+
+
+@query(
+    "W15_chrono_split_global",
+    f"""WITH {TICKS}, s AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM ticks)
+SELECT symbol, ts, event_id, price, CASE WHEN i < floor(n * 0.7) THEN 'train' WHEN i < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split FROM s""",
+    "price",
+)
+def _(t: Tables):
+    return W.chrono_split(t.ticks, "ts", None, ["event_id"])
+
+
+@query(
+    "W15b_hash_split",
+    """WITH s AS (SELECT o_orderkey, o_custkey, o_orderstatus,
+  ((('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus), 1, 15))::BIGINT) % 10)::INT AS lot FROM orders)
+SELECT *, CASE WHEN lot < 8 THEN 'train' WHEN lot = 8 THEN 'valid' ELSE 'test' END AS split FROM s""",
+)
+def _(t: Tables):
+    return W.hash_split(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"))
+
+
+@query(
+    "A25_window_counts",
+    """WITH s AS (SELECT ((('0x' || substr(md5(o_orderkey || '|' || o_custkey), 1, 15))::BIGINT) % 10)::INT AS lot FROM orders)
+SELECT CASE WHEN lot < 8 THEN 'train' WHEN lot = 8 THEN 'valid' ELSE 'test' END AS split, count(*) AS windows, 2::INT AS x_len FROM s GROUP BY 1""",
+)
+def _(t: Tables):
+    from tickloom.operators.stats import window_counts
+
+    rows = W.hash_split(t.orders, cols=["o_orderkey", "o_custkey"])
+    return window_counts(rows.withColumn("x", F.array("o_orderkey", "o_custkey")))
+
+
+@query(
+    "W16_last_n_features",
+    f"""WITH {TICKS}, s AS (SELECT symbol, event_id, list(price) OVER w AS xs FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id ROWS 9 PRECEDING))
+SELECT symbol, event_id, xs[1] AS oldest, xs[10] AS newest, list_sum(xs) AS total FROM s WHERE len(xs) = 10""",
+    "oldest newest total",
+)
+def _(t: Tables):
+    out = W.last_n_features(t.ticks, TL, ["price", "event_id"], 10)
+    return out.select(
+        "symbol", "event_id", F.col("x")[0][0].alias("oldest"), F.col("x")[9][0].alias("newest"),
+        F.aggregate("x", F.lit(0.0), lambda a, r: a + r[0]).alias("total"),
+    )
+
+
+@query(
+    "W17_price_change",
+    f"""WITH {TICKS} SELECT *, price - lag(price) OVER w AS change, (price - lag(price) OVER w) / lag(price) OVER w * 100 AS change_pct
+FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)""",
+    "price change change_pct",
+)
+def _(t: Tables):
+    return W.price_change(t.ticks, TL)
+
+
+@query(
+    "W18_reversal_lookahead",
+    f"""WITH {FILLS} SELECT wallet, coin, oid, time, dir, coalesce(dir LIKE 'Close%' AND lead(dir) OVER w LIKE 'Open%'
+  AND contains(dir, 'Long') <> contains(lead(dir) OVER w, 'Long') AND lead(time) OVER w - time <= 86400000, false) AS is_reversal
+FROM fills WINDOW w AS (PARTITION BY wallet, coin ORDER BY time, oid)""",
+)
+def _(t: Tables):
+    tl = Timeline.of(("wallet", "coin"), "time", "oid", 7 * 86_400_000)
+    rows = fills(t).select("wallet", "coin", "oid", "time", "dir")
+    return W.reversal_lookahead(rows, tl, 86_400_000)
+
+
+@query(
+    "P6_numeric_fill",
+    """WITH s AS (SELECT event_type AS symbol, ts, event_id, CASE WHEN event_id % 4 = 0 THEN value END AS v FROM events),
+f AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b,
+  first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM s)
+SELECT symbol, ts, event_id, coalesce(b, a) AS v FROM f""",
+    "v",
+)
+def _(t: Tables):
+    rows = t.events.select(
+        F.col("event_type").alias("symbol"), "ts", "event_id",
+        F.when(F.col("event_id") % 4 == 0, F.col("value").cast("string")).otherwise("n/a").alias("v"),
+    )
+    return W.numeric_fill(rows, ["v"], TL)
+
+
+# --- parsing -----------------------------------------------------------------------------------
+
+
+def _messages(t: Tables) -> DataFrame:
+    """Tick messages: epoch numbers, ISO text with Z, and three kinds of broken ones."""
+    k = F.col("event_id")
+    iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    when = F.when(k % 2 == 0, F.concat(iso, F.lit("Z"))).otherwise(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS 'UTC'")
+    )
+    good = F.to_json(
+        F.struct(
+            F.col("event_type").alias("symbol"), F.col("value").cast("string").alias("price"),
+            when.alias("timestamp"),
+        )
+    )
+    bad_price = F.to_json(
+        F.struct(F.col("event_type").alias("symbol"), F.lit("much").alias("price"), when.alias("timestamp"))
+    )
+    body = (
+        F.when(k % 50 == 7, F.lit("{broken"))
+        .when(k % 50 == 8, bad_price)
+        .when(k % 50 == 9, F.lit('{"symbol": "a", "price": 1, "timestamp": "soon"}'))
+        .otherwise(good)
+    )
+    return t.events.select(k.alias("event_id"), body.alias("value"))
+
+
+@query(
+    "P1_P2_parse_ticks",
+    "SELECT event_id, event_type AS symbol, value AS price, ts FROM events WHERE event_id % 50 NOT IN (7, 8, 9)",
+    "price",
+)
+def _(t: Tables):
+    ticks, _errors = cleaning.parse_ticks(_messages(t))
+    return ticks.select("event_id", "symbol", "price", "ts")
+
+
+@query(
+    "P1_parse_errors",
+    """SELECT CASE event_id % 50 WHEN 7 THEN 'missing symbol' WHEN 8 THEN 'bad price' ELSE 'bad timestamp' END AS error, count(*) AS n
+FROM events WHERE event_id % 50 IN (7, 8, 9) GROUP BY 1""",
+)
+def _(t: Tables):
+    _ticks, errors = cleaning.parse_ticks(_messages(t))
+    return errors.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "P3_P4_P7_time_and_side",
+    f"""WITH {RAW} SELECT trade_id, ts, timezone('America/Toronto', timezone('UTC', ts)) AS local_ts, {SGN} AS sgn FROM raw""",
+)
+def _(t: Tables):
+    rows = src.scan_trades(raw_trades(t))
+    return rows.select(
+        "trade_id", "ts", scalars.to_local(F.col("ts"), "America/Toronto").alias("local_ts"),
+        scalars.sign_of_side(F.col("side")).alias("sgn"),
+    )
+
+
+@query(
+    "P5_P8_P20_require_rename_clean",
+    """SELECT event_type AS symbol, ts AS start_time, CASE WHEN event_id % 5 <> 0 THEN ts + INTERVAL 1 HOUR END AS end_time
+FROM events WHERE event_id % 5 <> 0""",
+)
+def _(t: Tables):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    end = F.when(
+        F.col("event_id") % 5 != 0, F.timestamp_micros(us + 3_600_000_000).cast("timestamp_ntz")
+    )
+    rows = t.events.select("event_type", "ts", end.alias("end_time"))
+    named = cleaning.rename(rows, {"event_type": "symbol", "ts": "start_time"})
+    return cleaning.clean_events(cleaning.require(named, ["symbol"]))
+
+
+TRIPS = """trips AS (SELECT o_orderkey, o_orderdate + (o_orderkey % 24) * INTERVAL 1 HOUR AS trip_start_timestamp,
+  CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN 0 ELSE o_orderkey % 3000 END AS trip_seconds,
+  (o_orderkey % 20)::DOUBLE AS trip_miles, o_totalprice / 200 AS fare, 1.5::DOUBLE AS tips, 0.5::DOUBLE AS tolls, 0.25::DOUBLE AS extras,
+  -87.6 + (o_custkey % 50) / 500.0::DOUBLE AS lon1, 41.8 + (o_custkey % 70) / 700.0::DOUBLE AS lat1,
+  -87.6 + (o_orderkey % 50) / 500.0::DOUBLE AS lon2, 41.8 + (o_orderkey % 70) / 700.0::DOUBLE AS lat2,
+  o_orderpriority AS payment_type, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderstatus END AS company FROM orders)"""
+
+
+def _trips(t: Tables) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    us = F.unix_micros(F.col("o_orderdate").cast("timestamp")) + (k % 24) * 3_600_000_000
+    spot = lambda base, col, mod, per: F.lit(base) + (col % mod) / F.lit(per)
+    return t.orders.select(
+        F.timestamp_micros(us).cast("timestamp_ntz").alias("trip_start_timestamp"),
+        F.when(k % 10 == 0, None).when(k % 10 == 1, 0).otherwise(k % 3000).alias("trip_seconds"),
+        (k % 20).cast("double").alias("trip_miles"), (F.col("o_totalprice") / 200).alias("fare"),
+        F.lit(1.5).alias("tips"), F.lit(0.5).alias("tolls"), F.lit(0.25).alias("extras"),
+        spot(-87.6, c, 50, 500.0).alias("pickup_longitude"),
+        spot(41.8, c, 70, 700.0).alias("pickup_latitude"),
+        spot(-87.6, k, 50, 500.0).alias("dropoff_longitude"),
+        spot(41.8, k, 70, 700.0).alias("dropoff_latitude"),
+        F.col("o_orderpriority").alias("payment_type"),
+        F.when(k % 17 != 0, F.col("o_orderstatus")).alias("company"),
+    )
+
+
+@query(
+    "P9_trip_features",
+    f"""WITH {TRIPS}, m AS (SELECT round(avg(trip_seconds))::BIGINT AS mean FROM trips)
+SELECT (dayofweek(trip_start_timestamp) + 1)::DOUBLE AS dayofweek, hour(trip_start_timestamp)::DOUBLE AS hourofday,
+  2 * 6371010.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians(lat2 - lat1) / 2), 2)
+    + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))) AS trip_distance,
+  trip_miles, (CASE WHEN trip_seconds IS NULL OR trip_seconds <= 0 THEN mean ELSE trip_seconds END)::DOUBLE AS trip_seconds,
+  payment_type, company, fare + tips + tolls + extras AS total_fare
+FROM trips, m WHERE trip_miles > 0 AND fare > 0 AND fare < 1500 AND company IS NOT NULL""",
+    "trip_distance trip_miles trip_seconds total_fare",
+    3,
+)
+def _(t: Tables):
+    return cleaning.trip_features(_trips(t))
+
+
+@query(
+    "P10_recency_window",
+    """SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1998-06-15' - INTERVAL 3 MONTH
+  AND DATE '1998-06-15' - INTERVAL 2 MONTH""",
+)
+def _(t: Tables):
+    return cleaning.recency_window(
+        t.orders.select("o_orderkey", "o_orderdate"), "o_orderdate", "1998-06-15 00:00:00"
+    )
+
+
+def _telemetry(t: Tables) -> DataFrame:
+    """Telemetry lines; on every second line the payload has its own event_type."""
+    k = F.col("event_id")
+    kind = F.when(k % 3 == 0, "tick").when(k % 3 == 1, "dc_event").otherwise("other")
+    own = F.when(k % 2 == 0, "PDCC_Down")
+    payload = F.struct(
+        F.col("value").alias("price"), F.col("value").alias("start_price"),
+        own.alias("event_type"), F.lit(True).alias("is_sensor"),
+    )
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    line = F.to_json(
+        F.struct(
+            kind.alias("event_type"), seconds.cast("decimal(20,6)").alias("timestamp"),
+            k.cast("string").alias("session_id"), F.col("event_type").alias("symbol"),
+            F.lit("single").alias("bridge_type"), payload.alias("payload"),
+        )
+    )
+    return t.events.select(line.alias("value"))
+
+
+@query(
+    "P11_flatten_telemetry",
+    """SELECT event_id::VARCHAR AS session_id, event_type AS symbol, CASE WHEN event_id % 2 = 0 THEN 'PDCC_Down' ELSE 'dc_event' END AS event_type,
+  'single' AS bridge_type, value AS start_price, true AS is_sensor, NULL::DOUBLE AS score, ts AS timestamp FROM events WHERE event_id % 3 = 1""",
+    "start_price score",
+)
+def _(t: Tables):
+    rows = cleaning.flatten_telemetry(_telemetry(t))["dc_events"]
+    return rows.select(
+        "session_id", "symbol", "event_type", "bridge_type", "start_price", "is_sensor", "score",
+        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
+    )
+
+
+def _coin(k):
+    return (
+        F.when(k % 5 == 0, F.concat(F.lit("@"), (k % 40).cast("string")))
+        .when(k % 5 == 1, F.lit("AB/USDC"))
+        .when(k % 5 == 2, F.lit(""))
+        .otherwise(F.concat(F.lit("C"), (k % 9).cast("string")))
+    )
+
+
+COIN = """(CASE o_orderkey % 5 WHEN 0 THEN '@' || (o_orderkey % 40) WHEN 1 THEN 'AB/USDC' WHEN 2 THEN '' ELSE 'C' || (o_orderkey % 9) END)"""
+
+
+@query(
+    "P12_market_type",
+    f"""SELECT o_orderkey, CASE WHEN {COIN} = '' THEN 'UNKNOWN' WHEN o_orderkey % 5 IN (0, 1) THEN 'SPOT' ELSE 'PERP' END AS kind,
+  {COIN} <> '' AS supported FROM orders""",
+)
+def _(t: Tables):
+    coin = _coin(F.col("o_orderkey"))
+    return t.orders.select(
+        "o_orderkey", scalars.market_type(coin).alias("kind"),
+        scalars.is_supported_market(coin).alias("supported"),
+    )
+
+
+def _mirror_id():
+    magic = F.lit("0x" + cleaning.CLIENT_ID_MAGIC)
+    return F.concat(magic, F.lpad(F.lower(F.hex("o_orderkey")), 16, "0"))
+
+
+@query(
+    "P15_decode_client_id",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS leader_oid FROM orders",
+)
+def _(t: Tables):
+    k = F.col("o_orderkey")
+    raw = (
+        F.when(k % 3 == 0, _mirror_id())
+        .when(k % 3 == 1, F.concat(F.lit("0x"), F.repeat(F.lit("0"), 32)))
+        .otherwise(F.lit("abc"))
+    )
+    ids = scalars.decode_client_id(raw, cleaning.CLIENT_ID_MAGIC)
+    return t.orders.select("o_orderkey", ids.cast("long").alias("leader_oid"))
+
+
+def _order_messages(t: Tables) -> DataFrame:
+    """One orderUpdates or user message per order."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 7 < 3, "open").when(k % 7 < 5, "canceled").otherwise("filled")
+    cloid = F.when(k % 11 == 0, _mirror_id())
+    update = F.to_json(
+        F.struct(
+            F.lit("orderUpdates").alias("channel"),
+            F.array(
+                F.struct(
+                    F.struct(
+                        _coin(k).alias("coin"), F.lit("B").alias("side"),
+                        F.col("o_totalprice").cast("string").alias("limitPx"),
+                        F.lit("1").alias("sz"), k.alias("oid"), cloid.alias("cloid"),
+                    ).alias("order"),
+                    status.alias("status"),
+                )
+            ).alias("data"),
+        )
+    )
+    fill = F.to_json(
+        F.struct(
+            F.lit("user").alias("channel"),
+            F.struct(
+                F.array(
+                    F.struct(
+                        _coin(k).alias("coin"), F.lit("A").alias("side"),
+                        F.col("o_totalprice").cast("string").alias("px"), F.lit("2").alias("sz"),
+                        k.alias("oid"),
+                    )
+                ).alias("fills")
+            ).alias("data"),
+        )
+    )
+    return t.orders.select(
+        k.alias("seq"), F.when(k % 2 == 0, update).otherwise(fill).alias("value")
+    )
+
+
+@query(
+    "P13_orders_to_actions",
+    f"""WITH o AS (SELECT *, {COIN} AS coin FROM orders),
+known AS (SELECT o_orderkey AS leader_oid, o_orderkey + 3 AS follower_oid FROM orders WHERE o_orderkey % 13 = 0)
+SELECT o_orderkey AS seq, 0::INT AS pos, CASE WHEN o_orderkey % 7 < 3 THEN 'PLACE' ELSE 'CANCEL' END AS action, o_orderkey AS leader_oid, coin,
+  CASE WHEN o_orderkey % 7 < 3 THEN 'B' END AS side, CASE WHEN o_orderkey % 7 < 3 THEN o_totalprice END AS limit_px,
+  NULL::DOUBLE AS fill_sz, NULL::DOUBLE AS fill_px
+FROM o WHERE o_orderkey % 2 = 0 AND coin <> '' AND o_orderkey % 7 < 5 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0
+UNION ALL
+SELECT o_orderkey, 0, 'FILL', o_orderkey, coin, 'A', NULL, 2.0, o_totalprice FROM o
+WHERE o_orderkey % 2 = 1 AND coin <> '' AND o_orderkey % 13 = 0 AND o_orderkey NOT IN (SELECT follower_oid FROM known)""",
+    "limit_px fill_sz fill_px",
+)
+def _(t: Tables):
+    known = t.orders.where(F.col("o_orderkey") % 13 == 0).select(
+        F.col("o_orderkey").alias("leader_oid"), (F.col("o_orderkey") + 3).alias("follower_oid")
+    )
+    return cleaning.orders_to_actions(_order_messages(t), known)
+
+
+@query(
+    "P14_twap_events",
+    """WITH s AS (SELECT o_orderkey AS seq, 0::INT AS pos, 'C' || (o_orderkey % 9) AS coin, (o_custkey % 4)::INT AS minutes, o_orderkey % 2 = 0 AS randomize,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'activated' ELSE 'finished' END AS status, (o_custkey % 5)::DOUBLE AS size FROM orders),
+n AS (SELECT *, coin || '_B_' || minutes || '_' || randomize || '_' || (size::INT) AS twap_id FROM s)
+SELECT twap_id, status, coin, 'PERP' AS market_type, 'BUY' AS side, size, 0.0 AS executed_size, 0.0 AS executed_notional, minutes, false AS reduce_only, randomize, seq, pos
+FROM n WHERE status <> 'activated' OR seq IN (SELECT min(seq) FROM n WHERE status = 'activated' GROUP BY twap_id)""",
+    "size executed_size executed_notional",
+)
+def _(t: Tables):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    state = F.struct(
+        F.concat(F.lit("C"), (k % 9).cast("string")).alias("coin"), F.lit("B").alias("side"),
+        (c % 5).cast("string").alias("sz"), (c % 4).cast("int").alias("minutes"),
+        (k % 2 == 0).alias("randomize"),
+    )
+    status = F.when(k % 3 == 0, "activated").otherwise("finished")
+    item = F.struct(state.alias("state"), F.struct(status.alias("status")).alias("status"))
+    line = F.to_json(
+        F.struct(
+            F.lit("user").alias("channel"),
+            F.struct(F.array(item).alias("twapHistory")).alias("data"),
+        )
+    )
+    return cleaning.twap_events(t.orders.select(k.alias("seq"), line.alias("value")))
+
+
+@query(
+    "P16_threshold_crossings",
+    f"""WITH {TICKS}, thr(threshold_text, td) AS (VALUES ('0.100000', 0.1::DOUBLE), ('0.200000_0.400000', 0.2::DOUBLE))
+SELECT symbol, threshold_text, count(*) AS ticks, count(*) FILTER (price >= 50 * (1 + td)) AS above FROM ticks, thr GROUP BY ALL""",
+)
+def _(t: Tables):
+    grid = threshold_table(t.spark, ["0.1", "SOL:0.4/0.2"])
+    rows = t.ticks.crossJoin(F.broadcast(grid))
+    above = F.col("price") >= (F.lit(1) + F.col("threshold_down")) * 50
+    return rows.groupBy("symbol", "threshold_text").agg(
+        F.count(F.lit(1)).alias("ticks"), F.count_if(above).alias("above")
+    )
+
+
+@query(
+    "P17_round_to_venue",
+    """WITH o AS (SELECT o_orderkey, 'C' || (o_orderkey % 4) AS coin, (o_orderkey % 4)::INT AS dec, o_orderkey % 2 = 0 AS spot, o_custkey % 2 = 0 AS buy,
+  (o_totalprice / 7)::DECIMAL(28, 10) AS sz, (o_totalprice / (10 ** (o_custkey % 6)))::DECIMAL(28, 10) AS px FROM orders),
+c AS (SELECT *, d, (CASE WHEN buy THEN floor(px * (10 ** d)::BIGINT) ELSE ceil(px * (10 ** d)::BIGINT) END)::HUGEINT AS digits
+  FROM o, range(0, 9) r(d) WHERE d <= greatest(0, (CASE WHEN spot THEN 8 ELSE 6 END) - dec)),
+k AS (SELECT *, arg_max(digits / (10 ** d), d) FILTER (digits % (10 ** d)::BIGINT = 0 OR length(rtrim(digits::VARCHAR, '0')) <= 5) OVER (PARTITION BY o_orderkey) AS p FROM c)
+SELECT o_orderkey, floor(sz * (10 ** dec)::BIGINT) / (10 ** dec) AS order_size, p AS order_price FROM k WHERE d = 0""",
+    "order_size order_price",
+)
+def _(t: Tables):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    orders = t.orders.select(
+        "o_orderkey", F.concat(F.lit("C"), (k % 4).cast("string")).alias("coin"),
+        (F.col("o_totalprice") / 7).alias("size"),
+        (F.col("o_totalprice") / F.pow(F.lit(10.0), (c % 6).cast("double"))).alias("price"),
+        (c % 2 == 0).alias("is_buy"),
+    )
+    meta = t.orders.select(
+        F.concat(F.lit("C"), (k % 4).cast("string")).alias("coin"),
+        (k % 4).cast("int").alias("sz_decimals"), (k % 2 == 0).alias("is_spot"),
+    ).distinct()
+    return cleaning.round_to_venue(orders, meta).select("o_orderkey", "order_size", "order_price")
+
+
+# --- joins -------------------------------------------------------------------------------------
+
+QUOTES = "quotes AS (SELECT event_type AS symbol, ts AS quote_ts, event_id AS quote_id, value AS quote FROM events WHERE event_id % 4 = 0)"
+
+
+def _quotes(t: Tables) -> DataFrame:
+    return t.events.where(F.col("event_id") % 4 == 0).select(
+        F.col("event_type").alias("symbol"), F.col("ts").alias("quote_ts"),
+        F.col("event_id").alias("quote_id"), F.col("value").alias("quote"),
+    )
+
+
+@query(
+    "J1_asof_backward",
+    f"""WITH {TICKS}, {QUOTES} SELECT t.*, quote, quote_id FROM ticks t ASOF LEFT JOIN quotes q
+  ON t.symbol = q.symbol AND t.ts >= q.quote_ts""",
+    "price quote",
+)
+def _(t: Tables):
+    return joins.asof_backward(
+        t.ticks, _quotes(t), "symbol", "ts", "quote_ts", ["quote", "quote_id"], "event_id",
+        ["quote_id"], span=SPAN,
+    )
+
+
+@query(
+    "J2_J3_asof_in_interval",
+    f"""WITH {RAW}, ev AS (SELECT event_type AS market, 'I' || (user_id % 10) AS instrument, ts AS start_time, ts + INTERVAL 3 HOUR AS end_time, value
+  FROM events WHERE event_id % 3 = 0)
+SELECT r.market, r.instrument, r.trade_id, r.ts, r.load_time, e.start_time, e.end_time, e.value FROM raw r ASOF JOIN ev e
+  ON r.market = e.market AND r.instrument = e.instrument AND r.ts >= e.start_time WHERE r.ts < e.end_time""",
+    "value",
+)
+def _(t: Tables):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ev = t.events.where(F.col("event_id") % 3 == 0).select(
+        F.col("event_type").alias("market"),
+        F.concat(F.lit("I"), (F.col("user_id") % 10).cast("string")).alias("instrument"),
+        F.col("ts").alias("start_time"),
+        F.timestamp_micros(us + 10_800_000_000).cast("timestamp_ntz").alias("end_time"),
+        "value",
+    )
+    left = src.scan_trades(raw_trades(t)).select(
+        "market", "instrument", "trade_id", "ts", "load_time"
+    )
+    return joins.asof_in_interval(
+        left, ev, ("market", "instrument"), "ts", "start_time", "end_time",
+        order=("trade_id", "load_time"), span=SPAN,
+    )
+
+
+@query(
+    "J5_scalar_cross",
+    "SELECT o_orderkey, o_totalprice / (SELECT avg(o_totalprice) FROM orders) AS relative FROM orders",
+    "relative",
+)
+def _(t: Tables):
+    mean = t.orders.agg(F.avg("o_totalprice").alias("mean"))
+    return joins.scalar_cross(t.orders, mean).select(
+        "o_orderkey", (F.col("o_totalprice") / F.col("mean")).alias("relative")
+    )
+
+
+@query(
+    "J6_join_by_index",
+    """WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
+s AS (SELECT s_nationkey % 5 AS n_regionkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) AS i FROM supplier WHERE s_suppkey % 40 < 14)
+SELECT n.n_regionkey, (n.i - 1)::INT AS pos, n_name, s_suppkey FROM n LEFT JOIN s ON n.n_regionkey = s.n_regionkey AND n.i = s.i""",
+)
+def _(t: Tables):
+    sorted_list = lambda key, *c: F.transform(
+        F.sort_array(F.collect_list(F.struct(*c))), lambda x: x[c[-1]]
+    )
+    universe = t.nation.groupBy("n_regionkey").agg(
+        sorted_list("n_regionkey", "n_nationkey", "n_name").alias("universe")
+    )
+    contexts = (
+        t.supplier.where(F.col("s_suppkey") % 40 < 14)
+        .groupBy((F.col("s_nationkey") % 5).alias("n_regionkey"))
+        .agg(sorted_list("n_regionkey", "s_suppkey").alias("contexts"))
+    )
+    return joins.join_by_index(universe, contexts, ["n_regionkey"]).select(
+        "n_regionkey", "pos", F.col("item").alias("n_name"), F.col("context").alias("s_suppkey")
+    )
+
+
+@query(
+    "J7_spot_perp_pairs",
+    """WITH pairs AS (SELECT n_name AS asset, string_agg(DISTINCT '@' || (s_suppkey % 50), ',' ORDER BY '@' || (s_suppkey % 50)) AS spot_pairs
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name)
+SELECT n_name AS asset, spot_pairs, (n_nationkey - 10) / 1e5 AS funding_rate, (n_nationkey - 10) / 1e5 * 100 AS funding_rate_pct,
+  100.0 + n_nationkey AS perp_mark_price, (n_nationkey - 10) / 1e5 > 0 AS eligible_for_arbitrage
+FROM nation JOIN pairs ON asset = n_name WHERE n_nationkey % 3 <> 0""",
+    "funding_rate funding_rate_pct perp_mark_price",
+)
+def _(t: Tables):
+    tokens = t.nation.select(F.col("n_nationkey").alias("index"), F.col("n_name").alias("name"))
+    spot = t.supplier.select(
+        F.concat(F.lit("@"), (F.col("s_suppkey") % 50).cast("string")).alias("market_id"),
+        F.col("s_nationkey").alias("base_index"),
+    )
+    perps = t.nation.where(F.col("n_nationkey") % 3 != 0).select(
+        F.col("n_name").alias("name"), ((F.col("n_nationkey") - 10) / F.lit(1e5)).alias("funding"),
+        (F.lit(100.0) + F.col("n_nationkey")).alias("mark_price"),
+    )
+    return joins.spot_perp_pairs(tokens, spot, perps).withColumn(
+        "spot_pairs", F.concat_ws(",", "spot_pairs")
+    )
+
+
+@query(
+    "J8_reconcile_orders",
+    """WITH leader AS (SELECT o_orderkey AS oid, o_orderpriority AS coin FROM orders WHERE o_orderkey % 3 <> 0),
+follower AS (SELECT o_orderkey + 1000000 * c AS oid, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey END AS leader_oid, o_orderpriority AS coin
+  FROM orders, (VALUES (1), (2)) v(c) WHERE o_orderkey % 5 <> 0 AND (c = 1 OR o_orderkey % 4 = 0)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY leader_oid ORDER BY oid) AS rn FROM follower WHERE leader_oid IS NOT NULL),
+kept AS (SELECT * FROM ranked WHERE rn = 1)
+SELECT CASE WHEN k.oid IS NULL THEN 'PLACE' ELSE 'KEEP' END AS action, l.oid AS leader_oid, k.oid AS follower_oid, l.coin
+FROM leader l LEFT JOIN kept k ON l.oid = k.leader_oid
+UNION ALL SELECT 'CANCEL_ORPHAN', leader_oid, oid, coin FROM kept WHERE leader_oid NOT IN (SELECT oid FROM leader)
+UNION ALL SELECT 'CANCEL_DUPLICATE', leader_oid, oid, coin FROM ranked WHERE rn > 1""",
+)
+def _(t: Tables):
+    k = F.col("o_orderkey")
+    leader = t.orders.where(k % 3 != 0).select(k.alias("oid"), F.col("o_orderpriority").alias("coin"))
+    copies = F.when(k % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    follower = (
+        t.orders.where(k % 5 != 0)
+        .withColumn("c", F.explode(copies))
+        .select(
+            (k + F.col("c") * 1_000_000).alias("oid"),
+            F.when(k % 7 != 0, k).alias("leader_oid"),
+            F.col("o_orderpriority").alias("coin"),
+        )
+    )
+    return joins.reconcile_orders(leader, follower)
+
+
+@query(
+    "J9_reconcile_positions",
+    """WITH l AS (SELECT c_name AS coin, c_acctbal - 2000 AS szi FROM customer WHERE c_custkey % 3 <> 0),
+f AS (SELECT c_name AS coin, (c_acctbal - 2000) * (1 + ((c_custkey % 9) - 4) / 20.0::DOUBLE) * (CASE WHEN c_custkey % 17 = 0 THEN -1 ELSE 1 END) AS szi FROM customer WHERE c_custkey % 4 <> 0),
+b AS (SELECT coin, coalesce(l.szi, 0) AS leader_szi, coalesce(f.szi, 0) AS follower_szi FROM l FULL JOIN f USING (coin)
+  WHERE coin NOT IN (SELECT c_name FROM customer WHERE c_custkey % 10 < 3)),
+d AS (SELECT *, CASE WHEN leader_szi <> 0 AND sign(leader_szi) <> sign(follower_szi) THEN 'direction' WHEN leader_szi = 0 AND follower_szi <> 0 THEN 'orphan' ELSE 'size' END AS kind FROM b)
+SELECT coin, leader_szi, follower_szi, CASE kind WHEN 'size' THEN abs(1 - abs(follower_szi) / abs(leader_szi)) * 100 ELSE 100 END AS drift_pct, kind
+FROM d WHERE (CASE kind WHEN 'size' THEN abs(1 - abs(follower_szi) / abs(leader_szi)) * 100 ELSE 100 END) > 12""",
+    "leader_szi follower_szi drift_pct",
+)
+def _(t: Tables):
+    k, size = F.col("c_custkey"), F.col("c_acctbal") - 2000
+    leader = t.customer.where(k % 3 != 0).select(F.col("c_name").alias("coin"), size.alias("szi"))
+    tilt = F.lit(1) + ((k % 9) - 4) / F.lit(20.0)
+    flip = F.when(k % 17 == 0, -1).otherwise(1)
+    follower = t.customer.where(k % 4 != 0).select(
+        F.col("c_name").alias("coin"), (size * tilt * flip).alias("szi")
+    )
+    activity = t.customer.select(F.col("c_name").alias("coin"), (k % 10 * 15).alias("ts"))
+    return joins.reconcile_positions(
+        leader, follower, activity.withColumn("ts", F.lit(1000) - F.col("ts")), F.lit(1000),
+        grace_s=45, threshold=12,
+    )
+
+
+@query(
+    "J10_link_trades",
+    """SELECT o_orderkey::VARCHAR AS trade_id, o_orderpriority AS symbol, 'LONG' AS side, o_totalprice AS entry_price, 1.0 AS size,
+  o_orderdate AS entry_time, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice + 5 END AS exit_price, CASE WHEN o_orderkey % 4 <> 0 THEN 'take_profit' END AS exit_reason,
+  CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + INTERVAL 1 HOUR END AS exit_time, o_orderkey % 4 = 0 AS is_open FROM orders""",
+    "entry_price size exit_price",
+)
+def _(t: Tables):
+    k, us = F.col("o_orderkey"), F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    entry = t.orders.select(
+        k.cast("string").alias("trade_id"), F.lit("trade_entry").alias("event_type"),
+        F.col("o_orderpriority").alias("symbol"), F.lit("LONG").alias("side"),
+        F.col("o_totalprice").alias("entry_price"), F.lit(1.0).alias("size"),
+        F.col("o_orderdate").alias("timestamp"),
+    )
+    exit_ = t.orders.where(k % 4 != 0).select(
+        k.cast("string").alias("trade_id"), F.lit("trade_exit").alias("event_type"),
+        (F.col("o_totalprice") + 5).alias("exit_price"), F.lit("take_profit").alias("exit_reason"),
+        F.timestamp_micros(us + 3_600_000_000).cast("timestamp_ntz").alias("timestamp"),
+    )
+    return joins.link_trades(entry.unionByName(exit_, allowMissingColumns=True))
+
+
+@query(
+    "J11_fill_progress",
+    """WITH q AS (SELECT l_orderkey AS leader_oid, CASE WHEN l_linenumber % 2 = 0 THEN 'leader' ELSE 'follower' END AS owner, l_quantity AS qty FROM lineitem),
+f AS (SELECT leader_oid, owner, sum(qty) AS filled FROM q GROUP BY ALL),
+o AS (SELECT o_orderkey AS leader_oid, owner, 100.0 + o_orderkey % 50 AS total FROM orders, (VALUES ('leader'), ('follower')) v(owner)),
+p AS (SELECT o.leader_oid, o.owner, coalesce(filled, 0) / total * 100 AS pct FROM o LEFT JOIN f USING (leader_oid, owner)),
+g AS (SELECT leader_oid, coalesce(max(pct) FILTER (owner = 'leader'), 0) AS leader_pct, coalesce(max(pct) FILTER (owner = 'follower'), 0) AS follower_pct FROM p GROUP BY 1)
+SELECT *, abs(leader_pct - follower_pct) AS drift_pct, abs(leader_pct - follower_pct) > 10 AS warn FROM g""",
+    "leader_pct follower_pct drift_pct",
+)
+def _(t: Tables):
+    owner = F.when(F.col("l_linenumber") % 2 == 0, "leader").otherwise("follower")
+    filled = t.lineitem.select(
+        F.col("l_orderkey").alias("leader_oid"), owner.alias("owner"),
+        F.col("l_quantity").alias("qty"),
+    )
+    orders = t.orders.select(
+        F.col("o_orderkey").alias("leader_oid"),
+        F.explode(F.array(F.lit("leader"), F.lit("follower"))).alias("owner"),
+        (F.lit(100.0) + F.col("o_orderkey") % 50).alias("total_qty"),
+    )
+    return joins.fill_progress(orders, filled)
+
+
+@query(
+    "J12_attach_rolling_state",
+    f"""WITH {REGIME}, {QUOTES}
+SELECT quotes.*, r.regime, r.event_rate FROM quotes ASOF LEFT JOIN (SELECT * FROM regimes WHERE event_id % 2 = 0) r
+  ON quotes.symbol = r.symbol AND quotes.quote_ts >= r.ts""",
+    "quote event_rate",
+)
+def _(t: Tables):
+    state = _regime(t).where(F.col("event_id") % 2 == 0)
+    return joins.attach_rolling_state(
+        _quotes(t), (state, ["regime", "event_rate"]), by="symbol", ts="quote_ts",
+        order="quote_id", span=SPAN,
+    )
+
+
+# --- sorts and sets ----------------------------------------------------------------------------
+
+
+@query(
+    "sort_last_n_per_key",
+    "SELECT l_suppkey, l_orderkey, l_partkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_partkey) <= 5",
+    "l_extendedprice",
+)
+def _(t: Tables):
+    rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_partkey", "l_extendedprice")
+    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_partkey")]
+    return joins.last_n_per_key(rows, ["l_suppkey"], order, 5)
+
+
+@query(
+    "sort_top_k",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
+    "o_totalprice",
+)
+def _(t: Tables):
+    from tickloom.operators.ranking import top_k
+
+    return top_k(t.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", 20, ["o_orderkey"])
+
+
+@query(
+    "set_union_intersect_difference",
+    """SELECT 'both' AS part, count(*) AS n FROM (SELECT o_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)
+UNION ALL SELECT 'only_customers', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 9 = 0)
+UNION ALL SELECT 'all', count(*) FROM (SELECT s_suppkey AS k FROM supplier UNION ALL SELECT c_custkey FROM customer)""",
+)
+def _(t: Tables):
+    even = t.customer.where(F.col("c_custkey") % 2 == 0).select("c_custkey")
+    both = t.orders.select(F.col("o_custkey").alias("c_custkey")).intersect(even)
+    some = t.orders.where(F.col("o_orderkey") % 9 == 0).select(F.col("o_custkey").alias("c_custkey"))
+    only = t.customer.select("c_custkey").join(some, "c_custkey", "left_anti")
+    every = W.union_all(
+        t.supplier.select(F.col("s_suppkey").alias("k")),
+        t.customer.select(F.col("c_custkey").alias("k")),
+    )
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(name).alias("part"), "n"
+    )
+    return W.union_all(count(both, "both"), count(only, "only_customers"), count(every, "all"))

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -31,9 +33,17 @@ class Tables:
         )
 
 
+def nudge(digits: int) -> float:
+    """Moves exact halves off the rounding border, where two engines may differ."""
+    return 3.71 * 10.0 ** (-digits - 2)
+
+
 def rounded(df: DataFrame, names: list[str], digits: int) -> DataFrame:
     """Doubles rounded (and minus zero made zero) so that two engines can be compared."""
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in names})
+    shift = F.lit(nudge(digits))
+    return df.withColumns(
+        {c: F.round(F.col(c).cast("double") + shift, digits) + F.lit(0.0) for c in names}
+    )
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6):
@@ -42,11 +52,13 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6)
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return rounded(fn(Tables(spark, folder)), names, digits)
 
         QUERIES[name] = run
         if sql is not None:
-            swaps = ", ".join(f"round({c}::DOUBLE, {digits}) + 0.0 AS {c}" for c in names)
+            swaps = ", ".join(f"round({c}::DOUBLE + {nudge(digits)!r}::DOUBLE, {digits}) + 0.0 AS {c}"
+                for c in names)
             star = f"* REPLACE ({swaps})" if names else "*"
             CHECKS[name] = f"SELECT {star} FROM ({sql}\n)"
         return fn
