@@ -20,18 +20,17 @@ from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.reversal import State, advance, apply, summarise
 from tickloom.functions.scalars import zero_if_bad
 from tickloom.functions.thresholds import parse_threshold
-from tickloom.operators.joins import asof_backward, asof_in_interval
+from tickloom.operators.joins import asof_backward, asof_in_interval, carry_states
 from tickloom.operators.timeline import (
     CHUNK,
     Timeline,
-    count_so_far,
     micros,
     ordered_fold,
     running,
@@ -259,27 +258,65 @@ def dc_features(
         ticks, anchors, by, ts, "anchor_time", ["anchor_price", "event_type"], order,
         keep_right_ts=True, span=span,
     )
-    up = F.col("event_type") == "PDCC2_UP"
-    down = F.col("event_type") == "PDCC_Down"
-    here = F.col(ts) == F.col("anchor_time")
-    px, a = F.col(price), F.when(F.col("anchor_price") == 0, None).otherwise(F.col("anchor_price"))
-    rise = F.try_divide(px - a, a) * 100.0
+    regime, cols = _feature_columns(
+        F.col("event_type"), F.col("anchor_time"), F.col("anchor_price"), F.col(ts), F.col(price)
+    )
+    out = joined.withColumn("regime", regime)
+    for name, value in cols.items():
+        out = out.withColumn(name, value)
+    return out.drop("event_type")
+
+
+def _feature_columns(kind: Column, at: Column, anchor: Column, ts: Column, px: Column):
+    """Regime and feature columns from the latest confirmation's type, time and price."""
+    up, down, here = kind == "PDCC2_UP", kind == "PDCC_Down", ts == at
+    base = F.when(anchor == 0, None).otherwise(anchor)
+    rise = F.try_divide(px - base, base) * 100.0
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     floor0 = lambda c: F.greatest(zero_if_bad(c), F.lit(0.0))
-    return (
-        joined.withColumn(
-            "regime", F.when(up, "up").when(down, "down").otherwise(F.lit("none"))
+    regime = F.when(up, "up").when(down, "down").otherwise(F.lit("none"))
+    return regime, {
+        "PDCC2_UP": flag(up & here),
+        "PDCC_Down": flag(down & here),
+        "regime_up": flag(up),
+        "regime_down": flag(down),
+        "OSV_Up": zero_if_bad(F.when(up, rise)),
+        "OSV_Down": zero_if_bad(F.when(down, -rise)),
+        "OSV_Up_clamped": floor0(F.when(up, rise)),
+        "OSV_Down_clamped": floor0(F.when(down, -rise)),
+    }
+
+
+def dc_features_wide(
+    ticks: DataFrame,
+    events: DataFrame,
+    thresholds: dict[str, object],
+    columns: Sequence[str],
+    by: str | Sequence[str] = "symbol",
+    ts: str = "ts",
+    price: str = "price",
+    order: str | Sequence[str] = (),
+    span: str | int = "1 day",
+) -> DataFrame:
+    """D4 and D7 in one pass: ``<name>_<column>`` for every named threshold.
+
+    The latest confirmation of each threshold is carried along together, so ticks are shuffled
+    once instead of once per threshold and once more to bring the thresholds together.
+    """
+    keys = Timeline.of(by, ts).by
+    cols = ["end_time", "end_price", "event_type"]
+    states = [
+        (confirmations(events, t).select(*keys, *cols), cols) for t in thresholds.values()
+    ]
+    out = carry_states(ticks, states, by, ts, "end_time", order, span)
+    made = []
+    for i, name in enumerate(thresholds):
+        box = F.col(f"__s{i}")
+        _, feats = _feature_columns(
+            box["event_type"], box["end_time"], box["end_price"], F.col(ts), F.col(price)
         )
-        .withColumn("PDCC2_UP", flag(up & here))
-        .withColumn("PDCC_Down", flag(down & here))
-        .withColumn("regime_up", flag(up))
-        .withColumn("regime_down", flag(down))
-        .withColumn("OSV_Up", zero_if_bad(F.when(up, rise)))
-        .withColumn("OSV_Down", zero_if_bad(F.when(down, -rise)))
-        .withColumn("OSV_Up_clamped", floor0(F.when(up, rise)))
-        .withColumn("OSV_Down_clamped", floor0(F.when(down, -rise)))
-        .drop("event_type")
-    )
+        made += [feats[c].alias(f"{name}_{c}") for c in columns]
+    return out.select(*ticks.columns, *made)
 
 
 def dc_event_features(events: DataFrame, threshold, version: int = 2) -> DataFrame:
@@ -314,8 +351,7 @@ def dc_tick_features(
 ) -> DataFrame:
     """Each tick inside an event, with its move from the event's start price.
 
-    Version 1 keeps ticks in the open interval; version 2 in ``[start, end)``. In version 2 the
-    overshoot flag of an event reaches every tick that shares its start time.
+    Version 1 keeps ticks in the open interval; version 2 in ``[start, end)``.
     """
     keys = list(Timeline.of(by, ts).by)
     feats = dc_event_features(events, threshold, version)
@@ -334,13 +370,8 @@ def dc_tick_features(
         ).withColumn(
             "OSV_Down", F.when(F.col("PDCC_Down") == 1, move).otherwise(F.col("OSV_Down"))
         )
-    # The flag is a property of the event, so its maximum per start time comes from the joined
-    # rows by a map-side combined aggregate, not from a window over all ticks of the event.
-    spread = inside.groupBy(*keys, "start_time").agg(
-        *[F.max(c).alias(c) for c in ("OSV_Up_flag", "OSV_Down_flag")]
-    )
-    out = inside.drop("OSV_Up_flag", "OSV_Down_flag").join(spread, [*keys, "start_time"], "left")
-    return out.withColumn(
+    # One event is kept per start time, so its flag is already the same on all of its ticks.
+    return inside.withColumn(
         "OSV_Up", F.when(F.col("OSV_Up_flag") == 1, move).otherwise(0.0)
     ).withColumn("OSV_Down", F.when(F.col("OSV_Down_flag") == 1, move).otherwise(0.0))
 

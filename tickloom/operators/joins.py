@@ -282,19 +282,19 @@ def fill_progress(orders: DataFrame, fills: DataFrame, threshold: float = 10.0)
     return out.withColumn("warn", F.col("drift_pct") > F.lit(threshold))
 
 
-def attach_rolling_state(
+def carry_states(
     events: DataFrame,
-    *states: tuple[DataFrame, Sequence[str]],
+    states: Sequence[tuple[DataFrame, Sequence[str]]],
     by: str | Sequence[str],
     ts: str,
     state_ts: str = "ts",
     order: str | Sequence[str] = (),
     span: str | int = "1 day",
 ) -> DataFrame:
-    """Rolling states "as of" each event; a state at the event's own time counts.
+    """Each event row with the latest row of every state in structs ``__s0``, ``__s1``, ...
 
-    All states are merged in one pass: each becomes one carried struct, so the events are
-    shuffled once however many states there are.
+    All states are merged into one timeline, so the events are shuffled once however many states
+    there are. Of several state rows at one time the one greatest in ``cols`` order is kept.
     """
     tl = Timeline.of(by, ts)
     ties = list(Timeline.of(by, ts, order).tie)
@@ -303,20 +303,34 @@ def attach_rolling_state(
         F.lit(1).alias("__side"),
         *[F.col(c).alias(f"__o{i}") for i, c in enumerate(ties)],
     )
-    specs, outs = {}, []
+    specs = {}
     for i, (state, cols) in enumerate(states):
-        box = F.struct(*[F.col(c).alias(f"s{i}_{c}") for c in cols])
-        last = state.groupBy(*tl.by, F.col(state_ts).alias(ts)).agg(
-            F.max_by(box, F.col(state_ts)).alias(f"__s{i}")
-        )
+        box = F.struct(*[F.col(c).alias(c) for c in cols])
+        last = state.groupBy(*tl.by, F.col(state_ts).alias(ts)).agg(F.max(box).alias(f"__s{i}"))
         merged = merged.unionByName(
             last.withColumn("__side", F.lit(0)), allowMissingColumns=True
         )
         specs[f"__s{i}"] = last_known(F.col(f"__s{i}"))
-        outs += [F.col(f"__s{i}")[f"s{i}_{c}"].alias(c) for c in cols]
     line = Timeline(tl.by, ts, ("__side", *[f"__o{i}" for i in range(len(ties))]), span)
     carried = running(merged, line, **specs)
-    return carried.where(F.col("__side") == 1).select(*events.columns, *outs)
+    return carried.where(F.col("__side") == 1).select(*events.columns, *specs)
+
+
+def attach_rolling_state(
+    events: DataFrame,
+    *states: tuple[DataFrame, Sequence[str]],
+    by: str | Sequence[str],
+    ts: str,
+    state_ts: str = "ts",
+    order: str | Sequence[str] = (),
+    span: str | int = "1 day",
+) -> DataFrame:
+    """Rolling states "as of" each event; a state at the event's own time counts."""
+    carried = carry_states(events, states, by, ts, state_ts, order, span)
+    outs = [
+        F.col(f"__s{i}")[c].alias(c) for i, (_, cols) in enumerate(states) for c in cols
+    ]
+    return carried.select(*events.columns, *outs)
 
 
 def last_n_per_key(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import clip, sigmoid
 from tickloom.operators.stats import equity_metrics, percentiles
+from tickloom.session import cut_lineage
 
 # Weights per performance window and the constants of the two scores.
 WINDOW_WEIGHTS = {"day": 0.05, "week": 0.15, "month": 0.35, "allTime": 0.45}
@@ -134,16 +135,19 @@ def leader_terms(df: DataFrame) -> DataFrame:
             & F.col("pnl_month").isNotNull()
         )
     )
-    p75 = lambda rows, c: percentiles(rows, c, ps=(0.75,)).select(
-        F.col("p75").alias(f"q_{c}"), F.col("count").alias(f"n_{c}")
-    )
-    month = p75(d.where(F.col("roi_month") > 0), "roi_month")
-    week, turn = p75(d, "roi_week"), p75(d, "turnover")
-    scales = turn.crossJoin(week).join(month, F.lit(True), "left")
-    norm = F.when(F.col("n_roi_month") >= 50, F.col("q_roi_month")).otherwise(F.col("q_roi_week"))
-    scales = scales.select(
+    named = {
+        "turnover": F.col("turnover"),
+        "week": F.col("roi_week"),
+        "month": F.when(F.col("roi_month") > 0, F.col("roi_month")),
+    }
+    pairs = [F.struct(F.lit(n).alias("metric"), c.alias("value")) for n, c in named.items()]
+    long = d.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    q = percentiles(long, "value", ["metric"], (0.75,))
+    of = lambda name, c: F.max(F.when(F.col("metric") == name, F.col(c)))
+    norm = F.when(of("month", "count") >= 50, of("month", "p75")).otherwise(of("week", "p75"))
+    scales = q.agg(
         clip(norm, 0.05, 0.60).alias("roi_normalizer"),
-        clip(F.col("q_turnover"), 20.0, 250.0).alias("turnover_target"),
+        clip(of("turnover", "p75"), 20.0, 250.0).alias("turnover_target"),
     )
     d = d.crossJoin(F.broadcast(scales))
     roi = {w: F.col(f"roi_{w}") for w in WINDOW_WEIGHTS}
@@ -200,9 +204,10 @@ def longevity_weights() -> list[float]:
 def tune_longevity(df: DataFrame) -> DataFrame:
     """The first longevity weight whose ten best have a median longevity term on target.
 
-    Every weight's top ten is a bounded top-k over the same terms; the choice is one row.
+    Every weight's top ten is a bounded top-k over the same terms, which are written out once;
+    the choice is one row.
     """
-    terms = leader_terms(df)
+    terms = cut_lineage(leader_terms(df))
     tries = longevity_weights()
     medians = []
     for i, w in enumerate(tries):

@@ -6,12 +6,19 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.functions.tests import normal_sf2, student_sf2, wilcoxon_exact_sf2
-from tickloom.operators.timeline import Timeline, micros, previous, running
+from tickloom.operators.timeline import (
+    Timeline,
+    max_of_key,
+    max_so_far,
+    micros,
+    previous,
+    running,
+)
 
 _UP = Window.unboundedPreceding
 SPLITS = 256
@@ -418,25 +425,21 @@ def equity_metrics(
     span: str | int = "1 day",
 ) -> DataFrame:
     """Share of up steps, drawdown, step volatility and 1 h / 24 h return per curve."""
-    from tickloom.operators.timeline import max_so_far
-
     tl = Timeline.of(by, ts, tie, span)
     v = F.col(value)
     base = curve.withColumn("__at", micros(curve, ts))
-    out = running(base, tl, __prev=previous(v), __peak=max_so_far(v))
+    out = running(
+        base, tl, __prev=previous(v), __peak=max_so_far(v), __now=max_of_key(F.col("__at"))
+    )
     step = F.when(F.col("__prev") > 0, v / F.when(F.col("__prev") > 0, F.col("__prev")) - 1.0)
     fall = F.when(F.col("__peak") > 0, (F.col("__peak") - v) / F.col("__peak"))
     ordered = F.struct("__at", *tl.tie)
-    ends = curve.withColumn("__at", micros(curve, ts)).groupBy(*tl.by).agg(
-        F.max("__at").alias("__now"), F.max_by(v, ordered).alias("__last")
-    )
     inside = lambda s: F.when(
         F.col("__at") >= F.col("__now") - F.lit(s * 1_000_000), ordered
     )
     agg = (
         out.withColumn("__step", step)
         .withColumn("__fall", fall)
-        .join(ends, list(tl.by))
         .groupBy(*tl.by)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -444,7 +447,7 @@ def equity_metrics(
             F.count_if(F.col("__step") > 0).alias("ups"),
             F.max("__fall").alias("dd"),
             F.stddev_samp("__step").alias("dev"),
-            F.max("__last").alias("last"),
+            F.max_by(v, ordered).alias("last"),
             F.min_by(v, inside(3600)).alias("b1"),
             F.min_by(v, inside(86400)).alias("b24"),
         )
@@ -485,7 +488,3 @@ def book_depth(books: DataFrame, levels: int = 5) -> DataFrame:
         .withColumn("ask_depth", depth(1))
         .drop("levels")
     )
-
-
-def positive_share(cond: Column) -> Column:
-    return F.avg(cond.cast("double"))

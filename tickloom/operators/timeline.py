@@ -174,6 +174,16 @@ def following(expr: Column) -> Running:
     )
 
 
+def max_of_key(expr: Column) -> Running:
+    """Maximum over the whole key, on every row."""
+    return Running(
+        lambda w: F.max(expr).over(w.rowsBetween(_UP, _UF)),
+        lambda key: F.max(expr),
+        lambda t, before, after: F.greatest(F.max(t).over(before), F.max(t).over(after)),
+        lambda a, b: F.greatest(a, b),
+    )
+
+
 def running(df: DataFrame, tl: Timeline, **specs: Running) -> DataFrame:
     """Add one column per spec, as a window over the whole key would, without such a window."""
     # The key is one never-null struct, and the summary touches every column, so that both

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import pnl_pct, safe_div
 from tickloom.operators.dc import dc_events, same_threshold
-from tickloom.operators.joins import asof_backward
+from tickloom.operators.joins import asof_backward, carry_states
 from tickloom.operators.timeline import (
     CHUNK,
     Timeline,
@@ -30,6 +30,7 @@ from tickloom.operators.windows import (
     equity_path,
     seconds_between,
 )
+from tickloom.session import cut_lineage
 
 TAKER_FEE = 0.00035  # fixed value: fee per side
 
@@ -218,15 +219,27 @@ def trailing_labels(
 # --- ledgers -----------------------------------------------------------------------------------
 
 
-def _entry_events(events: DataFrame, by: Sequence[str], cooldown_s: float, span) -> DataFrame:
-    """Confirmations with their successor and an id for runs the cooldown can link."""
+def _entry_events(
+    events: DataFrame, thresholds: Sequence | None, by: Sequence[str], cooldown_s: float, span
+) -> DataFrame:
+    """Confirmations with their successor and an id for runs the cooldown can link.
+
+    One small row per confirmation, written out because paths, cases and exits all read it.
+    """
+    theta = F.lit(0)
+    if thresholds is not None:
+        theta = F.coalesce(
+            *[F.when(same_threshold(events, t), i) for i, t in enumerate(thresholds)]
+        )
     pdcc = events.where(F.col("event_type").isin("PDCC_Down", "PDCC2_UP")).select(
         *by,
+        theta.alias("theta"),
         F.col("end_time").alias("entry_time"),
         F.col("end_price").alias("entry_price"),
         F.when(F.col("event_type") == "PDCC2_UP", "LONG").otherwise("SHORT").alias("side"),
     )
-    tl = Timeline.of(by, "entry_time", (), span)
+    pdcc = pdcc.where(F.col("theta").isNotNull())
+    tl = Timeline.of([*by, "theta"], "entry_time", (), span)
     out = running(
         pdcc, tl,
         __next=following(F.struct(F.col("entry_time").alias("t"), F.col("entry_price").alias("p"))),
@@ -239,7 +252,8 @@ def _entry_events(events: DataFrame, by: Sequence[str], cooldown_s: float, span)
         .withColumn("gap_s", gap)
         .drop("__next", "__prev")
     )
-    return islands(out, tl, F.col("gap_s").isNull() | (F.col("gap_s") >= cooldown_s), "run")
+    starts = F.col("gap_s").isNull() | (F.col("gap_s") >= cooldown_s)
+    return cut_lineage(islands(out, tl, starts, "run"))
 
 
 def _enter(candidates: DataFrame, keys: Sequence[str], cooldown_s: float) -> DataFrame:
@@ -275,23 +289,23 @@ def _enter(candidates: DataFrame, keys: Sequence[str], cooldown_s: float) -> Dat
 
 
 def _ledger(
-    events: DataFrame, ticks: DataFrame, params: DataFrame | dict, by: Sequence[str], ts, price,
-    order, span, cooldown_s, usd, fee, config: Sequence[str],
+    events: DataFrame, ticks: DataFrame, thresholds: Sequence | None, params: DataFrame | dict,
+    by: Sequence[str], ts, price, order, span, cooldown_s, usd, fee, config: Sequence[str],
 ) -> DataFrame:
-    entries = _entry_events(events, by, cooldown_s, span)
-    keys = [*by, "entry_time"]
-    inner = trade_paths_with_end(entries, ticks, by, ts, price, order, span)
+    entries = _entry_events(events, thresholds, by, cooldown_s, span)
+    keys = [*by, "theta", "entry_time"]
+    count = 1 if thresholds is None else len(thresholds)
+    paths = _paths_with_end(entries, ticks, count, by, ts, price, order, span)
     if isinstance(params, dict):
-        tested = inner.withColumns({k: F.lit(float(v)) for k, v in params.items()})
+        tested = paths.withColumns({k: F.lit(float(v)) for k, v in params.items()})
         cases = entries
     else:
-        tested = _only_extremes(inner, keys, ts).crossJoin(F.broadcast(params))
-        cases = entries.crossJoin(F.broadcast(params))
-    exits = first_exits(
-        tested, [*keys, *config], ts, price, [f"__o{i}" for i in range(len(order))], True, "trailing_"
-    )
+        tested = _only_extremes(paths, keys, ts).join(F.broadcast(params), "theta")
+        cases = entries.join(F.broadcast(params), "theta")
+    ties = [f"__o{i}" for i in range(len(order))]
+    exits = first_exits(tested, [*keys, *config], ts, price, ties, True, "trailing_")
     priced = cases.join(exits, [*keys, *config], "left")
-    entered = _enter(priced, [*by, *config, "run"], cooldown_s)
+    entered = _enter(priced, [*by, "theta", *config, "run"], cooldown_s)
     s = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
     e = s * F.col("entry_price")
     stopped = F.col("reason").isNotNull()
@@ -317,25 +331,37 @@ def _ledger(
     )
 
 
-def trade_paths_with_end(
-    entries: DataFrame, ticks: DataFrame, by, ts, price, order, span
+def _paths_with_end(
+    entries: DataFrame, ticks: DataFrame, count: int, by, ts, price, order, span
 ) -> DataFrame:
-    """Paths that also contain the tick of the next confirmation, where exits are tested first."""
-    joined = asof_backward(
-        ticks.select(*by, ts, price, *order), entries, by, ts, "entry_time",
-        ["side", "entry_price"], order, keep_right_ts=True, span=span,
-    )
-    ties = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
-    cols = [*by, "entry_time", "side", "entry_price", ts, price]
-    live = joined.where(F.col("entry_time").isNotNull() & (F.col(ts) > F.col("entry_time"))).select(
-        *cols, F.lit(0).alias("__last"), *ties
+    """Ticks of every trade of every threshold, with the tick of the next confirmation as the last.
+
+    The live trade of each threshold is carried along the ticks together, so ticks are shuffled
+    once before they fan out to thresholds.
+    """
+    cols = ["entry_time", "side", "entry_price"]
+    states = [
+        (entries.where(F.col("theta") == i).select(*by, *cols), cols) for i in range(count)
+    ]
+    carried = carry_states(
+        ticks.select(*by, ts, price, *order), states, by, ts, "entry_time", order, span
+    )
+    trades = F.array(
+        *[F.struct(F.lit(i).alias("theta"), F.col(f"__s{i}").alias("e")) for i in range(count)]
     )
+    ties = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    live = carried.select(*by, ts, price, *ties, F.explode(trades).alias("t")).select(
+        *by, "t.theta", *[f"t.e.{c}" for c in cols], ts, price,
+        F.lit(0).alias("__last"), *[f"__o{i}" for i in range(len(order))],
+    )
+    live = live.where(F.col("entry_time").isNotNull() & (F.col(ts) > F.col("entry_time")))
     last = entries.where(F.col("next_time").isNotNull()).select(
-        *by, "entry_time", "side", "entry_price",
+        *by, "theta", *cols,
         F.col("next_time").alias(ts), F.col("next_price").alias(price), F.lit(1).alias("__last"),
     )
     both = live.unionByName(last, allowMissingColumns=True)
-    return with_marks(both, by, ts, price, ["__last", *[f"__o{i}" for i in range(len(order))]], span)
+    ends = ["__last", *[f"__o{i}" for i in range(len(order))]]
+    return with_marks(both, [*by, "theta"], ts, price, ends, span)
 
 
 def _only_extremes(paths: DataFrame, keys, ts: str) -> DataFrame:
@@ -380,8 +406,8 @@ def dc_trades(
     """
     params = {"sl": sl, "tp": tp, "trail": trail, "min_profit": min_profit}
     return _ledger(
-        events, ticks, params, list(by), ts, price, list(order), span, cooldown_s, position_usd,
-        fee, [],
+        events, ticks, None, params, list(by), ts, price, list(order), span, cooldown_s,
+        position_usd, fee, [],
     )
 
 
@@ -404,26 +430,17 @@ def dc_trades_sweep(
     computed once; the broadcast grid then meets only the rows that can decide an exit.
     """
     grid = grid or SINGLE_GRID
-    params = grid_table(ticks.sparkSession, grid)
     thresholds = [float(t) for t in grid["threshold"]]
+    number = F.coalesce(
+        *[F.when(F.col("threshold") == F.lit(t), i) for i, t in enumerate(thresholds)]
+    )
+    params = grid_table(ticks.sparkSession, grid).withColumn("theta", number).drop("threshold")
     if events is None:
-        events = dc_events(ticks, thresholds, by, ts, price, order, span)
-    keyed = events.withColumn("threshold", F.col("threshold_down"))
-    # Ticks carry no threshold, so each threshold is joined to them on its own.
-    ledgers = []
-    for t in thresholds:
-        mine = keyed.where(same_threshold(keyed, t)).withColumn("threshold", F.lit(t))
-        part = params.where(F.col("threshold") == F.lit(t))
-        ledgers.append(
-            _ledger(
-                mine, ticks, part.drop("threshold"), list(by), ts, price, list(order), span,
-                cooldown_s, position_usd, fee, ["config_id"],
-            )
-        )
-    out = ledgers[0]
-    for part in ledgers[1:]:
-        out = out.unionByName(part)
-    return out
+        events = cut_lineage(dc_events(ticks, thresholds, by, ts, price, order, span))
+    return _ledger(
+        events, ticks, thresholds, params, list(by), ts, price, list(order), span, cooldown_s,
+        position_usd, fee, ["config_id"],
+    )
 
 
 def gate_trades(

@@ -367,9 +367,15 @@ def funding_streaks(
 
 def alternation_overshoot(events: DataFrame, tl: Timeline) -> DataFrame:
     """Relative move between consecutive opposite confirmations, null otherwise."""
+    return _alternation(events, tl).drop("__at")
+
+
+def _alternation(events: DataFrame, tl: Timeline) -> DataFrame:
     out = running(
-        events, tl, __prev=previous(F.struct("end_price", "event_type"))
-    )
+        events, tl,
+        __prev=previous(F.struct("end_price", "event_type")),
+        __at=count_so_far(current=False),
+    ).withColumn("__at", F.coalesce("__at", F.lit(0).cast("long")))
     move = F.abs(F.col("end_price") - F.col("__prev.end_price")) / F.col("__prev.end_price")
     flipped = F.col("event_type") != F.col("__prev.event_type")
     return out.withColumn("overshoot", F.when(flipped, move)).drop("__prev")
@@ -404,7 +410,7 @@ def tick_context(ticks: DataFrame, tl: Timeline, price: str = "price", n: int =
 def event_context(events: DataFrame, tl: Timeline, n: int = 20) -> DataFrame:
     """Event part of W13: confirmations up and down and mean overshoot among the last ``n``."""
     return rows_frame(
-        alternation_overshoot(events, tl), tl, n - 1, 0,
+        _alternation(events, tl), tl, n - 1, 0,
         lambda w: {
             "dc_up_count": F.count(F.when(F.col("event_type") == "PDCC2_UP", 1)).over(w),
             "dc_down_count": F.count(F.when(F.col("event_type") == "PDCC_Down", 1)).over(w),
@@ -412,21 +418,24 @@ def event_context(events: DataFrame, tl: Timeline, n: int = 20) -> DataFrame:
                 F.avg("overshoot").over(w.rowsBetween(-(n - 2), 0)) * 100, F.lit(0.0)
             ),
         },
-    )
+        index="__at",
+    ).drop("__at")
 
 
 def trade_context(trades: DataFrame, tl: Timeline, n: int = 20) -> DataFrame:
     """Trade part of W13: totals so far, current loss run and the net of the last ``n``."""
     won = F.col("pnl_pct") > 0
-    runs = _streaks(trades, tl, consecutive_losses=~won)
-    totals = running(
-        runs, tl,
-        total_trades=count_so_far(),
-        win_count=total_so_far(won.cast("long")),
-    )
-    return rows_frame(
-        totals, tl, n - 1, 0, lambda w: {"net_pnl_pct": F.sum("pnl_pct").over(w) * 100}
+    counted = running(
+        trades, tl, total_trades=count_so_far(), win_count=total_so_far(won.cast("long"))
     )
+    last_win = F.when(won, F.col("total_trades"))
+    runs = running(counted, tl, __win=last_known(last_win)).withColumn(
+        "consecutive_losses", F.col("total_trades") - F.coalesce("__win", F.lit(0))
+    )
+    return rows_frame(
+        runs.withColumn("__at", F.col("total_trades") - 1).drop("__win"), tl, n - 1, 0,
+        lambda w: {"net_pnl_pct": F.sum("pnl_pct").over(w) * 100}, index="__at",
+    ).drop("__at")
 
 
 def windows(

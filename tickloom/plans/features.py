@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import to_local
 from tickloom.functions.thresholds import canonical, parse_threshold
-from tickloom.operators.dc import cross_threshold_features, dc_events, dc_features
+from tickloom.operators.dc import dc_events, dc_features_wide
 from tickloom.operators.ml import apply_scaler
 from tickloom.operators.stats import scaler_fit
 from tickloom.operators.timeline import Timeline
-from tickloom.operators.windows import chrono_split, dedup_trades, tick_flow, union_all, windows
+from tickloom.operators.windows import chrono_split, dedup_trades, tick_flow, windows
 from tickloom.session import cut_lineage
 
 DC_COLUMNS = ("PDCC_Down", "OSV_Down", "PDCC2_UP", "OSV_Up", "regime_up", "regime_down")
@@ -56,18 +56,10 @@ def engineered_ticks(ticks: DataFrame, plan: WindowPlan) -> DataFrame:
     events = cut_lineage(
         dc_events(ticks, plan.thresholds, order=plan.order, span=plan.span)
     )
-    parts, names = [], []
-    for t in plan.thresholds:
-        name = "t" + canonical(parse_threshold(t)).replace(".", "p")
-        names.append(name)
-        parts.append(
-            dc_features(ticks, events, t, order=plan.order, span=plan.span).withColumn(
-                "threshold", F.lit(name)
-            )
-        )
-    return cross_threshold_features(
-        union_all(*parts), plan.continuous, DC_COLUMNS, names, tie=plan.order
-    )
+    names = {
+        "t" + canonical(parse_threshold(t)).replace(".", "p"): t for t in plan.thresholds
+    }
+    return dc_features_wide(ticks, events, names, DC_COLUMNS, order=plan.order, span=plan.span)
 
 
 def supervised_windows(ticks: DataFrame, plan: WindowPlan) -> DataFrame:

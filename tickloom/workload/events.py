@@ -233,6 +233,21 @@ def _latents(t: Tables, parts: int = 4) -> DataFrame:
     )
 
 
+@query(
+    "D7_dc_features_wide",
+    f"""WITH RECURSIVE {dc_sql([(0.1, 0.1), (0.3, 0.3)])}, {_regime_cte(0.1, 'a')}, {_regime_cte(0.3, 'b')}
+SELECT t.symbol, t.ts, t.event_id, t.price, a.up AS "t0p1_regime_up", a.osv AS "t0p1_OSV_Up", b.up AS "t0p3_regime_up",
+  b.osv AS "t0p3_OSV_Up" FROM ticks t JOIN a USING (event_id) JOIN b USING (event_id)""",
+    "price t0p1_OSV_Up t0p3_OSV_Up",
+)
+def _(t: Tables):
+    events = cut_lineage(events_of(t, [0.1, 0.3]))
+    names = {"t0p1": 0.1, "t0p3": 0.3}
+    return dc.dc_features_wide(
+        t.ticks, events, names, ["regime_up", "OSV_Up"], order="event_id", span=SPAN
+    )
+
+
 @query(
     "D8_latent_concat",
     """SELECT vec_id AS window_id, list_sum(embedding::DOUBLE[]) AS z_sum, embedding[1]::DOUBLE AS z_first,

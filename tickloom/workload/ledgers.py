@@ -471,7 +471,7 @@ def _(t: Tables):
 
 
 def _reports(t: Tables) -> DataFrame:
-    """One session report per user: its events as signals in time order."""
+    """Session reports: blocks of fifty events as signals in time order, so arrays stay small."""
     k = F.col("event_id")
     kind = F.get(
         F.array(*[F.lit(x) for x in ("BUY", "SELL", "CLOSE", "NOTE")]), (k % 4).cast("int")
@@ -481,9 +481,9 @@ def _reports(t: Tables) -> DataFrame:
         kind.alias("type"), (F.col("value") + 50).alias("price"), F.lit(None).cast("double").alias("size"),
         F.lit("").alias("reason"),
     )
-    # A report is one small document in the source; here a user's few hundred events stand in.
-    return t.events.groupBy(F.col("user_id").cast("string").alias("session_id")).agg(
-        F.lit("S").alias("symbol"), (F.max("user_id") / 1000.0).alias("threshold"),
+    block = F.floor(k / 50)
+    return t.events.groupBy(block.cast("string").alias("session_id")).agg(
+        F.lit("S").alias("symbol"), (F.max(block) / 1000.0).alias("threshold"),
         F.lit(100.0).alias("position_size_usd"), F.lit(3600.0).alias("duration_seconds"),
         F.count(F.lit(1)).alias("tick_count"), F.count(F.lit(1)).alias("signal_count"),
         F.count(F.lit(1)).alias("dc_event_count"),
@@ -496,20 +496,20 @@ def _reports(t: Tables) -> DataFrame:
 
 @query(
     "A17_session_summary",
-    """SELECT user_id::VARCHAR AS session_id, 'S' AS symbol, user_id / 1000 AS threshold, count(*) AS tick_count, count(*) AS dc_event_count, count(*) / 60 AS signals_per_min,
-  (count(*) FILTER (event_id % 4 = 0))::INT AS buy_signals, (count(*) FILTER (event_id % 4 = 1))::INT AS sell_signals, (count(*) FILTER (event_id % 4 = 2))::INT AS close_signals FROM events GROUP BY user_id""",
+    """SELECT (event_id // 50)::VARCHAR AS session_id, 'S' AS symbol, any_value(event_id // 50) / 1000 AS threshold, count(*) AS tick_count, count(*) AS dc_event_count, count(*) / 60 AS signals_per_min,
+  (count(*) FILTER (event_id % 4 = 0))::INT AS buy_signals, (count(*) FILTER (event_id % 4 = 1))::INT AS sell_signals, (count(*) FILTER (event_id % 4 = 2))::INT AS close_signals FROM events GROUP BY event_id // 50""",
     "threshold signals_per_min",
 )
 def _(t: Tables):
     return T.session_summary(_reports(t))
 
 
-SESSION = """sig AS (SELECT user_id, event_id % 4 AS k, value + 50 AS px, lead(value + 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events WHERE event_id % 4 < 3),
+SESSION = """sig AS (SELECT event_id // 50 AS user_id, event_id % 4 AS k, value + 50 AS px, lead(value + 50) OVER (PARTITION BY event_id // 50 ORDER BY ts, event_id) AS nxt FROM events WHERE event_id % 4 < 3),
 st AS (SELECT user_id, px, nxt, 100 / px AS size, CASE k WHEN 0 THEN nxt - px ELSE px - nxt END / px * (px * (100 / px)) AS g, (px + nxt) * (100 / px) * 0.00035::DOUBLE AS fee
   FROM sig WHERE k < 2 AND nxt IS NOT NULL),
 sp AS (SELECT user_id::VARCHAR AS session_id, count(st.px) AS total_trades, coalesce(sum(g), 0) AS gross_pnl_usd, coalesce(sum(fee), 0) AS total_fees_usd,
   coalesce(sum(g - fee), 0) AS net_pnl_usd, count(*) FILTER (g - fee > 0) AS wins, count(*) FILTER (g - fee <= 0) AS losses,
-  coalesce(count(*) FILTER (g - fee > 0) / nullif(count(st.px), 0), 0) AS win_rate FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN st USING (user_id) GROUP BY user_id)"""
+  coalesce(count(*) FILTER (g - fee > 0) / nullif(count(st.px), 0), 0) AS win_rate FROM (SELECT DISTINCT event_id // 50 AS user_id FROM events) u LEFT JOIN st USING (user_id) GROUP BY user_id)"""
 
 
 def _session_pnl(t: Tables) -> DataFrame:

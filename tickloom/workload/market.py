@@ -932,24 +932,21 @@ def _(t: Tables):
 
 @query(
     "J6_join_by_index",
-    """WITH n AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
-s AS (SELECT s_nationkey % 5 AS n_regionkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) AS i FROM supplier WHERE s_suppkey % 40 < 14)
-SELECT n.n_regionkey, (n.i - 1)::INT AS pos, n_name, s_suppkey FROM n LEFT JOIN s ON n.n_regionkey = s.n_regionkey AND n.i = s.i""",
+    """WITH p AS (SELECT p_partkey // 20 AS block, p_name, p_partkey, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT block, i::INT AS pos, p_name, CASE WHEN i < (SELECT count(*) FROM p q WHERE q.block = p.block AND q.p_partkey % 20 < 14) THEN block * 20 + i END AS p_partkey FROM p WHERE block > 0""",
 )
 def _(t: Tables):
-    sorted_list = lambda key, *c: F.transform(
-        F.sort_array(F.collect_list(F.struct(*c))), lambda x: x[c[-1]]
+    """Blocks of twenty parts; contexts only for the first fourteen of each."""
+    rows = t.part.where(F.col("p_partkey") >= 20).withColumn("block", F.floor(F.col("p_partkey") / 20))
+    in_order = lambda c: F.transform(
+        F.sort_array(F.collect_list(F.struct("p_partkey", F.col(c).alias("v")))), lambda x: x["v"]
     )
-    universe = t.nation.groupBy("n_regionkey").agg(
-        sorted_list("n_regionkey", "n_nationkey", "n_name").alias("universe")
+    universe = rows.groupBy("block").agg(in_order("p_name").alias("universe"))
+    contexts = rows.where(F.col("p_partkey") % 20 < 14).groupBy("block").agg(
+        in_order("p_partkey").alias("contexts")
     )
-    contexts = (
-        t.supplier.where(F.col("s_suppkey") % 40 < 14)
-        .groupBy((F.col("s_nationkey") % 5).alias("n_regionkey"))
-        .agg(sorted_list("n_regionkey", "s_suppkey").alias("contexts"))
-    )
-    return joins.join_by_index(universe, contexts, ["n_regionkey"]).select(
-        "n_regionkey", "pos", F.col("item").alias("n_name"), F.col("context").alias("s_suppkey")
+    return joins.join_by_index(universe, contexts, ["block"]).select(
+        "block", "pos", F.col("item").alias("p_name"), F.col("context").alias("p_partkey")
     )
 
 
