@@ -22,7 +22,7 @@ from dataclasses import asdict, dataclass, replace
 import numpy as np
 
 INF = float("inf")
-FIRST_BLOCK, LAST_BLOCK = 64, 8192
+NEAR, FIRST_BLOCK, LAST_BLOCK = 24, 64, 8192
 
 
 @dataclass(frozen=True)
@@ -45,27 +45,52 @@ def confirmed(mode: str, price: float, ts: int) -> State:
     return State("up", -INF, -1, INF, -1, price, ts, price, ts)
 
 
-def next_reversal(q, ts, i, best, best_ts, theta, sign):
+class Series:
+    """Ticks of one stretch as arrays (for long scans) and as lists (for short ones)."""
+
+    __slots__ = ("n", "px", "ts", "q", "ql", "pl", "tl")
+
+    def __init__(self, px, ts):
+        self.n, self.px, self.ts = len(px), px, ts
+        neg = -px
+        self.q = {1: px, -1: neg}
+        self.pl, self.tl = px.tolist(), ts.tolist()
+        self.ql = {1: self.pl, -1: neg.tolist()}
+
+
+def next_reversal(s: Series, i, best, best_ts, theta, sign, n=None):
     """First tick from ``i`` whose fall from the running maximum of ``q`` reaches the threshold.
 
     ``q`` is the price for a down move (``sign=1``) and minus the price for an up move
     (``sign=-1``); the test is then ``max - px >= max * theta`` or ``px - min >= min * theta``.
-    Returns (position or ``len(q)``, running maximum before it, its time).
+    Returns (position or ``n``, running maximum before it, its time). Close reversals are found
+    tick by tick, far ones in growing array blocks.
     """
-    n, size = len(q), FIRST_BLOCK
+    n = s.n if n is None else n
+    values, times = s.ql[sign], s.tl
+    stop = min(n, i + NEAR)
+    scale = sign * theta
+    while i < stop:
+        x = values[i]
+        if best > x and best - x >= best * scale:
+            return i, best, best_ts
+        if x > best:
+            best, best_ts = x, times[i]
+        i += 1
+    q, size = s.q[sign], FIRST_BLOCK
     while i < n:
-        seg = q[i : i + size]
+        seg = q[i : min(i + size, n)]
         prev = np.empty(len(seg))
         prev[0] = best
         np.maximum(np.maximum.accumulate(seg)[:-1], best, out=prev[1:])
-        hit = (prev > seg) & (prev - seg >= sign * prev * theta)
+        hit = (prev > seg) & (prev - seg >= prev * scale)
         k = int(hit.argmax())
         found = bool(hit[k])
         seen = seg[:k] if found else seg
         if len(seen):
             a = int(seen.argmax())
             if seen[a] > best:
-                best, best_ts = float(seen[a]), int(ts[i + a])
+                best, best_ts = float(seen[a]), times[i + a]
         if found:
             return i + k, best, best_ts
         i += len(seg)
@@ -73,13 +98,18 @@ def next_reversal(q, ts, i, best, best_ts, theta, sign):
     return n, best, best_ts
 
 
-def overshoot(q, ts, i, j, best, best_ts):
+def overshoot(s: Series, i, j, best, best_ts, sign):
     """Running maximum of ``q`` over ``[i, j)`` with the last occurrence winning ties."""
-    if j > i:
-        seg = q[i:j]
-        a = len(seg) - 1 - int(seg[::-1].argmax())
-        if best is None or seg[a] >= best:
-            return float(seg[a]), int(ts[i + a])
+    if j - i <= NEAR:
+        values = s.ql[sign]
+        for k in range(i, j):
+            if best is None or values[k] >= best:
+                best, best_ts = values[k], s.tl[k]
+        return best, best_ts
+    seg = s.q[sign][i:j]
+    a = len(seg) - 1 - int(seg[::-1].argmax())
+    if best is None or seg[a] >= best:
+        return float(seg[a]), s.tl[i + a]
     return best, best_ts
 
 
@@ -88,74 +118,81 @@ def advance(state: State, px, ts, down: float, up: float, out: list | None = Non
 
     A row is (event_type, start_ts, end_ts, start_price, end_price, max_osv).
     """
-    neg, n, i, s = -px, len(px), 0, state
+    return advance_from(state, Series(px, ts), 0, down, up, out)
+
+
+def advance_from(
+    s: State, x: Series, i: int, down: float, up: float, out: list | None = None
+) -> State:
+    """``advance`` over the ticks of a prepared series from position ``i``."""
+    n = x.n
+    mode, high, high_ts, low, low_ts = s.mode, s.high, s.high_ts, s.low, s.low_ts
+    anchor, anchor_ts, ext, ext_ts = s.anchor, s.anchor_ts, s.extreme, s.extreme_ts
     while i < n:
-        if s.mode == "up":
-            j, high, high_ts = next_reversal(px, ts, i, s.high, s.high_ts, down, 1)
-            ext, ext_ts = overshoot(px, ts, i, j, s.extreme, s.extreme_ts)
-            if j == n:
-                return replace(s, high=high, high_ts=high_ts, extreme=ext, extreme_ts=ext_ts)
+        if mode == "up":
+            j, high, high_ts = next_reversal(x, i, high, high_ts, down, 1)
+            ext, ext_ts = overshoot(x, i, j, ext, ext_ts, 1)
             fell = True
-            low = low_ts = None
-        elif s.mode == "down":
-            j, low, low_ts = next_reversal(neg, ts, i, -s.low, s.low_ts, up, -1)
-            low = -low
-            ext, ext_ts = overshoot(neg, ts, i, j, -s.extreme, s.extreme_ts)
-            ext = -ext
-            if j == n:
-                return replace(s, low=low, low_ts=low_ts, extreme=ext, extreme_ts=ext_ts)
+        elif mode == "down":
+            j, low, low_ts = next_reversal(x, i, -low, low_ts, up, -1)
+            ext, ext_ts = overshoot(x, i, j, -ext, ext_ts, -1)
+            low, ext = -low, -ext
             fell = False
         else:
-            jd, high, high_ts = next_reversal(px, ts, i, s.high, s.high_ts, down, 1)
-            ju, low, low_ts = next_reversal(neg, ts, i, -s.low, s.low_ts, up, -1)
-            low, ext, ext_ts = -low, None, -1
-            if jd == n and ju == n:
-                return replace(s, high=high, high_ts=high_ts, low=low, low_ts=low_ts)
+            jd, high, high_ts = next_reversal(x, i, high, high_ts, down, 1)
+            ju, low, low_ts = next_reversal(x, i, -low, low_ts, up, -1)
+            low = -low
             fell = jd < ju
             j = jd if fell else ju
-        price, when = float(px[j]), int(ts[j])
+        if j == n:
+            break
+        price, when = x.pl[j], x.tl[j]
         if out is not None:
             if fell:
                 out.append(("PDCC_Down", high_ts, when, high, price, 0.0))
             else:
                 out.append(("PDCC2_UP", low_ts, when, low, price, 0.0))
-            if s.mode == "up":
-                size = (ext - s.anchor) / (s.anchor * up)
-                out.append(("OSV_Up", s.anchor_ts, ext_ts, s.anchor, ext, max(size, 0.0)))
-            elif s.mode == "down":
-                size = (s.anchor - ext) / (s.anchor * down)
-                out.append(("OSV_Down", s.anchor_ts, ext_ts, s.anchor, ext, max(size, 0.0)))
-        s = confirmed("down" if fell else "up", price, when)
+            if mode == "up":
+                size = (ext - anchor) / (anchor * up)
+                out.append(("OSV_Up", anchor_ts, ext_ts, anchor, ext, max(size, 0.0)))
+            elif mode == "down":
+                size = (anchor - ext) / (anchor * down)
+                out.append(("OSV_Down", anchor_ts, ext_ts, anchor, ext, max(size, 0.0)))
+        anchor = ext = price
+        anchor_ts = ext_ts = when
+        high, high_ts = -INF, -1
+        if fell:
+            mode, low, low_ts = "down", price, when
+        else:
+            mode, low, low_ts = "up", INF, -1
         i = j + 1
-    return s
+    return State(mode, high, high_ts, low, low_ts, anchor, anchor_ts, ext, ext_ts)
 
 
 class _Chains:
     """Where each confirmation inside one stretch leads; shared tails are walked once."""
 
-    def __init__(self, px, ts, down, up):
-        self.px, self.neg, self.ts, self.down, self.up = px, -px, ts, down, up
+    def __init__(self, x: Series, down: float, up: float):
+        self.x, self.down, self.up = x, down, up
         self.ends: dict[tuple[str, int], State] = {}
 
     def next_confirm(self, mode: str, pos: int) -> int:
         if mode == "down":
-            own = float(self.neg[pos])
-            return next_reversal(self.neg, self.ts, pos + 1, own, 0, self.up, -1)[0]
-        return next_reversal(self.px, self.ts, pos + 1, -INF, -1, self.down, 1)[0]
+            return next_reversal(self.x, pos + 1, self.x.ql[-1][pos], 0, self.up, -1)[0]
+        return next_reversal(self.x, pos + 1, -INF, -1, self.down, 1)[0]
 
     def tail(self, mode: str, pos: int) -> State:
         """State at the end of the stretch after a confirmation at ``pos``."""
-        path, end = [], None
+        path, end, x = [], None, self.x
         while end is None:
             if (mode, pos) in self.ends:
                 end = self.ends[(mode, pos)]
                 break
             path.append((mode, pos))
             turn = self.next_confirm(mode, pos)
-            if turn == len(self.px):
-                start = confirmed(mode, float(self.px[pos]), int(self.ts[pos]))
-                rest = slice(pos + 1, None)
-                end = advance(start, self.px[rest], self.ts[rest], self.down, self.up)
+            if turn == x.n:
+                start = confirmed(mode, x.pl[pos], x.tl[pos])
+                end = advance_from(start, x, pos + 1, self.down, self.up)
             else:
                 mode, pos = ("up" if mode == "down" else "down"), turn
         for key in path:
@@ -180,32 +217,31 @@ class _Chains:
         with_own, turn = {}, -1
         for pos in records:
             if pos > turn:
-                own = float(self.px[pos])
-                turn = next_reversal(self.px, self.ts, pos + 1, own, 0, self.down, 1)[0]
+                turn = next_reversal(self.x, pos + 1, self.x.pl[pos], 0, self.down, 1)[0]
             with_own[pos] = turn
         turns = {}
         for pos, after in zip(records, records[1:] + [None]):
             if after is None:
                 turns[pos] = self.next_confirm("up", pos)
                 continue
-            between = next_reversal(self.px[:after], self.ts, pos + 1, -INF, -1, self.down, 1)[0]
+            between = next_reversal(self.x, pos + 1, -INF, -1, self.down, 1, after)[0]
             turns[pos] = between if between < after else with_own[after]
         return turns
 
     def open_rises(self, records: list[int]) -> dict[int, State]:
         """End states of rises that nothing reverses."""
-        px, n = self.px, len(self.px)
+        px, n, times = self.x.px, self.x.n, self.x.tl
         peak = np.maximum.accumulate(px[::-1])[::-1]
         at_peak = np.flatnonzero(px == peak)
         last_of = {float(px[p]): int(p) for p in at_peak}
         ends = {}
         for pos in records:
             top = float(peak[pos])
-            state = confirmed("up", float(px[pos]), int(self.ts[pos]))
-            state = replace(state, extreme=top, extreme_ts=int(self.ts[last_of[top]]))
+            state = confirmed("up", float(px[pos]), times[pos])
+            state = replace(state, extreme=top, extreme_ts=times[last_of[top]])
             if pos + 1 < n:
                 first = int(at_peak[np.searchsorted(at_peak, pos + 1)])
-                state = replace(state, high=float(px[first]), high_ts=int(self.ts[first]))
+                state = replace(state, high=float(px[first]), high_ts=times[first])
             ends[pos] = state
         return ends
 
@@ -219,7 +255,7 @@ def _entries(q, stop: int, mode: str, chains: _Chains) -> list[list]:
     Each entry is [price, ts, position, forced, final state]; a null state is the one before it
     with this entry as the anchor.
     """
-    px, ts, n = chains.px, chains.ts, len(q)
+    px, ts, n = chains.x.pl, chains.x.tl, len(q)
     head = q[:stop]
     records: list[int] = []
     if stop:
@@ -230,7 +266,7 @@ def _entries(q, stop: int, mode: str, chains: _Chains) -> list[list]:
     if mode == "down":
         ends = {p: chains.tail("down", still_open[0]) for p in still_open}
         ends = {
-            p: replace(e, anchor=float(px[p]), anchor_ts=int(ts[p])) for p, e in ends.items()
+            p: replace(e, anchor=px[p], anchor_ts=ts[p]) for p, e in ends.items()
         }
     else:
         ends = chains.open_rises(still_open)
@@ -244,7 +280,7 @@ def _entries(q, stop: int, mode: str, chains: _Chains) -> list[list]:
     group, template = None, None
     for pos in positions:
         turn = turns[pos]
-        entry = [float(px[pos]), int(ts[pos]), pos, pos == stop]
+        entry = [px[pos], ts[pos], pos, pos == stop]
         if turn < n:
             if group == turn:
                 rows[-1][:4] = entry
@@ -260,24 +296,22 @@ def _entries(q, stop: int, mode: str, chains: _Chains) -> list[list]:
 
 def summarise(px, ts, down: float, up: float) -> dict:
     """What these ticks do to a state that is not known yet (JSON-safe)."""
-    neg, n = -px, len(px)
-    chains = _Chains(px, ts, down, up)
-    jd, high, high_ts = next_reversal(px, ts, 0, -INF, -1, down, 1)
-    ju, low, low_ts = next_reversal(neg, ts, 0, -INF, -1, up, -1)
-    if jd == n:
-        top, top_ts = overshoot(px, ts, 0, n, None, -1)
-    else:
-        top, top_ts = None, -1
-    if ju == n:
-        bottom, bottom_ts = overshoot(neg, ts, 0, n, None, -1)
-    else:
-        bottom, bottom_ts = None, -1
+    return summarise_series(Series(px, ts), down, up)
+
+
+def summarise_series(x: Series, down: float, up: float) -> dict:
+    """``summarise`` over a prepared series."""
+    chains, n = _Chains(x, down, up), x.n
+    jd, high, high_ts = next_reversal(x, 0, -INF, -1, down, 1)
+    ju, low, low_ts = next_reversal(x, 0, -INF, -1, up, -1)
+    top, top_ts = overshoot(x, 0, n, None, -1, 1) if jd == n else (None, -1)
+    bottom, bottom_ts = overshoot(x, 0, n, None, -1, -1) if ju == n else (None, -1)
     return {
         "high": high, "high_ts": high_ts, "low": -low, "low_ts": low_ts,
         "top": top, "top_ts": top_ts,
         "bottom": None if bottom is None else -bottom, "bottom_ts": bottom_ts,
-        "falls": _entries(px, jd, "down", chains),
-        "rises": _entries(neg, ju, "up", chains),
+        "falls": _entries(x.q[1], jd, "down", chains),
+        "rises": _entries(x.q[-1], ju, "up", chains),
         "down": down, "up": up,
     }
 

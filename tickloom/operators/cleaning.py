@@ -157,11 +157,11 @@ def flatten_telemetry(df: DataFrame, line: str = "value") -> dict[str, DataFrame
 
 # --- order and fill messages -----------------------------------------------------------------
 
-ORDER_UPDATES = T.StructType.fromDDL(
+ORDER_UPDATES = (
     "channel string, data array<struct<order: struct<coin: string, side: string, "
     "limitPx: string, sz: string, oid: bigint, cloid: string>, status: string>>"
 )
-USER_EVENTS = T.StructType.fromDDL(
+USER_EVENTS = (
     "channel string, data struct<fills: array<struct<coin: string, side: string, px: string, "
     "sz: string, oid: bigint, cloid: string>>, twapHistory: array<struct<state: struct<"
     "coin: string, side: string, sz: string, executedSz: string, executedNtl: string, "

@@ -24,7 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.reversal import State, advance, apply, summarise
+from tickloom.functions.reversal import (
+    Series,
+    State,
+    advance_from,
+    apply,
+    summarise_series,
+)
 from tickloom.functions.scalars import zero_if_bad
 from tickloom.functions.thresholds import parse_threshold
 from tickloom.operators.joins import asof_backward, asof_in_interval, carry_states
@@ -65,7 +71,8 @@ def _summaries(ticks: DataFrame, by: tuple[str, ...], pairs, schema_by: str) ->
 
         def flush():
             p, t = np.concatenate(px), np.concatenate(ts)
-            body = json.dumps([summarise(p, t, d, u) for d, u in pairs])
+            x = Series(p, t)
+            body = json.dumps([summarise_series(x, d, u) for d, u in pairs])
             row = dict(zip(keys, key), __part=part, summary=body)
             return pd.DataFrame([row])
 
@@ -135,11 +142,10 @@ def _emit(rows: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], pairs, sc
                         a += 1
                 if a == s.stop:
                     continue
+                x = Series(price[a : s.stop], when[a : s.stop])
                 for i, (down, up) in enumerate(pairs):
                     events: list[tuple] = []
-                    states[i] = advance(
-                        states[i], price[a : s.stop], when[a : s.stop], down, up, events
-                    )
+                    states[i] = advance_from(states[i], x, 0, down, up, events)
                     out.extend((*k[: len(by)], down, up, *e) for e in events)
             names = [*by, *[f"c{i}" for i in range(width)]]
             frame = pd.DataFrame(out, columns=names)

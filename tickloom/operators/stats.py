@@ -84,7 +84,13 @@ def ranked_values(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     points = [i / SPLITS for i in range(1, SPLITS)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(col, points, 2000).alias("__cuts"))
     placed = counts.join(cuts, list(by), "left") if by else counts.crossJoin(F.broadcast(cuts))
-    bucket = F.size(F.filter("__cuts", lambda c: c < F.col("value")))
+    # Binary search for the number of cuts below the value.
+    steps = F.array(*[F.lit(SPLITS >> k) for k in range(1, SPLITS.bit_length())])
+    bucket = F.aggregate(
+        steps, F.lit(0),
+        lambda at, s: at
+        + F.when(F.get("__cuts", at + s - 1) < F.col("value"), s).otherwise(F.lit(0)),
+    )
     placed = placed.withColumn("__bucket", bucket).drop("__cuts")
     inside = Window.partitionBy(*by, "__bucket").orderBy("value").rowsBetween(_UP, -1)
     totals = placed.groupBy(*by, "__bucket").agg(F.sum("n").alias("__t"))

@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(),
+    "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Flat ``name type, ...`` text; usable before a session exists."""
+    pairs = [f.split() for f in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 TICK = _schema(
@@ -45,9 +54,15 @@ FILL = _schema(
 SESSION_REPORT = _schema(
     "symbol string, threshold double, sl_pct double, tp_pct double, trail_pct double, "
     "position_size_usd double, leverage double, duration_seconds double, tick_count bigint, "
-    "signal_count bigint, dc_event_count bigint, "
-    "signals array<struct<timestamp: double, type: string, price: double, size: double, "
-    "reason: string>>"
+    "signal_count bigint, dc_event_count bigint"
+).add(
+    "signals",
+    T.ArrayType(
+        _schema("timestamp double, type string, price double, size double, reason string")
+    ),
+)
+LEADER_ROW = _schema("ethAddress string, displayName string, accountValue string").add(
+    "windowPerformances", T.ArrayType(T.ArrayType(T.StringType()))
 )
 TICK_MESSAGE = _schema("symbol string, price string, timestamp string")
 

@@ -259,12 +259,6 @@ def read_session_reports(spark: SparkSession, path: str, ids: Sequence[str] | No
     ).withColumn("signals", F.coalesce("signals", F.array().cast(schema["signals"].dataType))).drop(bad)
 
 
-LEADER_ROW = T.StructType.fromDDL(
-    "ethAddress string, displayName string, accountValue string, "
-    "windowPerformances array<array<string>>"
-)
-
-
 def flatten_leaderboard(rows: DataFrame) -> DataFrame:
     """Leaderboard rows with ``windowPerformances: [[window, {pnl, roi, vlm}]]`` made flat.
 
@@ -291,12 +285,13 @@ def flatten_leaderboard(rows: DataFrame) -> DataFrame:
 
 def read_leaderboard(spark: SparkSession, path: str) -> DataFrame:
     """A document ``{leaderboardRows: [...]}`` or one row per line."""
-    doc = T.StructType([T.StructField("leaderboardRows", T.ArrayType(LEADER_ROW)), *LEADER_ROW.fields])
+    row = schemas.LEADER_ROW
+    doc = T.StructType([T.StructField("leaderboardRows", T.ArrayType(row)), *row.fields])
     raw = spark.read.schema(doc).json(path, multiLine=path.endswith(".json"))
     nested = raw.where("leaderboardRows is not null").select(
         F.explode("leaderboardRows").alias("r")
     ).select("r.*")
-    flat = raw.where("leaderboardRows is null").select(*LEADER_ROW.names)
+    flat = raw.where("leaderboardRows is null").select(*row.names)
     return flatten_leaderboard(nested.unionByName(flat))
 
 

@@ -25,79 +25,60 @@ OUT_NAMES = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
 
 
 class TrendProcessor(StatefulProcessor):
-    """Per symbol: one trend state per threshold, and ticks not yet covered by the watermark.
+    """Per symbol: one trend state per threshold, and recent ticks that may still be overtaken.
 
-    ``delay`` is the watermark delay in microseconds; None takes ticks in arrival order. With a
-    delay, ticks wait until the watermark passes them and are applied in event-time order; a tick
-    older than what was already applied comes out as ``late``.
+    With ``delay`` (microseconds) ticks wait until the symbol's newest tick is that much later, and
+    are then applied in event-time order; a tick older than what was already applied comes out as
+    ``late`` instead of being lost. Without a delay, ticks count in arrival order.
     """
 
     def __init__(self, pairs, delay: int | None):
         self.pairs, self.delay = pairs, delay
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.trend = handle.getValueState("trend", "body string, applied long")
-        if self.delay is not None:
-            self.waiting = handle.getListState("waiting", "us long, seq long, price double")
+        self.waiting = handle.getListState("waiting", "us long, seq long, price double")
 
-    def _load(self) -> tuple[list[State], int]:
-        if not self.trend.exists():
-            return [State()] * len(self.pairs), -1
-        body, applied = self.trend.get()
-        return [State(**s) for s in json.loads(body)], int(applied)
-
-    def _apply(self, symbol: str, us: np.ndarray, px: np.ndarray) -> list[tuple]:
-        states, applied = self._load()
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
+        states, applied = [State()] * len(self.pairs), -1
+        if self.trend.exists():
+            body, applied = self.trend.get()
+            states = [State(**s) for s in json.loads(body)]
         out = []
+        if self.delay is None:
+            due = pdf
+        else:
+            late = pdf[pdf["us"] < applied]
+            out = [
+                (key[0], "late", None, None, None, None, None, None, p, None, u)
+                for u, p in zip(late["us"].tolist(), late["price"].tolist())
+            ]
+            due = self._due(pdf[pdf["us"] >= applied])
+        us, px = due["us"].to_numpy(np.int64), due["price"].to_numpy(float)
         for i, (down, up) in enumerate(self.pairs):
             events: list[tuple] = []
             states[i] = advance(states[i], px, us, down, up, events)
-            for kind, start, end, p0, p1, osv in events:
-                confirm = max(start, end)
-                out.append((symbol, "event", kind, down, up, start, end, p0, p1, osv, confirm))
-        applied = max(applied, int(us[-1])) if len(us) else applied
+            out += [(key[0], "event", e[0], down, up, *e[1:], e[2]) for e in events]
+        if len(us):
+            applied = max(applied, int(us[-1]))
         self.trend.update((json.dumps([asdict(s) for s in states]), applied))
-        return out
-
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))
-        if self.delay is None:
-            pdf = pdf.sort_values(["us", "seq"], kind="stable")
-            out = self._apply(key[0], pdf["us"].to_numpy(), pdf["price"].to_numpy())
-            yield pd.DataFrame(out, columns=OUT_NAMES)
-            return
-        applied = self._load()[1]
-        late = pdf[pdf["us"] < applied]
-        fresh = pdf[pdf["us"] >= applied]
-        if len(fresh):
-            self.waiting.appendList(
-                [(int(a), int(b), float(c)) for a, b, c in fresh[["us", "seq", "price"]].to_numpy(object)]
-            )
-            self.handle.registerTimer(int(fresh["us"].max() // 1000) + 1)
-        out = [
-            (key[0], "late", None, None, None, None, None, None, p, None, u)
-            for u, p in zip(late["us"].tolist(), late["price"].tolist())
-        ]
-        out += self._release(key[0], timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame(out, columns=OUT_NAMES)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        out = self._release(key[0], timerValues.getCurrentWatermarkInMs())
-        yield pd.DataFrame(out, columns=OUT_NAMES)
-
-    def _release(self, symbol: str, watermark_ms: int) -> list[tuple]:
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted(r for r in rows if r[0] <= watermark_ms * 1000)
-        if not due:
-            return []
-        rest = [tuple(r) for r in rows if r[0] > watermark_ms * 1000]
+    def _due(self, fresh: pd.DataFrame) -> pd.DataFrame:
+        """Waiting and new ticks that nothing in time can overtake; the rest keeps waiting."""
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        both = pd.concat([pd.DataFrame(held, columns=["us", "seq", "price"]), fresh[["us", "seq", "price"]]])
+        if not len(both):
+            return both
+        both = both.sort_values(["us", "seq"], kind="stable")
+        ready = both["us"] <= both["us"].max() - self.delay
+        rest = [(int(a), int(b), float(c)) for a, b, c in both[~ready].itertuples(index=False)]
         if rest:
             self.waiting.put(rest)
-        else:
+        elif held:
             self.waiting.clear()
-        us = np.array([r[0] for r in due], np.int64)
-        return self._apply(symbol, us, np.array([r[2] for r in due], float))
+        return both[ready]
 
     def close(self) -> None:
         pass
@@ -110,25 +91,20 @@ def dc_stream(
     """Events of a streaming tick frame; ``kind`` is ``event``, or ``late`` for ticks too old to use.
 
     State is one small row per symbol for all thresholds. ``watermark`` (such as ``"10 seconds"``)
-    turns on event-time order; without it ticks count in arrival order.
+    turns on event-time order: a tick counts once its symbol has moved on by that much.
     """
     pairs = [parse_threshold(t) for t in thresholds]
     rows = ticks.where(F.col(price).isNotNull() & F.col(ts).isNotNull()).select(
         F.col(by).cast("string").alias("symbol"),
-        F.col(ts).cast("timestamp").alias("event_ts"),
         micros(ticks, ts).alias("us"),
         (F.col(order).cast("long") if order else F.lit(0).cast("long")).alias("seq"),
         F.col(price).cast("double").alias("price"),
     )
-    delay = None
-    if watermark:
-        delay = span_micros(watermark)
-        rows = rows.withWatermark("event_ts", watermark)
     found = rows.groupBy("symbol").transformWithStateInPandas(
-        statefulProcessor=TrendProcessor(pairs, delay),
+        statefulProcessor=TrendProcessor(pairs, span_micros(watermark) if watermark else None),
         outputStructType=OUT_SCHEMA,
-        outputMode="append" if watermark else "update",
-        timeMode="EventTime" if watermark else "None",
+        outputMode="update",
+        timeMode="None",
     )
     at = lambda c: F.timestamp_micros(F.col(c)).cast("timestamp_ntz")
     return found.select(
