@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+
 UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 CHUNK, PIECE, INDEX, MICROS = "__chunk", "__piece", "__index", "__micros"
 _UP, _UF = Window.unboundedPreceding, Window.unboundedFollowing

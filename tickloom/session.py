@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import pathlib
-import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,26 +31,32 @@ def local_session(cores: int | str = 8, memory: str = "12g", **conf: str) -> Spa
     return spark
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once, for the functions that run inside tasks."""
-    sc = spark.sparkContext
-    if getattr(sc, "_tickloom_sent", False):
-        return
-    root = pathlib.Path(__file__).resolve().parents[1]
-    target = pathlib.Path(tempfile.mkdtemp(prefix="spark-")) / "tickloom"
-    sc.addPyFile(shutil.make_archive(str(target), "zip", root, "tickloom"))
-    sc._tickloom_sent = True
+def use_rocksdb(spark: SparkSession) -> None:
+    """Typed state needs the RocksDB provider; queries started from here on use it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names; survives executor loss.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A folder is created here only when none is configured, as in local tests.
+    Only where the session names none, as in local tests, a temporary one is made and kept.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(named)
+    return named
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own for one run, in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/tickloom/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives the loss of executors."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-        )
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tickloom.functions.reversal import State, advance
 from tickloom.functions.thresholds import parse_threshold
 from tickloom.operators.timeline import micros, span_micros
+from tickloom.session import use_rocksdb
 
 OUT_SCHEMA = (
     "symbol string, kind string, event_type string, threshold_down double, threshold_up double, "
@@ -93,6 +94,7 @@ def dc_stream(
     State is one small row per symbol for all thresholds. ``watermark`` (such as ``"10 seconds"``)
     turns on event-time order: a tick counts once its symbol has moved on by that much.
     """
+    use_rocksdb(ticks.sparkSession)
     pairs = [parse_threshold(t) for t in thresholds]
     rows = ticks.where(F.col(price).isNotNull() & F.col(ts).isNotNull()).select(
         F.col(by).cast("string").alias("symbol"),

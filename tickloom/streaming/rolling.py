@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tickloom.session import use_rocksdb
+
+
 OUT_SCHEMA = (
     "symbol string, us long, direction int, regime string, momentum double, bias double, "
     "trend string"
@@ -67,6 +70,7 @@ def rolling_stream(
     events: DataFrame, regime_s: float = 600, trend_s: float = 900, alpha: float = 0.3
 ) -> DataFrame:
     """``events(symbol, end_time, start_price, end_price, event_type)`` to per-event states."""
+    use_rocksdb(events.sparkSession)
     rows = events.where(F.col("event_type").isin("PDCC_Down", "PDCC2_UP")).select(
         "symbol",
         F.unix_micros(F.col("end_time").cast("timestamp")).alias("us"),

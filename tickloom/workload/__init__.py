@@ -3,7 +3,15 @@
 
 def load():
     """The registry with every query module imported."""
-    from tickloom.workload import comparisons, events, ledgers, market, rankings, registry
+    from tickloom.workload import (
+        comparisons,
+        events,
+        ledgers,
+        market,
+        rankings,
+        registry,
+        storage,
+    )
 
-    _ = (comparisons, events, ledgers, market, rankings)
+    _ = (comparisons, events, ledgers, market, rankings, storage)
     return registry

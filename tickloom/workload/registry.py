@@ -8,8 +8,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.session import ship_package
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -52,7 +50,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6)
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            ship_package(spark)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return rounded(fn(Tables(spark, folder)), names, digits)
 
         QUERIES[name] = run
