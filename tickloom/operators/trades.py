@@ -22,6 +22,7 @@ from tickloom.operators.timeline import (
     min_so_far,
     ordered_fold,
     previous,
+    rows_frame,
     running,
 )
 from tickloom.operators.windows import (
@@ -867,13 +868,17 @@ def basis_pnl(
     notional_usd: float = 100.0,
     fee: float = 0.0011,
     tie: Sequence[str] = (),
+    span: str | int = "30 days",
 ) -> DataFrame:
     """Spot-plus-short-perpetual trades on hourly funding (rate, mark_price, oracle_price).
 
-    Both streaks restart when a position closes, which makes a market's observations sequential:
-    they stream through the fold one Arrow batch at a time. Funding is paid hourly, so a market has
-    under 9,000 rows a year.
+    Both streaks restart when a position closes, so observations depend on the ones before. But
+    ``exit_hours`` low rates in a row leave no position open and no entry under way, whatever was
+    before them: the first higher rate after such a run starts afresh. Stretches between these
+    points are folded independently.
     """
+    if exit_rate >= enter_rate:
+        raise ValueError("the exit rate must be below the entry rate")
     hour = 3_600_000_000
 
     def fold(batches):
@@ -882,11 +887,12 @@ def basis_pnl(
             cols = [pdf[k].to_numpy() for k in by]
             at, rate = pdf["__at"].to_numpy(), pdf["rate"].to_numpy()
             spot, perp = pdf["oracle_price"].to_numpy(), pdf["mark_price"].to_numpy()
+            stretch = pdf["__stretch"].to_numpy()
             out = []
             for i in range(len(pdf)):
                 now = tuple(c[i] for c in cols)
-                if now != key:
-                    key, above, below, pos = now, 0, 0, None
+                if (now, stretch[i]) != key:
+                    key, above, below, pos = (now, stretch[i]), 0, 0, None
                 above = above + 1 if rate[i] >= enter_rate else 0
                 below = below + 1 if rate[i] <= exit_rate else 0
                 if pos is None:
@@ -913,7 +919,18 @@ def basis_pnl(
 
     keys = ", ".join(f"`{c}` {funding.schema[c].dataType.simpleString()}" for c in by)
     rows = funding.where(F.col("rate").isNotNull()).withColumn("__at", micros(funding, ts))
-    trades = ordered_fold(rows, by, ["__at", *tie], fold, f"{keys}, {BASIS_SCHEMA}")
+    tl = Timeline.of(by, ts, tie, span)
+    low = (F.col("rate") <= exit_rate).cast("int")
+
+    def run_before(w):
+        w = w.rowsBetween(-exit_hours, -1)
+        return {"__low_run": (F.count(low).over(w) == exit_hours) & (F.min(low).over(w) == 1)}
+
+    marked = rows_frame(rows, tl, exit_hours, 0, run_before)
+    cut = islands(marked, tl, F.col("__low_run") & (low == 0), "__stretch")
+    trades = ordered_fold(
+        cut, [*by, "__stretch"], ["__at", *tie], fold, f"{keys}, {BASIS_SCHEMA}"
+    )
     spot = (F.col("spot_exit") - F.col("spot_entry")) / F.col("spot_entry") * F.lit(notional_usd)
     perp = (F.col("perp_entry") - F.col("perp_exit")) / F.col("perp_entry") * F.lit(notional_usd)
     kind = funding.schema[ts].dataType
