@@ -90,7 +90,7 @@ def _summaries(ticks: DataFrame, by: tuple[str, ...], pairs, schema_by: str) ->
         if key is not None:
             yield flush()
 
-    order = ["__us", *[c for c in ticks.columns if c.startswith("__tie")]]
+    order = ["__us", *[c for c in ticks.columns if c.startswith("__tie")], "__px"]
     return ordered_fold(
         ticks, keys, order, fold, f"{schema_by}, {CHUNK} bigint, __part int, summary string"
     )
@@ -152,7 +152,7 @@ def _emit(rows: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], pairs, sc
             frame.columns = [*by, *[c.split()[0] for c in EVENT_COLUMNS.split(", ")]]
             yield frame
 
-    order = ["__us", *[c for c in rows.columns if c.startswith("__tie")]]
+    order = ["__us", *[c for c in rows.columns if c.startswith("__tie")], "__px"]
     return ordered_fold(rows, keys, ["__head", *order], fold, f"{schema_by}, {EVENT_COLUMNS}")
 
 
@@ -168,6 +168,7 @@ def dc_events(
     """Confirmations (``PDCC_Down``, ``PDCC2_UP``) and overshoots per key and threshold.
 
     ``span`` is the chunk length; None runs each key as one stream (cheapest when no key is hot).
+    Ticks that ``ts`` and ``order`` leave tied are taken by price, so a rerun gives the same events.
     """
     tl = Timeline.of(by, ts, order, span or "1 day")
     pairs = [parse_threshold(t) for t in thresholds]

@@ -188,8 +188,8 @@ def _(t: Tables):
     nested = t.part.select(
         F.concat(F.col("p_name"), F.col("p_partkey").cast("string")).alias("asset"),
         F.array(
-            venue("BinPerp", F.col("p_size") / F.lit(1e5)),
-            venue("HlPerp", F.col("p_size") / F.lit(1e6)),
+            venue("venue_a", F.col("p_size") / F.lit(1e5)),
+            venue("venue_b", F.col("p_size") / F.lit(1e6)),
         ).alias("venues"),
     )
-    return R.venue_funding(nested, "HlPerp")
+    return R.venue_funding(nested, "venue_b")
