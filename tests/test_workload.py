@@ -52,3 +52,21 @@ def test_filters_and_columns_reach_the_scan(spark):
     pushed = plan.split("PushedFilters: ")[1].split("ReadSchema")[0]
     assert "EqualTo(event_type,click)" in pushed
     assert "props" not in plan.split("ReadSchema")[1]
+
+
+def test_supervised_windows_end_to_end(spark):
+    from tickloom.plans.features import WindowPlan, supervised_windows
+    from tickloom.workload.registry import Tables
+
+    plan = WindowPlan(
+        thresholds=(0.1, 0.3), length=10, gap=5, horizon=2, span="7 days", order=("event_id",)
+    )
+    ticks = Tables(spark, FOLDER).ticks
+    out = supervised_windows(ticks, plan).cache()
+    first = out.first()
+    assert len(first.x) == 10 and len(first.x[0]) == 13 and len(first.y) == 2
+    per_symbol = {r.symbol: r["count"] for r in ticks.groupBy("symbol").count().collect()}
+    for r in out.groupBy("symbol", "split").count().collect():
+        n = per_symbol[r.symbol]
+        rows = {"train": int(n * 0.7), "val": int(n * 0.9) - int(n * 0.7), "test": n - int(n * 0.9)}
+        assert r["count"] == rows[r.split] - 16
