@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions import tests as P
+from tickloom.functions import pvalues as P
 from tickloom.operators import ml, stats
 from tickloom.operators.joins import reconcile_positions, zip_thresholds
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.functions.tests import normal_sf2, student_sf2, wilcoxon_exact_sf2
+from tickloom.functions.pvalues import normal_sf2, student_sf2, wilcoxon_exact_sf2
 from tickloom.operators.timeline import (
     Timeline,
     max_of_key,
