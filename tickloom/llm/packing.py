@@ -170,7 +170,7 @@ def pack(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, tex
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", ignore_index=True)
         bins, offsets = best_two_fit(pdf.length.to_numpy(), room)
-        return pdf.assign(sequence_id=(pdf.packed << 32) + bins, offset=offsets).drop(columns="packed")
+        return pdf.assign(sequence_id=pdf.packed * 2**32 + bins, offset=offsets).drop(columns="packed")
 
     schema = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     small = dealt.select("row", "doc_id", "piece", "start", "length", "ids_crc32", group.alias("packed"))
