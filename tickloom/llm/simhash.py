@@ -189,3 +189,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     named = store(joined.join(least, "component").select("fp", "component_id"), "named")
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return own.join(named, "fp").select("doc_id", shown, "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, less all but the first row of each group of near duplicates.
+
+    Rows are numbered in a stored copy, so null and repeated ids need no care.
+    """
+    row = next(name for name in ("row", *(f"row_{i}" for i in range(len(docs.columns) + 1))) if name not in docs.columns)
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    near = near_duplicates(numbered, text, row)
+    gone = store(near.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "gone")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
