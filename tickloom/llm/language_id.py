@@ -15,8 +15,8 @@ BITS = 16  # features: hashed n-grams of one to three characters
 ORDERS = (1, 2, 3)
 PER_CLASS = 3000  # documents of a language that the fit takes, about; all if there are fewer
 TUNE = 5  # of these, one in so many is kept from the fit to set the temperature
-EPOCHS, BATCH = 4, 16
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-4
+EPOCHS, BATCH, STEPS = 4, 16, 1000  # passes over the sample, documents of a step, steps at least
+ALPHA, BETA, L1, L2 = 2.0, 0.1, 1e-4, 1e-4
 UNKNOWN = "und"
 LEAST_SCORE = 0.5
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
@@ -119,7 +119,7 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, man
         return np.where(np.abs(zz) <= L1, 0.0, w)
 
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * BATCH // max(1, len(rows))))):
         order = rng.permutation(len(rows))
         for start in range(0, len(order), BATCH):
             some = order[start : start + BATCH]
