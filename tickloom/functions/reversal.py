@@ -51,6 +51,8 @@ class Series:
     __slots__ = ("n", "px", "ts", "q", "ql", "pl", "tl")
 
     def __init__(self, px, ts):
+        if len(px) and not (np.isfinite(px).all() and px.min() > 0):
+            raise ValueError("prices must be finite and above zero")
         self.n, self.px, self.ts = len(px), px, ts
         neg = -px
         self.q = {1: px, -1: neg}
@@ -64,7 +66,8 @@ def next_reversal(s: Series, i, best, best_ts, theta, sign, n=None):
     ``q`` is the price for a down move (``sign=1``) and minus the price for an up move
     (``sign=-1``); the test is then ``max - px >= max * theta`` or ``px - min >= min * theta``.
     Returns (position or ``n``, running maximum before it, its time). Close reversals are found
-    tick by tick, far ones in growing array blocks.
+    tick by tick, far ones in growing array blocks; on finite prices both test the same condition
+    with the same numbers.
     """
     n = s.n if n is None else n
     values, times = s.ql[sign], s.tl

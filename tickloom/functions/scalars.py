@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+YEARS = (-62_135_596_800.0, 253_402_300_799.0)  # epoch seconds of the years 1 to 9999
 EARTH_RADIUS_M = 6_371_010.0  # fixed value: mean radius used for great-circle distance
 
 
 def coerce_ts(col: Column, strict: bool = False) -> Column:
     """Text to ``timestamp``: a number is epoch seconds, anything else ISO text.
 
-    ``Z`` and a trailing `` UTC`` are accepted. Bad input gives null, or an error when strict.
+    ``Z`` and a trailing `` UTC`` are accepted. Bad input, and a number that is no moment of the years 1
+    to 9999, gives null, or an error when strict.
     """
     text = F.trim(col.cast("string"))
     seconds = text.try_cast("double")
     iso = F.regexp_replace(F.regexp_replace(text, r"\s*UTC$", ""), r"Z$", "+00:00")
     parsed = F.coalesce(
-        F.timestamp_micros(F.round(seconds * 1_000_000).cast("long")), iso.try_cast("timestamp")
+        F.timestamp_micros(F.round(F.when(seconds.between(*YEARS), seconds) * 1_000_000).cast("long")),
+        iso.try_cast("timestamp"),
     )
     if not strict:
         return parsed
@@ -92,6 +95,12 @@ def safe_div(a: Column, b: Column, fallback: float = 0.0) -> Column:
     return F.when(b == 0, F.lit(fallback)).otherwise(F.try_divide(a, b))
 
 
+def usable_price(x: Column) -> Column:
+    """Whether a price is a finite number above zero; never null."""
+    x = x.cast("double")
+    return F.coalesce((x > 0) & (x < F.lit(float("inf"))), F.lit(False))
+
+
 def zero_if_bad(x: Column) -> Column:
     """Null, NaN and infinities become zero."""
     inf = float("inf")

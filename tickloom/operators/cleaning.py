@@ -15,8 +15,8 @@ from tickloom.functions.scalars import (
     haversine_m,
     is_supported_market,
     market_type,
+    usable_price,
 )
-from tickloom.operators.joins import broadcast_if_small
 
 CLIENT_ID_MAGIC = b"COPYBOT1".hex()  # fixed value: first 8 bytes of a mirror order's id
 
@@ -55,7 +55,7 @@ def parsed_ticks(
     ts = coerce_ts(F.col("__d")[timestamp_field]).cast("timestamp_ntz")
     error = (
         F.when(symbol.isNull(), f"missing {symbol_field}")
-        .when(price.isNull(), f"bad {price_field}")
+        .when(~usable_price(price), f"bad {price_field}")
         .when(ts.isNull(), f"bad {timestamp_field}")
     )
     return (
@@ -180,8 +180,8 @@ def orders_to_actions(
     left out; PLACE and CANCEL only for orders not mirrored yet, FILL only for mirrored ones.
     """
     channel = F.get_json_object(F.col(line), "$.channel")
-    known = broadcast_if_small(mappings.select(F.col("leader_oid")).distinct())
-    mine = broadcast_if_small(mappings.select(F.col("follower_oid").alias("leader_oid")).distinct())
+    known = mappings.select(F.col("leader_oid")).distinct()
+    mine = mappings.select(F.col("follower_oid").alias("leader_oid")).distinct()
 
     orders = (
         messages.where(channel == "orderUpdates")
@@ -277,7 +277,7 @@ def round_to_venue(orders: DataFrame, meta: DataFrame) -> DataFrame:
     ``sz_decimals``) that leave five significant digits, rounding down for buys and up for sells;
     whole numbers are always allowed. A size or price that is not positive gets ``error``.
     """
-    o = orders.join(broadcast_if_small(meta), "coin", "left")
+    o = orders.join(meta, "coin", "left")
     size, price = F.col("size").cast("decimal(28,10)"), F.col("price").cast("decimal(28,10)")
     cap = F.greatest(
         F.when(F.col("is_spot"), 8).otherwise(6) - F.col("sz_decimals"), F.lit(0)

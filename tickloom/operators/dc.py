@@ -31,7 +31,7 @@ from tickloom.functions.reversal import (
     apply,
     summarise_series,
 )
-from tickloom.functions.scalars import zero_if_bad
+from tickloom.functions.scalars import usable_price, zero_if_bad
 from tickloom.functions.thresholds import parse_threshold
 from tickloom.operators.joins import asof_backward, asof_in_interval, carry_states
 from tickloom.operators.timeline import (
@@ -169,12 +169,13 @@ def dc_events(
 
     ``span`` is the chunk length; None runs each key as one stream (cheapest when no key is hot).
     Ticks that ``ts`` and ``order`` leave tied are taken by price, so a rerun gives the same events.
+    Prices that aren't finite and above zero take no part; ``bad_ticks`` has them.
     """
     tl = Timeline.of(by, ts, order, span or "1 day")
     pairs = [parse_threshold(t) for t in thresholds]
     kind = ticks.schema[ts].dataType
     ties = {f"__tie{i}": F.col(c) for i, c in enumerate(tl.tie)}
-    rows = ticks.where(F.col(price).isNotNull() & F.col(ts).isNotNull()).select(
+    rows = ticks.where(usable_price(F.col(price)) & F.col(ts).isNotNull()).select(
         *tl.by,
         micros(ticks, ts).alias("__us"),
         F.col(price).cast("double").alias("__px"),
@@ -203,6 +204,13 @@ def dc_events(
     )
 
 
+def bad_ticks(ticks: DataFrame, ts: str = "ts", price: str = "price") -> DataFrame:
+    """The ticks that ``dc_events`` leaves out, with the reason in ``error``."""
+    error = F.when(F.col(ts).isNull(), f"no {ts}").when(F.col(price).isNull(), f"no {price}")
+    error = error.when(~usable_price(F.col(price)), f"bad {price}")
+    return ticks.withColumn("error", error).where(F.col("error").isNotNull())
+
+
 def _time(us: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.LongType, T.IntegerType)):
         return us.cast(kind)

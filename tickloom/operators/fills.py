@@ -8,101 +8,106 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.timeline import Timeline, islands, ordered_fold
+from tickloom.operators.timeline import Timeline, islands, ordered_fold, previous, running
 from tickloom.operators.trades import TAKER_FEE, leg_pnl
 from tickloom.operators.windows import reversal_lookahead
+from tickloom.session import cut_lineage
 
 DUST = 1e-12
+STRETCHES = 100_000  # stretches of a key that are numbered in one task
 FOLD_SCHEMA = (
     "kind string, side string, entry_price double, exit_price double, size double, "
     "entry_ms long, exit_ms long, is_reversal boolean, fill_no long"
 )
 
 
-class _Position:
-    """The open position of one (wallet, coin) and what a fill does to it."""
-
-    __slots__ = ("side", "entry", "size", "notional", "since")
-
-    def __init__(self):
-        self.side = None
-
-    def open(self, side: str, px: float, sz: float, at: int) -> None:
-        if self.side is None:
-            self.side, self.entry, self.size = side, px, sz
-            self.notional, self.since = px * sz, at
-        elif self.side == side:
-            self.notional += px * sz
-            self.size += sz
-            self.entry = self.notional / self.size
-
-    def close(self, px: float, sz: float, at: int, reversal: bool):
-        """The closed part as a trade row, or None when nothing is open."""
-        if self.side is None:
-            return None
-        part = min(sz, self.size)
-        row = ("trade", self.side, self.entry, px, part, self.since, at, reversal)
-        self.size -= part
-        self.notional = self.entry * self.size
-        if self.size <= DUST:
-            self.side = None
-        return row
-
-    def fill(self, kind: str, px: float, sz: float, at: int, start: float, reversal: bool):
-        if kind.startswith("Open"):
-            self.open("LONG" if "Long" in kind else "SHORT", px, sz, at)
-            return None
-        if kind.startswith("Close"):
-            return self.close(px, sz, at, reversal)
-        if ">" not in kind:
-            return None
-        closing = abs(start) if start else sz
-        row = None
-        if self.side is not None:
-            closing = min(closing, self.size)
-            row = self.close(px, closing, at, True)
-        if sz - closing > DUST:
-            self.open("SHORT" if kind == "Long > Short" else "LONG", px, sz - closing, at)
-        return row
+FIELDS = ("px", "sz", "__sign", "__close", "time", "is_reversal")
+
+
+def with_effect(fills: DataFrame) -> DataFrame:
+    """What a fill asks for: ``__close`` units off the held position, the rest of ``sz`` on side ``__sign``.
+
+    An opening fill closes nothing and a closing one opens nothing (sign 0). A flip closes what the
+    venue says is held, or its whole size where it says nothing, and is a reversal.
+    """
+    kind, flip = F.coalesce("dir", F.lit("")), F.coalesce(F.col("dir").contains(">"), F.lit(False))
+    opens = kind.startswith("Open")
+    sign = F.when(opens, F.when(kind.contains("Long"), 1).otherwise(-1)).when(
+        kind.startswith("Close"), 0
+    ).when(flip, F.when(kind == "Long > Short", -1).otherwise(1))
+    held = F.abs("startPosition")
+    close = F.when(opens, 0.0).when(sign == 0, F.col("sz")).otherwise(F.when(held > 0, held).otherwise(F.col("sz")))
+    return fills.withColumns({
+        "__sign": sign.cast("int"), "__close": close,
+        "is_reversal": F.coalesce("is_reversal", F.lit(False)) | (flip & ~opens & (sign != 0)),
+    }).where(F.col("__sign").isNotNull())
 
 
 def _fold(keys: Sequence[str], last_only: bool):
-    """Stream fills; emit trades, then what is left open (``last_only``: only whether it is flat)."""
+    """Signed position over fills: ``q`` units at mean price ``mean`` since ``born``.
+
+    A fill takes ``min(close, |q|)`` units off (a round trip at the mean price) and, when what is left
+    is flat or on its side, adds the rest of its size. Emits round trips, then what is left open
+    (``last_only``: only that, flat or not).
+    """
 
     def fold(batches):
-        key, pos, number = None, _Position(), 0
+        key, number = None, 0
+        q = mean = 0.0
+        born = None
         names = [*keys, *[c.split()[0] for c in FOLD_SCHEMA.split(", ")]]
+        side = lambda q: "LONG" if q > 0 else "SHORT"
 
         def left_over():
-            if last_only or pos.side is not None:
-                held = pos.side is not None
-                return (
-                    *key, "open", pos.side, pos.entry if held else None, None,
-                    pos.size if held else 0.0, pos.since if held else None, None, False, number,
-                )
-            return None
+            if q:
+                return [(*key, "open", side(q), mean, None, abs(q), born, None, False, number)]
+            return [(*key, "open", None, None, None, 0.0, None, None, False, number)] * last_only
 
         for pdf in batches:
             out = []
             cols = [pdf[k].to_numpy() for k in keys]
-            fields = [pdf[c].tolist() for c in ("dir", "px", "sz", "time", "startPosition", "is_reversal")]
-            for i, (kind, px, sz, at, start, rev) in enumerate(zip(*fields)):
+            for i, (px, sz, sign, close, at, reversal) in enumerate(zip(*(pdf[c].tolist() for c in FIELDS))):
                 now = tuple(c[i] for c in cols)
                 if now != key:
-                    if key is not None and (rest := left_over()):
-                        out.append(rest)
-                    key, pos, number = now, _Position(), 0
+                    out += left_over() if key is not None else []
+                    key, q, mean, born, number = now, 0.0, 0.0, None, 0
                 number += 1
-                row = pos.fill(kind or "", px, sz, at, start, bool(rev))
-                if row and not last_only:
-                    out.append((*now, *row, number))
+                off = min(close, abs(q)) if q else close
+                if q and (sign == 0 or close > 0):
+                    if not last_only:
+                        out.append((*now, "trade", side(q), mean, px, off, born, at, reversal, number))
+                    q -= off if q > 0 else -off
+                    q = 0.0 if abs(q) <= DUST else q
+                more = sign * (sz - off)
+                if abs(more) > (DUST if close else 0.0) and q * more >= 0 and more * sign > 0:
+                    born = born if q else at
+                    mean = (mean * abs(q) + px * abs(more)) / abs(q + more) if q else px
+                    q += more
             yield pd.DataFrame(out, columns=names)
         if key is not None and (rest := left_over()):
-            yield pd.DataFrame([rest], columns=names)
+            yield pd.DataFrame(rest, columns=names)
 
     return fold
 
 
+def _merged(cut: DataFrame, keys: list[str], order: list[str], schema: str) -> DataFrame:
+    """Stretches joined until each but a key's last one ends flat when it is folded from flat.
+
+    A stretch that stays open is joined with those after it up to the next one that was flat before; the joined
+    ones are tried again. Sound fills need one pass; each further pass follows from contradictions alone.
+    """
+    part = [*keys, "stretch"]
+    line = Timeline.of(keys, "stretch", (), STRETCHES)
+    while True:
+        ends = ordered_fold(cut, part, order, _fold(part, True), schema).select(*part, F.col("side").isNotNull().alias("held"))
+        seen = running(ends, line, __held=previous(F.col("held")))
+        numbered = cut_lineage(islands(seen, line, ~F.coalesce("__held", F.lit(False)), "__merged"))
+        if numbered.where("__held").isEmpty():
+            return cut
+        names = numbered.select(*part, "__merged")
+        cut = cut_lineage(cut.join(names, part).withColumn("stretch", F.col("__merged")).drop("__merged"))
+
+
 def pair_fills(
     fills: DataFrame,
     by: Sequence[str] = ("wallet", "coin"),
@@ -114,9 +119,9 @@ def pair_fills(
     """Trades and still-open positions from fills (``time`` in ms; px, sz, startPosition numbers).
 
     A key's fills are cut where the venue reports a flat position before an opening fill. Every
-    cut is checked: a first pass folds each stretch alone and tells whether it really ends flat.
-    Up to the first stretch that does not, stretches are independent and folded in parallel; from
-    there on the key is folded as one stream. The result is the sequential one either way.
+    cut is checked by folding each stretch alone: those that don't end flat are joined with what follows
+    (``_merged``), and the key is cut again from the next proven flat point on. The result is the
+    sequential one whatever the venue reports.
     """
     keys = list(by)
     tl = Timeline.of(keys, "time", tie, span)
@@ -125,22 +130,12 @@ def pair_fills(
     rows = rows.fillna(0.0, ["startPosition"])
     flagged = reversal_lookahead(rows, tl, reversal_ms)
     fresh = F.col("dir").startswith("Open") & (F.col("startPosition") == 0)
-    cut = islands(flagged, tl, fresh, "stretch")
+    cut = with_effect(islands(flagged, tl, fresh, "stretch"))
     by_type = ", ".join(f"`{c}` {fills.schema[c].dataType.simpleString()}" for c in keys)
-    order = ["time", *tie]
-    part = [*keys, "stretch"]
-    ends = ordered_fold(cut, part, order, _fold(part, True), f"{by_type}, stretch long, {FOLD_SCHEMA}")
-    first_open = (
-        ends.where(F.col("side").isNotNull()).groupBy(*keys).agg(F.min("stretch").alias("__from"))
-    )
-    # The final stretch may be open without affecting any other; merging it alone is a no-op.
-    joined = cut.join(first_open, keys, "left").withColumn(
-        "stretch", F.least("stretch", F.coalesce("__from", "stretch"))
-    )
-    folded = ordered_fold(
-        joined.drop("__from"), part, order, _fold(part, False),
-        f"{by_type}, stretch long, {FOLD_SCHEMA}",
-    )
+    order, part = ["time", *tie], [*keys, "stretch"]
+    schema = f"{by_type}, stretch long, {FOLD_SCHEMA}"
+    cut = _merged(cut, keys, order, schema)
+    folded = ordered_fold(cut, part, order, _fold(part, False), schema)
     at = lambda c: F.timestamp_millis(F.col(c)).cast("timestamp_ntz")
     timed = folded.withColumn("entry_time", at("entry_ms")).withColumn("exit_time", at("exit_ms"))
     priced = leg_pnl(timed.where("kind = 'trade'"), fee)

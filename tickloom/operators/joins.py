@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.timeline import Timeline, last_known, running
 
-BROADCAST_ROWS = 100_000
 
+def single_row(df: DataFrame, name: str = "table") -> DataFrame:
+    """A table that must not have more than one row; with more the query fails. No row stays no row.
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting no more than ``limit`` rows; else let Spark choose."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    One map-side combined aggregation, so the result is safe to broadcast.
+    """
+    one = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("r")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("r").alias("r")
+    )
+    many = F.raise_error(F.lit(f"{name}: more than one row")).cast("boolean")
+    return one.where(F.when(F.col("n") > 1, many).otherwise(F.col("n") == 1)).select("r.*")
 
 
 def asof_backward(
@@ -136,8 +141,8 @@ def zip_thresholds(
 
 
 def scalar_cross(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach a one-row table (an aggregate or parameters) to every row."""
-    return df.crossJoin(F.broadcast(one_row.limit(1)))
+    """Attach a one-row table (an aggregate or parameters) to every row; more rows are an error."""
+    return df.crossJoin(F.broadcast(single_row(one_row)))
 
 
 def join_by_index(

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.operators.joins import single_row
 from tickloom.operators.stats import forecast_metrics, scaler_fit
 
 
@@ -19,7 +20,7 @@ def apply_scaler(
     scale_indicators: bool = False,
 ) -> DataFrame:
     """``<col>_std`` next to each raw column; indicators pass or become -1 / +1."""
-    out = df.crossJoin(F.broadcast(params.limit(1)))
+    out = df.crossJoin(F.broadcast(single_row(params, "scaler parameters")))
     new = {f"{c}_std": (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_scale") for c in cols}
     if scale_indicators:
         new |= {f"{c}_std": (F.col(c) - 0.5) * 2 for c in indicators}
@@ -28,7 +29,7 @@ def apply_scaler(
 
 def inverse_scaler(df: DataFrame, params: DataFrame, col: str, scaled: str) -> DataFrame:
     """A scaled column back in the units of ``col``."""
-    one = params.limit(1).select(f"{col}_mean", f"{col}_scale")
+    one = single_row(params, "scaler parameters").select(f"{col}_mean", f"{col}_scale")
     out = df.crossJoin(F.broadcast(one))
     raw = F.col(scaled) * F.col(f"{col}_scale") + F.col(f"{col}_mean")
     return out.withColumn(scaled, raw).drop(f"{col}_mean", f"{col}_scale")

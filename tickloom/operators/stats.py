@@ -24,6 +24,9 @@ _UP = Window.unboundedPreceding
 SPLITS = 256
 
 
+EXACT_UPTO = 50  # samples up to which the signed-rank distribution is enumerated
+
+
 def forecast_metrics(preds: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """A1: RMSE, MAE, MAPE, sMAPE (0-2) and R2 in one aggregation."""
     y, p = F.col("y_true"), F.col("y_pred")
@@ -217,13 +220,16 @@ def paired_statistics(pairs: DataFrame, by: Sequence[str] = ("pair",)) -> DataFr
     )
 
 
-def paired_tests(pairs: DataFrame, by: Sequence[str] = ("pair",)) -> DataFrame:
+def paired_tests(
+    pairs: DataFrame, by: Sequence[str] = ("pair",), exact_upto: int = EXACT_UPTO
+) -> DataFrame:
     """A3: RMSE gain of ``a`` over ``b``, Wilcoxon and paired-t p-values per pair.
 
-    The signed-rank p-value is exact for at most 50 samples without ties or zeros.
+    The signed-rank p-value is exact for at most ``exact_upto`` samples without ties or zeros, and
+    by the normal approximation beyond, the usual rule of statistics libraries.
     """
     stats = paired_statistics(pairs, by)
-    exact = (F.col("n_nonzero") <= 50) & ~F.col("has_ties") & (F.col("zeros") == 0)
+    exact = (F.col("n_nonzero") <= exact_upto) & ~F.col("has_ties") & (F.col("zeros") == 0)
     return stats.select(
         *by,
         "n",

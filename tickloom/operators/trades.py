@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.scalars import pnl_pct, safe_div
 from tickloom.operators.dc import dc_events, same_threshold
-from tickloom.operators.joins import asof_backward, carry_states
+from tickloom.operators.joins import asof_backward, carry_states, single_row
 from tickloom.operators.timeline import (
     CHUNK,
     Timeline,
@@ -676,10 +676,10 @@ def risk_breaches(
     """One row per fired rule.
 
     ``positions(account_id, asset, size, entry_price, current_value, unrealized_pnl)``,
-    ``account(account_id, total_value, drawdown_pct)`` and one row of ``limits``. Only a loss fires
+    ``account(account_id, total_value, drawdown_pct)`` and one row of ``limits`` (more are an error). Only a loss fires
     the stop rule; ``legacy_abs`` fires it on a gain of that size too.
     """
-    lim = F.broadcast(limits.limit(1))
+    lim = F.broadcast(single_row(limits, "limits"))
     p = positions.join(account, "account_id").crossJoin(lim)
     result = F.try_divide(
         F.col("unrealized_pnl"), F.col("entry_price") * F.abs("size")

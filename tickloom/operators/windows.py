@@ -22,6 +22,7 @@ from tickloom.operators.timeline import (
     next_known,
     previous,
     range_frame,
+    row_index,
     rows_frame,
     running,
     total_so_far,
@@ -149,8 +150,8 @@ def rolling_regime(
 ) -> DataFrame:
     """W6 (``inclusive=True``) and W6b (``inclusive=False``): market regime at each event.
 
-    W6 wants a minimum span and tests direction first. W6b leaves out events exactly at the cutoff,
-    looks at no more than the last 100 and tests the rate first.
+    W6 wants a minimum span and tests direction first. W6b leaves out events exactly at the cutoff
+    and tests the rate first.
     """
     d = F.col(direction)
     micro = int(lookback_s * 1_000_000)
@@ -174,22 +175,16 @@ def rolling_regime(
             .otherwise("neutral")
         )
     else:
-        stamped = events.withColumn("__at", micros(events, tl.ts))
-        recent = rows_frame(
-            stamped, tl, 99, 0,
-            lambda w: {"__seen": F.collect_list(F.struct("__at", d.alias("d"))).over(w)},
+        out = range_frame(
+            events, tl, micro,
+            lambda w: {
+                "regime_events": F.count(F.lit(1)).over(w),
+                "__first": F.min(MICROS).over(w),
+                "__sum": F.sum(d).over(w),
+                "__now": F.col(MICROS),
+            },
+            open_left=True,
         )
-        live = F.filter("__seen", lambda e: e["__at"] > F.col("__at") - F.lit(micro))
-        out = (
-            recent.withColumn("__live", live)
-            .withColumn("regime_events", F.size("__live").cast("long"))
-            .withColumn(
-                "__sum", F.aggregate("__live", F.lit(0).cast("long"), lambda a, e: a + e["d"])
-            )
-            .withColumn("__first", F.col("__live")[0]["__at"])
-            .withColumn("__now", F.col("__at"))
-            .drop("__seen", "__live", "__at")
-        )
         n, span = F.col("regime_events"), (F.col("__now") - F.col("__first")) / F.lit(1e6)
         rate = n / F.greatest(span / 60.0, F.lit(0.01))
         steady = F.abs(F.col("__sum")) / n
@@ -260,28 +255,42 @@ def momentum(
     direction: str = "direction",
     alpha: float = 0.3,
     rate_lookback_s: float = 300,
-    history: int = 50,
+    history: int | None = None,
 ) -> DataFrame:
     """Exponential average of directions from zero, its regime, and recent events per minute.
 
-    Weights die out geometrically, so the average needs only the rows until they fall below
-    1e-12. The rate counts events after ``now - lookback`` among the last ``history``.
+    Rows are numbered and cut into blocks so long that a row's weight at the end of the next block is
+    below ``1e-120``. Inside a block the average is a sum of directions times growing powers, scaled
+    back; the block before gives the rest through its last value. The rate counts events
+    after ``now - lookback``, of the last ``history`` where it is given.
     """
-    depth = max(history, math.ceil(math.log(1e-12) / math.log(1.0 - alpha)))
-    stamped = events.withColumn("__at", micros(events, tl.ts))
-    out = rows_frame(
-        stamped, tl, depth - 1, 0,
-        lambda w: {
-            "__dirs": F.collect_list(F.col(direction).cast("double")).over(w),
-            "__times": F.collect_list("__at").over(w.rowsBetween(-(history - 1), 0)),
-        },
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be above 0 and at most 1")
+    x = F.col(direction).cast("double")
+    numbered = row_index(events, tl, "__i")
+    if alpha == 1:
+        scored = numbered.withColumn("momentum", x)
+    else:
+        fade = -math.log1p(-alpha)
+        block = max(1, int(120 * math.log(10) / fade))
+        power = lambda n: F.exp(n * F.lit(fade))
+        cut = numbered.withColumn("__block", F.floor(F.col("__i") / block)).withColumn("__n", F.col("__i") % block)
+        inside = Window.partitionBy(*tl.by, "__block").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+        local = cut.withColumn("__own", F.sum(x * F.lit(alpha) * power(F.col("__n"))).over(inside) / power(F.col("__n")))
+        last = cut.groupBy(*tl.by, "__block").agg(
+            (F.sum(x * F.lit(alpha) * power(F.col("__n"))) / power(F.max("__n"))).alias("__before")
+        ).withColumn("__block", F.col("__block") + 1)
+        carried = F.coalesce(F.col("__before"), F.lit(0.0)) / power(F.col("__n") + 1)
+        joined = local.join(last, [*tl.by, "__block"], "left")
+        scored = joined.withColumn("momentum", F.col("__own") + carried).drop("__block", "__n", "__own", "__before")
+    out = range_frame(
+        scored, tl, int(rate_lookback_s * 1_000_000),
+        lambda w: {"__recent": F.count(F.lit(1)).over(w)}, open_left=True,
     )
-    score = F.aggregate(
-        "__dirs", F.lit(0.0), lambda acc, x: x * F.lit(alpha) + acc * F.lit(1.0 - alpha)
-    )
-    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))
-    cutoff = F.col("__at") - F.lit(int(rate_lookback_s * 1_000_000))
-    recent = F.size(F.filter("__times", lambda t: t > cutoff))
+    recent = F.col("__recent")
+    if history is not None:
+        recent = F.least(recent, F.lit(history))
+    score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("momentum")))
     s = F.col("momentum")
     return (
         out.withColumn("momentum", score)
@@ -290,7 +299,7 @@ def momentum(
             "momentum_regime",
             F.when(s > 0.5, "trending_up").when(s < -0.5, "trending_down").otherwise("choppy"),
         )
-        .drop("__dirs", "__times", "__at")
+        .drop("__i", "__recent")
     )
 
 

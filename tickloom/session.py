@@ -39,11 +39,13 @@ def use_rocksdb(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in local tests, a temporary one is made and kept.
+    Only where a local session names none, as in tests, a temporary one is made; other masters must name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError(f"{sc.master} needs a shared folder: set spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(named)
     return named

@@ -42,16 +42,21 @@ class TrendProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         pdf = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
+        good = np.isfinite(pdf["price"].to_numpy(float)) & (pdf["price"].to_numpy(float) > 0)
+        bad, pdf = pdf[~good], pdf[good]
         states, applied = [State()] * len(self.pairs), -1
         if self.trend.exists():
             body, applied = self.trend.get()
             states = [State(**s) for s in json.loads(body)]
-        out = []
+        out = [
+            (key[0], "bad", None, None, None, None, None, None, p, None, u)
+            for u, p in zip(bad["us"].tolist(), bad["price"].tolist())
+        ]
         if self.delay is None:
             due = pdf
         else:
             late = pdf[pdf["us"] < applied]
-            out = [
+            out += [
                 (key[0], "late", None, None, None, None, None, None, p, None, u)
                 for u, p in zip(late["us"].tolist(), late["price"].tolist())
             ]
@@ -89,7 +94,8 @@ def dc_stream(
     ticks: DataFrame, thresholds: Sequence, by: str = "symbol", ts: str = "ts",
     price: str = "price", order: str | None = None, watermark: str | None = None,
 ) -> DataFrame:
-    """Events of a streaming tick frame; ``kind`` is ``event``, or ``late`` for ticks too old to use.
+    """Events of a streaming tick frame; ``kind`` is ``event``, ``late`` for ticks too old to use, or
+    ``bad`` for prices that aren't finite and above zero.
 
     State is one small row per symbol for all thresholds. ``watermark`` (such as ``"10 seconds"``)
     turns on event-time order: a tick counts once its symbol has moved on by that much.

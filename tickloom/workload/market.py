@@ -279,7 +279,7 @@ moments AS (SELECT s.*, e.momentum,
 
 
 def _momentum(t: Tables) -> DataFrame:
-    return W.momentum(sensors(t), TL, rate_lookback_s=5 * 3600)
+    return W.momentum(sensors(t), TL, rate_lookback_s=5 * 3600, history=50)
 
 
 @query(

@@ -114,7 +114,7 @@ def _bars() -> str:
     return " UNION ALL ".join(rows)
 
 
-ANCHORS = f"""{TUNED}, pool AS (SELECT * FROM scored ORDER BY score DESC, address LIMIT 200), bars AS ({_bars()}),
+ANCHORS = f"""{TUNED}, pool AS (SELECT * FROM scored ORDER BY score DESC, address LIMIT 3000), bars AS ({_bars()}),
 ok AS (SELECT pool.*, step FROM pool, bars WHERE roi_allTime >= b_all AND roi_month >= b_month AND dispersion <= b_disp AND turnover <= b_turn AND account_value >= 100000
   AND pnl_allTime > 0 AND roi_month > 0 AND pnl_month > 0 AND positive_share >= 0.75 AND longevity_term >= b_med),
 sizes AS (SELECT step, count(*) AS n FROM ok GROUP BY step),
@@ -129,7 +129,7 @@ def _tuned(t: Tables) -> DataFrame:
 
 @query("T12_tune_anchors", f"WITH {ANCHORS} SELECT address, step::INT AS step, score FROM anchors", "score")
 def _(t: Tables):
-    return R.tune_anchors(_tuned(t), n=3, k=200).select("address", "step", "score")
+    return R.tune_anchors(_tuned(t), n=3, k=3000).select("address", "step", "score")
 
 
 @query(
@@ -141,8 +141,8 @@ SELECT address, 0.6 * tanh(pop / 0.25) + 0.2 * tanh(convex_score / 5) + 0.2 * ta
 )
 def _(t: Tables):
     scored = _tuned(t)
-    anchors = R.tune_anchors(scored, n=3, k=200)
-    return R.pick_convexity(scored, anchors, k=200).select("address", "satellite_rank")
+    anchors = R.tune_anchors(scored, n=3, k=3000)
+    return R.pick_convexity(scored, anchors, k=3000).select("address", "satellite_rank")
 
 
 @query(
