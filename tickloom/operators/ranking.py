@@ -369,9 +369,12 @@ def venue_funding(predicted: DataFrame, venue: str, min_rate: float = 0.0) -> Da
     )
 
 
-def pool_then_rank(df: DataFrame, pool_by: str, k: int, rank_by: str, n: int) -> DataFrame:
-    """Best ``n`` by one measure among the best ``k`` by another."""
-    return df.orderBy(F.desc(pool_by)).limit(k).orderBy(F.desc(rank_by)).limit(n)
+def pool_then_rank(
+    df: DataFrame, pool_by: str, k: int, rank_by: str, n: int, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Best ``n`` by one measure among the best ``k`` by another; ``ties`` make both orders total."""
+    pool = df.orderBy(F.desc(pool_by), *ties).limit(k)
+    return pool.orderBy(F.desc(rank_by), *ties).limit(n)
 
 
 def top_k(df: DataFrame, metric: str, k: int, ties: Sequence[str] = ()) -> DataFrame:

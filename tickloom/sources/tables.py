@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,18 +154,23 @@ def write_table(
 
 
 def write_shards(
-    df: DataFrame, path: str, n: int = 16, ts: str = "ts", manifest: Mapping | None = None,
-    split: str | None = None,
+    df: DataFrame, path: str, n: int | None = 16, ts: str = "ts", manifest: Mapping | None = None,
+    split: str | None = None, tie: Sequence[str] = (),
 ) -> dict:
-    """``n`` time-ordered compressed shards (per split) and a manifest next to them."""
-    order = [c for c in (split, ts) if c]
-    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    writer = rows.write.mode("overwrite").option("compression", "gzip")
+    """``n`` time-ordered compressed shards (per split) and a manifest next to them.
+
+    ``tie`` orders rows of the same time. ``n=None`` lets Spark size the shards (``shuffle.partitions`` and the
+    advisory partition size), which is what large tables want. Rows are counted in what was written.
+    """
+    order = [c for c in (split, ts, *tie) if c]
+    ranged = df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
+    writer = ranged.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "gzip")
     (writer.partitionBy(split) if split else writer).parquet(path)
+    done = df.sparkSession.read.parquet(path)
     counts = (
-        {str(r[0]): r[1] for r in df.groupBy(split).count().collect()}
+        {str(r[0]): r[1] for r in done.groupBy(split).count().collect()}
         if split
-        else {"all": df.count()}
+        else {"all": done.count()}
     )
     body = {"rows": counts, "columns": df.columns, "shards": n, **(manifest or {})}
     _write_text(df.sparkSession, f"{path.rstrip('/')}_manifest", json.dumps(body))
@@ -177,12 +182,14 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
-    """Predictions with a row-count file; ``_SUCCESS`` marks a finished write."""
-    writer = df.write.format(fmt).mode("overwrite")
+    """Predictions with a row-count file; ``_SUCCESS`` marks a finished write.
+
+    Rows are counted while they are written.
+    """
+    seen = Observation()
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).mode("overwrite")
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
-    body = {"rows": df.sparkSession.read.format(fmt).load(path).count(), "columns": df.columns}
-    if fmt == "csv":
-        body["rows"] -= len(df.sparkSession.read.text(path).inputFiles())
+    body = {"rows": seen.get["rows"], "columns": df.columns}
     _write_text(df.sparkSession, f"{path.rstrip('/')}_metadata", json.dumps(body))
     return body
 

@@ -50,6 +50,30 @@ def _(t: Tables):
     return events_of(t)
 
 
+@query(
+    "D1_bad_prices",
+    f"WITH RECURSIVE {dc_sql()} SELECT * FROM dc",
+    "start_price end_price threshold_down threshold_up max_osv",
+)
+def _(t: Tables):
+    """Every tick has a broken twin at the same moment; the events are those of the sound ticks."""
+    k = F.col("event_id") % 5
+    inf = float("inf")
+    broken = F.when(k == 0, float("nan")).when(k == 1, 0.0).when(k == 2, -1.0).when(k == 3, inf)
+    twins = t.ticks.withColumn("price", broken)
+    return dc.dc_events(t.ticks.unionByName(twins), THRESHOLDS, order="event_id", span=SPAN)
+
+
+@query(
+    "D1_bad_ticks",
+    "SELECT CASE WHEN event_id % 5 = 4 THEN 'no price' ELSE 'bad price' END AS error, count(*) AS n FROM events WHERE event_id % 5 <> 3 GROUP BY 1",
+)
+def _(t: Tables):
+    k = F.col("event_id") % 5
+    broken = F.when(k == 0, float("nan")).when(k == 1, 0.0).when(k == 2, -1.0).when(k == 3, 1.0)
+    return dc.bad_ticks(t.ticks.withColumn("price", broken)).groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "D1_dc_events_asymmetric",
     f"WITH RECURSIVE {dc_sql([(0.2, 0.4)])} SELECT * FROM dc",

@@ -441,7 +441,7 @@ def _(t: Tables):
         F.col("c_custkey").alias("account_id"), (F.col("c_acctbal") * 100).alias("total_value"),
         (F.col("c_custkey") % 97).cast("double").alias("drawdown_pct"),
     )
-    limits = t.region.limit(1).select(
+    limits = t.spark.range(1).select(
         F.lit(5.0).alias("loss_pct"), F.lit(20.0).alias("profit_pct"),
         F.lit(90.0).alias("max_drawdown_pct"), F.lit(30.0).alias("max_position_size_pct"),
     )

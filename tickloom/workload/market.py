@@ -583,6 +583,28 @@ def _(t: Tables):
     return errors.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "P1_P2_bad_values",
+    """SELECT CASE WHEN event_id % 8 < 2 THEN 'bad timestamp' WHEN event_id % 8 < 6 THEN 'bad price' END AS error, count(*) AS n,
+  count(*) FILTER (event_id % 8 >= 6) AS good, sum(CASE WHEN event_id % 8 >= 6 THEN value END) AS total FROM events GROUP BY 1""",
+    "total",
+    4,
+)
+def _(t: Tables):
+    """Numbers that are no moments and prices that are no prices come out as errors, not as failures."""
+    k = F.col("event_id") % 8
+    odd = F.element_at(F.array(*map(F.lit, ["Infinity", "1e300"])), k.cast("int") % 2 + 1)
+    when = F.when(k < 2, odd).otherwise(F.lit("1704067200.25"))
+    price = F.when(k == 2, "NaN").when(k == 3, "Infinity").when(k == 4, "0").when(k == 5, "-1.5").otherwise(F.col("value").cast("string"))
+    body = F.to_json(F.struct(F.col("event_type").alias("symbol"), price.alias("price"), when.alias("timestamp")))
+    rows = cleaning.parsed_ticks(t.events.select(body.alias("value")))
+    good = F.col("error").isNull()
+    return rows.groupBy("error").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(good, 1)).alias("good"),
+        F.sum(F.when(good, F.col("price"))).alias("total"),
+    )
+
+
 @query(
     "P3_P4_P7_time_and_side",
     f"""WITH {RAW} SELECT trade_id, ts, timezone('America/Toronto', timezone('UTC', ts)) AS local_ts, {SGN} AS sgn FROM raw""",

@@ -158,6 +158,17 @@ def _(t: Tables):
     return R.pick_convexity_fixed(scored, anchors).select("address", "satellite_rank")
 
 
+@query(
+    "T10_pool_then_rank",
+    """WITH pool AS (SELECT p_partkey, p_size, p_retailprice FROM part ORDER BY p_size DESC, p_partkey LIMIT 500)
+SELECT * FROM pool ORDER BY p_retailprice DESC, p_partkey LIMIT 20""",
+    "p_retailprice",
+)
+def _(t: Tables):
+    rows = t.part.select("p_partkey", "p_size", "p_retailprice")
+    return R.pool_then_rank(rows, "p_size", 500, "p_retailprice", 20, ["p_partkey"])
+
+
 @query(
     "T15_funding_opportunities",
     """WITH c AS (SELECT p_name || p_partkey AS asset, ((p_partkey * 13) % 101 - 50) / 1e6 AS r, p_retailprice AS mark_price FROM part)

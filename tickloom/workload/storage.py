@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.operators.stats import experiment_rollup
 from tickloom.session import scratch
 from tickloom.sources import tables as S
 from tickloom.streaming import io
@@ -150,3 +151,19 @@ def _(t: Tables):
     run = run.option("checkpointLocation", scratch(t.spark, "cp")).trigger(availableNow=True)
     run.start().awaitTermination()
     return t.spark.read.parquet(out).drop("batch")
+
+
+@query(
+    "A23_experiment_rollup",
+    """SELECT 'run=' || o_orderpriority AS experiment, o_orderstatus AS model, avg(o_totalprice) AS mae, count(*)::DOUBLE AS n FROM orders GROUP BY ALL""",
+    "mae n",
+    2,
+)
+def _(t: Tables):
+    """Result files of runs in a folder each, as their trainers leave them."""
+    per = t.orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.avg("o_totalprice").alias("mae"), F.count(F.lit(1)).cast("double").alias("n"))
+    metrics = F.struct(F.col("o_orderstatus"), F.create_map(F.lit("mae"), "mae", F.lit("n"), "n"))
+    runs = per.groupBy(F.col("o_orderpriority").alias("run")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(metrics)).alias("per_model"))).alias("value"))
+    path = scratch(t.spark, "experiments")
+    runs.repartition("run").write.partitionBy("run").text(path)
+    return experiment_rollup(t.spark, path, ["mae", "n"])
