@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars
 from tickloom.functions.thresholds import threshold_table
+from tickloom import schemas
 from tickloom.operators import cleaning, joins
 from tickloom.operators import windows as W
 from tickloom.operators.timeline import Timeline
@@ -719,6 +722,24 @@ def _(t: Tables):
     )
 
 
+KINDS = [*schemas.TELEMETRY_ROUTES, "other"]
+
+
+@query(
+    "P11_all_tables",
+    "WITH e AS (SELECT CASE event_id % " + str(len(KINDS)) + " "
+    + " ".join(f"WHEN {i} THEN '{schemas.TELEMETRY_ROUTES.get(k, 'misc')}'" for i, k in enumerate(KINDS))
+    + " END AS kind FROM events) SELECT kind, count(*) AS n FROM e GROUP BY 1",
+)
+def _(t: Tables):
+    """Lines of every known kind and of an unknown one, counted in the tables they go to."""
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("event_id") % len(KINDS)).cast("int") + 1)
+    line = F.to_json(F.struct(kind.alias("event_type"), F.col("event_id").cast("string").alias("session_id"), F.struct(F.col("value").alias("price")).alias("payload")))
+    tables = cleaning.flatten_telemetry(t.events.select(line.alias("value")))
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts).where("n > 0")
+
+
 def _coin(k):
     return (
         F.when(k % 5 == 0, F.concat(F.lit("@"), (k % 40).cast("string")))

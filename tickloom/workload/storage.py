@@ -25,6 +25,17 @@ def _(t: Tables):
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+@query("S2_read_dataset_parquet", f"WITH {TICKS} SELECT * FROM ticks", "price")
+def _(t: Tables):
+    """Parquet in nested folders, beside files of another kind."""
+    path = scratch(t.spark, "mixed")
+    t.ticks.withColumnRenamed("symbol", "sym").write.partitionBy("sym").parquet(f"{path}/data")
+    t.spark.range(1).select(F.lit("notes").alias("value")).write.text(f"{path}/notes")
+    out = S.read_dataset(t.spark, path)
+    symbol = F.regexp_extract(F.input_file_name(), "sym=([^/]+)/", 1)
+    return out.withColumn("symbol", symbol).select("symbol", "ts", "price", "event_id")
+
+
 @query(
     "S3_S16_query_to_table",
     "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY 1",
@@ -65,7 +76,8 @@ def _(t: Tables):
 @query(
     "S6_ingest_telemetry",
     """SELECT 'dc_events' AS kind, event_id::VARCHAR AS session_id, value AS price FROM events WHERE event_id % 3 = 1
-UNION ALL SELECT 'ticks', event_id::VARCHAR, value FROM events WHERE event_id % 3 = 0""",
+UNION ALL SELECT 'ticks', event_id::VARCHAR, value FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT 'misc', event_id::VARCHAR, NULL FROM events WHERE event_id % 3 = 2""",
     "price",
 )
 def _(t: Tables):
@@ -75,7 +87,11 @@ def _(t: Tables):
     table = lambda n, c: t.spark.read.parquet(f"{out}/{n}/*").select(
         F.lit(n).alias("kind"), "session_id", F.col(c).alias("price")
     )
-    return table("dc_events", "start_price").unionByName(table("ticks", "price"))
+    misc = t.spark.read.parquet(f"{out}/misc/*").select(
+        F.lit("misc").alias("kind"), F.get_json_object("line", "$.session_id").alias("session_id"),
+        F.lit(None).cast("double").alias("price"),
+    )
+    return table("dc_events", "start_price").unionByName(table("ticks", "price")).unionByName(misc)
 
 
 @query(
