@@ -14,6 +14,7 @@ from tickloom.operators.windows import reversal_lookahead
 from tickloom.session import cut_lineage
 
 DUST = 1e-12
+PASSES = 1  # times that stretches are joined before the rest of a key is one stream
 STRETCHES = 100_000  # stretches of a key that are numbered in one task
 FOLD_SCHEMA = (
     "kind string, side string, entry_price double, exit_price double, size double, "
@@ -93,19 +94,43 @@ def _fold(keys: Sequence[str], last_only: bool):
 def _merged(cut: DataFrame, keys: list[str], order: list[str], schema: str) -> DataFrame:
     """Stretches joined until each but a key's last one ends flat when it is folded from flat.
 
-    A stretch that stays open is joined with those after it up to the next one that was flat before; the joined
-    ones are tried again. Sound fills need one pass; each further pass follows from contradictions alone.
+    A stretch that stays open is joined with those after it up to the next one that was flat before; only what was
+    joined is folded again. Sound fills need one pass; each further pass follows from contradictions alone. What
+    is still open after ``PASSES`` of them is joined with all that follows in its key: one stream, the same result.
     """
     part = [*keys, "stretch"]
     line = Timeline.of(keys, "stretch", (), STRETCHES)
-    while True:
-        ends = ordered_fold(cut, part, order, _fold(part, True), schema).select(*part, F.col("side").isNotNull().alias("held"))
-        seen = running(ends, line, __held=previous(F.col("held")))
-        numbered = cut_lineage(islands(seen, line, ~F.coalesce("__held", F.lit(False)), "__merged"))
-        if numbered.where("__held").isEmpty():
-            return cut
-        names = numbered.select(*part, "__merged")
-        cut = cut_lineage(cut.join(names, part).withColumn("stretch", F.col("__merged")).drop("__merged"))
+    held = lambda rows: ordered_fold(rows, part, order, _fold(part, True), schema).select(
+        *part, F.col("side").isNotNull().alias("held")
+    )
+    ends, names = held(cut), None
+    for number in range(PASSES + 1):
+        seen = cut_lineage(running(ends, line, __held=previous(F.col("held"))))
+        if seen.where("__held").isEmpty():
+            break
+        if number == PASSES:
+            open_from = seen.where("held").groupBy(*keys).agg(F.min("stretch").alias("__from"))
+            names = names.join(open_from, keys, "left").select(
+                *part, F.least("__first", F.coalesce("__from", "__first")).alias("__first")
+            )
+            break
+        groups = islands(seen, line, ~F.coalesce("__held", F.lit(False)), "__group")
+        firsts = groups.groupBy(*keys, "__group").agg(F.min("stretch").alias("__first"), F.count(F.lit(1)).alias("__n"))
+        step = cut_lineage(groups.join(firsts, [*keys, "__group"]).select(*part, "held", "__first", "__n"))
+        if names is None:
+            names = step.select(*part, "__first")
+        else:
+            moved = step.select(*keys, F.col("stretch").alias("__first"), F.col("__first").alias("__to"))
+            names = names.join(moved, [*keys, "__first"]).select(*part, F.col("__to").alias("__first"))
+        names = cut_lineage(names)
+        joined = step.where("__n > 1").select(*keys, "__first").distinct()
+        again = names.join(joined, [*keys, "__first"], "left_semi")
+        ends = step.where("__n = 1").select(*part, "held").unionByName(held(_renamed(cut, again, part)))
+    return cut if names is None else _renamed(cut, names, part)
+
+
+def _renamed(cut: DataFrame, names: DataFrame, part: list[str]) -> DataFrame:
+    return cut.join(names, part).withColumn("stretch", F.col("__first")).drop("__first")
 
 
 def pair_fills(
@@ -130,7 +155,7 @@ def pair_fills(
     rows = rows.fillna(0.0, ["startPosition"])
     flagged = reversal_lookahead(rows, tl, reversal_ms)
     fresh = F.col("dir").startswith("Open") & (F.col("startPosition") == 0)
-    cut = with_effect(islands(flagged, tl, fresh, "stretch"))
+    cut = cut_lineage(with_effect(islands(flagged, tl, fresh, "stretch")))
     by_type = ", ".join(f"`{c}` {fills.schema[c].dataType.simpleString()}" for c in keys)
     order, part = ["time", *tie], [*keys, "stretch"]
     schema = f"{by_type}, stretch long, {FOLD_SCHEMA}"
