@@ -30,6 +30,17 @@ def op2_pstable_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs, by DuckDB's cosine, and their closure.
+CHECKS["op2_pstable_embeddings"] = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least.b AS component_id, vec_id = least.b AS kept
+FROM v JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id"""
+
+
 @query
 def op3_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
@@ -65,6 +76,14 @@ def op8_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+#: The given pages have one article each, of h1, p, b and br, and no references but these two in it.
+CHECKS["op8_host_suffix_array"] = r"""
+WITH parts AS (SELECT page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS p FROM pages),
+texts AS (SELECT page_id, url, array_to_string(list_filter(list_transform(p, lambda x:
+    trim(regexp_replace(replace(replace(regexp_replace(x, '</?b>|<br>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM parts)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts"""
+
+
 @query
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
