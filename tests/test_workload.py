@@ -11,6 +11,7 @@ sys.path.insert(0, str(ROOT / "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import TABLES, canon  # noqa: E402
+from tickloom.workload import load  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
@@ -25,11 +26,18 @@ pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no te
 def test_every_check_belongs_to_a_query():
     queries, checks = entry.queries(), entry.oracle_sql()
     assert set(checks) <= set(queries)
-    assert {q for q in queries if q not in checks} == {
+    own = set(load().QUERIES)  # the optional subpackage tests its own queries
+    assert own <= set(queries)
+    assert {q for q in own if q not in checks} == {
         "A3_paired_tests", "A4_comparison_report", "M2_M3_tabular_regression",
     }
 
 
+def test_without_the_optional_subpackage(monkeypatch):
+    monkeypatch.setattr(entry.importlib.util, "find_spec", lambda name: None)
+    assert set(entry.queries()) == set(load().QUERIES) and set(entry.oracle_sql()) == set(load().CHECKS)
+
+
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 5 and all(r.num_up_regimes > 0 for r in rows)
