@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from tickloom.llm.common import components, store
 
 COSINE = 0.95
-TABLES, WIDTH, STEP = 20, 5, 1.0  # tables, projections of a table, width of a quantum
+TABLES, WIDTH, STEP = 28, 5, 1.0  # tables, projections of a table, width of a quantum
 SEED = 5
 LARGE = 2048  # members of a bucket that are compared in one task; beyond, pairs of parts are
 
@@ -149,8 +149,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
 
     Equal vectors collapse to one with a count first. Unit vectors are projected on seeded normal
-    directions and quantised (20 tables of 5 projections, quantum 1: a pair of cosine 0.95 shares a
-    bucket with probability ``recall()`` = 0.995, nearer pairs more surely); members of a bucket are compared
+    directions and quantised (28 tables of 5 projections, quantum 1: a pair of cosine 0.95 shares a
+    bucket with probability ``recall()`` = 0.999, nearer pairs more surely); members of a bucket are compared
     exactly. A pair counts in the first table that has it, and only counts and the edges of spanning
     forests leave a task, never all pairs. A bucket of more than ``LARGE`` vectors is split into parts
     and each pair of parts is a task of its own: all pairs are compared, whatever its size. For larger
