@@ -20,7 +20,7 @@ SUPPORT, SIGNS = 8, 5.0  # rated documents with a feature and standard deviation
 PREFIX = 5
 EPOCHS, RATE, L1, L2 = 12, 0.15, 2e-4, 1e-5
 LEAST_TAIL = 0.5  # probability of the top grade from which on a document is kept
-MEMO = 500_000
+MEMO = 200_000  # tokens whose features a Python worker keeps
 MARKS = ".,;:!?\"'()[]{}<>#$%&*|-_=+/\\~^`@"
 
 

@@ -16,7 +16,7 @@ from tickloom.llm.common import store
 
 ROOM = 2048
 END_ID = 0
-MEMO = 400_000  # words whose ids a Python worker keeps
+MEMO = 200_000  # words whose ids a Python worker keeps
 BLOCK = 1000  # texts whose new words are encoded together
 PER_GROUP = 32_768  # pieces that are packed among themselves, on average
 
