@@ -43,6 +43,15 @@ def test_byte_bpe_of_hard_texts(no_docs):
     assert byte_bpe.encode_digests(no_docs, RANKS, public_tokenizers.PATTERN).collect() == []
 
 
+def test_byte_bpe_of_single_spaces_beside_other_white_space():
+    texts = [f"{a} {b} {c}" for x in "\u00a0\t\n\r\u3000\u2028\x1c\x85" for a in ("a", x, "a" + x, x + "a") for b in (x, x + "b", "b" + x, f"b{x}b") for c in ("c", x, x + "c", "c" + x)]
+    coder = byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    assert own.encode_ordinary("a \u00a0 \u00a0 c") == [64, 11504, 269]
+    for text, (ids, decoded) in zip(texts, coder.encode(texts), strict=True):
+        assert (text, np.frombuffer(ids, "<u4").tolist(), decoded) == (text, own.encode_ordinary(text), text.encode())
+
+
 def test_byte_bpe_ids_and_bytes(odd_docs):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
     texts = {r.doc_id: r.text for r in odd_docs.where("doc_id is not null").collect()}

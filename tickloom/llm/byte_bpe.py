@@ -132,9 +132,9 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """Little-endian 32-bit ids of each whole text, and the bytes that they decode to.
 
-        No match crosses from a visible character into a following space, so a text with single
-        spaces alone falls into pieces that are matched by themselves; ``pieces`` keeps what each
-        comes to with its space before it. Other texts are matched as a whole.
+        No match crosses from a visible character into a following space, so a text whose spaces all
+        stand between visible characters falls into pieces that are matched by themselves; ``pieces``
+        keeps what each comes to with its space before it. Other texts are matched as a whole.
         """
         if len(self.memo) > MEMO:
             self.memo.clear()
@@ -143,7 +143,7 @@ class Encoder:
         split, whole, new = [], [], set()
         for text in texts:
             parts = (text or "").split(" ")
-            plain = all(parts[:1]) and all(parts)
+            plain = all(x and not (x[0].isspace() or x[-1].isspace()) for x in parts)
             split.append(parts[1:] if plain else [])
             whole.append(self.find(parts[0] if plain else text or ""))
             new.update(split[-1])
