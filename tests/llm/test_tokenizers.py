@@ -52,6 +52,16 @@ def test_byte_bpe_of_single_spaces_beside_other_white_space():
         assert (text, np.frombuffer(ids, "<u4").tolist(), decoded) == (text, own.encode_ordinary(text), text.encode())
 
 
+def test_byte_bpe_of_a_long_word_of_varied_letters(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMORY", "48MB")
+    monkeypatch.setattr(byte_bpe, "KEPT", 50_000, raising=False)
+    coder = byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    word = "".join(random.Random(2).choices("abcdefghijklmnopqrstuvwxyz", k=5000))
+    ((ids, decoded),) = coder.encode([word])
+    assert (np.frombuffer(ids, "<u4").tolist(), decoded) == (own.encode_ordinary(word), word.encode())
+
+
 def test_byte_bpe_ids_and_bytes(odd_docs):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
     texts = {r.doc_id: r.text for r in odd_docs.where("doc_id is not null").collect()}

@@ -20,6 +20,7 @@ MEMO = 300_000  # words whose encoding a Python worker keeps
 BLOCK = 1000  # texts whose new words are looked up together
 CHUNK = 500_000  # bytes of words of one query
 LONG = 64  # bytes from which on a word is contracted at many places a round
+KEPT = 1_000_000  # rows of all rounds that one query on long words keeps, about
 MEMORY = "512MB"
 
 #: Words of ordinary length. Every round unnests the token-position rows, joins them to the merges and
@@ -43,10 +44,16 @@ FROM done JOIN (SELECT w, string_agg(hex(bytes), '' ORDER BY i) AS decoded
 #: Long words, in as few rounds as they have different pairs. Every round: the ranks of neighbouring tokens, each word's leftmost pair of least rank, and the
 #: row right of a contracted pair goes. A merged token ``plain`` (no pair with it has a lower rank than
 #: its own) lets all places of that pair contract in the same round, every second one in a run of
-#: overlapping places; that is what single steps from the left come to.
-_LONG = """
+#: overlapping places; that is what single steps from the left come to. A recursive query keeps the rows of all
+#: its rounds, so it stops after some ``rounds`` and goes on from the stored rows of the last one.
+_LONG_START = """
+CREATE OR REPLACE TABLE state AS SELECT w, generate_subscripts(toks, 1) AS p, unnest(toks) AS t FROM start;
+CREATE OR REPLACE TABLE ended AS FROM state LIMIT 0
+"""
+_LONG_ROUNDS = """
+CREATE OR REPLACE TABLE after AS
 WITH RECURSIVE step(k, w, p, t) AS (
-  SELECT 0, w, generate_subscripts(toks, 1), unnest(toks) FROM start
+  SELECT 0, w, p, t FROM state
   UNION ALL
   SELECT k + 1, w, p, CASE WHEN hit THEN merged ELSE t END
   FROM (SELECT *, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY p), false) AS gone
@@ -58,14 +65,19 @@ WITH RECURSIVE step(k, w, p, t) AS (
                           FROM (SELECT *, min(rank) OVER (PARTITION BY w) AS least
                                 FROM (SELECT k, w, p, t, merged, rank, plain, n
                                       FROM (SELECT k, w, p, t, lead(t) OVER o AS nxt, row_number() OVER o AS n
-                                            FROM step WINDOW o AS (PARTITION BY w ORDER BY p))
+                                            FROM step WHERE k < {rounds} WINDOW o AS (PARTITION BY w ORDER BY p))
                                       LEFT JOIN merges ON l = t AND r = nxt))
                           WHERE least IS NOT NULL))))
   WHERE NOT gone
 )
+SELECT w, p, t, k = {rounds} AS more FROM step SEMI JOIN (SELECT w, max(k) AS k FROM step GROUP BY w) USING (w, k);
+INSERT INTO ended SELECT w, p, t FROM after WHERE NOT more;
+CREATE OR REPLACE TABLE state AS SELECT w, p, t FROM after WHERE more;
+DROP TABLE after
+"""
+_LONG = """
 SELECT w, list(t ORDER BY p) AS ids, string_agg(hex(bytes), '' ORDER BY p) AS decoded
-FROM (SELECT w, p, t FROM step SEMI JOIN (SELECT w, max(k) AS k FROM step GROUP BY w) USING (w, k)) JOIN vocab ON id = t
-GROUP BY w
+FROM ended JOIN vocab ON id = t GROUP BY w
 """
 
 
@@ -95,6 +107,10 @@ class Encoder:
         ends = np.cumsum([0, *map(len, raw)], dtype=np.int32)
         toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.bytes[np.frombuffer(b"".join(raw), np.uint8)]))
         self.db.register("start", pa.table({"w": pa.array(np.arange(len(raw), dtype=np.int32)), "toks": toks}))
+        if query is _LONG:
+            self.db.execute(_LONG_START)
+            while rows := self.db.sql("SELECT count(*) FROM state").fetchall()[0][0]:
+                self.db.execute(_LONG_ROUNDS.format(rounds=max(1, KEPT // rows)))
         found = self.db.sql(query).to_arrow_table().combine_chunks()
         lists = found["ids"].chunk(0)
         data, ends = lists.values.to_numpy().astype("<i4").tobytes(), lists.offsets.to_pylist()
