@@ -85,3 +85,36 @@ def test_keep_one_keeps_columns_and_one_of_each_group(odd_docs):
     left = [plain_fingerprint(r.text) for r in kept.collect()]
     assert all((a ^ b).bit_count() > 4 for i, a in enumerate(left) for b in left[:i])
     assert simhash.keep_one(odd_docs.where(F.lit(False))).count() == 0
+
+
+def plain_shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
+
+
+def similar_groups(texts):
+    sets, top = [plain_shingles(t) for t in texts], list(range(len(texts)))
+    near = [[j for j in top if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in top]
+    while (after := [min(top[j] for j in near[i]) for i in range(len(texts))]) != top:
+        top = after
+    return top
+
+
+@pytest.mark.parametrize("part", [2048, 5])
+def test_near_copies_of_similarity_08_go(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = np.random.default_rng(3)
+    line = [f"common{i}" for i in range(12)]
+    texts = [None, "", "one two", "One  two", "one two three four five", "a b c d e f g h i", "a b c d e f g h"]
+    for k in range(30):
+        base = [f"w{k}x{i}" for i in rng.integers(0, 500, int(rng.integers(8, 150)))] + line
+        for change in (0, 0, 1, 2, 3, 4, 6, 9):
+            words = list(base)
+            for at in rng.choice(len(words), change, replace=False):
+                words[at] = f"new{rng.integers(1 << 40)}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    top = similar_groups(texts)
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs, width=5, bits=28, similarity=0.8).collect())
+    assert kept == sorted(set(top)) and len(kept) < len(simhash.keep_one(docs).collect())
+    assert simhash.keep_one(docs.limit(0), width=5, bits=28, similarity=0.8).collect() == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +19,8 @@ BLOCKS, SAME = 7, 3  # of 7 blocks at least 3 agree where 4 bits differ
 REFERENCES = 16
 LARGE = 4096  # members from which on a bucket is dealt again by finer blocks
 FINE, FINE_SAME = 8, 4  # the four other blocks of such a bucket, as 8 parts of which 4 agree
+PART = 2048  # members of a shingle from which on it is split into parts
+SAMPLE, FREQUENT = 20_000, 200_000  # texts whose shingles are counted, shingles whose counts are kept
 
 _REFS = np.array([xxhash.xxh64_intdigest(b"reference %d" % i, SEED) for i in range(REFERENCES)], np.uint64)
 
@@ -191,13 +194,158 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return own.join(named, "fp").select("doc_id", shown, "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; a text with fewer words is one shingle, a blank one has none."""
+    words = utf8(text).lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = zip(*(words[i:] for i in range(width)), strict=False) if len(words) >= width else [words]
+    join, digest = b" ".join, xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(join(g), SEED) for g in grams), np.uint64))
+
+
+def _of_set(hashes: np.ndarray) -> int:
+    """The fingerprint of distinct shingles, each counted once."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of sampled frequency and hash: sets that are similar enough share one of them."""
+    known, counts = common
+    at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+    often = np.where(known[at] == hashes, counts[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
+    n = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1 if len(hashes) else 0
+    return hashes[np.lexsort((hashes, often))[:n]]
+
+
+def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that most of some ``SAMPLE`` texts share, and in how many they are. They set an order, no result depends on them."""
+
+    def step(texts):
+        return {"h": pa.array(np.concatenate([np.zeros(0, np.uint64), *(shingles(t, width) for t in texts)]).view(np.int64))}
+
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = map_batches(docs.select(F.col(text).cast("string")).where(F.rand(SEED) < share), step, "h long")
+    rows = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    known, counts = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r["count"] for r in rows], np.int64)
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+def _close(fps: np.ndarray, sizes: np.ndarray, x: int, among: np.ndarray, bits: int, similarity: float) -> np.ndarray:
+    """Which of ``among`` can be similar to member ``x`` by fingerprint and set size."""
+    least, most = np.minimum(sizes[among], sizes[x]), np.maximum(sizes[among], sizes[x])
+    return (np.bitwise_count(fps[among] ^ fps[x]) <= bits) & (least + 1e-9 >= similarity * most)
+
+
+def _spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[list[int]]:
+    """The groups of ``n`` members that hang together by ``linked(x, others)``, without those of one."""
+    rest, found = np.arange(n), []
+    while len(rest) > 1:
+        group, at, rest = [int(rest[0])], 0, rest[1:]
+        while at < len(group) and len(rest):
+            near = linked(group[at], rest)
+            group.extend(rest[near].tolist())
+            rest, at = rest[~near], at + 1
+        if len(group) > 1:
+            found.append(group)
+    return found
+
+
+def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``row, first`` (the least row with the same shingles) of every row, and edges ``a, b`` between firsts that connect
+    exactly those which chains of pairs of Jaccard similarity ``similarity`` or more connect, but for pairs whose
+    fingerprints differ in more than ``bits`` bits.
+
+    A set's least frequent shingles, as many as a similar set can lack and one more, are its keys (prefix filter), so each
+    similar pair meets under a key. Under a key, members are parted by fingerprint and set size, equal groups
+    collapse, and the shingles of the texts of a group are compared exactly. Keys of more than ``PART`` members are
+    split, and every pair of parts is a group: complete, but quadratic in a key's parts.
+    """
+    common = _frequent(docs, text, width)
+
+    def sketch(rows, texts):
+        sets = [shingles(t, width) for t in texts]
+        return {
+            "row": pa.array(rows, pa.int64()), "same": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int32()),
+            "fp": pa.array(np.fromiter(map(_of_set, sets), np.uint64, len(sets)).view(np.int64)), "keys": pa.array([_prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
+        }
+
+    texts = docs.select(F.col(key).alias("row"), F.col(text).cast("string").alias("text"))
+    own = store(map_batches(texts, sketch, "row long, same binary, n int, fp long, keys array<long>"), "sketches")
+    firsts = store(own.groupBy("same").agg(F.min("row").alias("first")), "firsts")
+    kinds = own.join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
+    dealt = store(kinds.select(F.explode("keys").alias("key"), F.struct("row", "n", "fp").alias("member")), "dealt")
+    parts = store(dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / PART).alias("parts")), "parts")
+    lists = dealt.join(parts, "key").groupBy("key", "parts", F.pmod(F.xxhash64("member.row"), "parts").alias("part")).agg(F.collect_list("member").alias("members"))
+    small = lists.where("parts = 1").select("members")
+    many = store(lists.where("parts > 1").select("key", "part", "members"), "many")
+    other = many.select("key", F.col("part").alias("part_b"), F.col("members").alias("members_b"))
+    crossed = many.join(other, "key").where("part <= part_b").select(F.when(F.col("part") == F.col("part_b"), F.col("members")).otherwise(F.concat("members", "members_b")).alias("members"))
+
+    def narrow(batches):
+        for batch in batches:
+            lists, groups = batch.column(0), []
+            flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            rows, sizes, fps = flat.field("row").to_numpy(), flat.field("n").to_numpy(), flat.field("fp").to_numpy().view(np.uint64)
+            for i, j in zip(ends, ends[1:], strict=False):
+                if j - i > 1:
+                    groups += [np.sort(rows[i:j][g]) for g in _spread(j - i, lambda x, among, i=i, j=j: _close(fps[i:j], sizes[i:j], x, among, bits, similarity))]
+            yield pa.RecordBatch.from_pydict({"rows": pa.array(groups, pa.list_(pa.int64()))})
+
+    groups = store(small.union(crossed).mapInArrow(narrow, "rows array<long>").distinct(), "groups")
+    members = groups.select(F.xxhash64("rows").alias("group"), F.explode("rows").alias("row"))  # two groups under one number do no harm
+    filled = store(members, "members").join(own.select("row", "n", "fp"), "row").join(texts, "row").select("group", "row", "fp", "text")
+
+    def verify(batches):
+        def edges(held):
+            rows, fps = np.array([r for r, _, _ in held]), np.array([f for _, f, _ in held], np.int64).view(np.uint64)
+            sets = [frozenset(shingles(t, width).tolist()) for _, _, t in held]
+            sizes = np.array([len(s) for s in sets])
+
+            def linked(x, among):
+                near = _close(fps, sizes, x, among, bits, similarity)
+                both = np.array([len(sets[x] & sets[y]) for y in among[near]], np.int64)
+                near[near] = both + 1e-9 >= similarity * (sizes[x] + sizes[among[near]] - both)
+                return near
+
+            pairs = [pair for g in _spread(len(rows), linked) for pair in zip(rows[g[:-1]].tolist(), rows[g[1:]].tolist(), strict=True)]
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+        held, current = [], None
+        for batch in batches:
+            for group, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != current and held:
+                    yield edges(held)
+                    held = []
+                current = group
+                held.append(member)
+        if held:
+            yield edges(held)
+
+    links = filled.repartition("group").sortWithinPartitions("group").mapInArrow(verify, "a long, b long").distinct()
+    return own.select("row", "same").join(firsts, "same").select("row", "first"), links
+
+
+def keep_one(docs: DataFrame, text: str = "text", width: int = WIDTH, bits: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, with their columns, less all but the first row of each group of near duplicates.
 
-    Rows are numbered in a stored copy, so null and repeated ids need no care.
+    Without ``similarity``, rows are linked by the law of ``near_duplicates``, which ``width`` and ``bits`` don't change;
+    with it, by the similarity of their shingles of ``width`` words. Rows are numbered in a stored copy, so null and repeated ids need no care.
     """
     row = next(name for name in ("row", *(f"row_{i}" for i in range(len(docs.columns) + 1))) if name not in docs.columns)
     numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    near = near_duplicates(numbered, text, row)
-    gone = store(near.where("doc_id <> component_id").select(F.col("doc_id").alias(row)), "gone")
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    if similarity is None:
+        if (width, bits) != (WIDTH, DISTANCE):
+            raise ValueError("width and bits are those of the contract unless a similarity is given")
+        near = near_duplicates(numbered, text, row)
+        gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    else:
+        firsts, links = similar_links(numbered, row, text, width, bits, similarity)
+        named = firsts.join(components(links).withColumnRenamed("node", "first"), "first", "left")
+        gone = named.where(F.col("row") != F.coalesce("component", "first")).select(F.col("row").alias(row))
+    return numbered.join(store(gone, "gone"), row, "left_anti").select(*docs.columns)
