@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,34 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+class HashFilter:
+    """Which 64-bit hashes may be in a set: never wrong about a member, sometimes about another hash.
+
+    One bit per hash in a bit field that is sized by the set, between 2**16 and 2**28 bits (32 MB), so
+    it can go to the driver and to every task whatever the size of the set. A set too large for the
+    field makes it say yes more often; callers count exactly afterwards.
+    """
+
+    LEAST, MOST, SPARE = 16, 28, 32
+
+    def __init__(self, field: np.ndarray):
+        self.field, self.mask = field, np.uint64(len(field) * 64 - 1)
+
+    @classmethod
+    def of(cls, hashes: DataFrame, name: str = "h") -> HashFilter:
+        bits = 1 << min(cls.MOST, max(cls.LEAST, (cls.SPARE * hashes.count()).bit_length()))
+        bit = F.col(name).bitwiseAND(bits - 1)
+        slots = hashes.select(F.shiftright(bit, 6).cast("int").alias("slot"), bit.bitwiseAND(63).cast("int").alias("bit")).where("slot is not null")
+        held = slots.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("held")).toArrow()
+        field = np.zeros(bits // 64, np.int64)
+        field[held.column("slot").to_numpy()] = held.column("held").to_numpy()
+        return cls(field.view(np.uint64))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return (self.field[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable over ``edges`` (``a, b``) from each of their nodes.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, embeddings, extraction, language_id, ordinal_quality, packing, piecewise, sharding, simhash, token_counts
+from tickloom.llm import byte_bpe, collocations, embeddings, extraction, language_id, ordinal_quality, packing, piecewise, sharding, simhash, token_counts
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,25 @@ def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.edit_resistance(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_partitioned_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+#: All phrases of up to five words counted at once; whole numbers of 128 bits.
+CHECKS["op13_partitioned_phrases"] = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+sizes AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM split GROUP BY lang),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM split),
+grams AS (SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, k FROM starts, unnest(range(1, 6)) AS t(k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+ordered AS (SELECT *, string_split(phrase, ' ') AS ws FROM f),
+inside AS (SELECT DISTINCT s.lang, s.phrase FROM ordered s JOIN ordered t ON s.lang = t.lang AND s.a = t.a AND s.k < t.k AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+cuts AS (SELECT o.lang, o.phrase, o.a, c, n, array_to_string(ws[:c], ' ') AS p, array_to_string(ws[c + 1:], ' ') AS q
+    FROM ordered o JOIN sizes USING (lang), unnest(range(1, 5)) AS t(c) WHERE c < o.k AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = o.lang AND i.phrase = o.phrase)),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, l.a AS l, r.a AS r, n, c, ((1000::HUGEINT * cuts.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+    FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = p JOIN f r ON r.lang = cuts.lang AND r.phrase = q),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM weakest QUALIFY rank <= 2000"""
