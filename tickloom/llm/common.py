@@ -69,6 +69,10 @@ class HashFilter:
         at = hashes & self.mask
         return (self.field[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
+    def has_one(self, h: int) -> bool:
+        at = h & int(self.mask)
+        return bool(int(self.field[at >> 6]) >> (at & 63) & 1)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable over ``edges`` (``a, b``) from each of their nodes.

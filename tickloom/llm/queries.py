@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import byte_bpe, collocations, embeddings, extraction, language_id, ordinal_quality, packing, piecewise, sharding, simhash, token_counts
+from tickloom.llm import byte_bpe, collocations, conversations, disclosure, embeddings, extraction, language_id, ordinal_quality, packing, piecewise, sharding, simhash, token_counts
 from tickloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,49 @@ def op10_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piecewise.edit_resistance(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_interval_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.inspect(conversations.damage(given), given)
+
+
+#: The check sum byte by byte, and the cheapest edits row by row over the states of the pattern.
+CHECKS["op11_interval_parsing"] = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+dealt AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d FROM given, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM dealt, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(c)),
+ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS id FROM (SELECT DISTINCT conv_id FROM conversations)),
+numbered AS (SELECT id, turn, role, text, left(role, 1) AS s, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged JOIN ids ON ids.conv_id IS NOT DISTINCT FROM damaged.conv_id),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(s) OVER (PARTITION BY id ORDER BY i) || s AS pair FROM numbered),
+steps(s, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+inserts(p, q, cost, audit) AS (VALUES (0, 0, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 1, 0, ''), (1, 2, 2, 'I'), (1, 3, 4, 'II'), (2, 2, 0, ''), (2, 3, 2, 'I'), (3, 3, 0, ''), (3, 2, 2, 'I')),
+edits AS (SELECT id, i, p, p AS q, 3 AS cost, 'D' AS edit FROM faults, unnest(range(4)) AS states(p)
+    UNION ALL SELECT id, i, p, q, (fault = 'truncated')::INT, 'K' FROM faults JOIN steps USING (s) WHERE fault NOT IN ('blank', 'duplicate')
+    UNION ALL SELECT id, i, p, q, 2 + (fault = 'truncated')::INT, 'R' FROM faults JOIN steps ON steps.s <> 's' WHERE fault NOT IN ('blank', 'duplicate')),
+best(id, i, q, way) AS (SELECT id, 0::BIGINT, inserts.q, {'cost': inserts.cost, 'audit': inserts.audit} FROM ids, inserts WHERE inserts.p = 0
+    UNION ALL SELECT b.id, e.i, n.q, min({'cost': b.way.cost + e.cost + n.cost, 'audit': b.way.audit || e.edit || n.audit})
+    FROM best b JOIN edits e ON e.id = b.id AND e.i = b.i + 1 AND e.p = b.q JOIN inserts n ON n.p = e.q GROUP BY b.id, e.i, n.q),
+ends AS (SELECT id, coalesce(max(i), 0) AS last FROM ids LEFT JOIN numbered USING (id) GROUP BY id),
+found AS (SELECT b.id, min(way) AS way FROM best b JOIN ends ON ends.id = b.id AND ends.last = b.i WHERE b.q IN (0, 3) GROUP BY b.id),
+marks AS (SELECT id, j, way.audit[j] AS edit, length(regexp_replace(way.audit[:j], 'I', '', 'g')) AS i FROM found, unnest(range(1, length(way.audit) + 1)) AS places(j)),
+rows AS (SELECT m.id, m.j, m.edit, f.role, f.text, f.s, row_number() OVER (PARTITION BY m.id ORDER BY j) AS place FROM marks m LEFT JOIN faults f ON m.edit <> 'I' AND f.id = m.id AND f.i = m.i WHERE m.edit <> 'D'),
+led AS (SELECT *, place - first_value(CASE WHEN edit = 'K' AND s = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY place) AS turn FROM rows),
+texts AS (SELECT id, string_agg(CASE WHEN edit = 'K' THEN role WHEN turn % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY place) AS text FROM led GROUP BY id),
+counts AS (SELECT id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    way.cost::BIGINT AS cost, way.audit AS audit, sha256(coalesce(texts.text, '')) AS repaired_sha256
+FROM ids JOIN found USING (id) LEFT JOIN texts USING (id) LEFT JOIN counts USING (id)"""
+
+
+@query
+def op12_disclosing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.digests(disclosure.private_spans(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_partitioned_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
