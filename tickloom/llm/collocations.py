@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import HashFilter, store
 
 LEAST, LONGEST, TOP = 100, 5, 2000  # occurrences of a candidate, its words, phrases reported per language
-SHARDS = 16  # parts of the corpus that are mined by themselves
+SHARDS = 4  # parts of the corpus that are mined by themselves; they are no tasks, so few do: the local support stays high
 CHUNK = 1 << 21  # words that are counted at once in a task
 SLICE = 1 << 20  # bytes of a text that are split at once
 SALTS = 16  # parts of a word that begins or ends very many phrases
