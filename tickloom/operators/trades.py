@@ -175,6 +175,55 @@ def first_exits(
     return best.select(*keys, "x.exit_time", "x.exit_price", "x.reason", "x.fav", "x.adv")
 
 
+def part_hits(
+    rows: DataFrame, keys: Sequence[str], grid: dict[str, Sequence[float]], ts: str, price: str, order: Sequence[str]
+) -> DataFrame:
+    """First rows of each trade that touch each stop, each target and each trailing stop of a grid.
+
+    A row touches the greatest of two stops if it touches either, so the exit of a parameter set is
+    the earliest of three rows, and a trade needs one of each value, not one of each combination: 18
+    rows for 216 sets of the single-scale grid. They come in arrays, in order of the grid's values.
+    """
+    entry, s, q, e, best = (F.col(c) for c in ("entry_price", "s", "q", "e", "fav_prev"))
+    row = F.struct(
+        F.col(ts).alias("exit_time"), *[F.col(c) for c in order], F.col(price).alias("exit_price"), "fav", "adv"
+    )
+    first = lambda touched: F.min(F.when(touched, row))
+    stops = [first(q <= s * (entry * (F.lit(1.0) - s * F.lit(float(v))))) for v in grid["sl"]]
+    targets = [first(q >= s * (entry * (F.lit(1.0) + s * F.lit(float(v))))) for v in grid["tp"]]
+    trails = [
+        first(((best - e) / entry >= F.lit(float(m))) & (q <= e + (best - e) * F.lit(float(t))))
+        for t in grid["trail"]
+        for m in grid["min_profit"]
+    ]
+    found = rows.groupBy(*keys).agg(
+        *[c.alias(f"__{k}{i}") for k, cs in (("sl", stops), ("tp", targets), ("tr", trails)) for i, c in enumerate(cs)]
+    )
+    arrays = [
+        F.array(*[f"__{k}{i}" for i in range(len(cs))]).alias(f"{k}_hits")
+        for k, cs in (("sl", stops), ("tp", targets), ("tr", trails))
+    ]
+    return found.select(*keys, *arrays)
+
+
+def grid_places(grid: dict[str, Sequence[float]]) -> dict[str, Column]:
+    """Where a parameter set of ``grid_table`` finds its rows in the arrays of ``part_hits``."""
+    place = lambda name: F.array_position(F.array(*[F.lit(float(v)) for v in grid[name]]), F.col(name)) - 1
+    return {"sl_at": place("sl"), "tp_at": place("tp"), "tr_at": place("trail") * len(grid["min_profit"]) + place("min_profit")}
+
+
+def with_exits(cases: DataFrame, prefix: str = "trailing_", also: Sequence[str] = ()) -> DataFrame:
+    """The exit of each case from its arrays of hits and its places in them; a stop goes before a target on one row."""
+    hit = lambda kind: F.get(F.col(f"{kind}_hits"), F.col(f"{kind}_at").cast("int"))
+    stop, target = F.least(hit("sl"), hit("tr")), hit("tp")
+    rows = cases.withColumn("__x", F.least(stop, target)).withColumn(
+        "reason", F.when(F.coalesce(stop <= target, stop.isNotNull()), f"{prefix}stop_loss").when(target.isNotNull(), f"{prefix}take_profit")
+    )
+    fields = ("exit_time", "exit_price", "fav", "adv")
+    gone = ("sl_hits", "tp_hits", "tr_hits", "sl_at", "tp_at", "tr_at", "__x")
+    return rows.select(*[c for c in rows.columns if c not in gone], *[F.col(f"__x.{c}").alias(c) for c in fields], *[F.col(f"__x.{c}").alias(f"exit_{c}") for c in also])
+
+
 def _label(
     entries, ticks, by, ts, price, order, span, horizon, params: dict, trailing: bool
 ) -> DataFrame:
@@ -292,20 +341,19 @@ def _enter(candidates: DataFrame, keys: Sequence[str], cooldown_s: float) -> Dat
 def _ledger(
     events: DataFrame, ticks: DataFrame, thresholds: Sequence | None, params: DataFrame | dict,
     by: Sequence[str], ts, price, order, span, cooldown_s, usd, fee, config: Sequence[str],
+    grid: dict[str, Sequence[float]] | None = None,
 ) -> DataFrame:
     entries = _entry_events(events, thresholds, by, cooldown_s, span)
     keys = [*by, "theta", "entry_time"]
     count = 1 if thresholds is None else len(thresholds)
     paths = _paths_with_end(entries, ticks, count, by, ts, price, order, span)
+    ties = [f"__o{i}" for i in range(len(order))]
     if isinstance(params, dict):
         tested = paths.withColumns({k: F.lit(float(v)) for k, v in params.items()})
-        cases = entries
+        priced = entries.join(first_exits(tested, keys, ts, price, ties, True, "trailing_"), keys, "left")
     else:
-        tested = _only_extremes(paths, keys, ts).join(F.broadcast(params), "theta")
-        cases = entries.join(F.broadcast(params), "theta")
-    ties = [f"__o{i}" for i in range(len(order))]
-    exits = first_exits(tested, [*keys, *config], ts, price, ties, True, "trailing_")
-    priced = cases.join(exits, [*keys, *config], "left")
+        hits = part_hits(_only_extremes(paths, keys, ts), keys, grid, ts, price, ties)
+        priced = with_exits(entries.join(hits, keys, "left").join(F.broadcast(params), "theta"))
     entered = _enter(priced, [*by, "theta", *config, "run"], cooldown_s)
     s = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
     e = s * F.col("entry_price")
@@ -427,20 +475,25 @@ def dc_trades_sweep(
 ) -> DataFrame:
     """T5: ledgers of every parameter set of a grid (threshold, sl, tp, trail, min_profit).
 
-    Events depend on the threshold alone and path extremes on the trade alone, so both are
-    computed once; the broadcast grid then meets only the rows that can decide an exit.
+    Events depend on the threshold alone and path extremes on the trade alone, so both are computed
+    once. Each trade is searched for the touch of every single value (``part_hits``); the
+    broadcast grid then meets trades, not ticks, so nothing but the ledger itself grows with it.
+    A grid with other parameters is refused; ``gated.multi_scale_sweep`` takes momentum.
     """
     grid = grid or SINGLE_GRID
+    if set(grid) != set(SINGLE_GRID):
+        raise ValueError(f"the grid must have {sorted(SINGLE_GRID)}, not {sorted(grid)}")
     thresholds = [float(t) for t in grid["threshold"]]
     number = F.coalesce(
         *[F.when(F.col("threshold") == F.lit(t), i) for i, t in enumerate(thresholds)]
     )
-    params = grid_table(ticks.sparkSession, grid).withColumn("theta", number).drop("threshold")
+    params = grid_table(ticks.sparkSession, grid).withColumn("theta", number)
+    params = params.withColumns(grid_places(grid)).select("theta", "config_id", "sl_at", "tp_at", "tr_at")
     if events is None:
         events = cut_lineage(dc_events(ticks, thresholds, by, ts, price, order, span))
     return _ledger(
         events, ticks, thresholds, params, list(by), ts, price, list(order), span, cooldown_s,
-        position_usd, fee, ["config_id"],
+        position_usd, fee, ["config_id"], grid,
     )
 
 

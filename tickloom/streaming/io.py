@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,16 @@ def counted_ticks(raw: DataFrame, payload: str = "value") -> DataFrame:
     )
 
 
+def observed_totals(progress: Iterable, totals: dict[str, int] | None = None) -> dict[str, int]:
+    """Observed counters added up over the progress of batches, by ``group.name``."""
+    totals = {} if totals is None else totals
+    for batch in progress:
+        for group, row in batch.observedMetrics.items():
+            for name, value in row.asDict().items():
+                totals[f"{group}.{name}"] = totals.get(f"{group}.{name}", 0) + (value or 0)
+    return totals
+
+
 class MetricsListener(StreamingQueryListener):
     """Adds up observed counters over the batches of a query."""
 
@@ -48,10 +58,7 @@ class MetricsListener(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        for group, row in event.progress.observedMetrics.items():
-            for name, value in row.asDict().items():
-                key = f"{group}.{name}"
-                self.totals[key] = self.totals.get(key, 0) + (value or 0)
+        observed_totals([event.progress], self.totals)
 
     def onQueryIdle(self, event) -> None:
         pass

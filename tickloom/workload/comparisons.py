@@ -115,14 +115,16 @@ def _(t: Tables):
     "A11_M1_scaler",
     f"""WITH {TICKS}, tr AS (SELECT * FROM ticks WHERE event_id % 10 < 7),
 m AS (SELECT avg(price) AS a, stddev_pop(price) AS s FROM tr)
-SELECT event_id, price, (price - a) / s AS price_std FROM ticks, m WHERE event_id % 10 >= 7""",
+SELECT event_id, CASE WHEN event_id % 10 < 7 THEN 'train' ELSE 'test' END AS part, price, (price - a) / s AS price_std FROM ticks, m""",
     "price price_std",
 )
 def _(t: Tables):
     rows = t.ticks.select("event_id", "price")
     train = rows.where(F.col("event_id") % 10 < 7)
     test = rows.where(F.col("event_id") % 10 >= 7)
-    return ml.zscore_fit_transform(train, [test], ["price"])[1]
+    fitted, other = ml.zscore_fit_transform(train, [test], ["price"])[:2]
+    columns = lambda df, part: df.select("event_id", F.lit(part).alias("part"), "price", "price_std")
+    return columns(fitted, "train").unionByName(columns(other, "test"))
 
 
 @query(
@@ -280,7 +282,6 @@ def _(t: Tables):
     enc = ml.encode_features(train, ["zone", "month"], ["payment"], ["company"])
     _model, metrics = ml.tabular_regression(
         enc.transform(train), enc.transform(valid), enc.transform(test), "label",
-        maxIter=3, maxDepth=3,
     )
     return metrics
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.timeline import Timeline, running, total_so_far
 from tickloom.operators.trades import leg_pnl
 from tickloom.workload.registry import Tables
 
@@ -13,6 +14,19 @@ SPAN = "7 days"
 
 TICKS = "ticks AS (SELECT event_type AS symbol, ts, value + 50 AS price, event_id FROM events)"
 
+# A walk between 100 and 140 in steps of at most 0.12, so that thresholds of some thousandths mean something. Whole numbers up
+# to the last division, so two engines agree.
+WALK = """ticks AS (SELECT symbol, ts, event_id, 100 + abs((c % 4000 + 4000) % 4000 - 2000) / 50.0::DOUBLE AS price FROM (
+  SELECT event_type AS symbol, ts, event_id, sum((event_id * 7919) % 13 - 6) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS c FROM events))"""
+
+
+def walk(t: Tables) -> DataFrame:
+    rows = t.events.select(F.col("event_type").alias("symbol"), "ts", "event_id")
+    tl = Timeline.of("symbol", "ts", "event_id", SPAN)
+    steps = running(rows, tl, c=total_so_far(F.col("event_id") * 7919 % 13 - 6))
+    return steps.select("symbol", "ts", (F.abs(F.pmod("c", F.lit(4000)) - 2000) / F.lit(50.0) + 100).alias("price"), "event_id")
+
+
 SENSORS = """sensors AS (SELECT event_type AS symbol, ts, event_id,
   CASE WHEN value > 20 THEN 1 ELSE -1 END AS direction, value / 100 AS tmv FROM events)"""
 
@@ -205,10 +219,10 @@ def leaders(t: Tables) -> DataFrame:
     )
 
 
-def dc_sql(thresholds=THRESHOLDS, name: str = "dc") -> str:
+def dc_sql(thresholds=THRESHOLDS, name: str = "dc", ticks: str = TICKS) -> str:
     """The detector as a recursive query, one tick per step, independent of the library's code."""
     pairs = ", ".join(f"({d}::DOUBLE, {u}::DOUBLE)" for d, u in thresholds)
-    return f"""{TICKS},
+    return f"""{ticks},
 seq AS (SELECT symbol, ts, price AS px,
     row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS rn FROM ticks),
 thr(td, tu) AS (VALUES {pairs}),

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators import gated as G
 from tickloom.operators import trades as T
-from tickloom.operators.dc import confirmations
+from tickloom.operators.dc import confirmations, dc_events
 from tickloom.operators.fills import pair_fills
 from tickloom.operators.joins import attach_rolling_state
 from tickloom.operators.timeline import Timeline
@@ -19,10 +20,12 @@ from tickloom.workload.inputs import (
     SPAN,
     TICKS,
     TRADES,
+    WALK,
     dc_sql,
     fills,
     funding,
     trades,
+    walk,
 )
 from tickloom.workload.registry import Tables, query
 
@@ -102,29 +105,30 @@ def _(t: Tables):
     return left
 
 
-ENTRIES = """entries AS (SELECT event_type AS symbol, ts AS entry_time, CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side,
-  value + 50 AS entry_price, lead(ts) OVER (PARTITION BY event_type ORDER BY ts) AS until FROM events WHERE event_id % 40 < 2)"""
+# Every confirmation of a small threshold on the walk is an entry that lives until the next one of its symbol.
+ENTRIES = """entries AS (SELECT symbol, end_time AS entry_time, CASE event_type WHEN 'PDCC2_UP' THEN 'LONG' ELSE 'SHORT' END AS side,
+  end_price AS entry_price, lead(end_time) OVER (PARTITION BY symbol ORDER BY end_time) AS until FROM dc WHERE event_type LIKE 'PDCC%')"""
 
 
-def _entries(t: Tables) -> DataFrame:
-    k = F.col("event_id")
-    return t.events.where(k % 40 < 2).select(
-        F.col("event_type").alias("symbol"), F.col("ts").alias("entry_time"),
-        F.when(k % 2 == 0, "LONG").otherwise("SHORT").alias("side"),
-        (F.col("value") + 50).alias("entry_price"),
-    )
+def _entries(ticks: DataFrame) -> DataFrame:
+    found = confirmations(dc_events(ticks, [0.004], order="event_id", span=SPAN))
+    return cut_lineage(found.select(
+        "symbol", F.col("end_time").alias("entry_time"),
+        F.when(F.col("event_type") == "PDCC2_UP", "LONG").otherwise("SHORT").alias("side"),
+        F.col("end_price").alias("entry_price"),
+    ))
 
 
 def _life(trail: str) -> str:
     """Every tick of every entry, with the stop left by the ticks before it."""
-    return f"""{TICKS}, {ENTRIES},
+    return f"""{dc_sql([(0.004, 0.004)], ticks=WALK)}, {ENTRIES},
 live AS (SELECT e.*, t.ts, t.price, CASE e.side WHEN 'LONG' THEN 1 ELSE -1 END AS s FROM entries e JOIN ticks t
   ON t.symbol = e.symbol AND t.ts > e.entry_time AND (e.until IS NULL OR t.ts < e.until)),
 best AS (SELECT *, greatest(s * entry_price, max(s * price) OVER w) AS fav, least(s * entry_price, min(s * price) OVER w) AS adv,
     greatest(s * entry_price, coalesce(max(s * price) OVER b, s * entry_price)) AS prev FROM live
   WINDOW w AS (PARTITION BY symbol, entry_time ORDER BY ts ROWS UNBOUNDED PRECEDING),
     b AS (PARTITION BY symbol, entry_time ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-stops AS (SELECT *, {trail} AS stop, s * entry_price * (1 + s * 0.5) AS target FROM best),
+stops AS (SELECT *, {trail} AS stop, s * entry_price * (1 + s * 0.005::DOUBLE) AS target FROM best),
 hits AS (SELECT * FROM stops WHERE s * price <= stop OR s * price >= target
   QUALIFY row_number() OVER (PARTITION BY symbol, entry_time ORDER BY ts) = 1)"""
 
@@ -133,25 +137,27 @@ LABEL = """SELECT e.symbol, e.entry_time, e.side, e.entry_price, h.ts AS exit_ti
   CASE WHEN h.s * h.price <= h.stop THEN 'stop_loss' WHEN h.ts IS NOT NULL THEN 'take_profit' END AS reason,
   greatest((h.fav - h.s * h.entry_price) / h.entry_price, 0) AS mfe_pct, greatest((h.s * h.entry_price - h.adv) / h.entry_price, 0) AS mae_pct
 FROM entries e LEFT JOIN hits h USING (symbol, entry_time)"""
-FIXED = "s * entry_price * (1 - s * 0.3)"
-TRAIL = f"""greatest({FIXED}, CASE WHEN (prev - s * entry_price) / entry_price >= 0.1 THEN s * entry_price + (prev - s * entry_price) * 0.5 END)"""
+FIXED = "s * entry_price * (1 - s * 0.003::DOUBLE)"
+TRAIL = f"""greatest({FIXED}, CASE WHEN (prev - s * entry_price) / entry_price >= 0.001::DOUBLE THEN s * entry_price + (prev - s * entry_price) * 0.5::DOUBLE END)"""
 
 
 @query(
     "T2_barrier_labels",
-    f"WITH {_life(FIXED)} {LABEL}",
+    f"WITH RECURSIVE {_life(FIXED)} {LABEL}",
     "entry_price exit_price mfe_pct mae_pct",
 )
 def _(t: Tables):
-    return T.barrier_labels(_entries(t), t.ticks, 0.3, 0.5, order=["event_id"], span=SPAN)
+    ticks = cut_lineage(walk(t))
+    return T.barrier_labels(_entries(ticks), ticks, 0.003, 0.005, order=["event_id"], span=SPAN)
 
 
 @query(
-    "T3_trailing_labels", f"WITH {_life(TRAIL)} {LABEL}", "entry_price exit_price mfe_pct mae_pct"
+    "T3_trailing_labels", f"WITH RECURSIVE {_life(TRAIL)} {LABEL}", "entry_price exit_price mfe_pct mae_pct"
 )
 def _(t: Tables):
+    ticks = cut_lineage(walk(t))
     return T.trailing_labels(
-        _entries(t), t.ticks, 0.3, 0.5, 0.5, 0.1, order=["event_id"], span=SPAN
+        _entries(ticks), ticks, 0.003, 0.005, 0.5, 0.001, order=["event_id"], span=SPAN
     )
 
 
@@ -210,44 +216,162 @@ def _(t: Tables):
     )
 
 
-GRID = {"threshold": [0.1, 0.3], "sl": [0.2, 0.3], "tp": [0.3, 0.6], "trail": [0.3, 0.7], "min_profit": [0.05, 0.1]}
-CFG = """cfg AS (SELECT (((a.i * 2 + b.i) * 2 + c.i) * 2 + d.i) * 2 + e.i AS config_id, a.v AS threshold, b.v AS sl, c.v AS tp, d.v AS trail, e.v AS min_profit
-  FROM (VALUES (0, 0.1::DOUBLE), (1, 0.3::DOUBLE)) a(i, v), (VALUES (0, 0.2::DOUBLE), (1, 0.3::DOUBLE)) b(i, v), (VALUES (0, 0.3::DOUBLE), (1, 0.6::DOUBLE)) c(i, v),
-    (VALUES (0, 0.3::DOUBLE), (1, 0.7::DOUBLE)) d(i, v), (VALUES (0, 0.05::DOUBLE), (1, 0.1::DOUBLE)) e(i, v)),"""
-SWEEP = f"""{dc_sql([(0.1, 0.1), (0.3, 0.3)])}, {_ledger_sql(configs=CFG, pick="c.config_id,")},
+FEW = {"threshold": [0.1, 0.3], "sl": [0.2, 0.3], "tp": [0.3, 0.6], "trail": [0.3, 0.7], "min_profit": [0.05, 0.1]}
+GRID = T.SINGLE_GRID
+
+
+def _values(grid: dict) -> str:
+    """``cfg``: every set of a grid, numbered in order of its values."""
+    names, number, lists = list(grid), "0", []
+    for i, name in enumerate(names):
+        number = f"({number} * {len(grid[name])} + g{i}.i)"
+        lists.append("(VALUES " + ", ".join(f"({j}, {v}::DOUBLE)" for j, v in enumerate(grid[name])) + f") g{i}(i, v)")
+    picks = ", ".join(f"g{i}.v AS {name}" for i, name in enumerate(names))
+    return f"cfg AS (SELECT {number} AS config_id, {picks} FROM {', '.join(lists)}),"
+
+
+def _sweep_sql(grid: dict, ticks: str) -> str:
+    return f"""{dc_sql([(t, t) for t in grid["threshold"]], ticks=ticks)}, {_ledger_sql(configs=_values(grid), pick="c.config_id,")},
 fold AS (
-  SELECT symbol, config_id, rn, born AS last, why IS NULL AS open, true AS entered FROM cases WHERE rn = 1
+  SELECT symbol, theta, config_id, rn, born AS last, why IS NULL AS open, true AS entered FROM cases WHERE rn = 1
   UNION ALL
-  SELECT c.symbol, c.config_id, c.rn, CASE WHEN f.open OR c.born - f.last >= INTERVAL {COOL} SECOND THEN c.born ELSE f.last END,
+  SELECT c.symbol, c.theta, c.config_id, c.rn, CASE WHEN f.open OR c.born - f.last >= INTERVAL {COOL} SECOND THEN c.born ELSE f.last END,
     (f.open OR c.born - f.last >= INTERVAL {COOL} SECOND) AND c.why IS NULL, f.open OR c.born - f.last >= INTERVAL {COOL} SECOND
-  FROM fold f JOIN cases c ON c.symbol = f.symbol AND c.config_id = f.config_id AND c.rn = f.rn + 1),
-taken AS (SELECT cases.* FROM cases JOIN fold USING (symbol, config_id, rn) WHERE entered), {_closed_sql("taken", "config_id,")}"""
+  FROM fold f JOIN cases c ON c.symbol = f.symbol AND c.theta = f.theta AND c.config_id = f.config_id AND c.rn = f.rn + 1),
+taken AS (SELECT cases.* FROM cases JOIN fold USING (symbol, theta, config_id, rn) WHERE entered), {_closed_sql("taken", "config_id,")}"""
 
 
 def _sweep(t: Tables) -> DataFrame:
-    events = cut_lineage(confirmations(events_of(t, GRID["threshold"])))
-    return T.dc_trades_sweep(
-        t.ticks, GRID, events, COOL, order=["event_id"], span=SPAN
-    )
+    ticks = cut_lineage(walk(t))
+    return T.dc_trades_sweep(ticks, GRID, None, COOL, order=["event_id"], span=SPAN)
+
+
+SWEEP = _sweep_sql(GRID, WALK)
+SHOWN = "symbol, config_id::BIGINT AS config_id, side, entry_time, exit_time, exit_price, reason, net_pnl_usd, mfe_pct, mae_pct"
+LEDGER = ("symbol", "config_id", "side", "entry_time", "exit_time", "exit_price", "reason", "net_pnl_usd", "mfe_pct", "mae_pct")
+
+
+@query("T5_sweep_1296", f"WITH RECURSIVE {SWEEP} SELECT {SHOWN} FROM ledger", "exit_price net_pnl_usd mfe_pct mae_pct")
+def _(t: Tables):
+    return _sweep(t).select(*LEDGER)
+
+
+@query("T5_dc_trades_sweep", f"WITH RECURSIVE {_sweep_sql(FEW, TICKS)} SELECT {SHOWN} FROM ledger", "exit_price net_pnl_usd mfe_pct mae_pct")
+def _(t: Tables):
+    """A market so jumpy that most ticks are confirmations, and a coarse grid."""
+    events = cut_lineage(confirmations(events_of(t, FEW["threshold"])))
+    return T.dc_trades_sweep(t.ticks, FEW, events, COOL, order=["event_id"], span=SPAN).select(*LEDGER)
+
+
+def _gated_sql(cooldown: int, losses: int | None, pause: int, group: str = "symbol", configs: str = "", usd: str = "100") -> str:
+    """From ``cand`` (places in ``seqt``, optional ``flip``) to ``ledger``: every tick of every candidate up to its reversal, then one candidate after another."""
+    pick = "c.config_id," if configs else ""
+    key = f"{group}, config_id" if configs else group
+    same = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in group.split(","))
+    each = lambda a, b: " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in key.split(","))
+    most = losses or 10**9
+    return f"""e AS (SELECT *, CASE side WHEN 'LONG' THEN min(CASE side WHEN 'SHORT' THEN pos END) OVER w ELSE min(CASE side WHEN 'LONG' THEN pos END) OVER w END AS r_pos,
+    row_number() OVER (PARTITION BY {group} ORDER BY pos) AS n FROM cand WINDOW w AS (PARTITION BY {group} ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+live AS (SELECT e.*, t.ts, t.price, t.pos AS t_pos FROM e JOIN seqt t ON t.symbol = e.symbol AND t.pos > e.pos AND t.pos <= coalesce(e.r_pos, 1000000000)),
+best AS (SELECT *, greatest(s * entry_price, max(s * price) OVER w) AS fav, least(s * entry_price, min(s * price) OVER w) AS adv,
+    greatest(s * entry_price, coalesce(max(s * price) OVER b, s * entry_price)) AS prev FROM live
+  WINDOW w AS (PARTITION BY {group}, pos ORDER BY t_pos ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY {group}, pos ORDER BY t_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{configs}
+stops AS (SELECT best.*, {pick} greatest(s * entry_price * (1 - s * c.sl), CASE WHEN (prev - s * entry_price) / entry_price >= c.min_profit
+    THEN s * entry_price + (prev - s * entry_price) * c.trail END) AS stop, s * entry_price * (1 + s * c.tp) AS target FROM best JOIN cfg c ON {same('c', 'best') if configs else 'true'}),
+hits AS (SELECT * FROM stops WHERE s * price <= stop OR s * price >= target QUALIFY row_number() OVER (PARTITION BY {key}, pos ORDER BY t_pos) = 1),
+ends AS (SELECT e.*, {pick} h.t_pos AS x_pos, h.ts AS x_ts, h.price AS x_px, h.fav, h.adv, CASE WHEN h.s * h.price <= h.stop THEN 'trailing_stop_loss' ELSE 'trailing_take_profit' END AS x_why,
+    coalesce(e.f_pos <= least(coalesce(h.t_pos, 1000000000), coalesce(e.r_pos, 1000000000)), false) AS flips
+  FROM e {f"JOIN cfg c ON {same('c', 'e')}" if configs else ''} LEFT JOIN hits h ON {same('h', 'e')} AND h.pos = e.pos {'AND h.config_id = c.config_id' if configs else ''}),
+cases AS (SELECT x.*, CASE WHEN flips THEN 'trend_flip' WHEN x_pos IS NOT NULL THEN x_why WHEN r_pos IS NOT NULL THEN 'reversal_close' END AS why,
+    CASE WHEN flips THEN f_pos WHEN x_pos IS NOT NULL THEN x_pos ELSE r_pos END AS end_pos FROM ends x),
+done AS (SELECT c.*, t.ts AS end_ts, t.price AS end_px, s * (t.price - entry_price) > 0 AS won FROM cases c LEFT JOIN seqt t ON t.symbol = c.symbol AND t.pos = c.end_pos),
+fold AS (
+  SELECT {key}, n, pos, why, end_pos, end_ts, won, side, born AS last, true AS entered, true AS open, 0 AS streak, NULL::TIMESTAMP AS until FROM done WHERE n = 1
+  UNION ALL
+  SELECT {', '.join('d.' + k.strip() for k in key.split(','))}, d.n, d.pos, CASE WHEN go THEN d.why ELSE d.f_why END, CASE WHEN go THEN d.end_pos ELSE d.f_end END, CASE WHEN go THEN d.end_ts ELSE d.f_ts END,
+    CASE WHEN go THEN d.won ELSE d.f_won END, CASE WHEN go THEN d.side ELSE d.f_side END, CASE WHEN go THEN d.born ELSE d.f_last END, go, go OR d.held, d.streak2, d.until2
+  FROM (SELECT *, NOT blocked AND NOT (held AND side = f_side) AND (until2 IS NULL OR born >= until2) AND (held OR born - f_last >= INTERVAL {cooldown} SECOND) AS go FROM (
+    SELECT *, f_open AND NOT shut AS held, shut AND f_why = 'trend_flip' AND f_end = pos AS blocked, CASE WHEN shut THEN CASE WHEN f_won THEN NULL WHEN streak2 >= {most} THEN f_ts + streak2 * INTERVAL {pause} SECOND ELSE f_until END ELSE f_until END AS until2 FROM (
+      SELECT *, CASE WHEN NOT shut THEN f_streak WHEN f_won THEN 0 ELSE f_streak + 1 END AS streak2 FROM (
+        SELECT d.*, f.why AS f_why, f.end_pos AS f_end, f.end_ts AS f_ts, f.won AS f_won, f.side AS f_side, f.last AS f_last, f.open AS f_open, f.streak AS f_streak, f.until AS f_until,
+          f.open AND coalesce(f.why <> 'reversal_close' AND f.end_pos <= d.pos, false) AS shut
+        FROM fold f JOIN done d ON {each('d', 'f')} AND d.n = f.n + 1)))) d),
+taken AS (SELECT done.* FROM done JOIN fold USING ({key}, n) WHERE entered),
+closed AS (SELECT {key}, side, entry_price, end_px AS exit_price, {usd} / entry_price AS size, born AS entry_time, end_ts AS exit_time, why AS reason,
+    CASE WHEN why LIKE 'trailing%' THEN greatest((fav - s * entry_price) / entry_price, 0) ELSE 0 END AS mfe_pct, CASE WHEN why LIKE 'trailing%' THEN greatest((s * entry_price - adv) / entry_price, 0) ELSE 0 END AS mae_pct
+  FROM taken WHERE why IS NOT NULL),
+priced AS (SELECT *, (CASE side WHEN 'LONG' THEN exit_price - entry_price ELSE entry_price - exit_price END) / entry_price AS pnl_pct,
+    entry_price * size * 0.00035::DOUBLE AS entry_fee, exit_price * size * 0.00035::DOUBLE AS exit_fee FROM closed),
+ledger AS (SELECT *, pnl_pct * (entry_price * size) - (entry_fee + exit_fee) AS net_pnl_usd FROM priced)"""
+
+
+PLACED = """seqt AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS pos FROM ticks),
+pdcc AS (SELECT d.symbol, d.threshold_down AS theta, t.pos, t.event_id, d.end_time AS born, d.end_price AS entry_price, CASE d.event_type WHEN 'PDCC2_UP' THEN 'LONG' ELSE 'SHORT' END AS side,
+    CASE d.event_type WHEN 'PDCC2_UP' THEN 1 ELSE -1 END AS s FROM dc d JOIN seqt t ON t.symbol = d.symbol AND t.ts = d.end_time WHERE d.event_type LIKE 'PDCC%')"""
+BARE = lambda sql: sql.replace(market.SENSORS + ",", "")
+RISK = {"sl": [0.004], "tp": [0.01], "trail": [0.5], "min_profit": [0.001]}
 
 
 @query(
-    "T5_dc_trades_sweep",
-    f"""WITH RECURSIVE {SWEEP} SELECT symbol, config_id::BIGINT AS config_id, side, entry_time, exit_time, exit_price, reason, net_pnl_usd, mfe_pct, mae_pct FROM ledger""",
-    "exit_price net_pnl_usd mfe_pct mae_pct",
+    "T6_gated_ledger",
+    f"""WITH RECURSIVE {dc_sql([(0.003, 0.003)], ticks=WALK)}, {PLACED}, {market.MOMENTUM}, {BARE(market.REGIME)}, {BARE(market.TREND)},
+flipped AS (SELECT seqt.symbol, pos, CASE trend WHEN 'up' THEN 'SHORT' ELSE 'LONG' END AS against FROM trends JOIN seqt USING (event_id) WHERE trend IS NOT NULL),
+gates AS (SELECT p.*, CASE side WHEN 'LONG' THEN long_size_factor ELSE short_size_factor END AS factor FROM pdcc p JOIN moments m USING (event_id) JOIN regimes r USING (event_id) JOIN trends t USING (event_id)
+  WHERE (CASE side WHEN 'LONG' THEN m.momentum ELSE -m.momentum END) > 0.1 AND r.regime <> 'choppy'),
+cand AS (SELECT g.*, f.pos AS f_pos FROM gates g ASOF LEFT JOIN flipped f ON f.symbol = g.symbol AND f.against = g.side AND g.pos < f.pos),
+cfg AS (SELECT 0.004::DOUBLE AS sl, 0.01::DOUBLE AS tp, 0.5::DOUBLE AS trail, 0.001::DOUBLE AS min_profit),
+{_gated_sql(1800, 2, 3600, usd="100 * factor")} SELECT symbol, side, entry_time, exit_time, entry_price, exit_price, size, reason, net_pnl_usd, mfe_pct, mae_pct FROM ledger""",
+    "entry_price exit_price size net_pnl_usd mfe_pct mae_pct",
 )
 def _(t: Tables):
-    return _sweep(t).select(
-        "symbol", "config_id", "side", "entry_time", "exit_time", "exit_price", "reason",
-        "net_pnl_usd", "mfe_pct", "mae_pct",
+    ticks = cut_lineage(walk(t))
+    numbered = G.numbered_ticks(ticks, ["symbol"], order=["event_id"], span=SPAN)
+    events = G.candidates_of(dc_events(ticks, [0.003], order="event_id", span=SPAN), numbered, ["symbol"])
+    events = events.withColumns({"event_type": F.when(F.col("side") == "LONG", "PDCC2_UP").otherwise("PDCC_Down"), "ts": F.col("entry_time")})
+    trend = cut_lineage(market._trend(t))
+    known = attach_rolling_state(
+        events, (market._momentum(t), ["momentum"]), (market._regime(t), ["regime"]), (trend, ["trend", "long_size_factor", "short_size_factor"]),
+        by="symbol", ts="ts", order="pos", span=SPAN,
     )
+    ready = T.gate_trades(known, min_momentum=0.1, use_trend=True).where("decision = 'enter'")
+    against = F.when(F.col("trend") == "up", "SHORT").otherwise("LONG").alias("against")
+    flips = trend.where("trend is not null").select("symbol", "ts", against).join(numbered, ["symbol", "ts"]).select("symbol", "pos", "us", "against")
+    config = T.grid_table(t.spark, RISK).withColumns(T.grid_places(RISK)).select("config_id", "sl_at", "tp_at", "tr_at")
+    out = G.gated_ledger(ready, numbered, config, RISK, flips=flips, cooldown_s=1800, max_losses=2, loss_cooldown_s=3600, span=SPAN)
+    return out.select("symbol", "side", "entry_time", "exit_time", "entry_price", "exit_price", "size", "reason", "net_pnl_usd", "mfe_pct", "mae_pct")
+
+
+MANY = T.MULTI_GRID
+
+
+def _multi_sql() -> str:
+    levels = sorted({*G.SENSORS, *MANY["threshold"]})
+    alphas = ", ".join(f"({v}::DOUBLE)" for v in MANY["alpha"])
+    scores = ", ".join(f"({v}::DOUBLE)" for v in MANY["min_score"])
+    feel = ", ".join(f"{v}::DOUBLE" for v in G.SENSORS)
+    cfg = _values(MANY).removesuffix(",").replace("cfg AS", "all_sets AS") + ", cfg AS (SELECT all_sets.*, symbol, threshold AS theta FROM all_sets, (SELECT DISTINCT symbol FROM ticks)),"
+    return f"""{dc_sql([(v, v) for v in levels], ticks=WALK)}, {PLACED},
+felt AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos, theta) AS k FROM pdcc WHERE theta IN ({feel})),
+score AS (SELECT symbol, alpha, k, pos, theta, alpha * s AS m FROM felt, (VALUES {alphas}) a(alpha) WHERE k = 1
+  UNION ALL SELECT f.symbol, c.alpha, f.k, f.pos, f.theta, c.alpha * f.s + (1 - c.alpha) * c.m FROM score c JOIN felt f ON f.symbol = c.symbol AND f.k = c.k + 1),
+last_score AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY symbol, alpha, pos ORDER BY theta DESC) = 1),
+asked AS (SELECT p.*, alpha FROM pdcc p, (VALUES {alphas}) a(alpha) WHERE theta NOT IN ({feel})),
+cand AS (SELECT a.*, min_score, NULL::BIGINT AS f_pos FROM (SELECT a.*, l.m FROM asked a ASOF JOIN last_score l ON l.symbol = a.symbol AND l.alpha = a.alpha AND a.pos >= l.pos) a, (VALUES {scores}) g(min_score) WHERE s * m > min_score),
+{_gated_sql(3600, None, 0, "symbol, theta, alpha, min_score", cfg)}"""
+
+
+@query("T5_multi_scale", f"WITH RECURSIVE {_multi_sql()} SELECT {SHOWN} FROM ledger", "exit_price net_pnl_usd mfe_pct mae_pct")
+def _(t: Tables):
+    return G.multi_scale_sweep(cut_lineage(walk(t)), MANY, cooldown_s=3600, order=["event_id"], span=SPAN).select(*LEDGER)
 
 
+LEAST = 5  # trades from which on a configuration is reported
 SUMMARY = f"""{SWEEP},
 curve AS (SELECT *, sum(net_pnl_usd) OVER w AS cum FROM ledger WINDOW w AS (PARTITION BY config_id ORDER BY exit_time, entry_time, symbol ROWS UNBOUNDED PRECEDING)),
 peaks AS (SELECT *, greatest(0, max(cum) OVER w) AS peak FROM curve WINDOW w AS (PARTITION BY config_id ORDER BY exit_time, entry_time, symbol ROWS UNBOUNDED PRECEDING)),
 summary AS (SELECT config_id::BIGINT AS config_id, count(*) AS total_trades, count(*) FILTER (net_pnl_usd > 0) AS wins, sum(net_pnl_usd) AS net_pnl_usd,
-  max(peak - cum) AS max_drawdown_usd, sum(net_pnl_usd) / 30 AS net_pnl_per_day FROM peaks GROUP BY 1 HAVING count(*) >= 1200)"""
+  max(peak - cum) AS max_drawdown_usd, sum(net_pnl_usd) / 30 AS net_pnl_per_day FROM peaks GROUP BY 1 HAVING count(*) >= {LEAST})"""
 
 
 @query(
@@ -257,7 +381,7 @@ summary AS (SELECT config_id::BIGINT AS config_id, count(*) AS total_trades, cou
     4,
 )
 def _(t: Tables):
-    out = T.sweep_summary(_sweep(t), T.grid_table(t.spark, GRID), 1200, 30, span=SPAN)
+    out = T.sweep_summary(_sweep(t), T.grid_table(t.spark, GRID), LEAST, 30, span=SPAN)
     return out.select(
         "config_id", "total_trades", "wins", "net_pnl_usd", "max_drawdown_usd",
         "net_pnl_per_day", *GRID,
@@ -272,7 +396,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     return T.sweep_patterns(
-        T.sweep_summary(_sweep(t), T.grid_table(t.spark, GRID), 1200, 30, span=SPAN)
+        T.sweep_summary(_sweep(t), T.grid_table(t.spark, GRID), LEAST, 30, span=SPAN)
     )
 
 
@@ -315,7 +439,7 @@ def _(t: Tables):
 {market.TREND.replace(market.SENSORS + ',', '')}, {market.QUOTES},
 c AS (SELECT q.symbol, q.quote_ts AS ts, q.quote_id, CASE WHEN q.quote > 20 THEN 'PDCC2_UP' ELSE 'PDCC_Down' END AS event_type,
   s.momentum, s.regime, s.trend, s.long_size_factor, s.short_size_factor FROM quotes q ASOF LEFT JOIN
-  (SELECT m.symbol, m.ts, m.momentum, r.regime, t.trend, t.long_size_factor, t.short_size_factor FROM moments m JOIN regimes r USING (event_id) JOIN trends t USING (event_id) WHERE event_id % 4 = 1) s
+  (SELECT m.symbol, m.ts, m.momentum, r.regime, t.trend, t.long_size_factor, t.short_size_factor FROM moments m JOIN regimes r USING (event_id) JOIN trends t USING (event_id)) s
   ON q.symbol = s.symbol AND q.quote_ts >= s.ts),
 d AS (SELECT *, CASE WHEN NOT (CASE event_type WHEN 'PDCC2_UP' THEN coalesce(momentum, 0) > 0.1 ELSE coalesce(momentum, 0) < -0.1 END) THEN 'momentum'
   WHEN coalesce(regime = 'choppy', false) THEN 'choppy' ELSE 'enter' END AS decision FROM c)
@@ -328,12 +452,11 @@ def _(t: Tables):
         "symbol", F.col("quote_ts").alias("ts"), "quote_id",
         F.when(F.col("quote") > 20, "PDCC2_UP").otherwise("PDCC_Down").alias("event_type"),
     )
-    some = F.col("event_id") % 4 == 1
     candidates = attach_rolling_state(
         quotes,
-        (market._momentum(t).where(some), ["momentum"]),
-        (market._regime(t).where(some), ["regime"]),
-        (market._trend(t).where(some), ["trend", "long_size_factor", "short_size_factor"]),
+        (market._momentum(t), ["momentum"]),
+        (market._regime(t), ["regime"]),
+        (market._trend(t), ["trend", "long_size_factor", "short_size_factor"]),
         by="symbol", ts="ts", order="quote_id", span=SPAN,
     )
     out = T.gate_trades(candidates, min_momentum=0.1, use_trend=True)

@@ -912,12 +912,13 @@ def _(t: Tables):
 
 # --- joins -------------------------------------------------------------------------------------
 
-QUOTES = "quotes AS (SELECT event_type AS symbol, ts AS quote_ts, event_id AS quote_id, value AS quote FROM events WHERE event_id % 4 = 0)"
+# Every event as a quote, 37 seconds after it.
+QUOTES = "quotes AS (SELECT event_type AS symbol, ts + INTERVAL 37 SECOND AS quote_ts, event_id AS quote_id, value AS quote FROM events)"
 
 
 def _quotes(t: Tables) -> DataFrame:
-    return t.events.where(F.col("event_id") % 4 == 0).select(
-        F.col("event_type").alias("symbol"), F.col("ts").alias("quote_ts"),
+    return t.events.select(
+        F.col("event_type").alias("symbol"), (F.col("ts") + F.expr("interval 37 seconds")).alias("quote_ts"),
         F.col("event_id").alias("quote_id"), F.col("value").alias("quote"),
     )
 
@@ -938,14 +939,14 @@ def _(t: Tables):
 @query(
     "J2_J3_asof_in_interval",
     f"""WITH {RAW}, ev AS (SELECT event_type AS market, 'I' || (user_id % 10) AS instrument, ts AS start_time, ts + INTERVAL 3 HOUR AS end_time, value
-  FROM events WHERE event_id % 3 = 0)
+  FROM events)
 SELECT r.market, r.instrument, r.trade_id, r.ts, r.load_time, e.start_time, e.end_time, e.value FROM raw r ASOF JOIN ev e
   ON r.market = e.market AND r.instrument = e.instrument AND r.ts >= e.start_time WHERE r.ts < e.end_time""",
     "value",
 )
 def _(t: Tables):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    ev = t.events.where(F.col("event_id") % 3 == 0).select(
+    ev = t.events.select(
         F.col("event_type").alias("market"),
         F.concat(F.lit("I"), (F.col("user_id") % 10).cast("string")).alias("instrument"),
         F.col("ts").alias("start_time"),
@@ -1121,14 +1122,13 @@ def _(t: Tables):
 @query(
     "J12_attach_rolling_state",
     f"""WITH {REGIME}, {QUOTES}
-SELECT quotes.*, r.regime, r.event_rate FROM quotes ASOF LEFT JOIN (SELECT * FROM regimes WHERE event_id % 2 = 0) r
+SELECT quotes.*, r.regime, r.event_rate FROM quotes ASOF LEFT JOIN regimes r
   ON quotes.symbol = r.symbol AND quotes.quote_ts >= r.ts""",
     "quote event_rate",
 )
 def _(t: Tables):
-    state = _regime(t).where(F.col("event_id") % 2 == 0)
     return joins.attach_rolling_state(
-        _quotes(t), (state, ["regime", "event_rate"]), by="symbol", ts="quote_ts",
+        _quotes(t), (_regime(t), ["regime", "event_rate"]), by="symbol", ts="quote_ts",
         order="quote_id", span=SPAN,
     )
 

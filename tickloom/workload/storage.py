@@ -11,8 +11,9 @@ from tickloom.session import scratch
 from tickloom.sources import tables as S
 from tickloom.streaming import io
 from tickloom.streaming.detector import dc_stream
+from tickloom.streaming.rolling import rolling_stream
 from tickloom.workload import market
-from tickloom.workload.inputs import THRESHOLDS, TICKS, dc_sql, preds
+from tickloom.workload.inputs import THRESHOLDS, TICKS, dc_sql, preds, sensors
 from tickloom.workload.registry import Tables, query
 
 
@@ -143,30 +144,131 @@ def _(t: Tables):
     return t.spark.read.parquet(path)
 
 
+FILE_ROWS, FILES = 1_000_000, 12  # at most so many rows a file (if time is even), at least so many files
+
+
+def _write_in_time(rows: DataFrame, path: str, jitter_us: int = 0) -> None:
+    """``rows(ts, event_id, ...)`` as one file per stretch of time, each written after the one before, in no order within a file.
+
+    A row lands up to ``jitter_us`` after its time, so files overlap in time.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last, n = rows.agg(F.min(us), F.max(us), F.count(F.lit(1))).first()
+    if not n:
+        return
+    files = max(FILES, -(-n // FILE_ROWS))
+    length = (last + jitter_us - first) // files + 1
+    late = F.pmod(F.xxhash64("event_id"), F.lit(jitter_us + 1))
+    numbered = rows.withColumn("file", F.floor((us - first + late) / length))
+    for k in range(files):
+        some = numbered.where(F.col("file") == k).drop("file").coalesce(1)
+        some.sortWithinPartitions(F.hash("event_id")).write.parquet(f"{path}/file={k}")
+
+
+def _tick_files(t: Tables, jitter_us: int = 0) -> str:
+    """The ticks as files, and two files more with a tick of a symbol of its own, long after the others: the clock that ends the day."""
+    path = scratch(t.spark, "tick-files")
+    _write_in_time(t.ticks.select("symbol", "ts", "price", "event_id"), path, jitter_us)
+    for k in (1, 2):
+        end = t.ticks.agg((F.max("ts") + F.expr(f"interval {400 + k} days")).alias("ts"))
+        end.select(F.lit("~").alias("symbol"), "ts", F.lit(1.0).alias("price"), F.lit(-1).cast("long").alias("event_id")).write.parquet(f"{path}/file={1000000 + k}")
+    return path
+
+
+def _files_as_stream(t: Tables, path: str) -> DataFrame:
+    """One file a batch, in order of time."""
+    schema = t.spark.read.parquet(path).schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).drop("file")
+
+
+def _drained(stream: DataFrame, name: str) -> tuple[DataFrame, list]:
+    """What a stream gives until it has read everything, as written by batch, and the progress of its batches."""
+    out = scratch(stream.sparkSession, name)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    run = stream.writeStream.foreachBatch(sink).outputMode("update")
+    run = run.option("checkpointLocation", scratch(stream.sparkSession, "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.parquet(out).drop("batch"), run.recentProgress
+
+
+JITTER, WAIT = 2 * 86_400_000_000, "3 days"
+
+
+@query(
+    "D3_dc_stream_ordered",
+    f"WITH RECURSIVE {dc_sql()} SELECT * FROM dc",
+    "start_price end_price threshold_down threshold_up max_osv",
+)
+def _(t: Tables):
+    """The detector over many files in which ticks overtake each other, with the batch detector's check."""
+    ticks = _files_as_stream(t, _tick_files(t, JITTER))
+    found, _progress = _drained(dc_stream(ticks, THRESHOLDS, order="event_id", watermark=WAIT), "events")
+    return found.where("kind = 'event'").drop("kind", "event_timestamp", "ingested_at")
+
+
 @query(
     "D3_dc_stream",
     f"WITH RECURSIVE {dc_sql()} SELECT * FROM dc",
     "start_price end_price threshold_down threshold_up max_osv",
 )
 def _(t: Tables):
-    """The detector over the events file as a stream, with the batch detector's check."""
-    schema = t.events.schema
-    raw = t.spark.readStream.schema(schema).parquet(f"{t.folder}/event[s].parquet")
-    ticks = raw.select(
-        F.col("event_type").alias("symbol"), "ts", (F.col("value") + 50).alias("price"), "event_id"
-    )
-    found = dc_stream(ticks, THRESHOLDS, order="event_id")
-    out = scratch(t.spark, "events")
+    """The detector over files that are each in any order but follow each other in time."""
+    ticks = _files_as_stream(t, _tick_files(t))
+    found, _progress = _drained(dc_stream(ticks, THRESHOLDS, order="event_id", watermark=WAIT), "events")
+    return found.where("kind = 'event'").drop("kind", "event_timestamp", "ingested_at")
 
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.drop("kind", "event_timestamp", "ingested_at").write.mode("overwrite").parquet(
-            f"{out}/batch={number}"
-        )
-
-    run = found.writeStream.foreachBatch(sink).outputMode("update")
-    run = run.option("checkpointLocation", scratch(t.spark, "cp")).trigger(availableNow=True)
-    run.start().awaitTermination()
-    return t.spark.read.parquet(out).drop("batch")
+
+@query(
+    "X2_late_ticks",
+    "SELECT 'late' AS kind, event_type AS symbol, ts, value + 50 AS price FROM events WHERE event_id % 97 = 0 UNION ALL SELECT 'bad', event_type, ts, -1.0::DOUBLE FROM events WHERE event_id % 89 = 0",
+    "price",
+)
+def _(t: Tables):
+    """Ticks that come again when the clock is long past them are reported, as are those without a sound price."""
+    path = _tick_files(t)
+    late = t.ticks.where("event_id % 97 = 0").unionByName(t.ticks.where("event_id % 89 = 0").withColumn("price", F.lit(-1.0)))
+    late.select("symbol", "ts", "price", "event_id").write.parquet(f"{path}/file=1000003")
+    found, _progress = _drained(dc_stream(_files_as_stream(t, path), THRESHOLDS[:1], order="event_id", watermark=WAIT), "late")
+    return found.where("kind <> 'event'").select("kind", "symbol", F.col("event_timestamp").alias("ts"), F.col("end_price").alias("price"))
+
+
+@query(
+    "X4_counters",
+    f"""WITH RECURSIVE {dc_sql()} SELECT 'parse_errors' AS counter, count(*) AS n FROM events WHERE event_id % 50 IN (7, 8, 9)
+UNION ALL SELECT 'parsed', count(*) FROM events WHERE event_id % 50 NOT IN (7, 8, 9) UNION ALL SELECT 'events_emitted', count(*) FROM dc""",
+)
+def _(t: Tables):
+    """Counters that the streams observe, from the progress of their batches."""
+    source = scratch(t.spark, "messages")
+    market._messages(t).select("value").write.text(source)
+    _rows, read = _drained(io.counted_ticks(io.read_tick_stream(t.spark, path=source)).select("error"), "parsed")
+    ticks = _files_as_stream(t, _tick_files(t))
+    _rows, found = _drained(dc_stream(ticks, THRESHOLDS, order="event_id", watermark=WAIT), "emitted")
+    totals = io.observed_totals([*read, *found])
+    names = ("ticks.parse_errors", "ticks.parsed", "events.events_emitted")
+    return t.spark.createDataFrame([(k.split(".")[1], totals.get(k, 0)) for k in names], "counter string, n long")
+
+
+@query(
+    "X5_rolling_stream",
+    f"""WITH RECURSIVE {market.MOMENTUM}, {market.REGIME.replace(market.SENSORS + ",", "")}, {market.TREND.replace(market.SENSORS + ",", "")}
+SELECT m.symbol, m.ts, m.direction::INT AS direction, r.regime, m.momentum, t.bias, t.trend FROM moments m JOIN regimes r USING (event_id) JOIN trends t USING (event_id)""",
+    "momentum bias",
+)
+def _(t: Tables):
+    """Regime, momentum and trend of sensor events on a stream of files, with the checks of the batch operators."""
+    events = sensors(t).select(
+        "symbol", "ts", F.col("ts").alias("end_time"), F.lit(1.0).alias("start_price"), (F.lit(1.0) + F.col("tmv")).alias("end_price"), "event_id",
+        F.when(F.col("direction") == 1, "PDCC2_UP").otherwise("PDCC_Down").alias("event_type"),
+    )
+    path = scratch(t.spark, "sensor-files")
+    _write_in_time(events, path)
+    live = rolling_stream(_files_as_stream(t, path), 6 * 3600, 9 * 3600, choppy_rate=0.05, order="event_id")
+    found, _progress = _drained(live, "rolling")
+    return found.select("symbol", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "direction", "regime", "momentum", "bias", "trend")
 
 
 @query(
