@@ -44,12 +44,12 @@ def with_effect(fills: DataFrame) -> DataFrame:
     }).where(F.col("__sign").isNotNull())
 
 
-def _fold(keys: Sequence[str], last_only: bool):
+def _fold(keys: Sequence[str], last_only: bool = False):
     """Signed position over fills: ``q`` units at mean price ``mean`` since ``born``.
 
     A fill takes ``min(close, |q|)`` units off (a round trip at the mean price) and, when what is left
-    is flat or on its side, adds the rest of its size. Emits round trips, then what is left open
-    (``last_only``: only that, flat or not).
+    is flat or on its side, adds the rest of its size. Emits round trips (not with ``last_only``), then a row of what is
+    left open, without a side where that is nothing.
     """
 
     def fold(batches):
@@ -62,7 +62,7 @@ def _fold(keys: Sequence[str], last_only: bool):
         def left_over():
             if q:
                 return [(*key, "open", side(q), mean, None, abs(q), born, None, False, number)]
-            return [(*key, "open", None, None, None, 0.0, None, None, False, number)] * last_only
+            return [(*key, "open", None, None, None, 0.0, None, None, False, number)]
 
         for pdf in batches:
             out = []
@@ -91,19 +91,19 @@ def _fold(keys: Sequence[str], last_only: bool):
     return fold
 
 
-def _merged(cut: DataFrame, keys: list[str], order: list[str], schema: str) -> DataFrame:
-    """Stretches joined until each but a key's last one ends flat when it is folded from flat.
+def _joined(ends: DataFrame, cut: DataFrame, keys: list[str], order: list[str], schema: str) -> DataFrame | None:
+    """``keys..., stretch, __first`` of the stretches that have to be joined, so that each but a key's last one ends flat when it is folded from flat.
 
-    A stretch that stays open is joined with those after it up to the next one that was flat before; only what was
+    ``ends(keys..., stretch, held)`` says which stay open when they are folded alone. A stretch that stays open is joined with those after it up to the next one that was flat before; only what was
     joined is folded again. Sound fills need one pass; each further pass follows from contradictions alone. What
-    is still open after ``PASSES`` of them is joined with all that follows in its key: one stream, the same result.
+    is still open after ``PASSES`` of them is joined with all that follows in its key: one stream, the same result. None: none has to be joined.
     """
     part = [*keys, "stretch"]
     line = Timeline.of(keys, "stretch", (), STRETCHES)
     held = lambda rows: ordered_fold(rows, part, order, _fold(part, True), schema).select(
         *part, F.col("side").isNotNull().alias("held")
     )
-    ends, names = held(cut), None
+    names = None
     for number in range(PASSES + 1):
         seen = cut_lineage(running(ends, line, __held=previous(F.col("held"))))
         if seen.where("__held").isEmpty():
@@ -126,7 +126,10 @@ def _merged(cut: DataFrame, keys: list[str], order: list[str], schema: str) -> D
         joined = step.where("__n > 1").select(*keys, "__first").distinct()
         again = names.join(joined, [*keys, "__first"], "left_semi")
         ends = step.where("__n = 1").select(*part, "held").unionByName(held(_renamed(cut, again, part)))
-    return cut if names is None else _renamed(cut, names, part)
+    if names is None:
+        return None
+    sizes = names.groupBy(*keys, "__first").agg(F.count(F.lit(1)).alias("__n"))
+    return cut_lineage(names.join(sizes.where("__n > 1").drop("__n"), [*keys, "__first"], "left_semi"))
 
 
 def _renamed(cut: DataFrame, names: DataFrame, part: list[str]) -> DataFrame:
@@ -145,8 +148,8 @@ def pair_fills(
 
     A key's fills are cut where the venue reports a flat position before an opening fill. Every
     cut is checked by folding each stretch alone: those that don't end flat are joined with what follows
-    (``_merged``), and the key is cut again from the next proven flat point on. The result is the
-    sequential one whatever the venue reports.
+    (``_joined``), and the key is cut again from the next proven flat point on. Only what was joined is folded again.
+    The result is the sequential one whatever the venue reports.
     """
     keys = list(by)
     tl = Timeline.of(keys, "time", tie, span)
@@ -159,8 +162,12 @@ def pair_fills(
     by_type = ", ".join(f"`{c}` {fills.schema[c].dataType.simpleString()}" for c in keys)
     order, part = ["time", *tie], [*keys, "stretch"]
     schema = f"{by_type}, stretch long, {FOLD_SCHEMA}"
-    cut = _merged(cut, keys, order, schema)
-    folded = ordered_fold(cut, part, order, _fold(part, False), schema)
+    folded = cut_lineage(ordered_fold(cut, part, order, _fold(part), schema))
+    ends = folded.where("kind = 'open'").select(*part, F.col("side").isNotNull().alias("held"))
+    names = _joined(ends, cut, keys, order, schema)
+    if names is not None:
+        again = ordered_fold(_renamed(cut, names, part), part, order, _fold(part), schema)
+        folded = folded.join(names, part, "left_anti").unionByName(again)
     at = lambda c: F.timestamp_millis(F.col(c)).cast("timestamp_ntz")
     timed = folded.withColumn("entry_time", at("entry_ms")).withColumn("exit_time", at("exit_ms"))
     priced = leg_pnl(timed.where("kind = 'trade'"), fee)
@@ -174,7 +181,7 @@ def pair_fills(
         "exit_time", "pnl_pct", "pnl_usd", "entry_fee", "exit_fee", "total_fees", "net_pnl_usd",
         reason.alias("reason"), F.lit(0.0).alias("mfe_pct"), F.lit(0.0).alias("mae_pct"),
     )
-    positions = timed.where("kind = 'open'").select(
+    positions = timed.where("kind = 'open' and side is not null").select(
         *keys, "side", "entry_price", "size", "entry_time"
     )
     return trades, positions

@@ -19,6 +19,7 @@ from tickloom.operators.timeline import (
     previous,
     running,
 )
+from tickloom.session import cut_lineage
 
 _UP = Window.unboundedPreceding
 SPLITS = 256
@@ -72,20 +73,25 @@ def directional_accuracy(
     return out.groupBy(*by).agg(F.coalesce(F.avg(hit), F.lit(0.0)).alias(name))
 
 
-def ranked_values(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """Each distinct value with its count ``n`` and how many rows of its group are ``below`` it.
+def value_counts(df: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``by..., column, value, n``: every distinct value of every column with its number of rows, nulls too.
 
-    Copies are counted on the map side, then the distinct values are cut into ranges at
-    approximate quantiles; exact positions come from running counts inside a range plus the totals
-    of the ranges before it. No group is ever sorted in one task.
+    One scan with map-side combination, written out: ranks, percentiles, distinct counts and moments of all the columns
+    come from this table, which is as large as the columns have different values.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
+    stacked = df.select(*by, F.explode(cells).alias("s")).select(*by, "s.*")
+    return cut_lineage(stacked.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def ranks_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by..., value, n, below``: how many rows of its group are below each value, from ``counts(by..., value, n)`` without nulls.
+
+    The distinct values are cut into ranges at approximate quantiles; exact positions come from running counts
+    inside a range plus the totals of the ranges before it. No group is ever sorted in one task.
     """
-    counts = (
-        df.where(F.col(col).isNotNull())
-        .groupBy(*by, F.col(col).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     points = [i / SPLITS for i in range(1, SPLITS)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(col, points, 2000).alias("__cuts"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", points, 2000).alias("__cuts"))
     placed = counts.join(cuts, list(by), "left") if by else counts.crossJoin(F.broadcast(cuts))
     # Binary search for the number of cuts below the value.
     steps = F.array(*[F.lit(SPLITS >> k) for k in range(1, SPLITS.bit_length())])
@@ -107,23 +113,36 @@ def ranked_values(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     )
 
 
+def ranked_values(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """Each distinct value with its count ``n`` and how many rows of its group are ``below`` it."""
+    counts = (
+        df.where(F.col(col).isNotNull())
+        .groupBy(*by, F.col(col).alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return ranks_of_counts(cut_lineage(counts), by)
+
+
 def percentiles(
     df: DataFrame,
-    col: str,
+    col: str | Sequence[str],
     by: Sequence[str] = (),
     ps: Sequence[float] = (0.25, 0.5, 0.75, 0.9),
     extras: bool = True,
 ) -> DataFrame:
-    """Exact percentiles, linearly interpolated, with mean, min, max and count.
+    """Exact percentiles, linearly interpolated, with mean, min, max and count, in one scan of ``df``.
 
-    Percentile ``p`` of ``n`` rows sits at position ``p * (n - 1)``.
+    Percentile ``p`` of ``n`` rows sits at position ``p * (n - 1)``. Of several columns each is a row, named in ``column``.
     """
-    ranks = ranked_values(df, by, col)
-    sizes = df.groupBy(*by).agg(
-        F.count(col).alias("count"), F.avg(col).alias("mean"),
-        F.min(col).alias("min"), F.max(col).alias("max"),
+    cols = [col] if isinstance(col, str) else list(col)
+    counts = value_counts(df, by, cols).where("value is not null")
+    keys = [*by, "column"]
+    ranks = ranks_of_counts(counts, keys)
+    v, n = F.col("value"), F.col("n")
+    sizes = counts.groupBy(*keys).agg(
+        F.sum(n).alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
     )
-    both = ranks.join(sizes, list(by)) if by else ranks.crossJoin(F.broadcast(sizes))
+    both = ranks.join(sizes, keys)
     covers = lambda pos: (F.col("below") <= pos) & (pos < F.col("below") + F.col("n"))
     wanted = F.lit(False)
     aggs = []
@@ -137,7 +156,8 @@ def percentiles(
         ).otherwise(0.0)
         aggs.append(F.sum(part).alias(f"p{p * 100:g}".replace(".", "_")))
     tail = [F.first(c).alias(c) for c in ("mean", "min", "max", "count")] if extras else []
-    return both.where(wanted).groupBy(*by).agg(*aggs, *tail)
+    out = both.where(wanted).groupBy(*keys).agg(*aggs, *tail)
+    return out.drop("column") if isinstance(col, str) else out
 
 
 @F.pandas_udf(T.DoubleType())
@@ -305,29 +325,26 @@ def scaler_fit(train: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def dataset_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Per column (and split): counts, nulls, distinct (approximate), mean, std, min, max."""
-    stacked = df.select(
-        *by,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-                    for c in cols
-                ]
-            )
-        ).alias("s"),
-    ).select(*by, "s.*")
-    v = F.col("value")
-    return stacked.groupBy(*by, "column").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(v.isNull()).alias("nulls"),
-        F.count_if(v == 0).alias("zeros"),
-        F.approx_count_distinct(v).alias("approx_distinct"),
-        F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"),
+    """Per column (and split): counts, nulls, zeros, distinct values, mean, std, min, max; all exact, in one scan of ``df``."""
+    counts = value_counts(df, by, cols)
+    keys = [*by, "column"]
+    v, n = F.col("value"), F.col("n")
+    seen = F.when(v.isNotNull(), n)
+    sums = counts.groupBy(*keys).agg(
+        F.sum(n).alias("rows"),
+        F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("nulls"),
+        F.coalesce(F.sum(F.when(v == 0, n)), F.lit(0)).alias("zeros"),
+        F.count(v).alias("distinct_values"),
+        F.try_divide(F.sum(v * n), F.sum(seen)).alias("mean"),
+        F.sum(seen).alias("__seen"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
+    # Squares around the mean, so that large values with little spread keep their digits.
+    off = v - F.col("mean")
+    spread = counts.join(sums.select(*keys, "mean"), keys).groupBy(*keys).agg(F.sum(off * off * n).alias("__square"))
+    out = sums.join(spread, keys, "left").withColumn("std", F.sqrt(F.try_divide("__square", "__seen")))
+    return out.select(*keys, "rows", "nulls", "zeros", "distinct_values", "mean", "std", "min", "max")
 
 
 def train_serve_skew(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from tickloom import schemas
 from tickloom.functions.scalars import epoch_parts_to_ts
 from tickloom.operators.timeline import Timeline, row_index
+from tickloom.session import cut_lineage
 
 FORMATS = {
     "csv": "csv", "json": "json", "jsonl": "json", "ndjson": "json", "parquet": "parquet",
@@ -49,21 +51,24 @@ def scan_trades(
 
 
 def _listing(spark: SparkSession, path: str) -> list[str]:
-    """File names under a path, without reading any contents."""
+    """Extensions of the files under a path, the most frequent first, without reading any contents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)(?:\.gz)?$", 1))
-    return [r[0] for r in files.select(ext.alias("e")).distinct().collect()]
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)(?:\.gz)?$", 1)).alias("e")
+    found = files.select(ext).groupBy("e").count().orderBy(F.desc("count"), "e")
+    return [r.e for r in found.collect()]
 
 
 def read_dataset(
     spark: SparkSession, path: str, columns: Mapping[str, str] | None = None,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """A folder of CSV, else Parquet, else Avro, else extension-less CSV; an empty one fails."""
+    """A folder of CSV, else Parquet, else Avro, else extension-less CSV; an empty one fails, as does one of other files only."""
     found = _listing(spark, path)
     if not found:
         raise FileNotFoundError(f"no files under {path}")
     kind = next((k for k in ("csv", "parquet", "avro") if k in found), "csv")
+    if kind not in found and "" not in found:
+        raise ValueError(f"no CSV, Parquet or Avro under {path}, but {', '.join(found)}")
     reader = spark.read.option("recursiveFileLookup", "true")
     if kind in found:
         reader = reader.option("pathGlobFilter", f"*.{kind}*")
@@ -91,16 +96,21 @@ def load_dataset(
 ) -> DataFrame:
     """Load files into a table.
 
-    The format comes from the extension unless given; ``schema_json`` is a list of
+    The format comes from the extension unless given; in a folder from that of most files (of equal
+    numbers the first by name), and only files with it are read. ``schema_json`` is a list of
     ``{name, type}`` or Spark's own JSON; ``mode`` is truncate, append or empty.
     """
+    only = None
     if format is None:
         tail = path.rstrip("*").rstrip("/").removesuffix(".gz").rsplit(".", 1)
         ext = tail[-1].lower() if len(tail) == 2 and "/" not in tail[-1] else None
-        format = FORMATS.get(ext or "") or next(
-            (FORMATS[e] for e in _listing(spark, path) if e in FORMATS), "csv"
-        )
+        format = FORMATS.get(ext or "")
+        if format is None:
+            only = next((e for e in _listing(spark, path) if e in FORMATS), None)
+            format = FORMATS[only] if only else "csv"
     reader = spark.read.format(format)
+    if only:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{only}*")
     if schema_json:
         reader = reader.schema(_schema_of(schema_json))
     elif format == "csv":
@@ -131,47 +141,65 @@ def _schema_of(text: str) -> T.StructType:
     )
 
 
+FILE_BYTES = 256 << 20  # bytes of rows, before compression, that go into one file
+
+
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: its texts as they are, eight for anything else."""
+    sizes = [
+        F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.lit(8)
+        for f in df.schema.fields
+    ]
+    return sum(sizes[1:], sizes[0]).cast("long")
+
+
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+
 def write_table(
     df: DataFrame, path: str, partition_ts: str, cluster: Sequence[str] = (),
-    mode: str = "overwrite", salt: int = 1,
+    mode: str = "overwrite", salt: int | None = None, file_bytes: int = FILE_BYTES,
 ) -> None:
     """Day partitions, rows clustered inside their files.
 
-    ``salt`` spreads one busy (day, cluster) over that many files.
+    Bytes are measured per (day, cluster) first, in one map-side combined pass; only those with more than ``file_bytes``
+    are spread over as many files as that asks for, by a hash of the row. There are at most as many of them as the table has
+    multiples of ``file_bytes``, and Spark broadcasts them only where they are known to be few. ``salt`` spreads every one by that number instead.
     """
-    day = F.to_date(F.col(partition_ts)).alias("dt")
-    out = df.withColumn("dt", day)
+    out = df.withColumn("dt", F.to_date(F.col(partition_ts)))
     keys: list[Column] = [F.col("dt"), *[F.col(c) for c in cluster]]
-    if salt > 1:
-        keys.append(F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
-    (
-        out.repartition(*keys)
-        .sortWithinPartitions("dt", *cluster, partition_ts)
-        .write.mode(mode)
-        .partitionBy("dt")
-        .parquet(path)
-    )
+    if salt is None:
+        part = F.ceil(F.sum(_bytes(df)) / F.lit(file_bytes)).cast("int").alias("__parts")
+        heavy = cut_lineage(out.groupBy("dt", *cluster).agg(part).where("__parts > 1"))
+        names = ["dt", *cluster]
+        same = reduce(lambda x, y: x & y, [F.col(f"o.{c}").eqNullSafe(F.col(f"h.{c}")) for c in names])
+        if not heavy.isEmpty():
+            joined = out.alias("o").join(heavy.alias("h"), same, "left").select("o.*", "h.__parts")
+            out = joined.withColumn("__salt", F.pmod(_row_hash(df), F.coalesce("__parts", F.lit(1)))).drop("__parts")
+            keys.append(F.col("__salt"))
+    elif salt > 1:
+        keys.append(F.pmod(_row_hash(df), F.lit(salt)))
+    ordered = out.repartition(*keys).sortWithinPartitions("dt", *cluster, partition_ts)
+    ordered.select(*df.columns, "dt").write.mode(mode).partitionBy("dt").parquet(path)
 
 
 def write_shards(
-    df: DataFrame, path: str, n: int | None = 16, ts: str = "ts", manifest: Mapping | None = None,
-    split: str | None = None, tie: Sequence[str] = (),
+    df: DataFrame, path: str, n: int | None = None, ts: str = "ts", manifest: Mapping | None = None,
+    split: str | None = None, tie: Sequence[str] = (), file_bytes: int = FILE_BYTES,
 ) -> dict:
-    """``n`` time-ordered compressed shards (per split) and a manifest next to them.
+    """Time-ordered compressed shards (per split) and a manifest next to them.
 
-    ``tie`` orders rows of the same time. ``n=None`` lets Spark size the shards (``shuffle.partitions`` and the
-    advisory partition size), which is what large tables want. Rows are counted in what was written.
+    Rows and bytes are measured in one pass over the table; without ``n`` there are as many shards as give each
+    about ``file_bytes``, 16 at least, and Spark's sampled ranges make them about equal. ``tie`` orders rows of the same time.
     """
+    name = F.col(split).cast("string") if split else F.lit("all")
+    sizes = df.groupBy(name.alias("split")).agg(F.count(F.lit(1)).alias("rows"), F.sum(_bytes(df)).alias("bytes")).collect()
+    n = n or max(16, -(-sum(r.bytes for r in sizes) // file_bytes))
     order = [c for c in (split, ts, *tie) if c]
-    ranged = df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
-    writer = ranged.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "gzip")
+    writer = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "gzip")
     (writer.partitionBy(split) if split else writer).parquet(path)
-    done = df.sparkSession.read.parquet(path)
-    counts = (
-        {str(r[0]): r[1] for r in done.groupBy(split).count().collect()}
-        if split
-        else {"all": done.count()}
-    )
+    counts = {str(r.split): r.rows for r in sizes} or {"all": 0}
     body = {"rows": counts, "columns": df.columns, "shards": n, **(manifest or {})}
     _write_text(df.sparkSession, f"{path.rstrip('/')}_manifest", json.dumps(body))
     return body
@@ -247,13 +275,13 @@ def read_fills(
 
 
 def read_session_reports(spark: SparkSession, path: str, ids: Sequence[str] | None = None) -> DataFrame:
-    """One JSON report per session; corrupt files are skipped, defaults filled in."""
+    """One JSON report per session, in a file or folder ``report_<session>``; corrupt files are skipped, defaults filled in."""
     bad = "_corrupt"
     schema = T.StructType([*schemas.SESSION_REPORT.fields, T.StructField(bad, T.StringType())])
     raw = spark.read.schema(schema).json(
         path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=bad
     )
-    sid = F.regexp_extract(F.col("_metadata.file_name"), r"report_(.+)\.json$", 1)
+    sid = F.regexp_extract(F.col("_metadata.file_path"), r"report_([^/]+?)(?:\.json)?(?:/[^/]*)?$", 1)
     rows = raw.withColumn("session_id", sid)
     if ids is not None:
         wanted = spark.createDataFrame([(i,) for i in ids], "session_id string")

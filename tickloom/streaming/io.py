@@ -67,6 +67,10 @@ class MetricsListener(StreamingQueryListener):
         pass
 
 
+#: Times to the microsecond, where the default of JSON text is the millisecond.
+WHOLE_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_events(
     stream: DataFrame, out: str, checkpoint: str, dead_letter: str | None = None,
     trigger: Mapping | None = None,
@@ -80,7 +84,7 @@ def write_events(
         batch = batch.persist()
         failed = F.col("error").isNotNull() if "error" in batch.columns else F.lit(False)
         good = batch.where(~failed).drop("error", "payload")
-        good.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(
+        good.select(F.to_json(F.struct("*"), WHOLE_TIMES).alias("value")).write.mode("overwrite").text(
             f"{out}/batch={number}"
         )
         if dead_letter and "error" in batch.columns:

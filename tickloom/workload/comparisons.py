@@ -201,15 +201,24 @@ def _curves(t: Tables) -> DataFrame:
 
 @query(
     "A20_dataset_stats",
-    """SELECT l_returnflag, 'l_quantity' AS column, count(*) AS rows, count(*) FILTER (l_quantity IS NULL) AS nulls, count(*) FILTER (l_quantity = 0) AS zeros,
+    """SELECT l_returnflag, 'l_quantity' AS column, count(*) AS rows, count(*) FILTER (l_quantity IS NULL) AS nulls, count(*) FILTER (l_quantity = 0) AS zeros, count(DISTINCT l_quantity) AS distinct_values,
   avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem GROUP BY 1
-UNION ALL SELECT l_returnflag, 'l_discount', count(*), count(*) FILTER (l_discount IS NULL), count(*) FILTER (l_discount = 0),
+UNION ALL SELECT l_returnflag, 'l_discount', count(*), count(*) FILTER (l_discount IS NULL), count(*) FILTER (l_discount = 0), count(DISTINCT l_discount),
   avg(l_discount), stddev_pop(l_discount), min(l_discount), max(l_discount) FROM lineitem GROUP BY 1""",
     "mean std min max",
 )
 def _(t: Tables):
-    out = stats.dataset_stats(t.lineitem, ["l_quantity", "l_discount"], ["l_returnflag"])
-    return out.drop("approx_distinct")
+    return stats.dataset_stats(t.lineitem, ["l_quantity", "l_discount"], ["l_returnflag"])
+
+
+@query(
+    "A12_percentiles_of_columns",
+    """SELECT 'l_quantity' AS column, quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.75) AS p75, quantile_cont(l_quantity, 0.9) AS p90 FROM lineitem
+UNION ALL SELECT 'l_discount', quantile_cont(l_discount, 0.25), quantile_cont(l_discount, 0.5), quantile_cont(l_discount, 0.75), quantile_cont(l_discount, 0.9) FROM lineitem""",
+    "p25 p50 p75 p90",
+)
+def _(t: Tables):
+    return stats.percentiles(t.lineitem, ["l_quantity", "l_discount"], extras=False)
 
 
 @query(

@@ -13,7 +13,7 @@ from tickloom.streaming import io
 from tickloom.streaming.detector import dc_stream
 from tickloom.streaming.rolling import rolling_stream
 from tickloom.workload import market
-from tickloom.workload.inputs import THRESHOLDS, TICKS, dc_sql, preds, sensors
+from tickloom.workload.inputs import FILLS, THRESHOLDS, TICKS, dc_sql, fills, preds, sensors
 from tickloom.workload.registry import Tables, query
 
 
@@ -111,6 +111,101 @@ def _(t: Tables):
     return count(good, "tick").unionByName(count(dead, "dead"))
 
 
+@query(
+    "S8_written_rows",
+    """SELECT 'tick' AS kind, event_type AS symbol, ts, value AS price, NULL AS payload FROM events WHERE event_id % 50 NOT IN (7, 8, 9)
+UNION ALL SELECT 'dead', NULL, NULL, NULL, '{broken' FROM events WHERE event_id % 50 = 7
+UNION ALL SELECT 'dead', NULL, NULL, NULL, '{"symbol": "a", "price": 1, "timestamp": "soon"}' FROM events WHERE event_id % 50 = 9""",
+    "price",
+)
+def _(t: Tables):
+    """The rows that the stream wrote, and the messages of two kinds that it put aside."""
+    source, good, dead = (scratch(t.spark, n) for n in ("messages", "good", "dead"))
+    market._messages(t).select("value").write.text(source)
+    parsed = io.counted_ticks(io.read_tick_stream(t.spark, path=source))
+    io.write_events(parsed, good, scratch(t.spark, "cp"), dead).awaitTermination()
+    tick = F.from_json("value", "symbol string, price double, ts timestamp_ntz").alias("r")
+    rows = t.spark.read.text(f"{good}/*").select(tick).select(F.lit("tick").alias("kind"), "r.symbol", "r.ts", "r.price", F.lit(None).cast("string").alias("payload"))
+    aside = t.spark.read.text(f"{dead}/*").select(F.get_json_object("value", "$.payload").alias("payload")).where("payload not like '%much%'")
+    return rows.unionByName(aside.withColumn("kind", F.lit("dead")), allowMissingColumns=True)
+
+
+@query(
+    "S12_read_candles",
+    """WITH c AS (SELECT event_type AS symbol, '1h' AS interval, date_trunc('hour', ts) AS ts, value, event_id FROM events)
+SELECT symbol, interval, ts, ts + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND AS close_ts, arg_min(value, event_id) AS open,
+  arg_min(value + 1, event_id) AS close, arg_min(value - 1, event_id) AS low, arg_min(value + 2, event_id) AS high,
+  arg_min(value * 3, event_id) AS volume, min(event_id) AS trades FROM c GROUP BY symbol, interval, ts""",
+    "open close low high volume",
+)
+def _(t: Tables):
+    """Candle arrays in a file per symbol and day, an hour several times over."""
+    path = scratch(t.spark, "candles")
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    v, text = F.col("value"), lambda c: c.cast("string")
+    fields = {
+        "t": text(F.unix_millis(hour)), "T": text(F.unix_millis(hour) + 3_599_999), "s": F.col("event_type"), "i": F.lit("1h"), "o": text(v), "c": text(v + 1),
+        "h": text(v + 2), "l": text(v - 1), "v": text(v * 3), "n": text(F.col("event_id")),
+    }
+    candle = F.create_map(*[x for k, c in fields.items() for x in (F.lit(k), c)])
+    ordered = F.array_sort(F.collect_list(F.struct("event_id", F.to_json(candle).alias("candle"))))
+    chunks = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(ordered.alias("rows"))
+    body = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda x: x["candle"]), ","), F.lit("]"))
+    chunks.select("event_type", "day", body.alias("value")).write.partitionBy("event_type", "day").text(path)
+    return S.read_candles(t.spark, path)
+
+
+@query(
+    "S13_fills_from_files",
+    f"""WITH {FILLS} SELECT coin, oid, time, dir, px, sz FROM fills WHERE coin = 'click' AND time >= 1704300000000 AND time <= 1705500000000""",
+    "px sz",
+)
+def _(t: Tables):
+    path = scratch(t.spark, "fills")
+    rows = fills(t).withColumn("day", F.to_date(F.timestamp_millis("time")))
+    chunks = rows.groupBy("coin", "day").agg(F.to_json(F.collect_list(F.struct("coin", "oid", "time", "dir", "px", "sz"))).alias("value"))
+    chunks.write.partitionBy("coin", "day").text(path)
+    return S.read_fills(t.spark, path, "click", 1704300000000, 1705500000000).select("coin", "oid", "time", "dir", "px", "sz")
+
+
+@query(
+    "S14_read_session_reports",
+    """SELECT s_suppkey::VARCHAR AS session_id, s_name AS symbol, s_acctbal / 1e6 AS threshold, 0.01 AS sl_pct, 0.02 AS tp_pct,
+  CASE WHEN s_suppkey % 3 = 0 THEN 0.7 ELSE 0.5 END AS trail_pct, s_suppkey AS tick_count, CASE WHEN s_suppkey % 5 = 0 THEN 2 ELSE 0 END AS signals,
+  CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal + 1 END AS last_price FROM supplier WHERE s_suppkey % 7 <> 0 AND s_suppkey % 11 <> 0""",
+    "threshold sl_pct tp_pct trail_pct last_price",
+)
+def _(t: Tables):
+    """A report per session, some with defaults, some broken off, some without what is needed."""
+    k, bal = F.col("s_suppkey"), F.col("s_acctbal")
+    signal = lambda kind, price: F.struct(F.lit(1.0).alias("timestamp"), F.lit(kind).alias("type"), price.alias("price"), F.lit(2.0).alias("size"), F.lit("x").alias("reason"))
+    report = F.to_json(F.struct(
+        F.col("s_name").alias("symbol"), (bal / 1e6).alias("threshold"), F.lit(0.01).alias("sl_pct"), F.when(k % 11 != 0, 0.02).alias("tp_pct"),
+        F.when(k % 3 == 0, 0.7).alias("trail_pct"), k.alias("tick_count"), F.when(k % 5 == 0, F.array(signal("BUY", bal), signal("CLOSE", bal + 1))).alias("signals"),
+    ))
+    body = F.when(k % 7 == 0, F.substring(report, 1, 30)).otherwise(report)
+    path = scratch(t.spark, "reports")
+    t.supplier.select(F.concat(F.lit("report_"), k.cast("string")).alias("session"), body.alias("value")).write.partitionBy("session").text(path)
+    out = S.read_session_reports(t.spark, path)
+    return out.select(
+        "session_id", "symbol", "threshold", "sl_pct", "tp_pct", "trail_pct", "tick_count", F.size("signals").alias("signals"),
+        F.get(F.filter("signals", lambda x: x["type"] == "CLOSE"), 0)["price"].alias("last_price"),
+    )
+
+
+@query(
+    "S5_mixed_folder",
+    f"WITH {TICKS} SELECT symbol, event_id, price FROM ticks",
+    "price",
+)
+def _(t: Tables):
+    """A folder with more Parquet than other files: those are loaded, the others left alone."""
+    path = scratch(t.spark, "folder")
+    t.ticks.select("symbol", "event_id", "price").repartition(3, "event_id").write.parquet(f"{path}/data")
+    t.spark.range(1).write.json(f"{path}/notes")
+    return S.load_dataset(t.spark, path, f"{_database(t)}.mixed")
+
+
 @query(
     "S9_write_table",
     "SELECT (ts::DATE)::VARCHAR AS dt, event_type AS symbol, count(*) AS n, max(value) AS top FROM events GROUP BY ALL",
@@ -119,17 +214,30 @@ def _(t: Tables):
 def _(t: Tables):
     path = scratch(t.spark, "daily")
     rows = t.events.select(F.col("event_type").alias("symbol"), "ts", "value")
-    S.write_table(rows, path, "ts", ["symbol"], salt=2)
+    S.write_table(rows, path, "ts", ["symbol"], file_bytes=4096)
     stored = t.spark.read.parquet(path)
     return stored.groupBy(F.col("dt").cast("string").alias("dt"), "symbol").agg(
         F.count(F.lit(1)).alias("n"), F.max("value").alias("top")
     )
 
 
+@query("S9_one_busy_day", f"WITH {TICKS} SELECT symbol, event_id, price, '2024-01-01' AS dt FROM ticks", "price")
+def _(t: Tables):
+    """Nearly all rows on one day: a few files of bounded size, or the query fails."""
+    path, most = scratch(t.spark, "busy"), 65536
+    us = F.pmod(F.col("event_id"), F.lit(86_400_000_000)) + F.lit(1_704_067_200_000_000)
+    rows = t.ticks.withColumn("ts", F.timestamp_micros(us).cast("timestamp_ntz"))
+    S.write_table(rows, path, "ts", ["symbol"], file_bytes=most)
+    stored = t.spark.read.parquet(path)
+    per_file = stored.groupBy(F.input_file_name().alias("f"), "symbol").agg(F.sum(F.octet_length("symbol") + 24).alias("bytes"))
+    large = per_file.agg(F.max("bytes").alias("bytes")).select(F.when(F.col("bytes") > 2 * most, F.raise_error(F.lit("a file is too large"))).alias("ok"))
+    return stored.crossJoin(F.broadcast(large)).where("ok is null").select("symbol", "event_id", "price", F.col("dt").cast("string").alias("dt"))
+
+
 @query("S10_write_shards", f"WITH {TICKS} SELECT * FROM ticks", "price")
 def _(t: Tables):
     path = scratch(t.spark, "shards")
-    S.write_shards(t.ticks, path, 16, "ts", {"features": ["price"]})
+    S.write_shards(t.ticks, path, ts="ts", manifest={"features": ["price"]}, tie=["event_id"], file_bytes=16384)
     return t.spark.read.parquet(path)
 
 
