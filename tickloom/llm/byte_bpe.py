@@ -14,10 +14,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import map_batches
+from tickloom.llm.common import Memo, map_batches
 
-MEMO = 300_000  # words whose encoding a Python worker keeps
-BLOCK = 1000  # texts whose new words are looked up together
+MEMO = 300_000  # words of one generation whose encoding a Python worker keeps
+BLOCK = 3000  # texts whose new words are looked up together
 CHUNK = 500_000  # bytes of words of one query
 LONG = 64  # bytes from which on a word is contracted at many places a round
 KEPT = 1_000_000  # rows of all rounds that one query on long words keeps, about
@@ -91,7 +91,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.find = read_ranks(path), regex.compile(pattern).findall
-        self.memo, self.pieces = {}, {}
+        self.memo, self.pieces = Memo(MEMO), Memo(MEMO)
         merges = [(self.ranks[t[:i]], self.ranks[t[i:]], n) for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         early = {x for left, right, n in merges for x in (left, right) if n < x}  # a pair with it ranks below it
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
@@ -152,10 +152,8 @@ class Encoder:
         stand between visible characters falls into pieces that are matched by themselves; ``pieces``
         keeps what each comes to with its space before it. Other texts are matched as a whole.
         """
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
+        self.memo.turn()
+        self.pieces.turn()
         split, whole, new = [], [], set()
         for text in texts:
             parts = (text or "").split(" ")
@@ -163,9 +161,9 @@ class Encoder:
             split.append(parts[1:] if plain else [])
             whole.append(self.find(parts[0] if plain else text or ""))
             new.update(split[-1])
-        words = {x: self.find(" " + x) for x in new.difference(self.pieces)}
-        self.learn(set(chain(*whole, *words.values())).difference(self.memo))
-        self.pieces |= {x: self.memo[w[0]] if len(w) == 1 else self._join(w) for x, w in words.items()}
+        words = {x: self.find(" " + x) for x in self.pieces.lacks(new)}
+        self.learn(self.memo.lacks(set(chain(*whole, *words.values()))))
+        self.pieces.update({x: self.memo[w[0]] if len(w) == 1 else self._join(w) for x, w in words.items()})
         for head, parts in zip(whole, split, strict=True):
             found = [self._join(head), *map(self.pieces.__getitem__, parts)]
             yield b"".join([x for x, _ in found]), b"".join([x for _, x in found])

@@ -42,6 +42,26 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+class Memo(dict):
+    """Results by word, in two generations: of a full one, only what is asked for again goes on to the next."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+    def lacks(self, words: set) -> set:
+        """Those of ``words`` that neither generation has; what the old one has goes into this."""
+        missing = {w for w in words if w not in self}
+        kept = {w for w in missing if w in self.old}  # not intersection(), which would walk through the whole dictionary
+        self.update((w, self.old[w]) for w in kept)
+        return missing - kept
+
+
 class HashFilter:
     """Which 64-bit hashes may be in a set: never wrong about a member, sometimes about another hash.
 
