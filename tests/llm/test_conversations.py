@@ -106,7 +106,7 @@ def plainly(rows, names, damaged=False):
         after[conv] += [(turn, "user" if d == 4 else role, text)] * {0: 0, 3: 2}.get(d, 1)
     out = []
     for conv, own in after.items():
-        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2][:32].encode(), hashlib.md5(r[2].encode()).digest()))
         seen, faults, turns = set(), [], {r[0] for r in own} - {None}
         for _, role, text in own:
             bare = text.rstrip(" \t\n\x0b\x0c\r")

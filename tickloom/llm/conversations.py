@@ -134,25 +134,35 @@ def damage(conversations: DataFrame) -> DataFrame:
     return rows.where("kind <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
 
 
+HEAD = 32  # characters of a text that rows of one turn are ordered by, before its digest
+_ORDER = ("conv_id", "turn", "role", "head", "digest")
+
+
+def _slim(rows: DataFrame) -> DataFrame:
+    """What stands for a text wherever it needn't be read: its head for the order, its digest for equality, whether it is blank or broken off."""
+    bare = F.rtrim(F.col("text"), F.lit(_SPACE))
+    return rows.select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "role", F.substring("text", 1, HEAD).alias("head"), F.unhex(F.md5("text")).alias("digest"),
+        (bare == "").alias("blank"), (~F.substring(bare, -1, 1).isin(".", "!", "?")).alias("cut"), "text",
+    )
+
+
 def _placed(rows: DataFrame) -> DataFrame:
-    """Distinct rows with their number of ``copies``, ``seen`` earlier or not, and a place ``pos`` in the order of all conversations.
+    """Distinct rows without their texts, with their number of ``copies``, their faults and a place ``pos`` in the order of all conversations.
 
-    The order is ``conv_id, turn`` (nulls first), ``role, text``. Ranges of it are dealt out, so a long
-    conversation is many tasks.
+    The order is that of ``_ORDER``, nulls first. Ranges of it are dealt out, so a long conversation is many tasks.
     """
-    kinds = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    early = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
-    firsts = kinds.groupBy("conv_id", "role", "text").agg(F.min(early).alias("first"))
+    kinds = _slim(rows).groupBy(*_ORDER, "blank", "cut").agg(F.count("*").alias("copies"))
+    firsts = kinds.groupBy("conv_id", "role", "digest").agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn")).alias("first"))
     a, b = kinds.alias("a"), firsts.alias("b")
-    both = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.text") == F.col("b.text")))
+    both = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.digest") == F.col("b.digest")))
     seen = ~F.col("b.first.turn").eqNullSafe(F.col("a.turn"))
-    bare = F.rtrim(F.col("a.text"), F.lit(_SPACE))
-    fault = F.when(bare == "", "blank").when(seen, "duplicate").when(~F.substring(bare, -1, 1).isin(".", "!", "?"), "truncated").otherwise("")
-    again = F.when(bare == "", "blank").otherwise("duplicate")
-    named = both.select("a.*", fault.alias("fault"), again.alias("again"), F.substring("a.role", 1, 1).alias("initial"))
-    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
+    fault = F.when(F.col("a.blank"), "blank").when(seen, "duplicate").when(F.col("a.cut"), "truncated").otherwise("")
+    again = F.when(F.col("a.blank"), "blank").otherwise("duplicate")
+    named = both.select(*[f"a.{c}" for c in (*_ORDER, "copies")], fault.alias("fault"), again.alias("again"), F.substring("a.role", 1, 1).alias("initial"))
+    order = [F.col(c).asc_nulls_first() for c in _ORDER]
     ordered = named.repartitionByRange(*order).sortWithinPartitions(*order)
-    return store(ordered.withColumn("pos", F.monotonically_increasing_id()), "placed")
+    return store(ordered.drop("role", "head", "digest").withColumn("pos", F.monotonically_increasing_id()), "placed")
 
 
 def _pieces(batches) -> Iterator[pa.RecordBatch]:
@@ -230,8 +240,7 @@ def _conversations(batches) -> Iterator[tuple]:
         def rows(conv=conv):
             nonlocal ahead
             while ahead is not None and ahead["conv_id"] == conv:
-                for _ in range(ahead["copies"]):
-                    yield ahead["initial"], ahead["role"], ahead["text"]
+                yield ahead["initial"], ahead["role"], ahead["text"]
                 ahead = next(stream, None)
 
         whole, own = spans.whole(), rows()
@@ -299,15 +308,16 @@ def _repaired(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _streamed(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Each conversation's name, then its spans, then its rows, in order and in one partition."""
+    """Each conversation's name, then its spans, then its rows, in order and in one partition. Texts are shuffled here and nowhere else."""
     placed = _placed(rows)
     kind = placed.schema["conv_id"].dataType.simpleString()
     pieces = placed.select("conv_id", "pos", "turn", "initial", "fault", "again", "copies").mapInArrow(_pieces, f"conv_id {kind}, {_PIECE_TYPE}")
     named = names.select("conv_id").distinct().select("conv_id", F.lit(0).alias("kind"))
     spans = pieces.select("*", F.lit(1).alias("kind"), F.col("start").alias("pos"))
-    texts = placed.select("conv_id", F.lit(2).alias("kind"), "pos", "initial", "role", "text", "copies")
+    texts = _slim(rows).select(*_ORDER, F.lit(2).alias("kind"), F.substring("role", 1, 1).alias("initial"), "text")
     both = named.unionByName(spans, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True)
-    return both.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "kind", "pos")
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "kind", "pos", *_ORDER[1:])]
+    return both.repartition("conv_id").sortWithinPartitions(*order).drop("turn", "head", "digest", "pos")
 
 
 def repair(rows: DataFrame) -> DataFrame:
@@ -334,11 +344,12 @@ def inspect(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
     splits). Of audits of one span and cost none begins another, for the longer one would have more insertions
     and cost more; so the least audit of a whole is made of least audits of its parts.
 
-    Rows are dealt out by ranges of ``(conv_id, turn, role, text)``, so a conversation that holds a third of
+    Rows are dealt out by ranges of their order, so a conversation that holds a third of
     all rows is parsed by many tasks, ``BLOCK`` rows at a time; only its spans meet. The digest of a whole conversation is a
     running one, so one task reads its rows in order, in constant memory but for the audit.
 
-    A null ``conv_id`` is a conversation, null turns come first, rows of equal turns are in the order of role and text.
+    A null ``conv_id`` is a conversation, null turns come first, rows of equal turns are in the order of role, of the first ``HEAD`` characters
+    of the text and of its md5 digest.
     Only roles that begin with s, u or a can be kept. Other columns don't matter. An empty table gives an empty table.
     """
     names = rows if names is None else names

@@ -108,7 +108,7 @@ dealt AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(str
 damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
     FROM dealt, unnest(range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copies(c)),
 ids AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS id FROM (SELECT DISTINCT conv_id FROM conversations)),
-numbered AS (SELECT id, turn, role, text, left(role, 1) AS s, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged JOIN ids ON ids.conv_id IS NOT DISTINCT FROM damaged.conv_id),
+numbered AS (SELECT id, turn, role, text, left(role, 1) AS s, row_number() OVER (PARTITION BY id ORDER BY turn NULLS FIRST, role, left(text, 32), md5(text)) AS i FROM damaged JOIN ids ON ids.conv_id IS NOT DISTINCT FROM damaged.conv_id),
 faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY id, role, text ORDER BY i) > 1 THEN 'duplicate'
     WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(s) OVER (PARTITION BY id ORDER BY i) || s AS pair FROM numbered),
 steps(s, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
