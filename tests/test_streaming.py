@@ -82,6 +82,21 @@ def test_watermark_puts_ticks_in_order_and_reports_late_ones(spark, tmp_path):
     assert [r.end_price for r in out.where("kind = 'late'").collect()] == [55.0]
 
 
+def test_other_symbols_move_the_clock_and_idle_symbols_are_forgotten(spark, tmp_path):
+    """The last ticks of a silent symbol come out; after a silence longer than ``idle`` it starts anew."""
+    at = lambda s: (T0 + dt.timedelta(seconds=s)).isoformat() + "Z"
+    first = [{"symbol": "A", "price": p, "timestamp": at(i)} for i, p in enumerate([100, 101, 99, 97, 96])]
+    clock = lambda *seconds: [{"symbol": "~", "price": 1.0, "timestamp": at(s)} for s in seconds]
+    again = [{"symbol": "A", "price": p, "timestamp": at(5000 + i)} for i, p in enumerate([100, 101, 90])]
+    write_files(tmp_path / "in", [*first, *clock(100), *clock(101), *clock(4000), *clock(4001), *clock(4002), *again, *clock(9000), *clock(9001)], 1)
+    ticks = io.counted_ticks(io.read_tick_stream(spark, path=str(tmp_path / "in"), max_files=1)).where("error is null")
+    for name, idle, ups in (("remembered", None, 1), ("forgotten", "1000 seconds", 0)):
+        out = run(dc_stream(ticks, [0.02], watermark="10 seconds", idle=idle), name).where("kind = 'event'").collect()
+        downs = [r.end_price for r in out if r.event_type == "PDCC_Down"]
+        assert downs == [97.0, 90.0]
+        assert sum(r.event_type == "PDCC2_UP" for r in out) == ups
+
+
 def test_sources_exclude_each_other(spark):
     with pytest.raises(ValueError):
         io.read_tick_stream(spark, topic="a", subscription="b")

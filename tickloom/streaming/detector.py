@@ -39,8 +39,8 @@ def _told(key: str, kind: str, pdf: pd.DataFrame) -> list[tuple]:
 class TrendProcessor(StatefulProcessor):
     """Per symbol: one trend state per threshold; ticks count in arrival order, those of one Arrow batch by time."""
 
-    def __init__(self, pairs):
-        self.pairs = pairs
+    def __init__(self, pairs, bucket: int | None = None, idle: int | None = None):
+        self.pairs, self.bucket, self.idle = pairs, bucket, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -93,10 +93,6 @@ class OrderedTrendProcessor(TrendProcessor):
     was applied comes out as ``late``. With ``idle`` a symbol without ticks for so long is forgotten.
     """
 
-    def __init__(self, pairs, bucket: int, idle: int | None):
-        super().__init__(pairs)
-        self.bucket, self.idle = bucket, idle
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.parts = handle.getMapState("parts", "bucket long", "n int")
