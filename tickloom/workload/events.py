@@ -289,6 +289,24 @@ def _(t: Tables):
     )
 
 
+@query(
+    "D8_stacked_labels",
+    """SELECT vec_id AS window_id, 4 AS labels, label::DOUBLE + 2 AS by_name, label::DOUBLE + 3 AS by_number, label::DOUBLE AS unknown FROM embeddings""",
+    "by_name by_number unknown",
+)
+def _(t: Tables):
+    """The labels of all thresholds, and one of them by name, by a number beyond the last and by a name that isn't there."""
+    number = F.substring("threshold", 2, 1).cast("double")
+    rows = _latents(t).withColumn("y", F.transform("y", lambda x: x + number))
+    stacked = ml.latent_concat(rows, label="stack", expected=4).select("window_id", "y")
+    names = [f"t{i}" for i in range(4)]
+    picked = lambda want: ml.pick_label(stacked, names, want).select("window_id", F.col("y")[0].alias("v"))
+    out = stacked.select("window_id", F.size("y").alias("labels"))
+    for name, want in (("by_name", "t2"), ("by_number", 9), ("unknown", "t7")):
+        out = out.join(picked(want).withColumnRenamed("v", name), "window_id")
+    return out
+
+
 @query(
     "J4_zip_thresholds",
     """SELECT vec_id AS window_id, (len(embedding) // 2)::INT AS rows, embedding[1]::DOUBLE AS a,
