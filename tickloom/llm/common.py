@@ -76,8 +76,8 @@ class HashFilter:
         self.field, self.mask = field, np.uint64(len(field) * 64 - 1)
 
     @classmethod
-    def of(cls, hashes: DataFrame, name: str = "h") -> HashFilter:
-        bits = 1 << min(cls.MOST, max(cls.LEAST, (cls.SPARE * hashes.count()).bit_length()))
+    def of(cls, hashes: DataFrame, name: str = "h", most: int = MOST) -> HashFilter:
+        bits = 1 << min(most, max(cls.LEAST, (cls.SPARE * hashes.count()).bit_length()))
         bit = F.col(name).bitwiseAND(bits - 1)
         slots = hashes.select(F.shiftright(bit, 6).cast("int").alias("slot"), bit.bitwiseAND(63).cast("int").alias("bit")).where("slot is not null")
         held = slots.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("held")).toArrow()

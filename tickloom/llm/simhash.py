@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import components, map_batches, store, utf8
+from tickloom.llm.common import HashFilter, components, map_batches, store, utf8
 
 WIDTH, SEED = 4, 42  # words of a shingle, seed of its hash
 DISTANCE = 4  # bits in which linked fingerprints may differ
@@ -266,6 +266,7 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
     collapse, and the shingles of the texts of a group are compared exactly. Keys of more than ``PART`` members are
     split, and every pair of parts is a group: complete, but quadratic in a key's parts.
     """
+    spark = docs.sparkSession
     common = _frequent(docs, text, width)
 
     def sketch(rows, texts):
@@ -279,8 +280,20 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
     own = store(map_batches(texts, sketch, "row long, same binary, n int, fp long, keys array<long>"), "sketches")
     firsts = store(own.groupBy("same").agg(F.min("row").alias("first")), "firsts")
     kinds = own.join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
-    dealt = store(kinds.select(F.explode("keys").alias("key"), F.struct("row", "n", "fp").alias("member")), "dealt")
-    parts = store(dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / PART).alias("parts")), "parts")
+    # Most keys stand in one text only. Keys are counted by themselves, and only texts with a key that others have are dealt out.
+    counts = store(kinds.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    shared = spark.sparkContext.broadcast(HashFilter.of(counts, "key", 26))
+
+    def deal(batches):
+        for batch in batches:
+            keys, ends = batch.column("keys").flatten().to_numpy(), batch.column("keys").offsets.to_numpy()
+            keep = np.flatnonzero(shared.value.has(keys.view(np.uint64)))
+            own = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends))[keep])
+            columns = {name: batch.column(name).take(own) for name in ("row", "n", "fp")}
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys[keep]), **columns})
+
+    dealt = kinds.select("row", "n", "fp", "keys").mapInArrow(deal, "key long, row long, n int, fp long").select("key", F.struct("row", "n", "fp").alias("member"))
+    parts = counts.select("key", F.ceil(F.col("m") / PART).alias("parts"))
     lists = dealt.join(parts, "key").groupBy("key", "parts", F.pmod(F.xxhash64("member.row"), "parts").alias("part")).agg(F.collect_list("member").alias("members"))
     small = lists.where("parts = 1").select("members")
     many = store(lists.where("parts > 1").select("key", "part", "members"), "many")
