@@ -25,16 +25,6 @@ def test_stages_filter_and_keep_columns(steps):
     assert len(ids[3]) < len(ids[2])
 
 
-def test_one_of_each_group_stays(steps):
-    before, after = steps[2].collect(), {r.doc_id for r in steps[3].collect()}
-    fps = {r.doc_id: simhash.fingerprint(r.text) for r in before}
-    groups = {i: {j for j in fps if (fps[i] ^ fps[j]).bit_count() <= 4} for i in fps}
-    reach = dict(groups)
-    for _ in range(8):
-        reach = {i: set().union(*(groups[j] for j in r)) for i, r in reach.items()}
-    assert all(len(r & after) == 1 for r in reach.values())
-
-
 def test_run_gives_whole_sequences(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     filled = np.zeros(0)
