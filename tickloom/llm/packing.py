@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import store
+from tickloom.llm.common import Memo, store
 
 ROOM = 2048
 END_ID = 0
-MEMO = 200_000  # words whose ids a Python worker keeps
+MEMO = 400_000  # words of one generation whose ids a Python worker keeps
 BLOCK = 1000  # texts whose new words are encoded together
 PER_GROUP = 32_768  # pieces that are packed among themselves, on average
 
@@ -29,12 +29,12 @@ class Words:
     stands around; such words go to the library's merges in lower case without its regular expressions.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.library, self.memo, self.words = Tokenizer.from_file(path), {"": b""}, {}
+        self.library, self.memo, self.words = Tokenizer.from_file(path), Memo(memo), Memo(memo)
         self.merge, self.simple = self.library.model.tokenize, re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
         level = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {ord(c): level(c)[0][0] for c in "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"}
@@ -45,19 +45,20 @@ class Words:
         return np.array(ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            ids = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.merge(word.translate(self.letters))])
+        ids = self.words.get(word) or self.words.old.get(word)
+        if ids is None:
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.merge(word.translate(self.letters))])
+        self.words[word] = ids
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each whole text."""
-        for kept in (self.memo, self.words):
-            if len(kept) > MEMO:
-                kept.clear()
+        self.memo.turn()
+        self.words.turn()
         self.memo[""] = b""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         rest = []
-        for part in set().union(*split).difference(self.memo) if split else ():
+        for part in self.memo.lacks(set().union(*split) - {""}):
             if m := self.simple(part):
                 self.memo[part] = self._word(m[1].lower()) + self.sign[m[2]]
             else:
@@ -67,17 +68,17 @@ class Words:
         return [b"".join(map(self.memo.__getitem__, parts)) for parts in split]
 
 
-_WORDS: dict[str, Words] = {}
+_WORDS: dict[tuple[str, int], Words] = {}
 
 
-def tokenizer(path: str) -> Words:
+def tokenizer(path: str, memo: int = MEMO) -> Words:
     """One for each Python worker, which Spark uses again for the next task."""
-    if path not in _WORDS:
-        _WORDS[path] = Words(path)
-    return _WORDS[path]
+    if (path, memo) not in _WORDS:
+        _WORDS[path, memo] = Words(path, memo)
+    return _WORDS[path, memo]
 
 
-def pieces(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pieces(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, text: str = "text", key: str = "doc_id", memo: int = MEMO) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids``: every document's ids and the end id, cut only where longer than ``room``."""
     end = int(end_id).to_bytes(4, "little")
 
@@ -86,7 +87,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, t
             for at in range(0, max(1, batch.num_rows), BLOCK):
                 part = batch.slice(at, BLOCK)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), tokenizer(path).encode(part.column(1).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), tokenizer(path, memo).encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     for number, start in enumerate(range(0, len(ids) // 4, room)):
                         own = ids[4 * start : 4 * (start + room)]
@@ -152,16 +153,16 @@ def best_two_fit(sizes: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.nd
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, text: str = "text", key: str = "doc_id", with_ids: bool = False, memo: int = MEMO) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``): whole documents packed.
 
     Pieces are dealt to groups of some ``PER_GROUP`` by a hash of their place in the stored table (so
     no document, length or repeated row makes a group large) and each group is packed by
     ``best_two_fit``; a group leaves at most a few bins that aren't full, so their share doesn't grow
     with the corpus. Null and empty texts are the end id alone. Repeated rows are packed each.
-    Other columns don't matter; an empty table gives an empty one.
+    Other columns don't matter; an empty table gives an empty one. ``memo`` bounds the words that a task keeps; results don't depend on it.
     """
-    cut = pieces(docs, path, room, end_id, text, key)
+    cut = pieces(docs, path, room, end_id, text, key, memo)
     cut = cut if with_ids else cut.drop("ids")
     dealt = store(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-dealt.count() // PER_GROUP))
