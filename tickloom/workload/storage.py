@@ -125,7 +125,7 @@ def _(t: Tables):
     parsed = io.counted_ticks(io.read_tick_stream(t.spark, path=source))
     io.write_events(parsed, good, scratch(t.spark, "cp"), dead).awaitTermination()
     tick = F.from_json("value", "symbol string, price double, ts timestamp_ntz").alias("r")
-    rows = t.spark.read.text(f"{good}/*").select(tick).select(F.lit("tick").alias("kind"), "r.symbol", "r.ts", "r.price", F.lit(None).cast("string").alias("payload"))
+    rows = t.spark.read.text(f"{good}/*").select(tick).select(F.lit("tick").alias("kind"), "r.symbol", "r.ts", (F.col("r.price") - market.LIFT).alias("price"), F.lit(None).cast("string").alias("payload"))
     aside = t.spark.read.text(f"{dead}/*").select(F.get_json_object("value", "$.payload").alias("payload")).where("payload not like '%much%'")
     return rows.unionByName(aside.withColumn("kind", F.lit("dead")), allowMissingColumns=True)
 
