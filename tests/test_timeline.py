@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.operators import timeline as TL
+from tickloom.operators import windows as W
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -78,3 +79,16 @@ def test_suggested_span_follows_the_busiest_key(rows):
     tl = TL.Timeline.of("k", "ts", "id")
     wide, narrow = TL.suggest_span(rows, tl, 10_000), TL.suggest_span(rows, tl, 50)
     assert narrow < wide
+
+
+def test_no_frame_shrinks_towards_the_end(spark, capsys):
+    """Spark evaluates frames from a row to the end of its partition anew for every row."""
+    rows = [("A", i, i, float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, id int, v double")
+    line = TL.Timeline.of("symbol", "ts", "id", 100)
+    ahead = TL.running(df, line, a=TL.next_known(F.col("v")), b=TL.next_known(F.when(F.col("id") % 7 == 0, F.col("v")), current=False))
+    for out in (ahead, W.numeric_fill(df, ["v"], line), W.chrono_split(df, "ts", "symbol", ["id"], span=100)):
+        out.explain()
+        assert "unboundedfollowing" not in capsys.readouterr().out.lower()
+    got = {r.id: (r.a, r.b) for r in ahead.collect()}
+    assert got == {i: (i, next((k for k in range(i + 1, 300) if k % 7 == 0), None)) for i in range(300)}
