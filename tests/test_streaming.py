@@ -2,8 +2,10 @@
 
 import datetime as dt
 import json
+import types
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tickloom.operators.windows import momentum, rolling_regime, trend_bias
 from tickloom.operators.timeline import Timeline
 from tickloom.streaming import io
 from tickloom.streaming.detector import dc_stream
-from tickloom.streaming.rolling import rolling_stream
+from tickloom.streaming.rolling import RollingProcessor, rolling_stream
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -140,3 +142,21 @@ def test_rolling_stream_equals_batch(spark, tmp_path):
     assert [r.momentum for r in live] == pytest.approx(score, abs=1e-9)
     assert [r.trend for r in live] == [r.trend for r in trend]
     assert [r.bias for r in live] == pytest.approx([r.bias for r in trend])
+
+
+def test_rolling_states_of_a_key_in_several_arrow_batches_with_events_at_one_time():
+    """Batches of a key are in no order among themselves; an event sees the others of its time."""
+    def states(*batches):
+        proc = RollingProcessor(600, 900, 0.3, 0.6, 4.0, 0.6, 2)
+        proc.recent = proc.score = types.SimpleNamespace(exists=lambda: False, update=lambda v: None)
+        return pd.concat(list(proc.handleInputRows(("A",), iter(batches), None))).reset_index(drop=True)
+
+    rng = np.random.default_rng(3)
+    us = (np.arange(200) // 2) * 30_000_000
+    rows = pd.DataFrame({"us": us, "seq": np.arange(200), "direction": rng.choice([-1, 1], 200), "tmv": rng.random(200)})
+    mixed = rows.sample(frac=1, random_state=1)
+    whole = states(rows)
+    pd.testing.assert_frame_equal(states(mixed[:70], mixed[70:71], mixed[71:]), whole)
+    at = 120
+    inside = rows[(rows.us >= us[at] - 900_000_000) & (rows.us <= us[at])]
+    assert whole.bias[at] == pytest.approx((inside.direction * inside.tmv).sum() / inside.tmv.sum(), abs=1e-12)

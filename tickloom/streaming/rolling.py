@@ -40,33 +40,33 @@ class RollingProcessor(StatefulProcessor):
         if self.recent.exists():
             us, d, tmv = (np.asarray(x, t) for x, t in zip(self.recent.get(), (np.int64, np.int64, float), strict=True))
         score = self.score.get()[0] if self.score.exists() else 0.0
-        for pdf in rows:
-            pdf = pdf.sort_values(["us", "seq"], kind="stable")
-            old = len(us)
-            us = np.concatenate([us, pdf["us"].to_numpy(np.int64)])
-            d = np.concatenate([d, pdf["direction"].to_numpy(np.int64)])
-            tmv = np.concatenate([tmv, pdf["tmv"].to_numpy(float)])
-            fade = lambda s, x: max(-1.0, min(1.0, self.alpha * x + (1.0 - self.alpha) * s))
-            scores = list(accumulate(d[old:].tolist(), fade, initial=score))[1:]
-            score = scores[-1] if scores else score
-            regime, (bias, trend) = self._regime(us, d, old), self._trend(us, d, tmv, old)
-            yield pd.DataFrame({
-                "symbol": [key[0]] * (len(us) - old), "us": us[old:], "direction": d[old:].astype(np.int32), "regime": regime,
-                "momentum": scores, "bias": bias, "trend": trend,
-            })
-            kept = us >= us[-1] - max(self.regime_us, self.trend_us) if len(us) else slice(None)
-            us, d, tmv = us[kept], d[kept], tmv[kept]
+        # Spark hands a key's rows over in several Arrow batches, each in any order, so they are put together before they are sorted.
+        pdf = pd.concat(list(rows)).sort_values(["us", "seq"], kind="stable")
+        old = len(us)
+        us = np.concatenate([us, pdf["us"].to_numpy(np.int64)])
+        d = np.concatenate([d, pdf["direction"].to_numpy(np.int64)])
+        tmv = np.concatenate([tmv, pdf["tmv"].to_numpy(float)])
+        fade = lambda s, x: max(-1.0, min(1.0, self.alpha * x + (1.0 - self.alpha) * s))
+        scores = list(accumulate(d[old:].tolist(), fade, initial=score))[1:]
+        score = scores[-1] if scores else score
+        regime, (bias, trend) = self._regime(us, d, old), self._trend(us, d, tmv, old)
+        yield pd.DataFrame({
+            "symbol": [key[0]] * (len(us) - old), "us": us[old:], "direction": d[old:].astype(np.int32), "regime": regime,
+            "momentum": scores, "bias": bias, "trend": trend,
+        })
+        kept = us >= us[-1] - max(self.regime_us, self.trend_us) if len(us) else slice(None)
+        us, d, tmv = us[kept], d[kept], tmv[kept]
         self.recent.update((us.tolist(), d.tolist(), tmv.tolist()))
         self.score.update((score,))
 
     @staticmethod
     def _sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        totals = np.concatenate([[0], np.cumsum(values)])
-        return totals[last] - totals[first]
+        totals = np.concatenate([[0], np.cumsum(values if values.dtype == np.int64 else values.astype(np.longdouble))])
+        return (totals[last] - totals[first]).astype(values.dtype)
 
     def _windows(self, us: np.ndarray, old: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """First event and end of the window of each new event."""
-        return np.searchsorted(us, us[old:] - reach, "left"), np.arange(old + 1, len(us) + 1)
+        """First event and end of the window of each new event; events of its own time are inside."""
+        return np.searchsorted(us, us[old:] - reach, "left"), np.searchsorted(us, us[old:], "right")
 
     def _regime(self, us, d, old) -> np.ndarray:
         first, last = self._windows(us, old, self.regime_us)
