@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,21 @@ def test_unknown_telemetry_goes_to_misc(spark):
     assert out["misc"].count() == 2
     row = out["ticks"].first()
     assert row.price == 3.0 and row.symbol == "A"
+
+
+def test_files_of_a_busy_day_are_bounded(spark, tmp_path):
+    """Parts of a large group don't meet in a file, however few tasks there are."""
+    rows = spark.range(6000).select(F.expr("timestamp_ntz'2024-01-02 00:00:00' + make_interval(0, 0, 0, id % 3)").alias("ts"), F.lit("A").alias("symbol"), "id")
+    S.write_table(rows, str(tmp_path / "t"), "ts", ["symbol"], file_bytes=1000)
+    files = spark.read.parquet(str(tmp_path / "t")).groupBy(F.input_file_name().alias("f")).count().agg(F.sum("count"), F.max("count")).first()
+    assert files[0] == 6000 and files[1] * 17 < 2000
+
+
+def test_small_shards_need_no_range_each(spark, tmp_path):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("ts"), "id")
+    body = S.write_shards(rows, str(tmp_path / "s"), ts="ts", file_bytes=800)
+    files = spark.read.parquet(str(tmp_path / "s")).groupBy(F.input_file_name().alias("f")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    found = sorted(files.collect(), key=lambda r: r.a)
+    assert all(r.b - r.a + 1 == r.n <= 50 for r in found) and sum(r.n for r in found) == 20_000 and body["shards"] == 400
+    tasks = {re.search(r"part-(\d+)-", r.f)[1] for r in found}
+    assert len(tasks) <= 64 < len(found)

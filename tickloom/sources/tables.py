@@ -6,7 +6,7 @@ import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,6 +142,7 @@ def _schema_of(text: str) -> T.StructType:
 
 
 FILE_BYTES = 256 << 20  # bytes of rows, before compression, that go into one file
+RANGES = 64  # ranges that are sampled whatever the size of the table
 
 
 def _bytes(df: DataFrame) -> Column:
@@ -164,23 +165,32 @@ def write_table(
     """Day partitions, rows clustered inside their files.
 
     Bytes are measured per (day, cluster) first, in one map-side combined pass; only those with more than ``file_bytes``
-    are spread over as many files as that asks for, by a hash of the row. There are at most as many of them as the table has
-    multiples of ``file_bytes``, and Spark broadcasts them only where they are known to be few. ``salt`` spreads every one by that number instead.
+    are spread over as many files as that asks for, by a hash of the row, and no two of a day meet in a task. There are at
+    most as many of them as the table has multiples of ``file_bytes``, and Spark broadcasts them only where they are known
+    to be few. ``salt`` spreads every one by that number instead.
     """
     out = df.withColumn("dt", F.to_date(F.col(partition_ts)))
-    keys: list[Column] = [F.col("dt"), *[F.col(c) for c in cluster]]
+    names = ["dt", *cluster]
+    keys: list[Column] = [F.col(c) for c in names]
+    dealt = None
     if salt is None:
         part = F.ceil(F.sum(_bytes(df)) / F.lit(file_bytes)).cast("int").alias("__parts")
-        heavy = cut_lineage(out.groupBy("dt", *cluster).agg(part).where("__parts > 1"))
-        names = ["dt", *cluster]
+        heavy = out.groupBy(*names).agg(part).where("__parts > 1")
+        # A row per file that is larger than the rest: their numbers, one after another.
+        first = F.sum("__parts").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1))
+        heavy = cut_lineage(heavy.withColumn("__first", F.coalesce(first, F.lit(0)).cast("int")))
         same = reduce(lambda x, y: x & y, [F.col(f"o.{c}").eqNullSafe(F.col(f"h.{c}")) for c in names])
-        if not heavy.isEmpty():
-            joined = out.alias("o").join(heavy.alias("h"), same, "left").select("o.*", "h.__parts")
-            out = joined.withColumn("__salt", F.pmod(_row_hash(df), F.coalesce("__parts", F.lit(1)))).drop("__parts")
-            keys.append(F.col("__salt"))
+        # A task writes one file a day, so as many tasks as the fullest day has files take them all in turns.
+        full = heavy.groupBy("dt").agg(F.sum("__parts").alias("n")).agg(F.max("n")).first()[0]
+        if full:
+            rest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            joined = out.alias("o").join(heavy.alias("h"), same, "left").select("o.*", "h.__parts", "h.__first")
+            spread = F.pmod(F.col("__first") + F.pmod(_row_hash(df), F.col("__parts")), F.lit(full))
+            place = F.coalesce(spread, F.lit(full) + F.pmod(F.hash(*names), F.lit(rest))).cast("int")
+            dealt = joined.withColumn("__place", place).repartitionById(full + rest, "__place")
     elif salt > 1:
         keys.append(F.pmod(_row_hash(df), F.lit(salt)))
-    ordered = out.repartition(*keys).sortWithinPartitions("dt", *cluster, partition_ts)
+    ordered = (out.repartition(*keys) if dealt is None else dealt).sortWithinPartitions(*names, partition_ts)
     ordered.select(*df.columns, "dt").write.mode(mode).partitionBy("dt").parquet(path)
 
 
@@ -191,13 +201,17 @@ def write_shards(
     """Time-ordered compressed shards (per split) and a manifest next to them.
 
     Rows and bytes are measured in one pass over the table; without ``n`` there are as many shards as give each
-    about ``file_bytes``, 16 at least, and Spark's sampled ranges make them about equal. ``tie`` orders rows of the same time.
+    about ``file_bytes``, 16 at least. Spark's sampled ranges make them about equal as long as they are few; of smaller files a range of about
+    ``FILE_BYTES`` holds many, one after another, as samples and tasks must not grow with the number of files. ``tie`` orders rows of the same time.
     """
     name = F.col(split).cast("string") if split else F.lit("all")
     sizes = df.groupBy(name.alias("split")).agg(F.count(F.lit(1)).alias("rows"), F.sum(_bytes(df)).alias("bytes")).collect()
     n = n or max(16, -(-sum(r.bytes for r in sizes) // file_bytes))
+    ranges = min(n, max(RANGES, -(-sum(r.bytes for r in sizes) // FILE_BYTES)))
     order = [c for c in (split, ts, *tie) if c]
-    writer = df.repartitionByRange(n, *order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "gzip")
+    writer = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.mode("overwrite").option("compression", "gzip")
+    if ranges < n:
+        writer = writer.option("maxRecordsPerFile", -(-sum(r.rows for r in sizes) // n))
     (writer.partitionBy(split) if split else writer).parquet(path)
     counts = {str(r.split): r.rows for r in sizes} or {"all": 0}
     body = {"rows": counts, "columns": df.columns, "shards": n, **(manifest or {})}
