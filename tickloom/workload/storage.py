@@ -185,7 +185,10 @@ def _(t: Tables):
     ))
     body = F.when(k % 7 == 0, F.substring(report, 1, 30)).otherwise(report)
     path = scratch(t.spark, "reports")
-    t.supplier.select(F.concat(F.lit("report_"), k.cast("string")).alias("session"), body.alias("value")).write.partitionBy("session").text(path)
+    reports = t.supplier.select(F.concat(F.lit("report_"), k.cast("string")).alias("session"), body.alias("value"))
+    # A folder per session: tasks make and commit them side by side, as neither one task nor the driver can in time.
+    side_by_side = reports.repartition(48, "session").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    side_by_side.partitionBy("session").text(path)
     out = S.read_session_reports(t.spark, path)
     return out.select(
         "session_id", "symbol", "threshold", "sl_pct", "tp_pct", "trail_pct", "tick_count", F.size("signals").alias("signals"),
