@@ -270,10 +270,13 @@ def _write_in_time(rows: DataFrame, path: str, jitter_us: int = 0) -> None:
     files = max(FILES, -(-n // FILE_ROWS))
     length = (last + jitter_us - first) // files + 1
     late = F.pmod(F.xxhash64("event_id"), F.lit(jitter_us + 1))
-    numbered = rows.withColumn("file", F.floor((us - first + late) / length))
+    numbered = rows.withColumn("file", F.floor((us - first + late) / length).cast("int"))
+    # All rows are dealt to their stretches once, so that a file costs what it holds; then the files are written one by one.
+    dealt = scratch(rows.sparkSession, "stretches")
+    numbered.repartition(files, "file").sortWithinPartitions("file", F.hash("event_id")).write.partitionBy("file").parquet(dealt)
     for k in range(files):
-        some = numbered.where(F.col("file") == k).drop("file").coalesce(1)
-        some.sortWithinPartitions(F.hash("event_id")).write.parquet(f"{path}/file={k}")
+        some = rows.sparkSession.read.schema(numbered.schema).parquet(dealt).where(F.col("file") == k).drop("file")
+        some.coalesce(1).sortWithinPartitions(F.hash("event_id")).write.parquet(f"{path}/file={k}")
 
 
 def _tick_files(t: Tables, jitter_us: int = 0) -> str:
