@@ -119,3 +119,17 @@ def test_other_grids_are_refused(spark):
         dc_trades_sweep(ticks, MULTI_GRID)
     with pytest.raises(ValueError):
         gated.multi_scale_sweep(ticks, RISK)
+
+
+def test_a_search_ends_with_the_trade(spark, monkeypatch):
+    """All stops are touched at once and the target never: the search must not walk on through all blocks of the key."""
+    prices = [100.0, 100.1, *[90.0 + i % 2 for i in range(400)]]
+    rows = [("S", i, i, float(p)) for i, p in enumerate(prices)]
+    ticks = spark.createDataFrame(rows, "symbol string, pos long, ts long, px double")
+    entries = spark.createDataFrame([("S", 7, 0, 401, 1.0, 100.0)], "symbol string, entry long, pos long, last long, s double, entry_price double")
+    grid = {"sl": [0.01, 0.02], "tp": [0.5], "trail": [0.5], "min_profit": [0.3]}
+    real, rounds = gated.cut_lineage, []
+    monkeypatch.setattr(gated, "cut_lineage", lambda df: rounds.append(1) or real(df))
+    (row,) = gated.first_touches(entries, ticks, ["symbol"], grid, block=8).collect()
+    assert [h.pos for h in row.sl_hits] == [2, 2] and row.tp_hits == [None] == row.tr_hits
+    assert len(rounds) == 2  # the packed blocks and one search

@@ -29,6 +29,7 @@ from tickloom.operators.windows import momentum
 from tickloom.session import cut_lineage
 
 BLOCK = 8192  # ticks of a key that are searched at once
+STEP = 512  # ticks of a block that are looked at before an entry is asked whether it needs more
 SENSORS = (0.002, 0.004, 0.008)  # fixed values: thresholds whose confirmations feed the momentum
 
 
@@ -78,9 +79,10 @@ def first_touches(
     ``last`` the last tick that counts, ``s`` 1 (long) or -1. ``ticks`` come from ``numbered_ticks``.
 
     Ticks are packed into blocks of equal row counts, and entries meet their block, not each other's ticks. Every entry is
-    searched in its own block first, all at once; only those that have touches left and ticks to go
-    move on to the next block, with the best and worst price so far. So a tick is shuffled once, an entry
-    once per block that its search crosses.
+    searched in its own block first, all at once; only those that can still end and have ticks to go
+    move on to the next block, with the best and worst price so far. A set has one stop, one target and one trailing stop, so
+    once all values of one of these kinds are touched every set has ended, and later touches (left out) decide nothing.
+    So an entry goes as far as its own trade takes, not to the last touch of the widest value.
     """
     own = F.array_sort(F.collect_list(F.struct("pos", "px")))
     packed = cut_lineage(
@@ -88,10 +90,12 @@ def first_touches(
     )
     parts = [("sl", float(v), 0.0) for v in grid["sl"]] + [("tp", float(v), 0.0) for v in grid["tp"]]
     parts += [("tr", float(t), float(m)) for t in grid["trail"] for m in grid["min_profit"]]
+    kind_of = np.array([("sl", "tp", "tr").index(p[0]) for p in parts])
+    sizes = np.bincount(kind_of, minlength=3)
     fields = ("entry", "pos", "last", "s", "entry_price", "fav", "adv", "hits")
     hit_type = "array<struct<part: int, pos: long, fav: double, adv: double>>"
     names = ", ".join(f"`{c}` {ticks.schema[c].dataType.simpleString()}" for c in by)
-    schema = f"{names}, block long, entry long, pos long, last long, s double, entry_price double, fav double, adv double, hits {hit_type}"
+    schema = f"{names}, block long, entry long, pos long, last long, s double, entry_price double, fav double, adv double, ended boolean, hits {hit_type}"
 
     def touched(kind: str, a: float, b: float, r, q: np.ndarray, best: np.ndarray) -> np.ndarray:
         e, p = r["s"] * r["entry_price"], r["entry_price"]
@@ -101,6 +105,9 @@ def first_touches(
             return q >= r["s"] * (p * (1.0 + r["s"] * a))
         return ((best - e) / p >= b) & (q <= e + (best - e) * a)
 
+    def ended_by(known: set[int]) -> bool:
+        return bool((np.bincount(kind_of[list(known)], minlength=3) == sizes).any()) if known else False
+
     def search(batches):
         for pdf in batches:
             out = []
@@ -108,19 +115,24 @@ def first_touches(
                 first = number * block
                 for r in entries_of:
                     lo, hi = max(r["pos"] + 1 - first, 0), min(r["last"] + 1 - first, len(px))
-                    q = px[lo:hi] * r["s"]
-                    fav = np.maximum.accumulate(np.concatenate([[r["fav"]], q]))
-                    adv = np.minimum.accumulate(np.concatenate([[r["adv"]], q]))
-                    hits = list(r["hits"])
+                    best, worst, hits = r["fav"], r["adv"], list(r["hits"])
                     known = {h["part"] for h in hits}
-                    for i, part in enumerate(parts):
-                        if i not in known and len(q):
-                            rows = touched(*part, r, q, fav[:-1])
-                            at = int(rows.argmax())
-                            if rows[at]:
-                                hits.append({"part": i, "pos": int(first + lo + at), "fav": float(fav[at + 1]), "adv": float(adv[at + 1])})
-                    out.append((*key, number, r["entry"], r["pos"], r["last"], r["s"], r["entry_price"], float(fav[-1]), float(adv[-1]), hits))
-            yield pd.DataFrame(out, columns=[*by, "block", *fields])
+                    for lo in range(lo, hi, STEP):
+                        q = px[lo : min(lo + STEP, hi)] * r["s"]
+                        fav = np.maximum.accumulate(np.concatenate([[best], q]))
+                        adv = np.minimum.accumulate(np.concatenate([[worst], q]))
+                        best, worst = float(fav[-1]), float(adv[-1])
+                        for i, part in enumerate(parts):
+                            if i not in known:
+                                rows = touched(*part, r, q, fav[:-1])
+                                at = int(rows.argmax())
+                                if rows[at]:
+                                    known.add(i)
+                                    hits.append({"part": i, "pos": int(first + lo + at), "fav": float(fav[at + 1]), "adv": float(adv[at + 1])})
+                        if ended_by(known):
+                            break
+                    out.append((*key, number, r["entry"], r["pos"], r["last"], r["s"], r["entry_price"], best, worst, ended_by(known), hits))
+            yield pd.DataFrame(out, columns=[*by, "block", *fields[:-1], "ended", fields[-1]])
 
     start = F.col("s") * F.col("entry_price")
     live = entries.where("last > pos").select(
@@ -131,7 +143,7 @@ def first_touches(
     while True:
         waiting = live.groupBy(*by, "block").agg(F.collect_list(F.struct(*fields)).alias("entries"))
         searched = cut_lineage(packed.join(waiting, [*by, "block"]).mapInPandas(search, schema))
-        over = (F.size("hits") == len(parts)) | (F.col("last") < (F.col("block") + 1) * block)
+        over = F.col("ended") | (F.col("last") < (F.col("block") + 1) * block)
         ended = searched.where(over).select(*by, "entry", "hits")
         done = ended if done is None else done.union(ended)
         live = searched.where(~over).withColumn("block", F.col("block") + 1)
@@ -180,6 +192,7 @@ def gated_ledger(
     that lose, until none do; then the chain from the first candidate of each key is followed by ``reached``.
     """
     by, group = list(by), list(group)
+    candidates = cut_lineage(candidates)  # read for the cases, the chain's heads and every level of its links
     if not group:
         candidates, configs, group = candidates.withColumn("__all", F.lit(0)), configs.withColumn("__all", F.lit(0)), ["__all"]
     keys = [*by, *group]
@@ -353,7 +366,7 @@ def multi_scale_sweep(
     sign = F.when(F.col("side") == "LONG", F.col("momentum")).otherwise(-F.col("momentum"))
     scores = F.array(*[F.struct(F.lit(i).alias("score_at"), F.lit(float(v)).alias("least")) for i, v in enumerate(grid["min_score"])])
     ready = scored.withColumn("theta", theta).where("theta is not null").withColumn("g", F.explode(scores)).where(F.coalesce(sign, F.lit(0.0)) > F.col("g.least"))
-    ready = cut_lineage(ready.select(*by, "theta", "alpha_at", F.col("g.score_at").alias("score_at"), "pos", "us", "entry_time", "entry_price", "side"))
+    ready = ready.select(*by, "theta", "alpha_at", F.col("g.score_at").alias("score_at"), "pos", "us", "entry_time", "entry_price", "side")
     place = lambda name: (F.array_position(F.array(*[F.lit(float(v)) for v in grid[name]]), F.col(name)) - 1).cast("int")
     configs = grid_table(ticks.sparkSession, grid)
     configs = configs.withColumns({**grid_places(grid), "theta": place("threshold"), "alpha_at": place("alpha"), "score_at": place("min_score")})
