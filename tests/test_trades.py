@@ -1,6 +1,7 @@
 """Fill pairing, labels, ledgers and metrics."""
 
 import datetime as dt
+from itertools import product
 
 import numpy as np
 import pytest
@@ -232,3 +233,30 @@ def test_observed_signals(spark):
     df = df.withColumn("position_size_usd", F.lit(100.0))
     out = T.signal_pnl(df, Timeline.of("session_id", "pos", (), 2)).first()
     assert out.total_trades == 2 and out.gross_pnl_usd == pytest.approx(20)
+
+
+def test_sets_are_folded_side_by_side(spark):
+    """One row per confirmation, whatever the grid: the sets that take it are those of a plain walk, set by set."""
+    grid = {"threshold": [0.1, 0.2], "sl": [0.1, 0.2], "tp": [0.3], "trail": [0.5, 0.6], "min_profit": [0.1]}
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(200):
+        hits = [[(1,) if rng.random() < 0.2 else None for _ in range(n)] for n in (2, 1, 2)]
+        rows.append((i, "S", i % 2, 0, 10 * i + int(rng.integers(0, 9)), *hits))
+    rows.append((200, "S", 0, 1, 5000, None, None, None))
+    box = "array<struct<pos: int>>"
+    found = spark.createDataFrame(rows, f"__id long, symbol string, theta int, run long, entry_time long, sl_hits {box}, tp_hits {box}, tr_hits {box}")
+    got = {r["__id"]: list(r["__sets"]) for r in T._taken_sets(found, ["symbol"], [0.1, 0.2], grid, 0.00003).collect()}
+    want = {}
+    for number, (theta, sl, _, trail, _) in enumerate(product(*(range(len(v)) for v in grid.values()))):
+        state = {}
+        for i, _, th, run, at, *hits in sorted(rows, key=lambda r: (r[3], r[4], r[0])):
+            if th == theta:
+                last, is_open = state.get(run, (None, False))
+                if is_open or last is None or at - last >= 30:
+                    want.setdefault(i, []).append(number)
+                    closed = hits[0] is not None and any((hits[0][sl], hits[1][0], hits[2][trail]))
+                    state[run] = (at, not closed)
+                else:
+                    state[run] = (last, False)
+    assert got == want
