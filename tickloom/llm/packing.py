@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import Memo, store
+from tickloom.llm.common import Memo, store, tidy
 
 ROOM = 2048
 END_ID = 0
 MEMO = 400_000  # words of one generation whose ids a Python worker keeps
 BLOCK = 1000  # texts whose new words are encoded together
+PARTS = 10_000  # words that the library encodes at once
 PER_GROUP = 32_768  # pieces that are packed among themselves, on average
 
 
@@ -63,8 +64,10 @@ class Words:
                 self.memo[part] = self._word(m[1].lower()) + self.sign[m[2]]
             else:
                 rest.append(part)
-        for part, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[part] = self._ids(e.ids)
+        for at in range(0, len(rest), PARTS):  # an encoding holds far more than its ids
+            some = rest[at : at + PARTS]
+            for part, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.memo[part] = self._ids(e.ids)
         return [b"".join(map(self.memo.__getitem__, parts)) for parts in split]
 
 
@@ -78,14 +81,14 @@ def tokenizer(path: str, memo: int = MEMO) -> Words:
     return _WORDS[path, memo]
 
 
-def pieces(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, text: str = "text", key: str = "doc_id", memo: int = MEMO) -> DataFrame:
+def pieces(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, text: str = "text", key: str = "doc_id", memo: int = MEMO, block: int = BLOCK) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, ids``: every document's ids and the end id, cut only where longer than ``room``."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), BLOCK):
-                part = batch.slice(at, BLOCK)
+            for at in range(0, max(1, batch.num_rows), block):
+                part = batch.slice(at, block)
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), tokenizer(path, memo).encode(part.column(1).to_pylist()), strict=True):
                     ids += end
@@ -97,7 +100,7 @@ def pieces(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, t
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     cols = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return cols.mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 def best_two_fit(sizes: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.ndarray]:
@@ -153,16 +156,17 @@ def best_two_fit(sizes: np.ndarray, room: int = ROOM) -> tuple[np.ndarray, np.nd
     return bins, offsets
 
 
-def pack(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, text: str = "text", key: str = "doc_id", with_ids: bool = False, memo: int = MEMO) -> DataFrame:
+def pack(docs: DataFrame, path: str, room: int = ROOM, end_id: int = END_ID, text: str = "text", key: str = "doc_id", with_ids: bool = False, memo: int = MEMO, block: int = BLOCK) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``): whole documents packed.
 
     Pieces are dealt to groups of some ``PER_GROUP`` by a hash of their place in the stored table (so
     no document, length or repeated row makes a group large) and each group is packed by
     ``best_two_fit``; a group leaves at most a few bins that aren't full, so their share doesn't grow
     with the corpus. Null and empty texts are the end id alone. Repeated rows are packed each.
-    Other columns don't matter; an empty table gives an empty one. ``memo`` bounds the words that a task keeps; results don't depend on it.
+    Other columns don't matter; an empty table gives an empty one. ``memo`` bounds the words
+    that a task keeps and ``block`` the texts it holds split at once; results don't depend on them.
     """
-    cut = pieces(docs, path, room, end_id, text, key, memo)
+    cut = pieces(docs, path, room, end_id, text, key, memo, block)
     cut = cut if with_ids else cut.drop("ids")
     dealt = store(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-dealt.count() // PER_GROUP))

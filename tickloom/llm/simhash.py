@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import HashFilter, components, map_batches, store, utf8
+from tickloom.llm.common import HashFilter, components, map_batches, store, tidy, utf8
 
 WIDTH, SEED = 4, 42  # words of a shingle, seed of its hash
 DISTANCE = 4  # bits in which linked fingerprints may differ
@@ -292,7 +292,7 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
             columns = {name: batch.column(name).take(own) for name in ("row", "n", "fp")}
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys[keep]), **columns})
 
-    dealt = kinds.select("row", "n", "fp", "keys").mapInArrow(deal, "key long, row long, n int, fp long").select("key", F.struct("row", "n", "fp").alias("member"))
+    dealt = kinds.select("row", "n", "fp", "keys").mapInArrow(tidy(deal), "key long, row long, n int, fp long").select("key", F.struct("row", "n", "fp").alias("member"))
     parts = counts.select("key", F.ceil(F.col("m") / PART).alias("parts"))
     lists = dealt.join(parts, "key").groupBy("key", "parts", F.pmod(F.xxhash64("member.row"), "parts").alias("part")).agg(F.collect_list("member").alias("members"))
     small = lists.where("parts = 1").select("members")
@@ -310,7 +310,7 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
                     groups += [np.sort(rows[i:j][g]) for g in _spread(j - i, lambda x, among, i=i, j=j: _close(fps[i:j], sizes[i:j], x, among, bits, similarity))]
             yield pa.RecordBatch.from_pydict({"rows": pa.array(groups, pa.list_(pa.int64()))})
 
-    groups = store(small.union(crossed).mapInArrow(narrow, "rows array<long>").distinct(), "groups")
+    groups = store(small.union(crossed).mapInArrow(tidy(narrow), "rows array<long>").distinct(), "groups")
     members = groups.select(F.xxhash64("rows").alias("group"), F.explode("rows").alias("row"))  # two groups under one number do no harm
     filled = store(members, "members").join(own.select("row", "n", "fp"), "row").join(texts, "row").select("group", "row", "fp", "text")
 
@@ -340,7 +340,7 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
         if held:
             yield edges(held)
 
-    links = filled.repartition("group").sortWithinPartitions("group").mapInArrow(verify, "a long, b long").distinct()
+    links = filled.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(verify), "a long, b long").distinct()
     return own.select("row", "same").join(firsts, "same").select("row", "first"), links
 
 
