@@ -133,3 +133,17 @@ def test_a_search_ends_with_the_trade(spark, monkeypatch):
     (row,) = gated.first_touches(entries, ticks, ["symbol"], grid, block=8).collect()
     assert [h.pos for h in row.sl_hits] == [2, 2] and row.tp_hits == [None] == row.tr_hits
     assert len(rounds) == 2  # the packed blocks and one search
+
+
+def test_a_long_way_takes_few_rounds(spark, monkeypatch):
+    """A target far away is found over growing blocks, and where the price is best and worst on the way stays known."""
+    prices = [100.0 + i % 3 for i in range(5000)]
+    prices[37], prices[1234], prices[4321] = 104.5, 99.5, 111.0
+    ticks = spark.createDataFrame([("S", i, i, p) for i, p in enumerate(prices)], "symbol string, pos long, ts long, px double")
+    entries = spark.createDataFrame([("S", 7, 3, 4999, 1.0, 100.0), ("S", 8, 4000, 4100, 1.0, 100.0), ("S", 9, 16, 4999, 1.0, 100.0)], "symbol string, entry long, pos long, last long, s double, entry_price double")
+    grid = {"sl": [0.2], "tp": [0.1], "trail": [0.01], "min_profit": [0.2]}
+    real, rounds = gated.cut_lineage, []
+    monkeypatch.setattr(gated, "cut_lineage", lambda df: rounds.append(1) or real(df))
+    found = {r.entry: [(h.pos, h.fav, h.adv) for h in r.tp_hits] for r in gated.first_touches(entries, ticks, ["symbol"], grid, block=8).collect()}
+    assert found == {7: [(4321, 111.0, 99.5)], 9: [(4321, 111.0, 99.5)]}
+    assert len(rounds) < 20  # 5000 ticks are 625 blocks of 8

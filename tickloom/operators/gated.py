@@ -25,10 +25,11 @@ from tickloom.operators.timeline import (
     running,
 )
 from tickloom.operators.trades import MULTI_GRID, TAKER_FEE, grid_places, grid_table, leg_pnl, with_exits
-from tickloom.operators.windows import momentum
+from tickloom.operators.windows import average_direction
 from tickloom.session import cut_lineage
 
 BLOCK = 8192  # ticks of a key that are searched at once
+GROWTH, LARGEST = 8, 64  # times the block of the round before; at most so many times the first
 STEP = 512  # ticks of a block that are looked at before an entry is asked whether it needs more
 SENSORS = (0.002, 0.004, 0.008)  # fixed values: thresholds whose confirmations feed the momentum
 
@@ -80,7 +81,7 @@ def first_touches(
 
     Ticks are packed into blocks of equal row counts, and entries meet their block, not each other's ticks. Every entry is
     searched in its own block first, all at once; only those that can still end and have ticks to go
-    move on to the next block, with the best and worst price so far. A set has one stop, one target and one trailing stop, so
+    move on to the next block, with the best and worst price so far. Blocks grow from round to round, so a long way takes few rounds. A set has one stop, one target and one trailing stop, so
     once all values of one of these kinds are touched every set has ended, and later touches (left out) decide nothing.
     So an entry goes as far as its own trade takes, not to the last touch of the widest value.
     """
@@ -108,11 +109,11 @@ def first_touches(
     def ended_by(known: set[int]) -> bool:
         return bool((np.bincount(kind_of[list(known)], minlength=3) == sizes).any()) if known else False
 
-    def search(batches):
+    def search(batches, size):
         for pdf in batches:
             out = []
             for key, number, px, entries_of in zip(pdf[list(by)].itertuples(index=False), pdf["block"], pdf["px"], pdf["entries"], strict=True):
-                first = number * block
+                first = number * size
                 for r in entries_of:
                     lo, hi = max(r["pos"] + 1 - first, 0), min(r["last"] + 1 - first, len(px))
                     best, worst, hits = r["fav"], r["adv"], list(r["hits"])
@@ -139,16 +140,21 @@ def first_touches(
         *by, F.floor((F.col("pos") + 1) / block).alias("block"), "entry", "pos", "last", F.col("s").cast("double").alias("s"), "entry_price",
         start.alias("fav"), start.alias("adv"), F.expr(f"cast(array() as {hit_type})").alias("hits"),
     )
-    done = None
+    done, size = None, block
     while True:
         waiting = live.groupBy(*by, "block").agg(F.collect_list(F.struct(*fields)).alias("entries"))
-        searched = cut_lineage(packed.join(waiting, [*by, "block"]).mapInPandas(search, schema))
-        over = F.col("ended") | (F.col("last") < (F.col("block") + 1) * block)
+        searched = cut_lineage(packed.join(waiting, [*by, "block"]).mapInPandas(lambda batches, size=size: search(batches, size), schema))
+        over = F.col("ended") | (F.col("last") < (F.col("block") + 1) * size)
         ended = searched.where(over).select(*by, "entry", "hits")
         done = ended if done is None else done.union(ended)
-        live = searched.where(~over).withColumn("block", F.col("block") + 1)
+        live = searched.where(~over).withColumn("pos", (F.col("block") + 1) * size - 1)  # the last tick that was searched
         if live.isEmpty():
             break
+        if size < block * LARGEST:
+            size *= GROWTH
+            parts_of = F.array_sort(F.collect_list(F.struct("block", "px")))
+            packed = cut_lineage(packed.groupBy(*by, F.floor(F.col("block") / GROWTH).alias("block")).agg(F.flatten(F.transform(parts_of, lambda x: x["px"])).alias("px")))
+        live = live.withColumn("block", F.floor((F.col("pos") + 1) / size))
     found = done.select(*by, "entry", F.explode("hits").alias("h")).select(*by, "entry", "h.part", "h.pos", "h.fav", "h.adv")
     priced = found.join(ticks.select(*by, "pos", F.col("ts").alias("exit_time"), F.col("px").alias("exit_price")), [*by, "pos"])
     row = F.struct("pos", "exit_time", "exit_price", "fav", "adv")
@@ -355,13 +361,13 @@ def multi_scale_sweep(
     is_sensor = F.greatest(*[same_threshold(rows, t) for t in sensors], F.lit(False))
     felt = rows.where(is_sensor).withColumn("direction", F.when(F.col("side") == "LONG", 1).otherwise(-1))
     tl = Timeline.of(by, "us", ["threshold_down"], span)
-    gates = []
-    for a, alpha in enumerate(grid["alpha"]):
-        score = momentum(felt.select(*by, "us", "threshold_down", "direction"), tl, alpha=float(alpha))
-        gates.append(_scored(rows.where(~is_sensor), score, by, span).withColumn("alpha_at", F.lit(a)))
-    scored = gates[0]
-    for more in gates[1:]:
-        scored = scored.unionByName(more)
+    score = cut_lineage(row_index(felt.select(*by, "us", "threshold_down", "direction"), tl, "__i"))
+    names = [f"momentum_{a}" for a in range(len(grid["alpha"]))]
+    for name, alpha in zip(names, grid["alpha"], strict=True):
+        score = average_direction(score, tl, name, alpha=float(alpha))
+    score = score.withColumns({name: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(name))) for name in names})
+    felt_by = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha_at"), F.col(name).alias("momentum")) for a, name in enumerate(names)]))
+    scored = _scored(rows.where(~is_sensor), score, names, by, span).withColumn("__felt", felt_by).select("*", "__felt.*").drop("__felt", *names)
     theta = F.coalesce(*[F.when(same_threshold(scored, t), i) for i, t in enumerate(trade)])
     sign = F.when(F.col("side") == "LONG", F.col("momentum")).otherwise(-F.col("momentum"))
     scores = F.array(*[F.struct(F.lit(i).alias("score_at"), F.lit(float(v)).alias("least")) for i, v in enumerate(grid["min_score"])])
@@ -376,7 +382,7 @@ def multi_scale_sweep(
     return out.drop(*group)
 
 
-def _scored(rows: DataFrame, score: DataFrame, by: Sequence[str], span) -> DataFrame:
-    """Each candidate with the momentum of the last sensor up to its tick."""
-    state = score.select(*by, F.col("us").alias("__at"), "momentum", "threshold_down")
-    return asof_backward(rows, state, by, "us", "__at", ["momentum"], ["threshold_down"], ["threshold_down"], span=span)
+def _scored(rows: DataFrame, score: DataFrame, names: Sequence[str], by: Sequence[str], span) -> DataFrame:
+    """Each candidate with the averages ``names`` of the last sensor up to its tick."""
+    state = score.select(*by, F.col("us").alias("__at"), *names, "threshold_down")
+    return asof_backward(rows, state, by, "us", "__at", names, ["threshold_down"], ["threshold_down"], span=span)
