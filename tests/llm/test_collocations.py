@@ -100,3 +100,19 @@ def test_empty_and_blank_tables(spark, no_docs, odd):
     assert collocations.collocations(no_docs).collect() == []
     assert collocations.collocations(odd.where("text is null")).collect() == []
     assert collocations.collocations(odd).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+@pytest.mark.parametrize("most, copies", [(1 << 18, 1), (1, 3)])
+def test_a_task_adds_up_its_chunks(spark, monkeypatch, most, copies):
+    """Three chunks with the same phrases give each phrase once, not once a chunk; only a task that holds too many gives it again."""
+    monkeypatch.setattr(collocations, "CHUNK", 4)
+    monkeypatch.setattr(collocations, "HELD", most)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 3, "text": [b"a b c d"] * 3})
+    chunk = collocations.Chunk()
+    chunk.add("en", b"a b c d")
+    words = chunk.hashes()
+    h = [words, *(h for _, _, h in collocations.phrases(chunk.row(), words, HashFilter(np.full(1 << 10, -1, np.int64).view(np.uint64)), 1, 2))]
+    known = HashFilter.of(spark.createDataFrame([(int(x),) for x in np.concatenate(h).view(np.int64)], "h long"))
+    count = collocations._count_phrases(type("Known", (), {"value": known}), 2)
+    rows = [(r["lang"], r["phrase"], r["n"]) for out in count([batch]) for r in out.to_pylist()]
+    assert sorted(rows) == sorted([("en", p, 3 // copies) for p in (b"a b", b"b c", b"c d")] * copies)

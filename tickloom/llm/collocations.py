@@ -16,6 +16,7 @@ from tickloom.llm.common import HashFilter, store
 LEAST, LONGEST, TOP = 100, 5, 2000  # occurrences of a candidate, its words, phrases reported per language
 SHARDS = 4  # parts of the corpus that are mined by themselves; they are no tasks, so few do: the local support stays high
 CHUNK = 1 << 21  # words that are counted at once in a task
+HELD = 1 << 18  # counted phrases from which on a task hands its counts on
 SLICE = 1 << 20  # bytes of a text that are split at once
 SALTS = 16  # parts of a word that begins or ends very many phrases
 
@@ -141,9 +142,17 @@ def _mine(known: HashFilter, filtered: int, lengths: range, shards: int):
 
 
 def _count_phrases(known: HashFilter, longest: int):
-    """Exact counts of the known phrases in each chunk: phrases are told apart by the numbers of their words, not by hash."""
+    """Exact counts of the known phrases: phrases are told apart by the numbers of their words, not by hash.
+
+    A task adds up its chunks, so it gives a phrase once, or once more whenever it holds ``HELD`` of them.
+    """
+
+    def rows(held):
+        langs, shown, counts = zip(*((lang, p, n) for lang, own in held.items() for p, n in own.items()), strict=True) if any(held.values()) else ((), (), ())
+        return pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "phrase": pa.array(shown, pa.binary()), "n": pa.array(counts, pa.int64())})
 
     def run(batches):
+        held = {}
         for chunk in chunks(batches):
             row = chunk.row()
             series, width = row.astype(np.int64), len(chunk.words) + 1
@@ -151,9 +160,14 @@ def _count_phrases(known: HashFilter, longest: int):
                 pairs = series[starts] * width + row[starts + length - 1]
                 _, first, inverse, n = np.unique(pairs, return_index=True, return_inverse=True, return_counts=True)
                 series[starts] = inverse
-                shown = [b" ".join(chunk.words[i][1] for i in row[s : s + length]) for s in starts[first]]
-                langs = [chunk.words[row[s]][0] for s in starts[first]]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "phrase": pa.array(shown, pa.binary()), "n": pa.array(n, pa.int64())})
+                for s, more in zip(starts[first].tolist(), n.tolist(), strict=True):
+                    own = held.setdefault(chunk.words[row[s]][0], {})
+                    phrase = b" ".join(chunk.words[i][1] for i in row[s : s + length])
+                    own[phrase] = own.get(phrase, 0) + more
+            if sum(map(len, held.values())) >= HELD:
+                yield rows(held)
+                held = {}
+        yield rows(held)
 
     return run
 
