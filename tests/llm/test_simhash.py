@@ -118,3 +118,46 @@ def test_near_copies_of_similarity_08_go(spark, monkeypatch, part):
     kept = sorted(r.doc_id for r in simhash.keep_one(docs, width=5, bits=28, similarity=0.8).collect())
     assert kept == sorted(set(top)) and len(kept) < len(simhash.keep_one(docs).collect())
     assert simhash.keep_one(docs.limit(0), width=5, bits=28, similarity=0.8).collect() == []
+
+
+def edited(copies, changes):
+    """Texts of 400 words in families of ``copies`` with some words changed."""
+    rng, texts = np.random.default_rng(5), []
+    for k in range(4):
+        base = [f"w{k}x{i}" for i in range(400)]
+        for _ in range(copies):
+            words = list(base)
+            for at in rng.choice(400, changes, replace=False):
+                words[at] = f"new{rng.integers(1 << 40)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize("joined, once", [(1024, True), (5, False)])
+def test_a_text_is_moved_once(spark, monkeypatch, joined, once):
+    """Copies that meet under many keys in ever other company are compared as one group; larger ones in the groups they met in."""
+    monkeypatch.setattr(simhash, "JOINED", joined)
+    texts, real, moved = edited(9, 8), simhash.store, []
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "members":
+            moved.append((out.count(), out.select("row").distinct().count()))
+        return out
+
+    monkeypatch.setattr(simhash, "store", spy)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs, width=5, bits=28, similarity=0.6).collect())
+    assert kept == [0, 9, 18, 27]
+    ((rows, distinct),) = moved
+    assert (rows == distinct) == once and distinct == 36
+
+
+def test_pivot_tables_find_the_near_ones_by_themselves(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_prefix", lambda hashes, common, similarity: hashes[:0])
+    texts = [t for t in edited(2, 1)]
+    fps = [simhash._of_set(simhash.shingles(t, 5)) for t in texts]
+    near = [(a ^ b).bit_count() <= 4 for a, b in zip(fps[::2], fps[1::2], strict=True)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    kept = {r.doc_id for r in simhash.keep_one(docs, width=5, bits=28, similarity=0.8).collect()}
+    assert any(near) and [2 * i + 1 not in kept for i in range(4)] == near

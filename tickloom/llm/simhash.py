@@ -20,6 +20,7 @@ REFERENCES = 16
 LARGE = 4096  # members from which on a bucket is dealt again by finer blocks
 FINE, FINE_SAME = 8, 4  # the four other blocks of such a bucket, as 8 parts of which 4 agree
 PART = 2048  # members of a shingle from which on it is split into parts
+JOINED = 1024  # members up to which groups that hang together are compared as one
 SAMPLE, FREQUENT = 20_000, 200_000  # texts whose shingles are counted, shingles whose counts are kept
 
 _REFS = np.array([xxhash.xxh64_intdigest(b"reference %d" % i, SEED) for i in range(REFERENCES)], np.uint64)
@@ -265,6 +266,10 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
     similar pair meets under a key. Under a key, members are parted by fingerprint and set size, equal groups
     collapse, and the shingles of the texts of a group are compared exactly. Keys of more than ``PART`` members are
     split, and every pair of parts is a group: complete, but quadratic in a key's parts.
+
+    The near ones of all, whose fingerprints differ in at most ``DISTANCE`` bits, are found by the pivot tables (``near_links``) and compared
+    likewise. Groups that hang together, up to ``JOINED`` rows in all, become one, so each text is moved and
+    cut into shingles once; of larger ones, each group is compared by itself. Only texts of rows in a group are moved.
     """
     spark = docs.sparkSession
     common = _frequent(docs, text, width)
@@ -310,14 +315,35 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
                     groups += [np.sort(rows[i:j][g]) for g in _spread(j - i, lambda x, among, i=i, j=j: _close(fps[i:j], sizes[i:j], x, among, bits, similarity))]
             yield pa.RecordBatch.from_pydict({"rows": pa.array(groups, pa.list_(pa.int64()))})
 
-    groups = store(small.union(crossed).mapInArrow(tidy(narrow), "rows array<long>").distinct(), "groups")
-    members = groups.select(F.xxhash64("rows").alias("group"), F.explode("rows").alias("row"))  # two groups under one number do no harm
-    filled = store(members, "members").join(own.select("row", "n", "fp"), "row").join(texts, "row").select("group", "row", "fp", "text")
+    # Rows of one fingerprint, and the least rows of fingerprints that the pivot tables link, are candidates too.
+    faces = store(kinds.select("row", "fp"), "faces")
+    least = store(faces.groupBy("fp").agg(F.min("row").alias("least")), "least")
+    ends = near_links(least).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    pivoted = ends.select(F.array(F.least("x", "y"), F.greatest("x", "y")).alias("rows"))
+    equal = faces.join(least, "fp").where("row <> least").select(F.array("least", "row").alias("rows"))
+    groups = store(small.union(crossed).mapInArrow(tidy(narrow), "rows array<long>").union(pivoted).union(equal).distinct(), "groups")
+    behind = [F.slice("rows", at, F.size("rows") - 1) for at in (1, 2)]
+    chains = groups.select(F.explode(F.zip_with(*behind, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("c")).select("c.a", "c.b")
+    whole = store(components(chains), "whole")
+    sizes = whole.groupBy("component").agg((F.count("*") > JOINED).alias("large"))
+    placed = store(whole.join(sizes, "component").select("node", "component", "large"), "placed")
+    apart = groups.withColumn("node", F.col("rows")[0]).join(placed.where("large").select("node"), "node", "left_semi")
+    members = apart.select(F.xxhash64("rows").alias("group"), F.explode("rows").alias("row"))  # two groups under one number do no harm
+    members = members.union(placed.where("not large").select(F.xxhash64("component").alias("group"), F.col("node").alias("row")))
+    meant = spark.sparkContext.broadcast(HashFilter.of(placed.select(F.xxhash64("node").alias("h")), most=26))
+
+    def pick(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(meant.value.has(batch.column(0).to_numpy().view(np.uint64)))).select([1, 2])
+
+    needed = texts.select(F.xxhash64("row").alias("h"), "row", "text").mapInArrow(tidy(pick), "row long, text string")
+    filled = store(members, "members").join(needed, "row").select("group", "row", "text")
 
     def verify(batches):
         def edges(held):
-            rows, fps = np.array([r for r, _, _ in held]), np.array([f for _, f, _ in held], np.int64).view(np.uint64)
-            sets = [frozenset(shingles(t, width).tolist()) for _, _, t in held]
+            rows, sets = np.array([r for r, _ in held]), [shingles(t, width) for _, t in held]
+            fps = np.fromiter(map(_of_set, sets), np.uint64, len(sets))
+            sets = [frozenset(s.tolist()) for s in sets]
             sizes = np.array([len(s) for s in sets])
 
             def linked(x, among):
