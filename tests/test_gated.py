@@ -147,3 +147,43 @@ def test_a_long_way_takes_few_rounds(spark, monkeypatch):
     found = {r.entry: [(h.pos, h.fav, h.adv) for h in r.tp_hits] for r in gated.first_touches(entries, ticks, ["symbol"], grid, block=8).collect()}
     assert found == {7: [(4321, 111.0, 99.5)], 9: [(4321, 111.0, 99.5)]}
     assert len(rounds) < 20  # 5000 ticks are 625 blocks of 8
+
+
+def swept(spark, rows, given, flips, cooldown):
+    """The ledger of every set of RISK without a loss streak, and what a walk through the ticks gives."""
+    ticks = gated.numbered_ticks(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, price double, n long").repartition(5), ["symbol"], order=["n"])
+    kind = "symbol string, g int, pos long, us long, entry_time timestamp_ntz, entry_price double, side string, size_factor double"
+    us = {(r[0], r[3]): int((r[1] - dt.datetime(1970, 1, 1)).total_seconds() * 1e6) for r in rows}
+    turned = spark.createDataFrame([(s, i, us[s, i], side) for (s, i), side in flips.items()], "symbol string, pos long, us long, against string")
+    table = grid_table(spark, RISK)
+    configs = table.withColumns(grid_places(RISK)).select("config_id", "sl_at", "tp_at", "tr_at").crossJoin(spark.createDataFrame([(0,), (1,)], "g int"))
+    out = gated.gated_ledger(spark.createDataFrame(given, kind), ticks, configs, RISK, group=["g"], flips=turned, cooldown_s=cooldown, span="30 minutes", block=64)
+    size = F.round(F.col("size") * F.col("entry_price") / 100, 6)
+    got = sorted(tuple(r) for r in out.select("symbol", "g", "config_id", "side", "entry_time", "exit_time", "exit_price", "reason", size).collect())
+    sets = [(r.config_id, (r.sl, r.tp, r.trail, r.min_profit)) for r in table.collect()]
+    return got, plainly(rows, given, flips, sets, cooldown, None, 0)
+
+
+@pytest.mark.parametrize("stretch, cooldown", [(1, 100), (3, 0), (16, 700), (17, 6000)])
+def test_chains_cross_stretches(spark, monkeypatch, stretch, cooldown):
+    monkeypatch.setattr(gated, "STRETCH", stretch)
+    rows = market(400, stretch)
+    given = [c for c in some_candidates(rows, 5) if not (c[1] == 1 and c[0] == "B")]  # a key without candidates
+    got, want = swept(spark, rows, given, some_flips(rows, 6), cooldown)
+    assert got == want and len(want) > 50
+
+
+def test_no_table_of_candidates_times_sets_is_stored(spark, monkeypatch):
+    """Rounds that each store all candidates under all sets fill the disk."""
+    rows = market(400, 8)
+    given, sizes, real = some_candidates(rows, 9), [], gated.cut_lineage
+
+    def counted(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(gated, "cut_lineage", counted)
+    got, want = swept(spark, rows, given, {}, 100)
+    assert got == want
+    assert max(sizes) <= max(len(rows), len(given)) and len(sizes) < 16

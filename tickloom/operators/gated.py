@@ -2,8 +2,10 @@
 
 A candidate trade is a node. Where it would end (stop, target, trend flip, reversal) doesn't depend on the
 trades before it, so all candidates are priced at once; what does depend on them is which candidates
-are taken, and that is a chain of links from trade to trade. Links are followed by pointer doubling, so a key
-with very many trades takes as many rounds as its number of trades has bits, and no task walks through a key.
+are taken, and that is a chain of links from trade to trade. No task walks through a key. Without a loss streak a link
+depends on its own trade alone: all sets of a candidate lie side by side in one row, and stretches of candidates are described,
+chained and walked (``_taken``). With one, links are followed by pointer doubling, so a key with very many trades takes as many
+rounds as its number of trades has bits.
 """
 
 from __future__ import annotations
@@ -12,15 +14,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.operators.dc import confirmations, dc_events, same_threshold
 from tickloom.operators.joins import asof_backward
 from tickloom.operators.timeline import (
     Timeline,
+    count_so_far,
     micros,
     next_known,
+    ordered_fold,
     row_index,
     running,
 )
@@ -31,6 +37,8 @@ from tickloom.session import cut_lineage
 BLOCK = 8192  # ticks of a key that are searched at once
 GROWTH, LARGEST = 8, 64  # times the block of the round before; at most so many times the first
 STEP = 512  # ticks of a block that are looked at before an entry is asked whether it needs more
+STRETCH = 1024  # candidates of a key whose chains are followed at once
+FAR = np.iinfo(np.int64).max // 2  # a place and a time that no tick has
 SENSORS = (0.002, 0.004, 0.008)  # fixed values: thresholds whose confirmations feed the momentum
 
 
@@ -163,6 +171,129 @@ def first_touches(
     return cells.select("entry", *[F.array(*cols).alias(f"{k}_hits") for k, cols in kinds.items()])
 
 
+class _Stretch:
+    """Consecutive candidates of a key: where a trade of each, under each set of exits, lets the next one begin.
+
+    What may come next is a bound, the least time and the least place: the first candidate that is before neither is taken,
+    in whichever stretch it is. ``next`` has its number here, or that of all if it is in a later one.
+    """
+
+    def __init__(self, rows: pa.Table, exits: np.ndarray, cool: int):
+        column = {c: rows.column(c).to_numpy() for c in ("__at", "pos", "us", "__r", "__r_us", "__f", "__f_us")}
+        hits = {c: rows.column(c).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) for c in ("__x", "__x_us")}
+        self.order = np.argsort(column["__at"])
+        self.us, self.pos = column["us"][self.order], column["pos"][self.order]
+        r, r_us, f, f_us = (column[c][self.order][:, None] for c in ("__r", "__r_us", "__f", "__f_us"))
+        x, x_us = (hits[c][self.order][:, exits].min(2) for c in ("__x", "__x_us"))
+        flipped = (f < FAR) & (f <= np.minimum(x, r))
+        left = flipped | (x < FAR) & (x <= r)
+        end, begin = np.where(flipped, f_us, x_us), np.where(flipped, f + 1, x)
+        least = np.maximum(end, self.us[:, None] + cool)
+        self.b_us = np.where(left, least, r_us)
+        self.b_pos = np.where(left, np.where(least == end, begin, -1), r)
+        self.next = np.maximum(self.first(self.b_us, self.b_pos), np.arange(1, len(self.us) + 1)[:, None])
+
+    def first(self, us: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        return np.maximum(np.searchsorted(self.us, us), np.searchsorted(self.pos, pos))
+
+    def described(self) -> tuple:
+        """Which bound the chain leaves with, by where it comes in. Chains soon meet, so this is told by a set's changes alone:
+        number of the set, time and place of the candidate before the change, time and place of the bound."""
+        us, pos, n = self.b_us.copy(), self.b_pos.copy(), len(self.us)
+        for i in range(n - 2, -1, -1):
+            sets = np.flatnonzero(self.next[i] < n)
+            to = self.next[i, sets]
+            us[i, sets], pos[i, sets] = us[to, sets], pos[to, sets]
+        new = np.ones(us.shape, bool)
+        new[1:] = (us[1:] != us[:-1]) | (pos[1:] != pos[:-1])
+        number, at = np.nonzero(new.T)
+        before = [np.r_[-FAR, v[:-1]][at] for v in (self.us, self.pos)]
+        return int(self.us[-1]), int(self.pos[-1]), number, *before, us[at, number], pos[at, number]
+
+    def walked(self, us: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """Row per candidate, column per set: whether it is taken, if the chain comes in with the bounds given."""
+        taken = np.zeros(self.next.shape, bool)
+        at = self.first(us, pos)
+        for i in range(len(self.us)):
+            taken[i] = at == i
+            at = np.where(taken[i], self.next[i], at)
+        return taken
+
+
+def _taken(rows: DataFrame, configs: DataFrame, grid: dict[str, Sequence[float]], keys: Sequence[str], group: Sequence[str], cool: int, ts_type: str) -> DataFrame:
+    """``rows``, those that are taken under some set, with ``config_ids`` of these sets.
+
+    ``rows`` have ``r``, ``f`` and the touches, and in ``__at`` their place among the candidates of the key. Stretches of equal
+    row counts are described for every place at which a chain may come in, the descriptions of a key are chained (one row for each
+    stretch, streamed), and each stretch is walked from the bounds it really starts with. Nothing of the size of candidates times sets is stored.
+    """
+    sizes = [len(grid["sl"]), len(grid["tp"]), len(grid["trail"]) * len(grid["min_profit"])]
+    sets: dict[tuple, tuple[list, list]] = {}  # of the caller's size, as the grid
+    for row in configs.orderBy("config_id").collect():
+        ids, exits = sets.setdefault(tuple(row[c] for c in group), ([], []))
+        ids.append(row["config_id"])
+        exits.append((row["sl_at"], sizes[0] + row["tp_at"], sizes[0] + sizes[1] + row["tr_at"]))
+    sets = {k: (np.array(ids), np.array(exits)) for k, (ids, exits) in sets.items()}
+    time = lambda c: c.cast("long") if ts_type in ("bigint", "int") else F.unix_micros(c.cast("timestamp"))
+    known = lambda c: F.coalesce(c, F.lit(FAR))
+    hits = [F.get(F.col(f"{kind}_hits"), i) for kind, n in zip(("sl", "tp", "tr"), sizes, strict=True) for i in range(n)]
+    places = rows.withColumns(
+        {
+            "__stretch": F.floor(F.col("__at") / STRETCH), "__r": known(F.col("r.pos")), "__r_us": known(F.col("r.us")), "__f": known(F.col("f.pos")), "__f_us": known(F.col("f.us")),
+            "__x": F.array(*[known(h["pos"]) for h in hits]), "__x_us": F.array(*[known(time(h["exit_time"])) for h in hits]),
+        }
+    )
+    stretch, width, columns = [*keys, "__stretch"], len(keys), rows.columns
+    names = ", ".join(f"`{c}` {places.schema[c].dataType.simpleString()}" for c in stretch)
+    own = places.select(*stretch, "__at", "pos", "us", "__r", "__r_us", "__f", "__f_us", "__x", "__x_us")
+    told = {"last_us": pa.int64(), "last_pos": pa.int64(), "number": pa.list_(pa.int32()), **dict.fromkeys(("before_us", "before_pos", "to_us", "to_pos"), pa.list_(pa.int64()))}
+    of = lambda key: sets.get(tuple(v.as_py() for v in key[width - len(group) : width]))
+
+    def describe(key, table):
+        chosen = of(key)
+        values = _Stretch(table, chosen[1], cool).described() if chosen else [None] * len(told)
+        out = table.select(stretch).slice(0, 1 if chosen else 0)
+        for (name, kind), value in zip(told.items(), values, strict=True):
+            out = out.append_column(name, pa.array([value] if chosen else [], kind))
+        return out
+
+    arrays = "number array<int>, before_us array<bigint>, before_pos array<bigint>, to_us array<bigint>, to_pos array<bigint>"
+    described = cut_lineage(own.groupBy(*stretch).applyInArrow(describe, f"{names}, last_us bigint, last_pos bigint, {arrays}"))
+
+    def chain(batches):
+        key, us, pos = None, None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                here, (last_us, last_pos, number, before_us, before_pos, to_us, to_pos) = row[: width + 1], row[width + 1 :]
+                if here[:width] != key:
+                    count = int(number[-1]) + 1
+                    key, us, pos = here[:width], np.full(count, -FAR), np.full(count, -FAR)
+                out.append((*here, us, pos))
+                passed = (before_us < us[number]) | (before_pos < pos[number])
+                passed[np.r_[True, number[1:] != number[:-1]]] = True
+                at = np.r_[0, np.cumsum(np.bincount(number))[:-1]] + np.bincount(number[passed]) - 1
+                by_it = (last_us < us) | (last_pos < pos)
+                us, pos = np.where(by_it, us, to_us[at]), np.where(by_it, pos, to_pos[at])
+            yield pd.DataFrame(out, columns=[*stretch, "from_us", "from_pos"])
+
+    starts = cut_lineage(ordered_fold(described, list(keys), ["__stretch"], chain, f"{names}, from_us array<bigint>, from_pos array<bigint>"))
+
+    def walk(key, table, start):
+        chosen = of(key)
+        if chosen is None or not start.num_rows or not table.num_rows:
+            return table.slice(0, 0).select(columns).append_column("config_ids", pa.array([], pa.list_(pa.int64())))
+        s = _Stretch(table, chosen[1], cool)
+        taken = s.walked(*(start.column(c).combine_chunks().flatten().to_numpy() for c in ("from_us", "from_pos")))
+        some = taken.any(1)
+        at, number = np.nonzero(taken)
+        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(taken.sum(1)[some])], pa.int32()), pa.array(chosen[0][number], pa.int64()))
+        return table.select(columns).take(pa.array(s.order[some])).append_column("config_ids", ids)
+
+    both = places.groupBy(*stretch).cogroup(starts.groupBy(*stretch))
+    return both.applyInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("config_ids", T.ArrayType(T.LongType()))]))
+
+
 def gated_ledger(
     candidates: DataFrame,
     ticks: DataFrame,
@@ -193,7 +324,8 @@ def gated_ledger(
     losses in a row, once they are ``max_losses``. Reversals leave the streak as it is, a win ends it. A trade still open at the end isn't
     reported.
 
-    Links lead from trade to trade. Along a run of reversals the streak is constant, so runs are one
+    Without ``max_losses`` the chains are followed stretch by stretch, for all sets of a candidate at once (``_taken``). With it, links
+    lead from trade to trade. Along a run of reversals the streak is constant, so runs are one
     node each, and a node is (first trade, losses before it). Nodes with one more loss are made from those
     that lose, until none do; then the chain from the first candidate of each key is followed by ``reached``.
     """
@@ -202,15 +334,17 @@ def gated_ledger(
     if not group:
         candidates, configs, group = candidates.withColumn("__all", F.lit(0)), configs.withColumn("__all", F.lit(0)), ["__all"]
     keys = [*by, *group]
-    tl = Timeline.of(keys, "us", ["pos"], span)
+    tl = Timeline.of(keys, "us", ["pos", "side"], span)
     here = F.struct("pos", "us", F.col("entry_time").alias("ts"), F.col("entry_price").alias("px"))
     factor = F.col("size_factor").cast("double") if "size_factor" in candidates.columns else F.lit(1.0)
     rows = running(
         candidates.select(*keys, "pos", "us", "entry_time", "entry_price", "side", factor.alias("factor")), tl,
         __long=next_known(F.when(F.col("side") == "LONG", here), current=False),
         __short=next_known(F.when(F.col("side") == "SHORT", here), current=False),
+        __at=count_so_far(current=False),
     )
     end = F.when(F.col("side") == "LONG", F.col("__short")).otherwise(F.col("__long"))
+    rows = rows.withColumn("__at", F.coalesce("__at", F.lit(0).cast("long")))
     rows = rows.withColumn("r", end).drop("__long", "__short").withColumn("s", F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0))
     if flips is not None:
         state = F.struct("pos", "us", F.col("ts"), F.col("px"))
@@ -230,7 +364,14 @@ def gated_ledger(
     wanted = rows.join(ends, by).groupBy(*by, "pos", "side", "s", "entry_price").agg(F.max(limit).alias("last"), F.min("entry").alias("entry"))
     touches = first_touches(wanted, ticks, by, grid, block)
     found = wanted.select(*by, "pos", "side", "entry").join(touches, "entry", "left").drop("entry")
-    cases = with_exits(rows.join(found, [*by, "pos", "side"], "left").join(F.broadcast(configs), group), also=["pos"])
+    rows = rows.join(found, [*by, "pos", "side"], "left")
+    cool = int(cooldown_s * 1_000_000)
+    if max_losses is None:
+        rows = _taken(cut_lineage(rows), configs, grid, keys, group, cool, ticks.schema["ts"].dataType.simpleString())
+        cases = rows.withColumn("config_id", F.explode("config_ids")).drop("config_ids").join(F.broadcast(configs), [*group, "config_id"])
+    else:
+        cases = rows.join(F.broadcast(configs), group)
+    cases = with_exits(cases, also=["pos"])
 
     case = [*keys, "config_id"]
     inf = F.lit(np.iinfo(np.int64).max)
@@ -251,6 +392,23 @@ def gated_ledger(
         F.when(touched, F.col("fav")).alias("fav"), F.when(touched, F.col("adv")).alias("adv"),
         F.when(reversed_, F.col("r.pos")).alias("r_pos"),
     )
+    out = priced if max_losses is None else _after_streaks(priced, candidates, configs, case, group, cool, max_losses, int(loss_cooldown_s * 1_000_000), span)
+    e = F.col("s") * F.col("entry_price")
+    excursion = lambda x: F.coalesce(F.greatest(x / F.col("entry_price"), F.lit(0.0)), F.lit(0.0))
+    closed = out.where("reason is not null").withColumn("mfe_pct", F.when(F.col("fav").isNotNull(), excursion(F.col("fav") - e)).otherwise(0.0))
+    closed = closed.withColumn("mae_pct", F.when(F.col("adv").isNotNull(), excursion(e - F.col("adv"))).otherwise(0.0))
+    legs = leg_pnl(closed.withColumn("size", F.lit(float(position_usd)) * F.col("factor") / F.col("entry_price")), fee)
+    return legs.drop("__all").select(
+        *[c for c in case if c != "__all"], "side", "entry_price", "exit_price", "size", "entry_time", "exit_time", "pnl_pct", "pnl_usd", "entry_fee", "exit_fee",
+        "total_fees", "net_pnl_usd", "reason", "mfe_pct", "mae_pct",
+    )
+
+
+def _after_streaks(
+    priced: DataFrame, candidates: DataFrame, configs: DataFrame, case: Sequence[str], group: Sequence[str], cool: int, max_losses: int, pause: int, span
+) -> DataFrame:
+    """The rows of ``priced`` that are taken where a streak of losses pauses the entries."""
+    keys = case[:-1]
     won = (F.col("exit_price") - F.col("entry_price")) * F.col("s") > 0
     priced = priced.withColumn("won", won).withColumn("x_us", micros(priced, "exit_time"))
     priced = cut_lineage(priced)
@@ -262,8 +420,6 @@ def gated_ledger(
     runs = cut_lineage(tails.join(tail, "tail"))
 
     starts = candidates.select(*keys, "pos", "us")
-    cool = int(cooldown_s * 1_000_000)
-    pause = int(loss_cooldown_s * 1_000_000)
     cases_of = configs.select(*group, "config_id")
     heads = starts.groupBy(*keys).agg(F.min("pos").alias("pos")).join(F.broadcast(cases_of), group)
     roots = heads.select(F.struct(F.struct(*case, "pos").alias("run"), F.lit(0).cast("long").alias("losses")).alias("node"))
@@ -273,9 +429,7 @@ def gated_ledger(
         closed = nodes.join(runs.withColumnRenamed("node", "run"), "run").where("reason is not null")
         after = F.when(F.col("won"), 0).otherwise(F.col("losses") + 1).cast("long")
         out = closed.select("run", "losses", "last_us", "x_us", "from_pos", after.alias("after"), *[F.col(f"run.{k}").alias(k) for k in case])
-        until = F.lit(0).cast("long")
-        if max_losses is not None:
-            until = F.when(F.col("after") >= max_losses, F.col("x_us") + F.col("after") * pause).otherwise(until)
+        until = F.when(F.col("after") >= max_losses, F.col("x_us") + F.col("after") * pause).otherwise(F.lit(0).cast("long"))
         bound = F.greatest(F.col("x_us"), F.col("last_us") + cool, until)
         out = out.withColumn("b_us", bound).withColumn("b_pos", F.when(F.col("b_us") == F.col("x_us"), F.col("from_pos")).otherwise(F.lit(-1).cast("long")))
         ahead = _after(out, starts, keys, ("b_us", "b_pos"), ["pos"], "next", span)
@@ -287,9 +441,6 @@ def gated_ledger(
     while not level.isEmpty():
         linked = following_runs(level)
         links = linked if links is None else links.union(linked)
-        if max_losses is None:  # the streak decides nothing
-            links = links.withColumn("after", F.lit(0).cast("long"))
-            break
         level = cut_lineage(linked.where("after > 0").select(F.col("to").alias("run"), F.col("after").alias("losses")).distinct())
     if links is None:
         links = following_runs(level)
@@ -298,16 +449,7 @@ def gated_ledger(
     taken_runs = reached(links.select(node, to), roots).select(F.col("node.run").alias("node")).distinct()
     taken = reached(link.where("r_pos is not null").select("node", "to"), taken_runs)
 
-    out = priced.join(taken.select(*[F.col(f"node.{k}").alias(k) for k in case], F.col("node.pos").alias("pos")), [*case, "pos"], "left_semi")
-    e = F.col("s") * F.col("entry_price")
-    excursion = lambda x: F.coalesce(F.greatest(x / F.col("entry_price"), F.lit(0.0)), F.lit(0.0))
-    closed = out.where("reason is not null").withColumn("mfe_pct", F.when(F.col("fav").isNotNull(), excursion(F.col("fav") - e)).otherwise(0.0))
-    closed = closed.withColumn("mae_pct", F.when(F.col("adv").isNotNull(), excursion(e - F.col("adv"))).otherwise(0.0))
-    legs = leg_pnl(closed.withColumn("size", F.lit(float(position_usd)) * F.col("factor") / F.col("entry_price")), fee)
-    return legs.drop("__all").select(
-        *[c for c in case if c != "__all"], "side", "entry_price", "exit_price", "size", "entry_time", "exit_time", "pnl_pct", "pnl_usd", "entry_fee", "exit_fee",
-        "total_fees", "net_pnl_usd", "reason", "mfe_pct", "mae_pct",
-    )
+    return priced.join(taken.select(*[F.col(f"node.{k}").alias(k) for k in case], F.col("node.pos").alias("pos")), [*case, "pos"], "left_semi")
 
 
 def _tails(links: DataFrame) -> DataFrame:
