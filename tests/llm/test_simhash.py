@@ -161,3 +161,27 @@ def test_pivot_tables_find_the_near_ones_by_themselves(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     kept = {r.doc_id for r in simhash.keep_one(docs, width=5, bits=28, similarity=0.8).collect()}
     assert any(near) and [2 * i + 1 not in kept for i in range(4)] == near
+
+
+def test_similar_texts_go_however_far_their_fingerprints(spark):
+    words = "w931 w552 w114 w450 w1466 w1192 w1703 w1834 w690".split()
+    texts = [" ".join(words[:8]), " ".join(words)]  # 4 of 5 shingles
+    a, b = (simhash._of_set(simhash.shingles(t, 5)) for t in texts)
+    assert (a ^ b).bit_count() == 29
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in simhash.keep_one(docs, width=5, bits=28, similarity=0.8).collect()] == [0]
+
+
+def test_parities_leave_no_similar_set_out():
+    rng = np.random.default_rng(2)
+    for bits in (64, simhash.PARITY):
+        base = [rng.integers(0, 1 << 64, n, np.uint64) for n in (1, 4, 9, 60, 300, 3000)]
+        sets = [np.unique(np.r_[s[: len(s) - k], rng.integers(0, 1 << 64, m, np.uint64)]) for s in base for k in (0, 1, len(s) // 20, len(s) // 9, len(s) // 5) for m in (0, 1, len(s) // 9, len(s))]
+        odds, sizes, kept = np.array([simhash._odd(s, bits) for s in sets]), np.array([len(s) for s in sets]), 0
+        for x in range(len(sets)):
+            among = np.arange(len(sets))
+            near = simhash._close(odds, sizes, x, among, 0.8)
+            similar = [len(np.intersect1d(sets[x], s)) >= 0.8 * len(np.union1d(sets[x], s)) for s in sets]
+            assert near[similar].all()
+            kept += near.sum()
+        assert kept < len(sets) ** 2 / 2

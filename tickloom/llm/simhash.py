@@ -21,6 +21,7 @@ LARGE = 4096  # members from which on a bucket is dealt again by finer blocks
 FINE, FINE_SAME = 8, 4  # the four other blocks of such a bucket, as 8 parts of which 4 agree
 PART = 2048  # members of a shingle from which on it is split into parts
 JOINED = 1024  # members up to which groups that hang together are compared as one
+PARITY = 4096  # bits of the parities by which sets are told apart before they are compared
 SAMPLE, FREQUENT = 20_000, 200_000  # texts whose shingles are counted, shingles whose counts are kept
 
 _REFS = np.array([xxhash.xxh64_intdigest(b"reference %d" % i, SEED) for i in range(REFERENCES)], np.uint64)
@@ -237,10 +238,22 @@ def _frequent(docs: DataFrame, text: str, width: int) -> tuple[np.ndarray, np.nd
     return known[order], counts[order]
 
 
-def _close(fps: np.ndarray, sizes: np.ndarray, x: int, among: np.ndarray, bits: int, similarity: float) -> np.ndarray:
-    """Which of ``among`` can be similar to member ``x`` by fingerprint and set size."""
+def _odd(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """For each of ``bits`` (a power of two) slots of a set's hashes whether an odd number falls into it, as 64-bit words.
+
+    Where two sets differ in a bit, a hash is in one of them alone, so they differ in at least as many hashes as bits.
+    """
+    slots = (hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=bits) & 1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _close(odds: np.ndarray, sizes: np.ndarray, x: int, among: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of ``among`` can be similar to member ``x`` by set size and parities: none that is similar is left out."""
     least, most = np.minimum(sizes[among], sizes[x]), np.maximum(sizes[among], sizes[x])
-    return (np.bitwise_count(fps[among] ^ fps[x]) <= bits) & (least + 1e-9 >= similarity * most)
+    near = least + 1e-9 >= similarity * most
+    apart = np.bitwise_count(odds[among[near]] ^ odds[x]).sum(1, dtype=np.int64)
+    near[near] = apart * (1 + similarity) <= (1 - similarity) * (least + most)[near] + 1e-9
+    return near
 
 
 def _spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[list[int]]:
@@ -257,13 +270,12 @@ def _spread(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[lis
     return found
 
 
-def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def similar_links(docs: DataFrame, key: str, text: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """``row, first`` (the least row with the same shingles) of every row, and edges ``a, b`` between firsts that connect
-    exactly those which chains of pairs of Jaccard similarity ``similarity`` or more connect, but for pairs whose
-    fingerprints differ in more than ``bits`` bits.
+    exactly those which chains of pairs of Jaccard similarity ``similarity`` or more connect, however far apart their fingerprints are.
 
     A set's least frequent shingles, as many as a similar set can lack and one more, are its keys (prefix filter), so each
-    similar pair meets under a key. Under a key, members are parted by fingerprint and set size, equal groups
+    similar pair meets under a key. Under a key, members are parted by set size and parities (``_close``), equal groups
     collapse, and the shingles of the texts of a group are compared exactly. Keys of more than ``PART`` members are
     split, and every pair of parts is a group: complete, but quadratic in a key's parts.
 
@@ -278,11 +290,12 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
         sets = [shingles(t, width) for t in texts]
         return {
             "row": pa.array(rows, pa.int64()), "same": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int32()),
-            "fp": pa.array(np.fromiter(map(_of_set, sets), np.uint64, len(sets)).view(np.int64)), "keys": pa.array([_prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
+            "fp": pa.array(np.fromiter(map(_of_set, sets), np.uint64, len(sets)).view(np.int64)), "odd": pa.array([int(_odd(s, 64).view(np.int64)[0]) for s in sets], pa.int64()),
+            "keys": pa.array([_prefix(s, common, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())),
         }
 
     texts = docs.select(F.col(key).alias("row"), F.col(text).cast("string").alias("text"))
-    own = store(map_batches(texts, sketch, "row long, same binary, n int, fp long, keys array<long>"), "sketches")
+    own = store(map_batches(texts, sketch, "row long, same binary, n int, fp long, odd long, keys array<long>"), "sketches")
     firsts = store(own.groupBy("same").agg(F.min("row").alias("first")), "firsts")
     kinds = own.join(firsts.select(F.col("first").alias("row")), "row", "left_semi")
     # Most keys stand in one text only. Keys are counted by themselves, and only texts with a key that others have are dealt out.
@@ -294,10 +307,10 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
             keys, ends = batch.column("keys").flatten().to_numpy(), batch.column("keys").offsets.to_numpy()
             keep = np.flatnonzero(shared.value.has(keys.view(np.uint64)))
             own = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(ends))[keep])
-            columns = {name: batch.column(name).take(own) for name in ("row", "n", "fp")}
+            columns = {name: batch.column(name).take(own) for name in ("row", "n", "odd")}
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys[keep]), **columns})
 
-    dealt = kinds.select("row", "n", "fp", "keys").mapInArrow(tidy(deal), "key long, row long, n int, fp long").select("key", F.struct("row", "n", "fp").alias("member"))
+    dealt = kinds.select("row", "n", "odd", "keys").mapInArrow(tidy(deal), "key long, row long, n int, odd long").select("key", F.struct("row", "n", "odd").alias("member"))
     parts = counts.select("key", F.ceil(F.col("m") / PART).alias("parts"))
     lists = dealt.join(parts, "key").groupBy("key", "parts", F.pmod(F.xxhash64("member.row"), "parts").alias("part")).agg(F.collect_list("member").alias("members"))
     small = lists.where("parts = 1").select("members")
@@ -309,10 +322,10 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
         for batch in batches:
             lists, groups = batch.column(0), []
             flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            rows, sizes, fps = flat.field("row").to_numpy(), flat.field("n").to_numpy(), flat.field("fp").to_numpy().view(np.uint64)
+            rows, sizes, odds = flat.field("row").to_numpy(), flat.field("n").to_numpy(), flat.field("odd").to_numpy().view(np.uint64)[:, None]
             for i, j in zip(ends, ends[1:], strict=False):
                 if j - i > 1:
-                    groups += [np.sort(rows[i:j][g]) for g in _spread(j - i, lambda x, among, i=i, j=j: _close(fps[i:j], sizes[i:j], x, among, bits, similarity))]
+                    groups += [np.sort(rows[i:j][g]) for g in _spread(j - i, lambda x, among, i=i, j=j: _close(odds[i:j], sizes[i:j], x, among, similarity))]
             yield pa.RecordBatch.from_pydict({"rows": pa.array(groups, pa.list_(pa.int64()))})
 
     # Rows of one fingerprint, and the least rows of fingerprints that the pivot tables link, are candidates too.
@@ -342,12 +355,12 @@ def similar_links(docs: DataFrame, key: str, text: str, width: int, bits: int, s
     def verify(batches):
         def edges(held):
             rows, sets = np.array([r for r, _ in held]), [shingles(t, width) for _, t in held]
-            fps = np.fromiter(map(_of_set, sets), np.uint64, len(sets))
+            odds = np.array([_odd(s, PARITY) for s in sets])
             sets = [frozenset(s.tolist()) for s in sets]
             sizes = np.array([len(s) for s in sets])
 
             def linked(x, among):
-                near = _close(fps, sizes, x, among, bits, similarity)
+                near = _close(odds, sizes, x, among, similarity)
                 both = np.array([len(sets[x] & sets[y]) for y in among[near]], np.int64)
                 near[near] = both + 1e-9 >= similarity * (sizes[x] + sizes[among[near]] - both)
                 return near
@@ -374,7 +387,7 @@ def keep_one(docs: DataFrame, text: str = "text", width: int = WIDTH, bits: int
     """The rows of ``docs``, with their columns, less all but the first row of each group of near duplicates.
 
     Without ``similarity``, rows are linked by the law of ``near_duplicates``, which ``width`` and ``bits`` don't change;
-    with it, by the similarity of their shingles of ``width`` words. Rows are numbered in a stored copy, so null and repeated ids need no care.
+    with it, by the similarity of their sets of shingles of ``width`` words alone: no pair is left out for its fingerprints, whatever ``bits`` is. Rows are numbered in a stored copy, so null and repeated ids need no care.
     """
     row = next(name for name in ("row", *(f"row_{i}" for i in range(len(docs.columns) + 1))) if name not in docs.columns)
     numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
@@ -384,7 +397,7 @@ def keep_one(docs: DataFrame, text: str = "text", width: int = WIDTH, bits: int
         near = near_duplicates(numbered, text, row)
         gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
     else:
-        firsts, links = similar_links(numbered, row, text, width, bits, similarity)
+        firsts, links = similar_links(numbered, row, text, width, similarity)
         named = firsts.join(components(links).withColumnRenamed("node", "first"), "first", "left")
         gone = named.where(F.col("row") != F.coalesce("component", "first")).select(F.col("row").alias(row))
     return numbered.join(store(gone, "gone"), row, "left_anti").select(*docs.columns)
