@@ -110,3 +110,23 @@ def test_runs_decide_without_an_article_but_in_main(monkeypatch):
     assert extraction.main_texts(pages) == [f"{own(k, 'w')}\n\n{own(k, 'n')}" for k in range(3)]
     monkeypatch.setattr(extraction, "repeated", lambda streams: [np.ones(len(s), np.int64) for s in streams])
     assert extraction.main_texts(pages) == [f"{own(k, 'w')}\n\n{own(k, 'n')}\n\n{own(0, 'c')}" for k in range(3)]
+
+
+def test_runs_are_counted_over_all_pages_of_a_host(spark, monkeypatch):
+    """A run on two of a host's pages is found though they fall into different arrays."""
+    monkeypatch.setattr(extraction, "PAGES", 2)
+    own = lambda k, c: " ".join(f"{c}{k}y{i}" for i in range(12))
+    rare = lambda k, c: " ".join(f"{c}{k // 2}z{i}" for i in range(10))  # on two pages
+    rows = []
+    for h in range(3):
+        for k in range(16):
+            named = f'<article><p>{own(k, "w")}</p><p class="notice">{rare(k, "n")}</p><p class="notice">{own(k, "s")}</p></article>'
+            plain = f'<div>{rare(k, "m")}</div><p>{own(k, "v")}</p>'
+            rows.append((len(rows), f"http://h{h}.org/{k}", (named, plain, f"<article><p>{own(k, 'u')}</p></article>")[h]))
+    rows += [(100, "http://small.org/1", f'<article><p>{own(1, "w")}</p><p class="notice">{own(1, "s")}</p></article>')]
+    got = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(rows)
+    hosts = [rows[:16], rows[16:32], rows[32:48], rows[48:]]
+    want = {i: t for host in hosts for (i, *_), t in zip(host, extraction.main_texts([extraction.blocks(r[2]) for r in host]), strict=True)}
+    assert got == want
+    assert got[0] == f"{own(0, 'w')}\n\n{own(0, 's')}" and got[16] == own(0, "v") and got[100] == own(1, "w")
